@@ -25,3 +25,125 @@ def overlap_trace(trades: DataFrame, span: int) -> DataFrame:
         F.count_if(F.col("reach") > F.col("open_date")).alias("overlapping"),
         F.count_if(F.col("copies") > 1).alias("duplicated"),
     )
+
+
+# --------------------------------------------------------------------------- summaries
+
+
+def returns_stats(ret: str, per_year: float, strict: bool = False) -> list[Column]:
+    """Sharpe and Sortino of a period-return column.
+
+    Loose: 0 for zero spread, infinity without downside and a positive mean.
+    Strict: null below three periods or two losing periods.
+    """
+    x = F.col(ret)
+    mean, sd, n = F.avg(x), F.stddev_samp(x), F.count(x)
+    down = F.when(x < 0, x)
+    dsd, dn = F.stddev_samp(down), F.count(down)
+    root = F.lit(per_year**0.5)
+    if strict:
+        sharpe = F.when(n < 3, None).when(sd == 0, 0.0).otherwise(F.try_divide(mean, sd) * root)
+        sortino = F.when((n >= 3) & (dn >= 2) & (sd > 0) & (dsd > 0), mean / dsd * root)
+    else:
+        sharpe = F.when(sd > 0, mean / sd * root).otherwise(0.0)
+        sortino = F.when(dsd > 0, mean / dsd * root).when(mean > 0, F.lit(float("inf"))).otherwise(0.0)
+    return [sharpe.alias("sharpe"), sortino.alias("sortino")]
+
+
+def profit_factor(pnl: str) -> Column:
+    x = F.col(pnl)
+    return loss_ratio(F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0.0)), F.coalesce(F.sum(F.when(x < 0, -x)), F.lit(0.0)))
+
+
+def win_rate(pnl: str) -> Column:
+    return F.avg((F.col(pnl) > 0).cast("double"))
+
+
+def summary(trades: DataFrame, by: Sequence[str], pnl: str = "profit_abs", ratio: str = "profit_ratio") -> DataFrame:
+    """Counts, gross wins and losses, mean return, win rate, profit factor per group."""
+    x = F.col(pnl)
+    return trades.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(x).alias("net"),
+        F.sum(F.when(x > 0, x).otherwise(0.0)).alias("gross_win"),
+        F.sum(F.when(x < 0, -x).otherwise(0.0)).alias("gross_loss"),
+        F.avg(ratio).alias("mean_ratio"),
+        win_rate(pnl).alias("win_rate"),
+        profit_factor(pnl).alias("profit_factor"),
+        F.max(x).alias("largest_win"),
+        F.min(x).alias("largest_loss"),
+    )
+
+
+def daily(trades: DataFrame, by: Sequence[str], values: Sequence[str] = ("profit_abs", "profit_ratio")) -> DataFrame:
+    """Sums by close day on a zero-filled calendar per group."""
+    d = trades.groupBy(*by, F.to_date("close_date").alias("day")).agg(*[F.sum(c).alias(c) for c in values])
+    return bars.daily_zero_filled(d, "day", list(values), tuple(by))
+
+
+def wallet_drawdown(days: DataFrame, by: Sequence[str], start: float, span: int = 3650 * 86_400) -> DataFrame:
+    """Largest relative fall of ``start`` + summed absolute P&L, per group.
+
+    The calendar holds one row per day, so a chunk is bounded by its span.
+    """
+    stamped = days.withColumn("ts", F.col("day").cast("timestamp"))
+    s = Series(tuple(by), "ts", (), span)
+    eq = running(stamped, s, {"eq": ("sum", "profit_abs")}).withColumn("eq", F.col("eq") + start)
+    peak = running(eq, s, {"peak": ("max", "eq")}).withColumn("peak", F.greatest("peak", F.lit(start)))
+    return peak.groupBy(*by).agg(F.min(F.col("eq") / F.col("peak") - 1).alias("max_dd"))
+
+
+def ratio_drawdown(days: DataFrame, by: Sequence[str], span: int = 3650 * 86_400) -> DataFrame:
+    """Drawdown of the compounded ratio curve; only on explicit request."""
+    from tidegauge.operators.windows import compounded
+
+    stamped = days.withColumn("ts", F.col("day").cast("timestamp"))
+    s = Series(tuple(by), "ts", (), span)
+    peak = running(compounded(stamped, s, "profit_ratio", "eq"), s, {"peak": ("max", "eq")})
+    return peak.groupBy(*by).agg(F.min(F.when(F.col("peak") > 0, F.col("eq") / F.col("peak") - 1)).alias("max_dd_ratio"))
+
+
+def window_metrics(trades: DataFrame, by: Sequence[str], start: float, fee: float = 0.001) -> DataFrame:
+    """Ledger metrics of a window: daily Sharpe/Sortino, wallet drawdown, totals."""
+    d = daily(trades, by)
+    ratios = d.groupBy(*by).agg(
+        *returns_stats("profit_ratio", 365, strict=True), F.count(F.lit(1)).alias("n_days")
+    )
+    totals = summary(trades, by).join(
+        trades.groupBy(*by).agg(
+            F.sum("stake_amount").alias("volume"),
+            F.sum((F.col("stake_amount") * 2 + F.col("profit_abs")) * fee).alias("fees"),
+        ),
+        list(by),
+    )
+    return totals.join(ratios, list(by)).join(wallet_drawdown(d, by, start), list(by))
+
+
+def concentration(trades: DataFrame, by: Sequence[str], pnl: str, tie: Column, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """Share of the net result from the k best rows, and the rest without them.
+
+    The k best come from a per-task top-k aggregation, never a sorted group.
+    """
+    k = max(ks)
+    total = trades.groupBy(*by).agg(F.sum(pnl).alias("net"))
+    best = top_rows(trades, by, pnl, tie, k).groupBy(*by).agg(
+        *[F.sum(F.when(F.col("place") <= i, F.col(pnl))).alias(f"top{i}") for i in ks]
+    )
+    out = total.join(best, list(by))
+    shares = {f"share_top{i}": F.try_divide(F.col(f"top{i}"), F.col("net")) for i in ks}
+    rest = {f"net_ex_top{i}": F.col("net") - F.col(f"top{i}") for i in ks}
+    return out.withColumns({**shares, **rest})
+
+
+def top_rows(df: DataFrame, by: Sequence[str], value: str, tie: Column, k: int, salts: int = 64) -> DataFrame:
+    """k largest rows per group: a salted first cut keeps k per slice, then the final k."""
+    from pyspark.sql import Window
+
+    tied = df.withColumn("__tie", tie)
+    salted = tied.withColumn("__salt", F.pmod(F.xxhash64("__tie"), F.lit(salts)))
+    order = [F.col(value).desc(), F.col("__tie").asc()]
+    first = salted.withColumn("place", F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*order))).filter(
+        F.col("place") <= k
+    )
+    last = Window.partitionBy(*by).orderBy(*order)
+    return first.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k).drop("__salt", "__tie")
