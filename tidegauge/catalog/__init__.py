@@ -7,6 +7,7 @@ import importlib
 from tidegauge.catalog.base import REGISTRY, Query
 
 TOPICS = (
+    "flagship",
     "sources",
     "quality",
     "joins",

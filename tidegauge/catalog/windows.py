@@ -206,7 +206,7 @@ def _(v):
         least(8, row_number() OVER (PARTITION BY symbol, sg, g ORDER BY ts)) END AS persist FROM x""",
 )
 def _(v):
-    out = w.same_sign_run(v.settlements, BAR_SERIES, "rate", 8, "persist")
+    out = framed(v.settlements, BAR_SERIES, lambda d, b: d.withColumn("persist", w.sign_run(b, F.col("rate"), 8)), back=8)
     return out.select("symbol", ms("ts").alias("ts_ms"), F.col("persist").cast("long").alias("persist"))
 
 

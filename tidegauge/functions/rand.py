@@ -44,14 +44,17 @@ def poisson_weight(row: Column, rep: Column | int, seed: int) -> Column:
     return out.otherwise(len(POISSON))
 
 
-def sql_mixed(row: str, rep: str, seed: int) -> str:
-    """The same integer as SQL text; ``//`` free so any engine can run it."""
+def sql_draws(source: str, row: str, rep: str, seed: int, out: str, column: str = "u") -> str:
+    """The same draw as SQL text: a chain of named steps ending in table ``out``."""
     x = f"((({row}) % {M}) * {A} + (({rep}) * {B} + {seed * C}) % {M}) % {M}"
-    return f"mix_tail(CAST({x} AS BIGINT))"
+    return (
+        f"{out}_1 AS (SELECT *, CAST({x} AS BIGINT) AS mx FROM {source}), "
+        f"{out}_2 AS (SELECT *, (((mx * mx + 12345) % {M}) * {A} + mx) % {M} AS my FROM {out}_1), "
+        f"{out}_3 AS (SELECT *, (my * my + mx * {B}) % {M} AS mz FROM {out}_2), "
+        f"{out} AS (SELECT *, ((mz * {C} + my) % {M}) / {float(M)} AS {column} FROM {out}_3)"
+    )
 
 
-# DuckDB macro completing the mix from its first step
-SQL_MACRO = (
-    f"mix_y(x) AS ((((x * x + 12345) % {M}) * {A} + x) % {M})",
-    f"mix_tail(x) AS ((((mix_y(x) * mix_y(x) + x * {B}) % {M}) * {C} + mix_y(x)) % {M})",
-)
+def sql_poisson(u: str) -> str:
+    cases = " ".join(f"WHEN {u} < {p} THEN {k}" for k, p in enumerate(POISSON))
+    return f"CASE {cases} ELSE {len(POISSON)} END"

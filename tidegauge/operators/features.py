@@ -132,11 +132,11 @@ def funding_features(bars: DataFrame, settlements: DataFrame, s: Series, window:
                 "fund_z": w.zscore(b, x, window),
                 "fund_sign": F.signum(x),
                 "fund_abs_chg": F.abs(x - F.lag(x).over(b.w)),
+                "fund_persist": w.sign_run(b, x, cap),
             }
         )
 
-    per = framed(settlements, s, build, back=window)
-    per = w.same_sign_run(per, s, "rate", cap, "fund_persist")
+    per = framed(settlements, s, build, back=max(window, cap))
     cols = ["fund_rate", "fund_z", "fund_sign", "fund_abs_chg", "fund_persist"]
     return joins.asof(bars, per, s, cols)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import loss_ratio
 from tidegauge.operators import bars
-from tidegauge.plans.series import Series, running
+from tidegauge.plans.stage import materialise
+from tidegauge.plans.series import Series, running, running_equity
 
 
 def overlap_trace(trades: DataFrame, span: int) -> DataFrame:
@@ -87,10 +88,8 @@ def wallet_drawdown(days: DataFrame, by: Sequence[str], start: float, span: int
     The calendar holds one row per day, so a chunk is bounded by its span.
     """
     stamped = days.withColumn("ts", F.col("day").cast("timestamp"))
-    s = Series(tuple(by), "ts", (), span)
-    eq = running(stamped, s, {"eq": ("sum", "profit_abs")}).withColumn("eq", F.col("eq") + start)
-    peak = running(eq, s, {"peak": ("max", "eq")}).withColumn("peak", F.greatest("peak", F.lit(start)))
-    return peak.groupBy(*by).agg(F.min(F.col("eq") / F.col("peak") - 1).alias("max_dd"))
+    eq = running_equity(stamped, Series(tuple(by), "ts", (), span), "profit_abs", start)
+    return eq.groupBy(*by).agg(F.min(F.col("equity") / F.col("peak") - 1).alias("max_dd"))
 
 
 def ratio_drawdown(days: DataFrame, by: Sequence[str], span: int = 3650 * 86_400) -> DataFrame:
@@ -105,7 +104,7 @@ def ratio_drawdown(days: DataFrame, by: Sequence[str], span: int = 3650 * 86_400
 
 def window_metrics(trades: DataFrame, by: Sequence[str], start: float, fee: float = 0.001) -> DataFrame:
     """Ledger metrics of a window: daily Sharpe/Sortino, wallet drawdown, totals."""
-    d = daily(trades, by)
+    d = materialise(daily(trades, by), "daily")
     ratios = d.groupBy(*by).agg(
         *returns_stats("profit_ratio", 365, strict=True), F.count(F.lit(1)).alias("n_days")
     )

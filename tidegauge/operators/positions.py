@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.plans.series import Series, framed, running
+from tidegauge.plans.stage import materialise
 
 FEE, SLIP = 0.001, 0.0005  # fixed values: per-side fee and slippage
 
@@ -36,45 +37,53 @@ def track(df: DataFrame, s: Series, action: str = "action") -> DataFrame:
     Adds ``held_before``, ``held`` and the executed ``side`` (1, -1 or 0).
     """
     flip = F.when(F.col(action) == 1, 1).when(F.col(action) == 2, 0)
-    d = df.withColumn("__flip", flip)
-    d = running(d, s, {"held": ("last", "__flip")})
-    d = running(d, s, {"held_before": ("last", "__flip")}, inclusive=False)
+    d = running(
+        df.withColumn("__flip", flip), s, {"held": ("last", "__flip"), "held_before": ("last", "__flip", "before")}
+    )
     d = d.withColumns({"held": F.coalesce("held", F.lit(0)), "held_before": F.coalesce("held_before", F.lit(0))})
     return d.withColumn("side", F.col("held") - F.col("held_before")).drop("__flip")
 
 
-def ledger(tracked: DataFrame, s: Series, stake: float = 100.0, fee: float = FEE, slip: float = SLIP) -> DataFrame:
-    """Trades from tracked rows with compounding stake; open ones close on the last row.
+def round_trips(tracked: DataFrame, s: Series) -> DataFrame:
+    """One row per trade: buys and sells alternate, so a buy closes at the next leg.
 
-    One row per trade: times, prices, stake, gross, fee, slippage, net, forced.
+    A position still open closes on the key's last row (``forced``).
     """
-    counted = running(
-        tracked.withColumn("__open", F.when(F.col("side") == 1, 1)), s, {"trade": ("count", "__open")}
-    )
-    legs = counted.filter((F.col("side") != 0)).select(
-        *s.keys, "trade", F.col("side"), F.col(s.ts).alias("at"), F.col("close").alias("price")
-    )
-    last = counted.groupBy(*s.keys).agg(
-        F.max(F.struct(F.col(s.ts).alias("at"), F.col("close").alias("price"), F.col("trade"), F.col("held"))).alias("z")
-    )
-    forced = last.filter(F.col("z.held") == 1).select(
-        *s.keys, F.col("z.trade").alias("trade"), F.lit(-2).alias("side"), "z.at", "z.price"
+    legs = tracked.filter(F.col("side") != 0).select(*s.keys, s.ts, *s.ties, "side", "close")
+
+    def build(d, b):
+        return d.withColumns({"close_at": F.lead(s.ts).over(b.w), "close_price": F.lead("close").over(b.w)})
+
+    opens = framed(legs, s, build, ahead=1).filter(F.col("side") == 1)
+    last = tracked.groupBy(*s.keys).agg(
+        F.max(s.ts).alias("__end"), F.max_by("close", F.struct(s.ts, *s.ties)).alias("__px")
     )
-    buy, sell = F.col("side") == 1, F.col("side") < 0
-    trades = legs.unionByName(forced).groupBy(*s.keys, "trade").agg(
-        F.max(F.when(buy, F.col("at"))).alias("open_at"),
-        F.max(F.when(buy, F.col("price"))).alias("open_price"),
-        F.max(F.when(sell, F.col("at"))).alias("close_at"),
-        F.max(F.when(sell, F.col("price"))).alias("close_price"),
-        F.max((F.col("side") == -2)).alias("forced"),
+    return opens.join(last, list(s.keys)).select(
+        *s.keys,
+        F.col(s.ts).alias("open_at"),
+        F.col("close").alias("open_price"),
+        F.coalesce("close_at", "__end").alias("close_at"),
+        F.coalesce("close_price", "__px").alias("close_price"),
+        F.col("close_at").isNull().alias("forced"),
     )
+
+
+def ledger(tracked: DataFrame, s: Series, stake: float = 100.0, fee: float = FEE, slip: float = SLIP) -> DataFrame:
+    """Trades from tracked rows with compounding stake; open ones close on the last row.
+
+    One row per trade: number, times, prices, stake, gross, fee, slippage, net,
+    forced.  Tracked rows and trades feed several passes, so both are stored.
+    """
+    trades = materialise(round_trips(materialise(tracked, "tracked"), s), "trades")
     growth = (1 - fee) * (1 - fee) * (1 - slip) / (1 + slip) * F.col("close_price") / F.col("open_price")
-    trades = trades.withColumn("__g", F.ln(growth))
-    by_open = Series(s.keys, "open_at", ("trade",), s.span)
-    trades = running(trades, by_open, {"__before": ("sum", "__g")}, inclusive=False)
-    equity = F.lit(stake) * F.exp(F.coalesce("__before", F.lit(0.0)))
+    by_open = Series(s.keys, "open_at", (), s.span)
+    grown = running(
+        trades.withColumn("__g", F.ln(growth)),
+        by_open,
+        {"__before": ("sum", "__g", "before"), "trade": ("count", "__g")},
+    )
     amount = F.col("stake") * (1 - fee) / (F.col("open_price") * (1 + slip))
-    out = trades.withColumn("stake", equity).withColumn("amount", amount)
+    out = grown.withColumn("stake", F.lit(stake) * F.exp(F.coalesce("__before", F.lit(0.0)))).withColumn("amount", amount)
     back = F.col("amount") * F.col("close_price") * (1 - slip)
     return out.withColumns(
         {

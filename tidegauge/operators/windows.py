@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.plans.series import Blocks, Series, framed, running
+from tidegauge.plans.series import Blocks, Series, running, running_equity
 
 
 def whole(b: Blocks, x: Column, n: int, value: Column) -> Column:
@@ -139,27 +139,22 @@ def trailing_seconds(df: DataFrame, s: Series, seconds: int, sums: dict[str, str
     return out.filter(F.col("__piece") == home).drop("__piece")
 
 
-def same_sign_run(df: DataFrame, s: Series, x: str, cap: int, out: str) -> DataFrame:
-    """Length of the current run of equal non-zero signs, capped; zero resets to 0."""
+def sign_run(b: Blocks, x: Column, cap: int) -> Column:
+    """Length of the current run of equal non-zero signs, capped; zero gives 0.
 
-    def build(d: DataFrame, b: Blocks) -> DataFrame:
-        sign = F.signum(x)
-        # a run longer than the cap needs no more history than the cap itself
-        same = [sign == F.lag(sign, k).over(b.w) for k in range(1, cap)]
-        length = F.lit(1)
-        alive = F.lit(True)
-        for hit in same:
-            alive = alive & F.coalesce(hit, F.lit(False))
-            length = length + alive.cast("int")
-        return d.withColumn(out, F.when(F.col(x).isNull(), None).when(sign == 0, 0).otherwise(length))
-
-    return framed(df, s, build, back=cap)
+    A capped run needs no more history than the cap.
+    """
+    sign = F.signum(x)
+    length, alive = F.lit(1), F.lit(True)
+    for k in range(1, cap):
+        alive = alive & F.coalesce(sign == F.lag(sign, k).over(b.w), F.lit(False))
+        length = length + alive.cast("int")
+    return F.when(x.isNull(), None).when(sign == 0, 0).otherwise(length)
 
 
-def cumulative_drawdown(df: DataFrame, s: Series, pnl: str, start: float = 0.0) -> DataFrame:
+def cumulative_drawdown(df: DataFrame, s: Series, pnl: str) -> DataFrame:
     """Additive equity, running peak and drawdown of a P&L column."""
-    eq = running(df, s, {"equity": ("sum", pnl)}).withColumn("equity", F.col("equity") + F.lit(start))
-    return running(eq, s, {"peak": ("max", "equity")}).withColumn("drawdown", F.col("equity") - F.col("peak"))
+    return running_equity(df, s, pnl).withColumn("drawdown", F.col("equity") - F.col("peak"))
 
 
 def compounded(df: DataFrame, s: Series, ret: str, out: str = "equity") -> DataFrame:

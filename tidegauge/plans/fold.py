@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.session import checkpoint_root
 
@@ -51,15 +52,23 @@ def sliced_fold(
         return one.filter(F.col("__state").isNull()).drop("__state")
 
     root = f"{checkpoint_root(spark)}/fold-{uuid.uuid4().hex}"
-    state = df.select(*keyed, F.lit(None).cast("string").alias("__state")).limit(0)
+    fields = [f for f in df.schema.fields if f.name in keyed]
+    state = spark.createDataFrame([], T.StructType([*fields, T.StructField("__state", T.StringType())]))
     for i, cut in enumerate(range(lo, hi + 1)):
         begin, end = F.timestamp_seconds(F.lit(cut * span)), F.timestamp_seconds(F.lit((cut + 1) * span))
         part = df.filter((F.col(ts) >= begin) & (F.col(ts) < end))
-        final = cut == hi
-        part.groupBy(*keyed).cogroup(state.groupBy(*keyed)).applyInPandas(
-            lambda rows, st, final=final: run(rows, st, final), schema
-        ).write.parquet(f"{root}/{i}")
+        folded = _paired(run, cut == hi)
+        part.groupBy(*keyed).cogroup(state.groupBy(*keyed)).applyInPandas(folded, schema).write.parquet(f"{root}/{i}")
         written = spark.read.parquet(f"{root}/{i}")
         state = written.filter(F.col("__state").isNotNull()).select(*keyed, "__state")
     parts = spark.read.schema(schema).parquet(*[f"{root}/{i}" for i in range(hi - lo + 1)])
     return parts.filter(F.col("__state").isNull()).drop("__state")
+
+
+def _paired(run, final: bool):
+    """Two-argument form: a third parameter would be taken for the group key."""
+
+    def apply(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        return run(rows, state, final)
+
+    return apply

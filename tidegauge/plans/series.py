@@ -103,17 +103,19 @@ def _combine(kind: str, carry: Column, here: Column) -> Column:
 def running(
     df: DataFrame,
     s: Series,
-    parts: Mapping[str, tuple[str, str]],
+    parts: Mapping[str, tuple[str, ...]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running aggregates ``{out: (kind, column)}`` from the start of each key.
+    """Running aggregates ``{out: (kind, column[, "before"])}`` from the start of each key.
 
-    kind: sum, count, max, min, or last (latest non-null value).  With
-    ``inclusive=False`` the current row is left out.
+    kind: sum, count, max, min, or last (latest non-null value).  "before", or
+    ``inclusive=False`` for all, leaves the current row out.  All parts share
+    one summary and one local pass, so ask for them together.
     """
     chunked = df.withColumn(CHUNK, s.chunk())
+    wanted = list(dict.fromkeys((p[0], p[1]) for p in parts.values()))
     aggs = []
-    for i, (kind, col) in enumerate(parts.values()):
+    for i, (kind, col) in enumerate(wanted):
         if kind == "last":
             rank = F.when(F.col(col).isNotNull(), F.struct(*_sortable(s), F.col(col).alias("v")))
             aggs.append(F.max(rank)["v"].alias(f"__p{i}"))
@@ -128,16 +130,42 @@ def running(
             (F.last(f"__p{i}", True) if kind == "last" else (F.sum if kind == "count" else _PLAIN[kind])(f"__p{i}"))
             .over(prior)
             .alias(f"__q{i}")
-            for i, (kind, _) in enumerate(parts.values())
+            for i, (kind, _) in enumerate(wanted)
         ],
     )
     joined = _match(chunked, carried, (*s.keys, CHUNK))
-    frame = s.local().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     outs = {}
-    for i, (name, (kind, col)) in enumerate(parts.items()):
+    for name, part in parts.items():
+        kind, col = part[0], part[1]
+        upto = -1 if (not inclusive or len(part) > 2) else 0
+        frame = s.local().rowsBetween(Window.unboundedPreceding, upto)
         here = (F.last(col, True) if kind == "last" else _PLAIN[kind](col)).over(frame)
-        outs[name] = _combine(kind, F.col(f"__q{i}"), here)
-    return joined.withColumns(outs).drop(CHUNK, *[f"__q{i}" for i in range(len(parts))])
+        outs[name] = _combine(kind, F.col(f"__q{wanted.index((kind, col))}"), here)
+    return joined.withColumns(outs).drop(CHUNK, *[f"__q{i}" for i in range(len(wanted))])
+
+
+def running_equity(df: DataFrame, s: Series, pnl: str, start: float | None = None) -> DataFrame:
+    """Cumulative ``equity`` and its running ``peak`` in one chunked pass.
+
+    Without ``start`` the curve begins at its first value; with it the peak is
+    at least ``start``.
+    """
+    base = 0.0 if start is None else start
+    local = df.withColumn(CHUNK, s.chunk()).withColumn("__e", F.sum(F.coalesce(pnl, F.lit(0.0))).over(_upto(s)))
+    summary = local.groupBy(*s.keys, CHUNK).agg(F.sum(F.coalesce(pnl, F.lit(0.0))).alias("__s"), F.max("__e").alias("__m"))
+    prior = s.across().rowsBetween(Window.unboundedPreceding, -1)
+    lifted = summary.withColumn("__b", F.coalesce(F.sum("__s").over(prior), F.lit(0.0)))
+    carried = lifted.select(*s.keys, CHUNK, "__b", F.max(F.col("__b") + F.col("__m")).over(prior).alias("__t"))
+    joined = _match(local, carried, (*s.keys, CHUNK))
+    here = F.max("__e").over(_upto(s)) + F.col("__b")
+    peak = F.greatest(F.col("__t"), here, *([F.lit(0.0)] if start is not None else []))
+    return joined.withColumns({"equity": F.col("__b") + F.col("__e") + base, "peak": peak + base}).drop(
+        CHUNK, "__e", "__b", "__t"
+    )
+
+
+def _upto(s: Series) -> WindowSpec:
+    return s.local().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _sortable(s: Series) -> list[Column]:

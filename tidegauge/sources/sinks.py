@@ -25,13 +25,6 @@ def write_upsert(path: str, new: DataFrame, key: Sequence[str], fmt: str = "parq
     spark.read.format(fmt).load(stage).write.format(fmt).mode("overwrite").save(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back; cuts lineage and survives executor loss."""
-    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def write(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     w = df.write.format(fmt).mode(mode)
     if fmt == "csv":
