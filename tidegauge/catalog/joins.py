@@ -136,7 +136,7 @@ def _(v):
     f"""WITH {TRADES}, reg AS (SELECT CAST(o_orderdate AS DATE) AS day, CASE WHEN avg(o_totalprice) > 252000 THEN 'bull_high_vol'
           WHEN avg(o_totalprice) < 248000 THEN 'bear' ELSE 'sideways' END AS regime FROM orders GROUP BY 1)
       SELECT coalesce(regime, 'out_of_window') AS regime, split_part(coalesce(regime, 'out_of_window'), '_high', 1) AS bucket,
-        count(*) AS n, round(sum(profit_abs), 3) + 0.0 AS pnl FROM trades LEFT JOIN reg ON CAST(close_date AS DATE) = day GROUP BY 1, 2""",
+        count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS pnl FROM trades LEFT JOIN reg ON CAST(close_date AS DATE) = day GROUP BY 1, 2""",
 )
 def _(v):
     from tidegauge.functions.scalar import collapse_regime
@@ -148,7 +148,7 @@ def _(v):
     t = v.trades.select(F.to_date("close_date").alias("day"), "profit_abs")
     out = joins.lookup(t, reg, ["day"], {"regime": "out_of_window"})
     return out.groupBy("regime", collapse_regime(F.col("regime")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 3).alias("pnl")
+        F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 4).alias("pnl")
     )
 
 

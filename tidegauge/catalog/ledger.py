@@ -18,8 +18,8 @@ START = 1e7
 @query(
     "trade_summary",
     "D7 D10 I3",
-    f"""WITH {TRADES} SELECT pair, count(*) AS n, round(sum(profit_abs), 3) + 0.0 AS net, round(sum(profit_abs) FILTER (profit_abs > 0), 3) + 0.0 AS gross_win,
-      round(-sum(profit_abs) FILTER (profit_abs < 0), 3) + 0.0 AS gross_loss, round(avg(profit_ratio), 7) + 0.0 AS mean_ratio,
+    f"""WITH {TRADES} SELECT pair, count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS net, round(sum(profit_abs) FILTER (profit_abs > 0), 4) + 0.0 AS gross_win,
+      round(-sum(profit_abs) FILTER (profit_abs < 0), 4) + 0.0 AS gross_loss, round(avg(profit_ratio), 7) + 0.0 AS mean_ratio,
       round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
       round(sum(profit_abs) FILTER (profit_abs > 0) / -sum(profit_abs) FILTER (profit_abs < 0), 6) + 0.0 AS profit_factor,
       max(profit_abs) AS largest_win, min(profit_abs) AS largest_loss FROM trades GROUP BY 1""",
@@ -28,7 +28,7 @@ def _(v):
     out = L.summary(v.trades, ["pair"])
     return out.withColumns(
         {
-            **{c: r(c, 3) for c in ("net", "gross_win", "gross_loss")},
+            **{c: r(c, 4) for c in ("net", "gross_win", "gross_loss")},
             "mean_ratio": r("mean_ratio", 7),
             "win_rate": r("win_rate"),
             "profit_factor": r("profit_factor"),
@@ -69,13 +69,13 @@ def _(v):
       m AS (SELECT pair, min(dd) AS max_dd FROM k GROUP BY 1),
       s AS (SELECT pair, count(*) AS n_days, avg(pr) / stddev_samp(pr) * sqrt(365) AS sharpe FROM days GROUP BY 1),
       t AS (SELECT pair, count(*) AS n, sum(profit_abs) AS net, sum(stake_amount) AS volume, sum((stake_amount * 2 + profit_abs) * 0.001) AS fees FROM trades GROUP BY 1)
-      SELECT pair, n, n_days, round(net, 3) + 0.0 AS net, round(volume, 1) + 0.0 AS volume, round(fees, 3) + 0.0 AS fees, round(sharpe, 6) + 0.0 AS sharpe, round(max_dd, 6) + 0.0 AS max_dd
+      SELECT pair, n, n_days, round(net, 4) + 0.0 AS net, round(volume, 1) + 0.0 AS volume, round(fees, 3) + 0.0 AS fees, round(sharpe, 6) + 0.0 AS sharpe, round(max_dd, 6) + 0.0 AS max_dd
       FROM t JOIN s USING (pair) JOIN m USING (pair)""",
 )
 def _(v):
     out = L.window_metrics(v.trades, ["pair"], START)
     return out.select(
-        "pair", "n", "n_days", r("net", 3).alias("net"), r("volume", 1).alias("volume"), r("fees", 3).alias("fees"),
+        "pair", "n", "n_days", r("net", 4).alias("net"), r("volume", 1).alias("volume"), r("fees", 3).alias("fees"),
         r("sharpe").alias("sharpe"), r("max_dd").alias("max_dd"),
     )
 
@@ -110,13 +110,13 @@ def _(v):
 @query(
     "regime_breakdown_rollup",
     "D9 C12",
-    f"""WITH {TRADES} SELECT pair, coalesce(status, 'all') AS bucket, count(*) AS n, round(sum(profit_abs), 3) + 0.0 AS net,
+    f"""WITH {TRADES} SELECT pair, coalesce(status, 'all') AS bucket, count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS net,
       round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate FROM trades GROUP BY GROUPING SETS ((pair, status), (pair))""",
 )
 def _(v):
     # one pass per pair and status, the pair totals come from those few rows
     base = v.trades.rollup("pair", "status").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 3).alias("net"), r(L.win_rate("profit_abs")).alias("win_rate")
+        F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 4).alias("net"), r(L.win_rate("profit_abs")).alias("win_rate")
     )
     return base.filter(F.col("pair").isNotNull()).select("pair", F.coalesce("status", F.lit("all")).alias("bucket"), "n", "net", "win_rate")
 
@@ -124,12 +124,12 @@ def _(v):
 @query(
     "scalar_totals",
     "D11 D12",
-    f"""WITH {TRADES} SELECT round(coalesce(sum(profit_abs), 0), 3) + 0.0 AS realised, count(*) AS n, count(DISTINCT pair) AS pairs,
+    f"""WITH {TRADES} SELECT round(coalesce(sum(profit_abs), 0), 4) + 0.0 AS realised, count(*) AS n, count(DISTINCT pair) AS pairs,
       count(DISTINCT CAST(close_date AS DATE)) AS days FROM trades WHERE status = 'F'""",
 )
 def _(v):
     return v.trades.filter("status = 'F'").agg(
-        r(F.coalesce(F.sum("profit_abs"), F.lit(0.0)), 3).alias("realised"), F.count(F.lit(1)).alias("n"),
+        r(F.coalesce(F.sum("profit_abs"), F.lit(0.0)), 4).alias("realised"), F.count(F.lit(1)).alias("n"),
         F.count_distinct("pair").alias("pairs"), F.count_distinct(F.to_date("close_date")).alias("days"),
     )
 
@@ -150,14 +150,14 @@ def _(v):
     "D18 B20",
     f"""WITH {TRADES}, h AS (SELECT *, date_diff('day', open_date, close_date) AS days FROM trades),
       b AS (SELECT *, CASE WHEN days > -1 AND days <= 30 THEN 'month' WHEN days > 30 AND days <= 365 THEN 'year' WHEN days > 365 AND days <= 1500 THEN 'long' WHEN days > 1500 THEN 'older' END AS bucket FROM h)
-      SELECT bucket, count(*) AS n, round(sum(profit_abs), 3) + 0.0 AS net, round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
+      SELECT bucket, count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS net, round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
         round(corr(days, profit_ratio), 6) + 0.0 AS corr_hold_ret FROM b GROUP BY 1""",
 )
 def _(v):
     d = F.datediff("close_date", "open_date")
     b = bands(d, [-1, 30, 365, 1500, 10**9], ["month", "year", "long", "older"])
     return v.trades.withColumns({"bucket": b, "days": d}).groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 3).alias("net"), r(L.win_rate("profit_abs")).alias("win_rate"),
+        F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 4).alias("net"), r(L.win_rate("profit_abs")).alias("win_rate"),
         r(F.corr("days", "profit_ratio")).alias("corr_hold_ret"),
     )
 
@@ -179,14 +179,14 @@ def _(v):
     "D23 F4",
     f"""WITH {TRADES}, k AS (SELECT pair, profit_abs, row_number() OVER (PARTITION BY pair ORDER BY profit_abs DESC) AS k FROM trades),
       s AS (SELECT pair, sum(profit_abs) AS net, sum(profit_abs) FILTER (k <= 1) AS t1, sum(profit_abs) FILTER (k <= 3) AS t3, sum(profit_abs) FILTER (k <= 5) AS t5 FROM k GROUP BY 1)
-      SELECT pair, round(net, 3) + 0.0 AS net, round(t1 / net, 6) + 0.0 AS share_top1, round(t3 / net, 6) + 0.0 AS share_top3, round(t5 / net, 6) + 0.0 AS share_top5,
-        round(net - t5, 3) + 0.0 AS net_ex_top5 FROM s""",
+      SELECT pair, round(net, 4) + 0.0 AS net, round(t1 / net, 6) + 0.0 AS share_top1, round(t3 / net, 6) + 0.0 AS share_top3, round(t5 / net, 6) + 0.0 AS share_top5,
+        round(net - t5, 4) + 0.0 AS net_ex_top5 FROM s""",
 )
 def _(v):
     tie = F.struct("order_id", "line", "part_id", "supp_id")
     out = L.concentration(v.trades, ["pair"], "profit_abs", tie)
     return out.select(
-        "pair", r("net", 3).alias("net"), *[r(f"share_top{k}").alias(f"share_top{k}") for k in (1, 3, 5)], r("net_ex_top5", 3).alias("net_ex_top5")
+        "pair", r("net", 4).alias("net"), *[r(f"share_top{k}").alias(f"share_top{k}") for k in (1, 3, 5)], r("net_ex_top5", 4).alias("net_ex_top5")
     )
 
 

@@ -91,7 +91,7 @@ def _(v):
 @query(
     "scan_nested_backtest_json",
     "A8 H9",
-    f"WITH {TRADES} SELECT pair, count(*) AS n, round(sum(profit_abs), 3) + 0.0 AS net FROM trades GROUP BY 1",
+    f"WITH {TRADES} SELECT pair, count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS net FROM trades GROUP BY 1",
 )
 def _(v):
     path = _folder(v, "results")
@@ -102,7 +102,7 @@ def _(v):
     docs = t.groupBy("order_id").agg(F.collect_list(F.struct(*[c for c in t.columns if c != "order_id"])).alias("trades"))
     docs.select(F.struct(F.struct("trades").alias("X")).alias("strategy")).write.json(path)
     out = files.backtest_trades(v.spark, path, "X", multi_line=False)
-    return out.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 3).alias("net"))
+    return out.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), r(F.sum("profit_abs"), 4).alias("net"))
 
 
 @query(

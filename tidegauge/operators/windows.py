@@ -169,3 +169,17 @@ def compounded(df: DataFrame, s: Series, ret: str, out: str = "equity") -> DataF
     value = F.when(F.col("__any") == 1, F.lit(0.0)).otherwise(F.exp(F.coalesce("__sum", F.lit(0.0))))
     return r.withColumn(out, value).drop("__log", "__dead", "__sum", "__any")
 
+
+
+def run_lengths(df: DataFrame, s: Series, col: str) -> DataFrame:
+    """One row per run of equal values: key, value, run number, rows.
+
+    Run numbers are a running count of value changes; counting is map-side.
+    """
+    from tidegauge.plans.series import framed
+
+    marked = framed(
+        df, s, lambda d, b: d.withColumn("__new", F.when(~F.col(col).eqNullSafe(F.lag(col).over(b.w)), 1)), back=1
+    )
+    numbered = running(marked, s, {"run": ("count", "__new")})
+    return numbered.groupBy(*s.keys, col, "run").agg(F.count(F.lit(1)).alias("len"))

@@ -69,6 +69,8 @@ def _match(left: DataFrame, right: DataFrame, cols: tuple[str, ...]) -> DataFram
 
 def number_rows(df: DataFrame, s: Series, out: str = POS, total: str | None = None) -> DataFrame:
     """Exact 0-based position of every row within its key."""
+    if out in df.columns:
+        raise ValueError(f"column {out} is taken; rename it before numbering rows")
     chunked = df.withColumn(CHUNK, s.chunk())
     counts = chunked.groupBy(*s.keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(s.across().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
