@@ -7,7 +7,6 @@ from tidegauge.operators import bars, joins, windows as w
 from tidegauge.plans.series import framed
 from tidegauge.sources.views import BAR_SERIES
 
-C = F.col("close")
 WSQL = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
 
 
@@ -28,7 +27,7 @@ def _rd(**exprs):
 )
 def _(v):
     ks = (1, 3, 12, 72)
-    out = framed(v.bars, BAR_SERIES, lambda d, b: d.withColumns({f"ret_{k}": w.change(b, C, k) for k in ks}), back=72)
+    out = framed(v.bars, BAR_SERIES, lambda d, b: d.withColumns({f"ret_{k}": w.change(b, F.col("close"), k) for k in ks}), back=72)
     return _out(out, *[f"ret_{k}" for k in ks])
 
 
@@ -39,7 +38,7 @@ def _(v):
       {_rd(chg_12='CASE WHEN v > 0 AND lag(v, 12) OVER w > 0 THEN v / lag(v, 12) OVER w - 1 END')} FROM x {WSQL}""",
 )
 def _(v):
-    d = v.bars.withColumn("v", C - 110)
+    d = v.bars.withColumn("v", F.col("close") - 110)
     return _out(
         framed(d, BAR_SERIES, lambda d, b: d.withColumn("chg_12", w.positive_change(b, F.col("v"), 12)), back=12), "chg_12"
     )
@@ -79,11 +78,11 @@ def _frames(*ns):
 )
 def _(v):
     def build(d, b):
-        d = d.withColumns({"s50": w.sma(b, C, 50), "s200": w.sma(b, C, 200)})
+        d = d.withColumns({"s50": w.sma(b, F.col("close"), 50), "s200": w.sma(b, F.col("close"), 200)})
         return d.withColumns(
             {
-                "sma50_ratio": w.ratio(C, F.col("s50")) - 1,
-                "sma200_ratio": w.ratio(C, F.col("s200")) - 1,
+                "sma50_ratio": w.ratio(F.col("close"), F.col("s50")) - 1,
+                "sma200_ratio": w.ratio(F.col("close"), F.col("s200")) - 1,
                 "sma50_slope": w.change(b, F.col("s50"), 12),
                 "sma_trend": (F.col("s50") > F.col("s200")).cast("int"),
             }
@@ -105,9 +104,9 @@ def _(v):
 )
 def _(v):
     def build(d, b):
-        d = d.withColumn("ret", w.change(b, C, 1))
+        d = d.withColumn("ret", w.change(b, F.col("close"), 1))
         return d.withColumns(
-            {"std_ratio": w.rolling_std(b, C, 24) / C, "rv_12": w.realised_vol(b, F.col("ret"), 12, 24 * 365)}
+            {"std_ratio": w.rolling_std(b, F.col("close"), 24) / F.col("close"), "rv_12": w.realised_vol(b, F.col("ret"), 12, 24 * 365)}
         )
 
     return _out(framed(v.bars, BAR_SERIES, build, back=24), "std_ratio", "rv_12")
@@ -125,7 +124,7 @@ def _(v):
 )
 def _(v):
     def build(d, b):
-        return d.withColumns({"z_48": w.zscore(b, C, 48), "range_48": w.range_position(b, C, 48)})
+        return d.withColumns({"z_48": w.zscore(b, F.col("close"), 48), "range_48": w.range_position(b, F.col("close"), 48)})
 
     return _out(framed(v.bars, BAR_SERIES, build, back=48), "z_48", "range_48")
 
@@ -141,7 +140,7 @@ def _(v):
 )
 def _(v):
     def build(d, b):
-        return d.withColumns({"pct_le": w.share_at_or_below(b, C, 48), "pct_avg": w.average_rank_share(b, C, 48)})
+        return d.withColumns({"pct_le": w.share_at_or_below(b, F.col("close"), 48), "pct_avg": w.average_rank_share(b, F.col("close"), 48)})
 
     return _out(framed(v.bars, BAR_SERIES, build, back=48), "pct_le", "pct_avg")
 
@@ -179,7 +178,7 @@ def _(v):
       close_pos='(close - low) / nullif(high - low, 0)', range_pct='nullif(high - low, 0) / close')} FROM bars""",
 )
 def _(v):
-    cols = w.candle_shape(F.col("open"), F.col("high"), F.col("low"), C)
+    cols = w.candle_shape(F.col("open"), F.col("high"), F.col("low"), F.col("close"))
     return _out(v.bars.withColumns(cols), *cols)
 
 
@@ -191,7 +190,7 @@ def _(v):
 )
 def _(v):
     def build(d, b):
-        dc, dv = C - F.lag("close").over(b.w), F.col("volume") - F.lag("volume").over(b.w)
+        dc, dv = F.col("close") - F.lag("close").over(b.w), F.col("volume") - F.lag("volume").over(b.w)
         return d.withColumns({"abs_chg": F.abs(dc), "sgn": F.signum(dc), "div": w.sign_divergence(dc, dv)})
 
     return _out(framed(v.bars, BAR_SERIES, build, back=1), "abs_chg", "sgn", "div")
@@ -246,7 +245,7 @@ def _(v):
 )
 def _(v):
     def build(d, b):
-        up, down = w.excursions(b, C, 24)
+        up, down = w.excursions(b, F.col("close"), 24)
         return d.withColumns({"mfe": up, "mae": down})
 
     return _out(framed(v.bars, BAR_SERIES, build, ahead=24), "mfe", "mae")
@@ -266,7 +265,7 @@ def _(v):
 
     def build(d, b):
         up, dn = w.donchian(b, F.col("high"), F.col("low"), 24)
-        return d.withColumn("flip", F.when(C >= up, 1).when(C <= dn, 0))
+        return d.withColumn("flip", F.when(F.col("close") >= up, 1).when(F.col("close") <= dn, 0))
 
     out = hold_state(framed(v.bars, BAR_SERIES, build, back=24), BAR_SERIES, "flip", "state")
     return out.select("symbol", ms("ts").alias("ts_ms"), "state")
@@ -282,7 +281,7 @@ def _(v):
 )
 def _(v):
     def build(d, b):
-        d = d.withColumn("ret", w.change(b, C, 1))
+        d = d.withColumn("ret", w.change(b, F.col("close"), 1))
         d = d.withColumn("wgt", F.when(F.col("ret").isNotNull(), w.vol_target_weight(w.realised_vol(b, F.col("ret"), 24, 24 * 365), 12.0)))
         full = F.count("ret").over(b.rows(24)) == 24
         d = d.withColumn("wgt", F.when(full, F.col("wgt")))
@@ -358,7 +357,7 @@ def _(v):
 )
 def _(v):
     d = framed(
-        v.bars, BAR_SERIES, lambda d, b: d.withColumn("ret", F.coalesce(w.change(b, C, 1), F.lit(0.0)) * 0.1), back=1
+        v.bars, BAR_SERIES, lambda d, b: d.withColumn("ret", F.coalesce(w.change(b, F.col("close"), 1), F.lit(0.0)) * 0.1), back=1
     )
     return _out(w.compounded(d, BAR_SERIES, "ret"), "equity")
 
@@ -371,7 +370,7 @@ def _(v):
       SELECT symbol, epoch_ms(ts) AS ts_ms, {_rd(equity='equity', peak='peak', drawdown='equity - peak')} FROM y""",
 )
 def _(v):
-    d = v.bars.withColumn("pnl", C - F.col("open"))
+    d = v.bars.withColumn("pnl", F.col("close") - F.col("open"))
     return _out(w.cumulative_drawdown(d, BAR_SERIES, "pnl"), "equity", "peak", "drawdown")
 
 

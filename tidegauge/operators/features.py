@@ -11,7 +11,6 @@ from tidegauge.operators import bars as B
 from tidegauge.operators import joins, windows as w
 from tidegauge.plans.series import Blocks, Series, block_size, ewm, framed, memory, rma
 
-C = F.col("close")
 
 # fixed values: feature names per block, in output order
 RETURNS = (1, 3, 12, 36, 72)
@@ -37,7 +36,7 @@ def require_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
 
 def labels(df: DataFrame, s: Series, horizon: int, cost: float) -> DataFrame:
     """Forward return l2, its sign l0 and cost-beating flag l1; null on the tail."""
-    out = framed(df, s, lambda d, b: d.withColumn("l2", w.forward_return(b, C, horizon)), ahead=horizon)
+    out = framed(df, s, lambda d, b: d.withColumn("l2", w.forward_return(b, F.col("close"), horizon)), ahead=horizon)
     return out.withColumns({"l0": (F.col("l2") > 0).cast("int"), "l1": (F.col("l2") > cost).cast("int")})
 
 
@@ -52,28 +51,28 @@ def bar_features(
 
     def build(d: DataFrame, b: Blocks) -> DataFrame:
         prev = F.lag("close").over(b.w)
-        diff = C - prev
+        diff = F.col("close") - prev
         up, down = h - F.lag("high").over(b.w), F.lag("low").over(b.w) - low
         d = d.withColumns(
             {
-                **{f"ret_{k}": w.change(b, C, k) for k in RETURNS},
-                "__s50": w.sma(b, C, 50),
-                "__s200": w.sma(b, C, 200),
-                "__sd24": w.rolling_std(b, C, 24),
+                **{f"ret_{k}": w.change(b, F.col("close"), k) for k in RETURNS},
+                "__s50": w.sma(b, F.col("close"), 50),
+                "__s200": w.sma(b, F.col("close"), 200),
+                "__sd24": w.rolling_std(b, F.col("close"), 24),
                 "__v24": w.sma(b, v, 24),
                 "__v168": w.sma(b, v, 168),
                 "vol_change": w.change(b, v, 1),
                 "__gain": F.greatest(diff, F.lit(0.0)) + F.lit(0.0) * diff,
                 "__loss": F.greatest(-diff, F.lit(0.0)) + F.lit(0.0) * diff,
-                "__tr": w.true_range(b, h, low, C),
+                "__tr": w.true_range(b, h, low, F.col("close")),
                 "__pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
                 "__mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
             }
         )
         d = d.withColumns(
             {
-                "__e12": ewm(b, C, EMA_FAST),
-                "__e26": ewm(b, C, EMA_SLOW),
+                "__e12": ewm(b, F.col("close"), EMA_FAST),
+                "__e26": ewm(b, F.col("close"), EMA_SLOW),
                 "__ag": ewm(b, F.col("__gain"), WILDER, first=1, min_rows=14),
                 "__al": ewm(b, F.col("__loss"), WILDER, first=1, min_rows=14),
                 "__atr": ewm(b, F.col("__tr"), WILDER, first=0, min_rows=14),
@@ -95,19 +94,19 @@ def bar_features(
         )
         return d.withColumns(
             {
-                "sma50_ratio": w.ratio(C, F.col("__s50")) - 1,
-                "sma200_ratio": w.ratio(C, F.col("__s200")) - 1,
-                "ema12_ratio": w.ratio(C, F.col("__e12")) - 1,
-                "ema26_ratio": w.ratio(C, F.col("__e26")) - 1,
+                "sma50_ratio": w.ratio(F.col("close"), F.col("__s50")) - 1,
+                "sma200_ratio": w.ratio(F.col("close"), F.col("__s200")) - 1,
+                "ema12_ratio": w.ratio(F.col("close"), F.col("__e12")) - 1,
+                "ema26_ratio": w.ratio(F.col("close"), F.col("__e26")) - 1,
                 "sma_trend": (F.col("__s50") > F.col("__s200")).cast("double"),
                 "vol_z": w.ratio(v, F.col("__v24")) - 1,
                 "vol_ratio_168": w.ratio(v, F.col("__v168")) - 1,
                 "rsi14": rsi_value(F.col("__ag"), F.col("__al")),
                 "roc_36": F.col("ret_36"),
-                "ema_diff_12_26": w.ratio(F.col("__e12") - F.col("__e26"), C),
-                "atr14_ratio": w.ratio(F.col("__atr"), C),
-                "roll_std_24_ratio": w.ratio(F.col("__sd24"), C),
-                **w.candle_shape(o, h, low, C),
+                "ema_diff_12_26": w.ratio(F.col("__e12") - F.col("__e26"), F.col("close")),
+                "atr14_ratio": w.ratio(F.col("__atr"), F.col("close")),
+                "roll_std_24_ratio": w.ratio(F.col("__sd24"), F.col("close")),
+                **w.candle_shape(o, h, low, F.col("close")),
             }
         )
 
@@ -150,7 +149,7 @@ def open_interest_features(bars: DataFrame, snapshots: DataFrame, s: Series, win
         return d.withColumns(
             {
                 "oi_z": w.zscore(b, oi, window),
-                "oi_price_div": w.sign_divergence(w.positive_change(b, C, 12), F.col("oi_chg_12")),
+                "oi_price_div": w.sign_divergence(w.positive_change(b, F.col("close"), 12), F.col("oi_chg_12")),
                 "oi_range": w.range_position(b, oi, window),
             }
         )
@@ -166,7 +165,7 @@ def cross_asset(bars: DataFrame, s: Series, base: str, universe: Sequence[str])
     ret = framed(
         bars.select("symbol", "ts", "close"),
         s,
-        lambda d, b: d.withColumns({"r1": w.positive_change(b, C, 1), "r12": w.positive_change(b, C, 12)}),
+        lambda d, b: d.withColumns({"r1": w.positive_change(b, F.col("close"), 1), "r12": w.positive_change(b, F.col("close"), 12)}),
         back=12,
     )
     inside = F.col("symbol").isin(list(universe))
@@ -198,8 +197,8 @@ def ratio_change(bars: DataFrame, s: Series, top: str, bottom: str, k: int) -> D
         bars.filter(F.col("symbol").isin(top, bottom))
         .groupBy("ts")
         .agg(
-            F.max(F.when(F.col("symbol") == top, C)).alias("a"),
-            F.max(F.when(F.col("symbol") == bottom, C)).alias("b"),
+            F.max(F.when(F.col("symbol") == top, F.col("close"))).alias("a"),
+            F.max(F.when(F.col("symbol") == bottom, F.col("close"))).alias("b"),
         )
         .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
         .select(F.lit(f"{top}/{bottom}").alias("symbol"), "ts", (F.col("a") / F.col("b")).alias("q"))
@@ -219,7 +218,7 @@ def mean_pairwise_corr(bars: DataFrame, s: Series, universe: Sequence[str], step
     wide = (
         bars.filter(F.col("symbol").isin(names))
         .groupBy("ts")
-        .agg(*[F.max(F.when(F.col("symbol") == a, C)).alias(f"c{i}") for i, a in enumerate(names)])
+        .agg(*[F.max(F.when(F.col("symbol") == a, F.col("close"))).alias(f"c{i}") for i, a in enumerate(names)])
         .withColumn("panel", F.lit("all"))
     )
     grid = B.spine(wide, step, ("panel",)).join(wide, ["panel", "ts"], "left")

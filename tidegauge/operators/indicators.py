@@ -13,7 +13,6 @@ from tidegauge.operators import windows as w
 from tidegauge.operators.features import rsi_value
 from tidegauge.plans.series import POS, Blocks, Series, block_size, ewm, framed, memory, number_rows, rma
 
-C, H, L = F.col("close"), F.col("high"), F.col("low")
 
 
 def _run(df: DataFrame, s: Series, build, decays: list[float], extra: int = 0) -> DataFrame:
@@ -40,7 +39,7 @@ def _averages(b: Blocks, seed: str, period: int, first: int, *xs: Column) -> lis
 
 def rsi(df: DataFrame, s: Series, period: int = 14, seed: str = "ewm") -> DataFrame:
     def build(d: DataFrame, b: Blocks) -> DataFrame:
-        diff = C - F.lag("close").over(b.w)
+        diff = F.col("close") - F.lag("close").over(b.w)
         d = d.withColumns(
             {"__g": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))), "__l": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0)))}
         )
@@ -53,19 +52,19 @@ def rsi(df: DataFrame, s: Series, period: int = 14, seed: str = "ewm") -> DataFr
 
 def atr(df: DataFrame, s: Series, period: int = 14) -> DataFrame:
     def build(d: DataFrame, b: Blocks) -> DataFrame:
-        d = d.withColumn("__tr", w.true_range(b, H, L, C))
+        d = d.withColumn("__tr", w.true_range(b, F.col("high"), F.col("low"), F.col("close")))
         d = d.withColumn("atr", ewm(b, F.col("__tr"), 1 - 1 / period, min_rows=period))
-        return d.withColumn("atr_ratio", w.ratio(F.col("atr"), C)).drop("__tr")
+        return d.withColumn("atr_ratio", w.ratio(F.col("atr"), F.col("close"))).drop("__tr")
 
     return _run(df, s, build, [1 - 1 / period])
 
 
 def directional(b: Blocks, d: DataFrame) -> DataFrame:
     """True range and directional movement columns."""
-    up, down = H - F.lag("high").over(b.w), F.lag("low").over(b.w) - L
+    up, down = F.col("high") - F.lag("high").over(b.w), F.lag("low").over(b.w) - F.col("low")
     return d.withColumns(
         {
-            "__tr": w.true_range(b, H, L, C),
+            "__tr": w.true_range(b, F.col("high"), F.col("low"), F.col("close")),
             "__pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
             "__mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
         }

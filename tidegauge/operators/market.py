@@ -12,7 +12,6 @@ from tidegauge.operators import windows as w
 from tidegauge.operators.features import rsi_value
 from tidegauge.plans.series import POS, Series, block_size, framed, memory, number_rows, rma
 
-C = F.col("close")
 
 
 def scan(bars: DataFrame, s: Series, period: int = 14) -> DataFrame:
@@ -26,15 +25,15 @@ def scan(bars: DataFrame, s: Series, period: int = 14) -> DataFrame:
     tail = numbered.filter(F.col(POS) >= F.col("__total") - back - 1)
 
     def build(d, b):
-        diff = C - F.lag("close").over(b.w)
+        diff = F.col("close") - F.lag("close").over(b.w)
         d = d.withColumns(
             {
                 "__g": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))),
                 "__l": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))),
-                "change_1": w.change(b, C, 1),
-                "change_12": w.change(b, C, 12),
-                "__fast": w.sma(b, C, 50),
-                "__slow": w.sma(b, C, 200),
+                "change_1": w.change(b, F.col("close"), 1),
+                "change_12": w.change(b, F.col("close"), 12),
+                "__fast": w.sma(b, F.col("close"), 50),
+                "__slow": w.sma(b, F.col("close"), 200),
             }
         )
         return d.withColumns({"__ag": rma(b, F.col("__g"), period, 1), "__al": rma(b, F.col("__l"), period, 1)})

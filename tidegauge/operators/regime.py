@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators import windows as w
-from tidegauge.operators.indicators import C, with_adx
+from tidegauge.operators.indicators import with_adx
 from tidegauge.plans.series import Series, block_size, framed, memory
 
 
@@ -21,8 +21,8 @@ def market_regime(
         d = with_adx(d, b, period, "ewm")
         return d.withColumns(
             {
-                "__f": w.sma(b, C, fast),
-                "__s": w.sma(b, C, slow),
+                "__f": w.sma(b, F.col("close"), fast),
+                "__s": w.sma(b, F.col("close"), slow),
                 "vol_rank": w.average_rank_share(b, F.col("atr"), lookback),
             }
         )
