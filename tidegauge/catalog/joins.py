@@ -8,7 +8,7 @@ from tidegauge.plans.series import Series
 from tidegauge.sources.views import BAR_SERIES, TICK_SERIES
 
 WSQL = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
-TS = Series(("symbol",), "ts", (), span=86_400)
+TS = Series(("symbol",), "ts", (), span=21_600)
 
 
 @query(

@@ -17,7 +17,7 @@ START = 1e7
 
 @query(
     "trade_summary",
-    "D7 D10 I3",
+    "D7 I3",
     f"""WITH {TRADES} SELECT pair, count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS net, round(sum(profit_abs) FILTER (profit_abs > 0), 4) + 0.0 AS gross_win,
       round(-sum(profit_abs) FILTER (profit_abs < 0), 4) + 0.0 AS gross_loss, round(avg(profit_ratio), 7) + 0.0 AS mean_ratio,
       round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
@@ -269,3 +269,25 @@ def _(v):
 )
 def _(v):
     return v.trades.select("profit_abs").orderBy(F.col("profit_abs").desc()).limit(10)
+
+
+@query(
+    "performance_report",
+    "D10 D1 E18",
+    f"""WITH {SPINE}, e AS (SELECT pair, day, {START} + sum(pa) OVER w AS eq FROM days WINDOW w AS (PARTITION BY pair ORDER BY day)),
+      k AS (SELECT pair, eq, eq / greatest(max(eq) OVER (PARTITION BY pair ORDER BY day), {START}) - 1 AS dd, day FROM e),
+      m AS (SELECT pair, min(dd) AS max_dd, arg_max(eq, day) AS last_equity FROM k GROUP BY 1)
+      SELECT pair, count(*) FILTER (profit_abs > 0) AS wins, count(*) FILTER (profit_abs < 0) AS losses, round(avg(profit_abs) FILTER (profit_abs > 0), 5) + 0.0 AS avg_win,
+        round(avg(profit_abs) FILTER (profit_abs < 0), 5) + 0.0 AS avg_loss, round(max(max_dd), 6) + 0.0 AS max_dd, round(max(last_equity), 4) + 0.0 AS last_equity FROM trades JOIN m USING (pair) GROUP BY 1""",
+)
+def _(v):
+    from tidegauge.plans.stage import materialise
+
+    t = v.trades.select("pair", "close_date", "profit_abs", "profit_ratio")
+    x = F.col("profit_abs")
+    kpi = t.groupBy("pair").agg(
+        F.count_if(x > 0).alias("wins"), F.count_if(x < 0).alias("losses"), r(F.avg(F.when(x > 0, x)), 5).alias("avg_win"),
+        r(F.avg(F.when(x < 0, x)), 5).alias("avg_loss"), r(F.sum(x) + START, 4).alias("last_equity"),
+    )
+    days = materialise(L.daily(t, ["pair"]), "days")
+    return kpi.join(rounded(L.wallet_drawdown(days, ["pair"], START), "max_dd"), "pair")

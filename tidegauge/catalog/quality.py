@@ -196,7 +196,7 @@ def _(v):
 
 @query(
     "open_positions_marked",
-    "C13 D38",
+    "C13",
     f"""WITH {TICKS}, l AS (SELECT symbol, arg_max(price, ts) AS last_price FROM ticks WHERE symbol <> 'S5' GROUP BY 1),
       p AS (SELECT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS symbol, o_orderkey AS id, o_totalprice / 1000 AS open_rate, 2.0 AS amount FROM orders WHERE o_orderstatus = 'O')
       SELECT symbol, count(*) AS n, round(sum((coalesce(last_price, open_rate) - open_rate) * amount), 4) + 0.0 AS unrealised,
@@ -213,3 +213,24 @@ def _(v):
     return out.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), r(F.sum("unrealised"), 4).alias("unrealised"), r(F.sum(F.col("open_rate") * F.col("amount")), 4).alias("staked")
     )
+
+
+@query(
+    "portfolio_view",
+    "D38 C13 D11",
+    f"""WITH {TICKS}, {TRADES}, l AS (SELECT symbol, arg_max(price, ts) AS last_price FROM ticks GROUP BY 1),
+      o AS (SELECT 'S' || CAST(order_id % 8 AS VARCHAR) AS symbol, stake_amount, profit_abs, status FROM trades),
+      u AS (SELECT count(*) AS n_open, sum((coalesce(last_price, 150) - 150) / 150 * stake_amount) AS unrealised, sum(stake_amount) AS staked FROM o LEFT JOIN l USING (symbol) WHERE status = 'O'),
+      c AS (SELECT coalesce(sum(profit_abs), 0) AS realised FROM o WHERE status = 'F')
+      SELECT n_open, round(realised, 4) + 0.0 AS realised, round(unrealised, 2) + 0.0 AS unrealised, round((realised + unrealised) / staked, 6) + 0.0 AS return_share FROM u, c""",
+)
+def _(v):
+    from tidegauge.operators.market import portfolio
+
+    last = v.ticks.groupBy("symbol").agg(F.max_by("price", "ts").alias("last_price"))
+    t = v.trades.select(
+        F.concat(F.lit("S"), (F.col("order_id") % 8).cast("string")).alias("symbol"), F.lit(150.0).alias("open_rate"),
+        (F.col("stake_amount") / 150).alias("amount"), "stake_amount", "profit_abs", (F.col("status") == "O").alias("is_open"),
+    )
+    out = portfolio(t, last, "symbol")
+    return out.select("n_open", r("realised", 4).alias("realised"), r("unrealised", 2).alias("unrealised"), r("return_share").alias("return_share"))

@@ -136,7 +136,7 @@ def _(v):
 
 @query(
     "market_scan_latest",
-    "K22 B15 B16 D36 F6 E40",
+    "K22 B15 B16 F6 E40",
     f"""WITH RECURSIVE {DIFF}, s AS (SELECT symbol, avg(g) AS ag, avg(l) AS al FROM e WHERE pos BETWEEN 1 AND 14 GROUP BY 1 HAVING count(*) = 14),
       x AS (SELECT symbol, CAST(14 AS BIGINT) AS pos, ag, al FROM s
       UNION ALL SELECT n.symbol, n.pos, x.ag * 13 / 14 + n.g / 14, x.al * 13 / 14 + n.l / 14 FROM x JOIN e n ON n.symbol = x.symbol AND n.pos = x.pos + 1),
@@ -158,3 +158,22 @@ def _(v):
         out.select("symbol", ms("ts").alias("ts_ms"), "close", "rsi", "change_1", "change_12", "signal"),
         "rsi", "change_1", "change_12",
     )
+
+
+@query(
+    "market_signal_counts",
+    "D36",
+    f"""WITH RECURSIVE {DIFF}, s AS (SELECT symbol, avg(g) AS ag, avg(l) AS al FROM e WHERE pos BETWEEN 1 AND 14 GROUP BY 1 HAVING count(*) = 14),
+      x AS (SELECT symbol, CAST(14 AS BIGINT) AS pos, ag, al FROM s
+      UNION ALL SELECT n.symbol, n.pos, x.ag * 13 / 14 + n.g / 14, x.al * 13 / 14 + n.l / 14 FROM x JOIN e n ON n.symbol = x.symbol AND n.pos = x.pos + 1),
+      last AS (SELECT symbol, max(pos) AS pos FROM nb GROUP BY 1), r AS (SELECT symbol, 100 - 100 / (1 + ag / al) AS rsi FROM x JOIN last USING (symbol, pos))
+      SELECT count(*) AS symbols, count(*) FILTER (rsi > 52) AS above, count(*) FILTER (rsi < 48) AS below, count(*) FILTER (rsi BETWEEN 48 AND 52) AS between_both FROM r""",
+)
+def _(v):
+    from tidegauge.operators.market import scan
+
+    rsi = F.col("rsi")
+    return scan(v.bars, BAR_SERIES).agg(
+        F.count(F.lit(1)).alias("symbols"), F.count_if(rsi > 52).alias("above"), F.count_if(rsi < 48).alias("below"),
+        F.count_if(rsi.between(48, 52)).alias("between_both"),
+    )

@@ -125,13 +125,13 @@ def _(v):
 @query(
     "scan_action_arrays",
     "A11 H9",
-    f"""WITH {TICKS} SELECT symbol || '-' || strftime(ts, '%Y-%m-%d') AS run, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) - 1 AS step,
+    f"""WITH {TICKS} SELECT symbol || '-' || strftime(ts, '%Y-%m-%d-%H') AS run, row_number() OVER (PARTITION BY symbol, date_trunc('hour', ts) ORDER BY ts) - 1 AS step,
       CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE 0 END AS action, price AS equity FROM ticks""",
 )
 def _(v):
     path = _folder(v, "actions")
     code = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).otherwise(0)
-    run = F.concat_ws("-", "symbol", F.date_format("ts", "yyyy-MM-dd"))
+    run = F.concat_ws("-", "symbol", F.date_format("ts", "yyyy-MM-dd-HH"))
     day = v.ticks.groupBy(run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("ts", code.alias("a"), "price"))).alias("z"))
     day.select("run", F.col("z.a").alias("actions"), F.col("z.price").alias("equities")).write.json(path)
     out = files.action_steps(v.spark, path)

@@ -80,3 +80,16 @@ def tradable_filters(stats: DataFrame, now: Column, min_age_days: int = 10, max_
             "range_ok": F.col("range").between(min_range, max_range),
         }
     )
+
+
+def portfolio(trades: DataFrame, latest: DataFrame, on: str) -> DataFrame:
+    """Open count, realised and unrealised result, and return on the open stake; one row."""
+    marked = open_positions(trades, latest, on)
+    live = F.col("is_open")
+    out = marked.agg(
+        F.count_if(live).alias("n_open"),
+        F.coalesce(F.sum(F.when(~live, F.col("profit_abs"))), F.lit(0.0)).alias("realised"),
+        F.coalesce(F.sum(F.when(live, F.col("unrealised"))), F.lit(0.0)).alias("unrealised"),
+        F.sum(F.when(live, F.col("stake_amount"))).alias("staked"),
+    )
+    return out.withColumn("return_share", F.try_divide(F.col("realised") + F.col("unrealised"), F.col("staked")))

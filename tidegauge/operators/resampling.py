@@ -19,6 +19,15 @@ def _reps(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
+def _numbered(df: DataFrame, n: Column, out: str, by: list[str], piece: int = 50_000) -> DataFrame:
+    """One row per integer in [0, n), laid out in pieces that are spread over tasks first."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / piece))).alias("__part")
+    pieces = df.withColumn("__n_of", n).select("*", part).repartition(*by, "__part")
+    lo = F.col("__part") * piece
+    hi = F.least(F.col("__n_of"), lo + piece) - 1
+    return pieces.withColumn(out, F.explode(F.sequence(lo, hi))).drop("__part", "__n_of")
+
+
 def interval(draws: DataFrame, by: list[str], x: str, alpha: float = 0.05) -> DataFrame:
     """Percentile interval over replicates (a bounded number per group)."""
     q = F.percentile(x, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
@@ -90,9 +99,7 @@ def moving_block_theta(df: DataFrame, s: Series, r: str, k: int, reps: int, seed
     numbered = number_rows(df.select(*s.keys, s.ts, *s.ties, r), s, total="__n")
     blocks = framed(numbered, s, build, ahead=k, numbered=True).filter(F.col("__c") == k)
     ends = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= k)
-    # replicates are spread first, then each lists its own draws
-    draws = ends.withColumn("rep", _reps(reps)).repartition(*s.keys, "rep")
-    draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__n") / k) - 1)))
+    draws = _numbered(ends.withColumn("rep", _reps(reps)), F.ceil(F.col("__n") / k), "__i", [*s.keys, "rep"])
     starts = F.floor(uniform(F.col("__i"), F.col("rep"), seed) * (F.col("__n") - k + 1)).cast("long")
     draws = draws.select(*s.keys, "rep", starts.alias("pos"))
     # many draws hit one start: count them before joining the sums
@@ -157,8 +164,7 @@ def matched_control(pool: DataFrame, events: DataFrame, by: list[str], regime: s
     ranked = exact_rank(pool.select(regime, ret, order), [regime], order, order, rank="__pos", total="__size")
     sizes = pool.groupBy(regime).agg(F.count(order).alias("__size"))
     want = events.groupBy(*by, regime).agg(F.count(F.lit(1)).alias("__want"))
-    draws = want.join(sizes, regime).withColumn("rep", _reps(reps)).repartition(*by, regime, "rep")
-    draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__want") - 1)))
+    draws = _numbered(want.join(sizes, regime).withColumn("rep", _reps(reps)), F.col("__want"), "__i", [*by, regime, "rep"])
     at = F.floor(uniform(F.col("__i"), F.col("rep"), seed) * F.col("__size")).cast("long") + 1
     hits = draws.groupBy(*by, "rep", regime, at.alias("__pos")).agg(F.count(F.lit(1)).alias("__m"))
     j = hits.join(ranked.select(regime, "__pos", ret), [regime, "__pos"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.plans.ranking import exact_quantiles, exact_rank, value_ranks
+from tidegauge.plans.stage import materialise
 
 
 def tail_profile(df: DataFrame, by: list[str], ret: str, thr: float) -> DataFrame:
@@ -26,15 +27,22 @@ def tail_profile(df: DataFrame, by: list[str], ret: str, thr: float) -> DataFram
     return agg.join(exact_quantiles(df, by, ret, {"median": 0.5}), by)
 
 
+def decile_of(rn: Column, n: Column, buckets: int = 10) -> Column:
+    """Integer-boundary bucket: row rn (1-based, ascending) goes to ceil(k*rn/n) - 1."""
+    return (F.ceil(rn * buckets / n) - 1).cast("long")
+
+
 def with_decile(df: DataFrame, cell: list[str], score: str, tie: str, buckets: int = 10) -> DataFrame:
-    """Integer-boundary buckets: row rn (1-based, ascending) goes to ceil(k*rn/n) - 1."""
     ranked = exact_rank(df, cell, score, tie)
-    return ranked.withColumn("bucket", (F.ceil(F.col("rn") * buckets / F.col("n")) - 1).cast("long"))
+    return ranked.withColumn("bucket", decile_of(F.col("rn"), F.col("n"), buckets))
 
 
 def decile_table(df: DataFrame, cell: list[str], score: str, ret: str, tie: str, cost: float, buckets: int = 10) -> DataFrame:
-    """Outcome profile per score bucket, top bucket last."""
-    b = with_decile(df.select(*cell, score, ret, tie), cell, score, tie, buckets)
+    """Outcome profile per score bucket, top bucket last.
+
+    The bucketed rows feed a profile and an exact median, so they are stored.
+    """
+    b = materialise(with_decile(df.select(*cell, score, ret, tie), cell, score, tie, buckets), "deciles")
     x = F.col(ret)
     prof = b.groupBy(*cell, "bucket").agg(
         F.count(F.lit(1)).alias("size"),
@@ -144,7 +152,11 @@ def regression_losses(pred: Column, y: Column) -> list[Column]:
 
 def calibration_error(df: DataFrame, cell: list[str], p: str, y: str, tie: str, bins: int = 10) -> DataFrame:
     """Weighted gap between mean probability and frequency in equal-count chunks."""
-    r = exact_rank(df.select(*cell, p, y, tie), cell, p, tie)
+    return chunked_gap(exact_rank(df.select(*cell, p, y, tie), cell, p, tie), cell, p, y, bins)
+
+
+def chunked_gap(r: DataFrame, cell: list[str], p: str, y: str, bins: int = 10) -> DataFrame:
+    """Calibration gap of rows already ranked by probability (rn, n)."""
     chunk = F.floor((F.col("rn") - 1) / F.ceil(F.col("n") / bins))
     g = r.groupBy(*cell, chunk.alias("chunk")).agg(
         F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import tails
 from tidegauge.operators import gates, ledger, scoring, stats, windows as w
 from tidegauge.operators.positions import hold_state
+from tidegauge.plans.ranking import exact_rank
 from tidegauge.plans.series import Series, framed
 from tidegauge.plans.stage import materialise
 
@@ -30,8 +31,10 @@ def cell_bundle(scores: DataFrame, cell: list[str], cost: float) -> DataFrame:
     losses = s.groupBy(*cell).agg(*scoring.probability_losses(F.col("score"), F.col("label")), F.count(F.lit(1)).alias("n_val"))
     areas = scoring.roc_pr_auc(s, cell, "score", "label")
     ic = scoring.rank_correlation(s, cell, "score", "fwd")
-    ece = scoring.calibration_error(s, cell, "score", "label", "id")
-    dec = scoring.with_decile(s, cell, "score", "id").groupBy(*cell, "bucket").agg(F.avg("fwd").alias("mean"))
+    ranked = materialise(exact_rank(s, cell, "score", "id"), "ranked")
+    ece = scoring.chunked_gap(ranked, cell, "score", "label")
+    bucket = scoring.decile_of(F.col("rn"), F.col("n")).alias("bucket")
+    dec = ranked.groupBy(*cell, bucket).agg(F.avg("fwd").alias("mean"))
     tau = scoring.kendall_over_buckets(dec, cell, "bucket", "mean")
     out = losses
     for part in (top, areas, ic, ece, tau):

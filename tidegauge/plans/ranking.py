@@ -20,19 +20,34 @@ BUCKET = "__bucket"
 SLICE = "__slice"
 
 
-def _cuts(df: DataFrame, group: list[str], score: str, tie: str | None, grid: int) -> DataFrame:
+def _cuts(df: DataFrame, group: list[str], score: str, tie: str | None, grid: int, share: list[str]) -> DataFrame:
+    """Cut points per group.
+
+    ``share`` names columns the other passes over ``df`` read as well.  Reading
+    them here too keeps the shuffle below identical, so Spark runs it once.
+    """
     k = grid * grid
     probs = F.array(*[F.lit(i / k) for i in range(1, k)])
     aggs = [F.percentile_approx(score, probs, F.lit(max(1000, 10 * k))).alias("__cuts")]
     if tie:
         aggs += [F.min(tie).cast("double").alias("__tlo"), F.max(tie).cast("double").alias("__thi")]
-    return df.groupBy(*group).agg(*aggs)
+    if not share:
+        return df.groupBy(*group).agg(*aggs)
+    seen = F.max(F.xxhash64(*share))
+    return df.groupBy(*group).agg(*aggs, seen.alias("__seen")).filter(F.col("__seen").isNotNull()).drop("__seen")
 
 
-def bucketed(df: DataFrame, group: list[str], score: str, tie: str | None = None, grid: int | None = None) -> DataFrame:
+def bucketed(
+    df: DataFrame,
+    group: list[str],
+    score: str,
+    tie: str | None = None,
+    grid: int | None = None,
+    share: list[str] | None = None,
+) -> DataFrame:
     """Add order-preserving bucket columns for (score, tie) inside each group."""
     grid = grid or max(4, min(64, math.ceil(math.sqrt(2 * shuffle_width(df.sparkSession)))))
-    cuts = _cuts(df, group, score, tie, grid)
+    cuts = _cuts(df, group, score, tie, grid, share or [])
     coarse = F.transform(F.sequence(F.lit(1), F.lit(grid - 1)), lambda i: F.element_at("__cuts", i * grid))
     cuts = cuts.withColumn("__coarse", coarse)
     s = F.col(score)
@@ -40,13 +55,13 @@ def bucketed(df: DataFrame, group: list[str], score: str, tie: str | None = None
     def below(arr: Column, strict: bool) -> Column:
         return F.size(F.filter(arr, lambda c: (c < s) if strict else (c <= s)))
 
-    # two-step search: coarse cut points first, then the one fine run between them
-    jump = below(F.col("__coarse"), True)
-    fine = below(F.slice("__cuts", jump * grid + 1, F.lit(grid)), True)
-    under = jump * grid + fine
-    exact = F.coalesce(F.try_element_at("__cuts", (under + 1).cast("int")) == s, F.lit(False))
+    # two-step search: coarse cut points first, then the one fine run between them;
+    # each step is a column of its own so that it is evaluated once per row
     joined = df.join(cuts, group, "left") if group else df.crossJoin(F.broadcast(cuts))
-    joined = joined.withColumn(BUCKET, (under * 2 + exact.cast("int")).cast("long"))
+    joined = joined.withColumn("__jump", below(F.col("__coarse"), True) * grid)
+    joined = joined.withColumn("__under", F.col("__jump") + below(F.slice("__cuts", F.col("__jump") + 1, F.lit(grid)), True))
+    exact = F.coalesce(F.try_element_at("__cuts", (F.col("__under") + 1).cast("int")) == s, F.lit(False))
+    joined = joined.withColumn(BUCKET, (F.col("__under") * 2 + exact.cast("int")).cast("long")).drop("__jump", "__under")
     if tie:
         width = (F.col("__thi") - F.col("__tlo")) / F.lit(float(grid * grid)) + F.lit(1e-9)
         piece = F.floor((F.col(tie).cast("double") - F.col("__tlo")) / width).cast("long")
@@ -98,8 +113,8 @@ def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, C
         .groupBy(*group, score)
         .agg(F.count(F.lit(1)).alias("ties"), *[F.sum(c).alias(n) for n, c in extra.items()])
     )
-    b = bucketed(merged, group, score)
     names = ["ties", *extra]
+    b = bucketed(merged, group, score, share=names)
     sums = b.groupBy(*group, BUCKET).agg(*[F.sum(n).alias(f"__{n}") for n in names])
     key = group or [F.lit(0)]
     across = Window.partitionBy(*key).orderBy(BUCKET)

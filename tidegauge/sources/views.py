@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import bars as bars_ops
 from tidegauge.plans.series import Series
 
-TICK_SERIES = Series(("symbol",), "ts", ("agg_id",), span=86_400)
+TICK_SERIES = Series(("symbol",), "ts", ("agg_id",), span=3600)
 BAR_SERIES = Series(("symbol",), "ts", (), span=30 * 86_400)
 
 
