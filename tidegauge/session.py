@@ -8,7 +8,9 @@ the cluster handed over.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +34,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "tidegauge_pkg"
+    sc.addPyFile(shutil.make_archive(str(base), "zip", root_dir=here.parent, base_dir=here.name))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session; sizes value buckets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
