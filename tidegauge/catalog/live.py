@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog.accounts import CORE, EQ, LOCK
 from tidegauge.catalog.base import BARS, SETTLEMENTS, TICKS, TRADES, ms, query, r, rounded
+from tidegauge.catalog.simsql import COLUMNS, PLAIN, ledger_sql
 from tidegauge.session import checkpoint_root
 from tidegauge.streaming import live
 from tidegauge.streaming.state import AccountStep, latest_settlement, stateful
@@ -127,7 +128,11 @@ def _(v):
     return rounded(done.select("pair", "ts_ms", "high_water", "locked", "reserve"), "high_water", "locked", "reserve")
 
 
-@query("stream_cooldown_ledger", "L8 E37")
+@query(
+    "stream_cooldown_ledger",
+    "L8 E37",
+    f"{ledger_sql(PLAIN, forced=False)} SELECT {COLUMNS} FROM led",
+)
 def _(v):
     from tidegauge.operators.execution import LEDGER, VARIANTS, advance
     from tidegauge.plans.stage import materialise
@@ -145,7 +150,7 @@ def _(v):
     path = flat.inputFiles()[0].rsplit("/", 1)[0]
     out = stateful(live.read_files(v.spark, path, flat.schema), ["variant", "symbol"], ["ts_ms"], advance, LEDGER)
     done, _ = live.drain(out, "cooldown")
-    return done
+    return rounded(done, "open_rate", "close_rate", "stake", "profit_abs")
 
 
 @query(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import ACTIONS, BARS, TICKS, ms, query, r, rounded
+from tidegauge.catalog.simsql import COLUMNS, HYSTERESIS, ledger_sql
 from tidegauge.operators import positions as P
 from tidegauge.sources.views import BAR_SERIES
 
@@ -173,9 +174,13 @@ def _(v):
     )
 
 
-@query("min_hold_cooldown_ledger", "E37 K20 C22 D31")
+@query(
+    "min_hold_cooldown_ledger",
+    "E37 K20 C22",
+    f"{ledger_sql(HYSTERESIS, forced=True)} SELECT {COLUMNS} FROM led",
+)
 def _(v):
     from tidegauge.operators.execution import simulate, variant_grid
 
     d = v.bars.withColumn("proba", F.least(F.lit(1.0), (F.col("close") - 100) / 100))
-    return simulate(d, BAR_SERIES, variant_grid(v.spark))
+    return rounded(simulate(d, BAR_SERIES, variant_grid(v.spark)), "open_rate", "close_rate", "stake", "profit_abs")

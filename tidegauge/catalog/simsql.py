@@ -1,0 +1,42 @@
+"""Oracle text of the execution rules: one bar per recursion step."""
+
+from __future__ import annotations
+
+from tidegauge.catalog.base import BARS
+
+VARIANTS_SQL = """v(variant, enter, leave, min_hold, cooldown, same_bar) AS (VALUES ('base', 0.5, 0.5, 0, 0, true), ('hysteresis', 0.6, 0.4, 0, 0, true),
+    ('hold', 0.5, 0.5, 240, 0, true), ('cooldown', 0.5, 0.5, 0, 240, true), ('next_bar', 0.5, 0.5, 0, 0, false))"""
+
+HYSTERESIS = """g AS (SELECT variant, symbol, pos, epoch_ms(ts) AS t, high, low, close, min_hold, cooldown, same_bar,
+      coalesce(last_value(CASE WHEN least(1.0, (close - 100) / 100) >= enter THEN 1 WHEN least(1.0, (close - 100) / 100) < leave THEN 0 END IGNORE NULLS)
+        OVER (PARTITION BY variant, symbol ORDER BY pos), 0) AS sig FROM nb, v)"""
+
+PLAIN = """g AS (SELECT variant, symbol, pos, epoch_ms(ts) AS t, high, low, close, min_hold, cooldown, same_bar, CAST(close > 150 AS INTEGER) AS sig FROM nb, v)"""
+
+
+def ledger_sql(signal: str, forced: bool) -> str:
+    """Common tables ending in ``led``, the ledger of every variant and symbol."""
+    tail = (
+        """ UNION ALL SELECT z.variant, z.symbol, z.at0, z.t, z.entry, z.close, z.stake, (z.close - z.entry) * z.stake / z.entry - (z.entry + z.close) * z.stake / z.entry * 0.001, 'force_exit'
+        FROM z JOIN (SELECT variant, symbol, max(pos) AS pos FROM g GROUP BY 1, 2) m ON z.variant = m.variant AND z.symbol = m.symbol AND z.pos = m.pos WHERE z.entry IS NOT NULL"""
+        if forced
+        else ""
+    )
+    return f"""WITH RECURSIVE {BARS}, {VARIANTS_SQL}, {signal},
+      z AS (SELECT variant, symbol, pos, t, close, CASE WHEN sig = 1 THEN close END AS entry, CASE WHEN sig = 1 THEN t END AS at0, CAST(990 AS DOUBLE) AS stake, CAST(1000.0 AS DOUBLE) AS wallet,
+          CAST(NULL AS BIGINT) AS last_exit, CAST(NULL AS DOUBLE) AS xpx, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS DOUBLE) AS xentry, CAST(NULL AS BIGINT) AS xat, CAST(NULL AS DOUBLE) AS xstake, CAST(NULL AS DOUBLE) AS profit FROM g WHERE pos = 0
+        UNION ALL
+        SELECT variant, symbol, pos, t, close, CASE WHEN goes THEN close WHEN xpx IS NULL THEN entry END, CASE WHEN goes THEN t WHEN xpx IS NULL THEN at0 END,
+          CASE WHEN goes THEN wallet2 * CAST(0.99 AS DOUBLE) ELSE stake END, wallet2, last2, xpx, why, entry, at0, stake, profit
+        FROM (SELECT *, (entry IS NULL OR xpx IS NOT NULL) AND sig = 1 AND (same_bar OR xpx IS NULL) AND (last2 IS NULL OR t - last2 >= cooldown * 60000) AS goes
+          FROM (SELECT *, wallet + coalesce(profit, 0) AS wallet2, CASE WHEN xpx IS NOT NULL THEN t ELSE last_exit END AS last2
+            FROM (SELECT *, (xpx - entry) * stake / entry - (entry + xpx) * stake / entry * 0.001 AS profit
+              FROM (SELECT g.*, z.entry, z.at0, z.stake, z.wallet, z.last_exit,
+                  CASE WHEN g.low <= z.entry * 0.9 THEN z.entry * 0.9 WHEN g.high >= z.entry * 1.02 THEN z.entry * 1.02 WHEN z.entry IS NOT NULL AND g.sig = 0 AND g.t - z.at0 >= g.min_hold * 60000 THEN g.close END AS xpx,
+                  CASE WHEN g.low <= z.entry * 0.9 THEN 'stop_loss' WHEN g.high >= z.entry * 1.02 THEN 'roi' WHEN z.entry IS NOT NULL AND g.sig = 0 AND g.t - z.at0 >= g.min_hold * 60000 THEN 'exit_signal' END AS why
+                FROM z JOIN g ON g.variant = z.variant AND g.symbol = z.symbol AND g.pos = z.pos + 1))))),
+      led AS (SELECT variant, symbol, xat AS open_ms, t AS close_ms, xentry AS open_rate, xpx AS close_rate, xstake AS stake, profit AS profit_abs, why AS exit_reason FROM z WHERE xpx IS NOT NULL{tail})"""
+
+
+COLUMNS = """variant, symbol, open_ms, close_ms, round(open_rate, 6) + 0.0 AS open_rate, round(close_rate, 6) + 0.0 AS close_rate,
+    round(stake, 6) + 0.0 AS stake, round(profit_abs, 6) + 0.0 AS profit_abs, exit_reason"""

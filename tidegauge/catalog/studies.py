@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import BARS, SCORES, TRADES, ms, query, r, rounded
+from tidegauge.catalog.simsql import HYSTERESIS, ledger_sql
 from tidegauge.operators import gates, reconcile, study
 from tidegauge.sources.views import BAR_SERIES
 
@@ -220,7 +221,9 @@ def _(v):
 
 @query(
     "execution_variant_summary",
-    "K20 D7 E37",
+    "K20 D7 E37 D31",
+    f"""{ledger_sql(HYSTERESIS, forced=True)} SELECT variant, count(*) AS n, round(sum(profit_abs), 6) + 0.0 AS net, round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
+      round(sum(greatest(profit_abs, 0)) / sum(greatest(-profit_abs, 0)), 6) + 0.0 AS profit_factor FROM led GROUP BY 1""",
 )
 def _(v):
     from tidegauge.operators import ledger
