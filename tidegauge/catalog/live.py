@@ -81,11 +81,15 @@ def _(v):
     return out.select("agg_id", ms("ts").alias("ts_ms"))
 
 
-@query("stream_late_row_metrics", "L5 D6")
+@query(
+    "stream_late_row_metrics",
+    "L5 D6",
+    "SELECT count(*) AS rows, count(*) AS streamed, CAST(count(*) FILTER (ts IS NULL) AS BIGINT) AS dropped_late FROM events",
+)
 def _(v):
     _, seen = live.drain(live.closed_bars(_ticks(v), 3600, "0 seconds"), "late")
     n = v.table("events").agg(F.count(F.lit(1)).alias("rows"))
-    return n.select("rows", F.lit(seen["input_rows"]).alias("streamed"), F.lit(seen["dropped_late"]).alias("dropped_late"))
+    return n.select("rows", F.lit(seen["input_rows"]).cast("long").alias("streamed"), F.lit(seen["dropped_late"]).cast("long").alias("dropped_late"))
 
 
 @query(

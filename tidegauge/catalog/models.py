@@ -61,7 +61,12 @@ def _(v):
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.max("score")).alias("score"))
 
 
-@query("expanding_calendar_folds", "J7 J8")
+@query(
+    "expanding_calendar_folds",
+    "J7 J8",
+    f"""WITH {BARS}, e AS (SELECT epoch_ms(min(ts)) // 1000 AS lo, epoch_ms(max(ts)) // 1000 AS hi FROM bars), f AS (SELECT lo, hi, lo + CAST(floor((hi - lo) * 0.5) AS BIGINT) AS first FROM e),
+      g AS (SELECT *, (hi - first) // 5 AS w FROM f) SELECT i AS fold, lo * 1000 AS a, (first + i * w) * 1000 AS b, (first + (i + 1) * w) * 1000 AS c FROM g, range(0, 5) t(i)""",
+)
 def _(v):
     from tidegauge.plans.folds import bounds_broken
 

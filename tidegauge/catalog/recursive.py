@@ -129,7 +129,48 @@ def _(v):
     return out.groupBy("symbol", F.coalesce("regime", F.lit("unknown")).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("bar_features_28", "K1 B1 B2 E5 E26 E27")
+def _trail(*ns: int) -> str:
+    return ", ".join(f"f{n} AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in ns)
+
+
+def _whole(expr: str, col: str, n: int) -> str:
+    return f"CASE WHEN count({col}) OVER f{n} = {n} THEN {expr} OVER f{n} END"
+
+
+FEATURES_SQL = f"""WITH RECURSIVE {DIFF}, sd AS (SELECT symbol, avg(tr) AS t, avg(pdm) AS p, avg(mdm) AS m FROM e WHERE pos < 14 GROUP BY 1 HAVING count(*) = 14),
+    es AS (SELECT e.*, sd.t AS st, sd.p AS sp, sd.m AS sm FROM e LEFT JOIN sd USING (symbol)),
+    z AS (SELECT symbol, pos, close AS e12, close AS e26, CAST(NULL AS DOUBLE) AS ag, CAST(NULL AS DOUBLE) AS al, tr AS atr, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS m FROM es WHERE pos = 0
+      UNION ALL SELECT n.symbol, n.pos, z.e12 * 11 / 13 + n.close * 2 / 13, z.e26 * 25 / 27 + n.close * 2 / 27, CASE WHEN n.pos = 1 THEN n.g ELSE z.ag * 13 / 14 + n.g / 14 END,
+        CASE WHEN n.pos = 1 THEN n.l ELSE z.al * 13 / 14 + n.l / 14 END, z.atr * 13 / 14 + n.tr / 14, CASE WHEN n.pos = 13 THEN n.st ELSE z.t * 13 / 14 + n.tr / 14 END,
+        CASE WHEN n.pos = 13 THEN n.sp ELSE z.p * 13 / 14 + n.pdm / 14 END, CASE WHEN n.pos = 13 THEN n.sm ELSE z.m * 13 / 14 + n.mdm / 14 END
+      FROM z JOIN es n ON n.symbol = z.symbol AND n.pos = z.pos + 1),
+    dx AS (SELECT symbol, pos, 100 * abs(p / t - m / t) / nullif(p / t + m / t, 0) AS dx FROM z),
+    ds AS (SELECT symbol, avg(dx) AS s FROM dx WHERE pos BETWEEN 13 AND 26 GROUP BY 1 HAVING count(dx) = 14),
+    ax AS (SELECT symbol, CAST(26 AS BIGINT) AS pos, s AS a FROM ds UNION ALL SELECT d.symbol, d.pos, ax.a * 13 / 14 + d.dx / 14 FROM ax JOIN dx d ON d.symbol = ax.symbol AND d.pos = ax.pos + 1),
+    b1 AS (SELECT nb.*, e12, e26, ag, al, CASE WHEN nb.pos >= 13 THEN atr END AS atr, a AS adx, close / lag(close, 1) OVER w - 1 AS ret_1, close / lag(close, 3) OVER w - 1 AS ret_3, close / lag(close, 12) OVER w - 1 AS ret_12,
+        close / lag(close, 36) OVER w - 1 AS ret_36, close / lag(close, 72) OVER w - 1 AS ret_72, volume / nullif(lag(volume) OVER w, 0) - 1 AS vol_change
+      FROM nb JOIN z USING (symbol, pos) LEFT JOIN ax USING (symbol, pos) WINDOW w AS (PARTITION BY nb.symbol ORDER BY nb.pos)),
+    b2 AS (SELECT *, {_whole('avg(close)', 'close', 50)} AS s50, {_whole('avg(close)', 'close', 200)} AS s200, {_whole('stddev_samp(close)', 'close', 24)} AS sd24, {_whole('stddev_samp(ret_1)', 'ret_1', 12)} AS rv,
+        {_whole('avg(volume)', 'volume', 24)} AS v24, {_whole('avg(volume)', 'volume', 168)} AS v168 FROM b1 WINDOW {_trail(12, 24, 50, 168, 200)}),
+    b3 AS (SELECT *, lag(s50, 12) OVER (PARTITION BY symbol ORDER BY pos) AS s50_12, array_agg(sd24) OVER f288 AS hs, count(sd24) OVER f288 AS ns, array_agg(atr) OVER f288 AS ha, count(atr) OVER f288 AS na FROM b2 WINDOW {_trail(288)})
+    SELECT symbol, epoch_ms(ts) AS ts_ms, """ + ", ".join(
+    f"round({x}, 6) + 0.0 AS {n}"
+    for n, x in {
+        **{f"ret_{k}": f"ret_{k}" for k in (1, 3, 12, 36, 72)},
+        "sma50_ratio": "close / s50 - 1", "sma200_ratio": "close / s200 - 1", "ema12_ratio": "close / e12 - 1", "ema26_ratio": "close / e26 - 1",
+        "sma_trend": "CASE WHEN s50 > s200 THEN 1.0 WHEN s50 <= s200 THEN 0.0 END", "sma50_slope": "s50 / s50_12 - 1",
+        "vol_z": "volume / v24 - 1", "vol_change": "vol_change", "vol_ratio_168": "volume / v168 - 1",
+        "rsi14": "CASE WHEN pos >= 14 THEN CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN ag > 0 THEN 100 END END", "roc_36": "ret_36",
+        "ema_diff_12_26": "(e12 - e26) / close", "atr14_ratio": "atr / close", "roll_std_24_ratio": "sd24 / close", "rv_12": "rv * sqrt(288 * 365.0)",
+        "vol_percentile_1d": "CASE WHEN ns = 288 THEN len(list_filter(hs, lambda q: q <= sd24)) / 288.0 END",
+        "body_ratio": "abs(close - open) / nullif(high - low, 0)", "up_wick_ratio": "(high - greatest(open, close)) / nullif(high - low, 0)",
+        "low_wick_ratio": "(least(open, close) - low) / nullif(high - low, 0)", "close_pos": "(close - low) / nullif(high - low, 0)", "range_pct": "nullif(high - low, 0) / close",
+        "adx14_ratio": "adx / 100", "vol_rank_288": "CASE WHEN na = 288 THEN len(list_filter(ha, lambda q: q <= atr)) / 288.0 END",
+    }.items()
+) + " FROM b3"
+
+
+@query("bar_features_28", "K1 B1 B2 E5 E26 E27", FEATURES_SQL)
 def _(v):
     return bar_features(v.bars, BAR_SERIES).select("symbol", ms("ts").alias("ts_ms"), *[r(c).alias(c) for c in BLOCK_COLUMNS["B3"]])
 

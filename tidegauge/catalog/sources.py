@@ -226,7 +226,12 @@ def _(v):
     )
 
 
-@query("ordered_content_hash", "D35 H10")
+@query(
+    "ordered_content_hash",
+    "D35 H10",
+    f"""WITH {BARS}, c AS (SELECT symbol, epoch_ms(ts) // 2592000000 AS c, sha256(string_agg(epoch_us(ts) || ':' || printf('%.8f', close), ',' ORDER BY ts)) AS h FROM bars GROUP BY 1, 2)
+      SELECT symbol, sha256(string_agg(h, '' ORDER BY c)) AS digest FROM c GROUP BY 1""",
+)
 def _(v):
     from tidegauge.sources.views import BAR_SERIES
 

@@ -5,7 +5,18 @@ from pyspark.sql import functions as F
 from tidegauge.catalog.base import BARS, SCORES, TRADES, query, r, rounded
 from tidegauge.operators import stats as T
 
-# p-values: the statistic is checked by SQL, the tails against table constants in tests
+N = 4000  # Simpson intervals of the numeric tails below
+
+
+def _simpson(density: str, upper: str, keys: str, src: str, out: str) -> str:
+    """Common table: integral of ``density`` (in x) from 0 to ``upper`` for every row of ``src``."""
+    return (
+        f"{out}_g AS (SELECT s.*, i, {upper} * i / {N}.0 AS x FROM {src} s, range(0, {N + 1}) r(i)), "
+        f"{out} AS (SELECT {keys}, sum(CASE WHEN i = 0 OR i = {N} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}) * any_value({upper}) / {3 * N}.0 AS area FROM {out}_g GROUP BY {keys})"
+    )
+
+
+T_DENSITY = "exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0)) / sqrt(dof * pi()) * pow(1 + x * x / dof, -(dof + 1) / 2.0)"
 
 
 @query(
@@ -29,7 +40,13 @@ def _(v):
     return rounded(T.one_sample_t(v.scores, ["cell"], F.col("fwd"), 0.003).select("cell", "n_x", "t", "d"), "t", "d")
 
 
-@query("one_sample_t_pvalue", "I7")
+@query(
+    "one_sample_t_pvalue",
+    "I7",
+    f"""WITH {SCORES}, m AS (SELECT cell, count(*) AS n_x, avg(fwd) AS mean_x, stddev_samp(fwd) AS sd_x, (avg(fwd) - 0.003) / (stddev_samp(fwd) / sqrt(count(*))) AS t, count(*) - 1 AS dof FROM scores GROUP BY 1),
+      {_simpson(T_DENSITY, 't', 'cell', 'm', 'a')}
+      SELECT cell, n_x, round(mean_x, 6) + 0.0 AS mean_x, round(sd_x, 6) + 0.0 AS sd_x, round(t, 6) + 0.0 AS t, round((mean_x - 0.003) / sd_x, 6) + 0.0 AS d, round(0.5 - area, 6) + 0.0 AS p FROM m JOIN a USING (cell)""",
+)
 def _(v):
     return rounded(T.one_sample_t(v.scores, ["cell"], F.col("fwd"), 0.003), "mean_x", "sd_x", "t", "d", "p")
 
@@ -59,10 +76,27 @@ def _(v):
     return rounded(out.select("line", "n_a", "n_b", "t", r("dof", 3).alias("dof"), "cohens_d"), "t", "cohens_d")
 
 
-@query("welch_interval_and_pvalue", "I7")
+WELCH = f"""{TRADES}, m AS (SELECT line, count(*) FILTER (status = 'O') AS na, avg(profit_ratio) FILTER (status = 'O') AS ma, var_samp(profit_ratio) FILTER (status = 'O') AS va,
+        count(*) FILTER (status <> 'O') AS nb, avg(profit_ratio) FILTER (status <> 'O') AS mb, var_samp(profit_ratio) FILTER (status <> 'O') AS vb FROM trades GROUP BY 1),
+      q AS (SELECT line, ma - mb AS diff, (ma - mb) / sqrt(va / na + vb / nb) AS t,
+       (va / na + vb / nb) * (va / na + vb / nb) / ((va / na) * (va / na) / (na - 1) + (vb / nb) * (vb / nb) / (nb - 1)) AS dof FROM m)"""
+
+
+@query(
+    "welch_pvalue",
+    "I7",
+    f"""WITH {WELCH}, {_simpson(T_DENSITY, 'abs(t)', 'line', 'q', 'a')}
+      SELECT line, round(diff, 7) + 0.0 AS diff, round(1 - 2 * area, 6) + 0.0 AS p FROM q JOIN a USING (line)""",
+)
 def _(v):
     out = T.welch(v.trades, ["line"], "profit_ratio", F.col("status") == "O")
-    return rounded(out.select("line", "diff", "p", "ci_lo", "ci_hi"), "diff", "p", "ci_lo", "ci_hi")
+    return out.select("line", r("diff", 7).alias("diff"), r("p").alias("p"))
+
+
+@query("welch_interval", "I7")
+def _(v):
+    out = T.welch(v.trades, ["line"], "profit_ratio", F.col("status") == "O")
+    return rounded(out.select("line", "diff", "ci_lo", "ci_hi"), "diff", "ci_lo", "ci_hi")
 
 
 @query(
@@ -80,7 +114,17 @@ def _(v):
     return rounded(out.withColumn("u", r("u", 3)), "cliff_delta", "z")
 
 
-@query("mann_whitney_pvalue", "I8 K25")
+@query(
+    "mann_whitney_pvalue",
+    "I8 K25",
+    f"""WITH {TRADES}, k AS (SELECT line, status, profit_ratio, rank() OVER (PARTITION BY line ORDER BY profit_ratio) + (count(*) OVER (PARTITION BY line, profit_ratio) - 1) / 2.0 AS rk,
+         count(*) OVER (PARTITION BY line, profit_ratio) AS t FROM trades),
+      m AS (SELECT line, sum(rk) FILTER (status = 'O') AS ra, CAST(count(*) FILTER (status = 'O') AS DOUBLE) AS na, CAST(count(*) FILTER (status <> 'O') AS DOUBLE) AS nb, sum(CAST(t AS DOUBLE) * t - 1) AS tt, CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY 1),
+      u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u FROM m),
+      z AS (SELECT line, greatest(0, (greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sqrt(na * nb / 12 * ((n + 1) - tt / (n * (n - 1))))) AS z FROM u),
+      {_simpson('exp(-x * x / 2) / sqrt(2 * pi())', 'z', 'line', 'z', 'a')}
+      SELECT line, round(1 - 2 * area, 6) + 0.0 AS p FROM a""",
+)
 def _(v):
     return rounded(T.mann_whitney(v.trades, ["line"], "profit_ratio", F.col("status") == "O"), "p").select("line", "p")
 
@@ -94,7 +138,13 @@ def _(v):
     return rounded(T.sign_test(v.trades, ["pair"], "profit_ratio").drop("p"), "frac")
 
 
-@query("sign_test_pvalue", "I9")
+@query(
+    "sign_test_pvalue",
+    "I9",
+    f"""WITH {TRADES}, c AS (SELECT pair, count(*) FILTER (profit_ratio > 0) AS k, count(*) AS n FROM trades GROUP BY 1),
+      s AS (SELECT pair, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) AS low FROM (SELECT pair, k, n, unnest(range(0, least(k, n - k) + 1)) AS i FROM c) GROUP BY 1)
+      SELECT pair, k, n, round(k / n, 6) + 0.0 AS frac, round(CASE WHEN 2 * k = n THEN 1 ELSE least(1.0, 2 * low) END, 6) + 0.0 AS p FROM c JOIN s USING (pair)""",
+)
 def _(v):
     return rounded(T.sign_test(v.trades, ["pair"], "profit_ratio"), "frac", "p")
 
