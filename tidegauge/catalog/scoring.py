@@ -218,8 +218,8 @@ def _(v):
     f"""WITH {TICKS}, s AS (SELECT symbol, date_trunc('minute', ts) AS ts, sum(CASE WHEN buyer_maker THEN -1.0 ELSE 1.0 END * qty) AS sg, sum(qty) AS vol, arg_max(price, ts) AS px FROM ticks GROUP BY 1, 2),
       i AS (SELECT symbol, ts, px, sum(sg) OVER r / sum(vol) OVER r AS imb FROM s WINDOW r AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 119 MINUTE PRECEDING AND CURRENT ROW)),
       f AS (SELECT i.*, n.px / i.px - 1 AS ret FROM i ASOF JOIN s n ON n.symbol = i.symbol AND n.ts >= i.ts + INTERVAL 1 HOUR),
-      e AS (SELECT [quantile_cont(imb, 0.2), quantile_cont(imb, 0.4), quantile_cont(imb, 0.6), quantile_cont(imb, 0.8)] AS es FROM f)
-      SELECT CAST(len(list_filter(es, lambda x: x < imb)) AS BIGINT) AS bucket, count(*) AS n, round(avg(ret) * 1e4, 3) + 0.0 AS mean_bp FROM f, e GROUP BY 1""",
+      e AS (SELECT list_distinct([quantile_cont(imb, 0), quantile_cont(imb, 0.2), quantile_cont(imb, 0.4), quantile_cont(imb, 0.6), quantile_cont(imb, 0.8), quantile_cont(imb, 1)]) AS es FROM f)
+      SELECT CAST(greatest(0, len(list_filter(es, lambda x: x < imb)) - 1) AS BIGINT) AS bucket, count(*) AS n, round(avg(ret) * 1e4, 3) + 0.0 AS mean_bp FROM f, e GROUP BY 1""",
 )
 def _(v):
     from tidegauge.operators.orderflow import decay_table
