@@ -55,7 +55,8 @@ def _(v):
     "paired_t_and_dz",
     "I7 I6",
     f"""WITH {BARS}, p AS (SELECT a.symbol, a.high - a.close AS u, a.close - a.low AS d FROM bars a)
-      SELECT symbol, count(*) AS n_x, round(avg(u - d) / (stddev_samp(u - d) / sqrt(count(*))), 6) + 0.0 AS t, round(avg(u - d) / stddev_samp(u - d), 6) + 0.0 AS d FROM p GROUP BY 1""",
+      SELECT symbol, count(*) AS n_x, round(CASE WHEN stddev_samp(u - d) > 0 THEN avg(u - d) / (stddev_samp(u - d) / sqrt(count(*))) ELSE 0 END, 6) + 0.0 AS t,
+        round(CASE WHEN stddev_samp(u - d) > 0 THEN avg(u - d) / stddev_samp(u - d) ELSE 0 END, 6) + 0.0 AS d FROM p GROUP BY 1""",
 )
 def _(v):
     d = v.bars.select("symbol", (F.col("high") - F.col("close")).alias("u"), (F.col("close") - F.col("low")).alias("dn"))

@@ -77,8 +77,8 @@ def _rules(v):
 @query(
     "calendar_rule_backtest",
     "K11 H4 C3 I5 I7",
-    f"""WITH {RULES} SELECT rule, count(*) AS n, round(avg(net), 6) + 0.0 AS mean_net, round(avg(net) / stddev_samp(net) * sqrt(count(*) / 0.1), 6) + 0.0 AS theta,
-      round(avg(net) / (stddev_samp(net) / sqrt(count(*))), 6) + 0.0 AS t, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate FROM n GROUP BY 1""",
+    f"""WITH {RULES} SELECT rule, count(*) AS n, round(avg(net), 6) + 0.0 AS mean_net, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(count(*) / 0.1) ELSE 0 END, 6) + 0.0 AS theta,
+      round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / (stddev_samp(net) / sqrt(count(*))) ELSE 0 END, 6) + 0.0 AS t, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate FROM n GROUP BY 1""",
 )
 def _(v):
     out = study.calendar_rule_table(_rules(v), ["rule"], 0.1)
@@ -186,7 +186,7 @@ def _(v):
       reg AS (SELECT CAST(o_orderdate AS DATE) AS day, CASE WHEN avg(o_totalprice) > 252000 THEN 'bull' WHEN avg(o_totalprice) < 248000 THEN 'bear' ELSE 'sideways' END AS regime FROM orders GROUP BY 1),
       t AS (SELECT fold, coalesce(regime, 'out_of_window') AS regime, profit_abs, profit_ratio, CAST(close_date AS DATE) AS day FROM trades JOIN f ON close_date >= v1 AND close_date < t1 LEFT JOIN reg ON CAST(close_date AS DATE) = reg.day),
       s AS (SELECT fold, avg(r) / stddev_samp(r) * sqrt(365) AS sharpe FROM (SELECT fold, day, sum(profit_ratio) AS r FROM t GROUP BY 1, 2) GROUP BY 1),
-      g AS (SELECT fold, coalesce(regime, 'all') AS regime, count(*) AS n, sum(profit_abs) AS net, avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END) AS wr, sum(greatest(profit_abs, 0)) / sum(greatest(-profit_abs, 0)) AS pf
+      g AS (SELECT fold, coalesce(regime, 'all') AS regime, count(*) AS n, sum(profit_abs) AS net, avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END) AS wr, CASE WHEN sum(greatest(-profit_abs, 0)) > 0 THEN sum(greatest(profit_abs, 0)) / sum(greatest(-profit_abs, 0)) WHEN sum(greatest(profit_abs, 0)) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS pf
         FROM t GROUP BY GROUPING SETS ((fold, regime), (fold)))
       SELECT fold, regime, n, round(net, 4) + 0.0 AS net, round(wr, 6) + 0.0 AS win_rate, round(pf, 6) + 0.0 AS profit_factor, round(sharpe, 6) + 0.0 AS sharpe FROM g JOIN s USING (fold)""",
 )
