@@ -10,7 +10,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tidegauge.session import builder
 
-    s = builder("tests", cores="8").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    s = (
+        builder("tests", cores="8")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.codegen.wholeStage", "false")  # tiny tables: compiling costs more than it saves
+        .getOrCreate()
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

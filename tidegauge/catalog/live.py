@@ -138,13 +138,11 @@ def _(v):
     f"{ledger_sql(PLAIN, forced=False)} SELECT {COLUMNS} FROM led",
 )
 def _(v):
-    from tidegauge.operators.execution import LEDGER, VARIANTS, advance
+    from tidegauge.operators.execution import LEDGER, VARIANTS, advance, variant_rows
     from tidegauge.plans.stage import materialise
 
     # the studied variants ride on every bar, so the state key is (variant, symbol)
-    grid = F.explode(
-        F.array(*[F.struct(F.lit(a).alias("variant"), F.lit(h).alias("min_hold"), F.lit(c).alias("cooldown"), F.lit(b).alias("same_bar")) for a, _, _, h, c, b in VARIANTS])
-    )
+    grid = F.explode(variant_rows(VARIANTS))
     flat = materialise(
         v.bars.select("symbol", ms("ts").alias("ts_ms"), "high", "low", "close", (F.col("close") > 150).cast("int").alias("sig"), grid.alias("g")).select(
             "symbol", "ts_ms", "high", "low", "close", "sig", "g.*"

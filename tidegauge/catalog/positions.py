@@ -180,7 +180,7 @@ def _(v):
     f"{ledger_sql(HYSTERESIS, forced=True)} SELECT {COLUMNS} FROM led",
 )
 def _(v):
-    from tidegauge.operators.execution import simulate, variant_grid
+    from tidegauge.operators.execution import simulate
 
     d = v.bars.withColumn("proba", F.least(F.lit(1.0), (F.col("close") - 100) / 100))
-    return rounded(simulate(d, BAR_SERIES, variant_grid(v.spark)), "open_rate", "close_rate", "stake", "profit_abs")
+    return rounded(simulate(d, BAR_SERIES), "open_rate", "close_rate", "stake", "profit_abs")

@@ -227,10 +227,10 @@ def _(v):
 )
 def _(v):
     from tidegauge.operators import ledger
-    from tidegauge.operators.execution import simulate, variant_grid
+    from tidegauge.operators.execution import simulate
 
     d = v.bars.withColumn("proba", F.least(F.lit(1.0), (F.col("close") - 100) / 100))
-    t = simulate(d, BAR_SERIES, variant_grid(v.spark))
+    t = simulate(d, BAR_SERIES)
     t = t.withColumn("profit_ratio", F.col("profit_abs") / F.col("stake"))
     out = ledger.summary(t, ["variant"]).select("variant", "n", "net", "win_rate", "profit_factor")
     return rounded(out, "net", "win_rate", "profit_factor")

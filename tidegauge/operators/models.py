@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.scoring import top_premium
+from tidegauge.plans.single import attach
 from tidegauge.plans.stage import materialise
 
 
@@ -27,7 +28,7 @@ def fit_normaliser(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def normalise(df: DataFrame, fitted: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Apply a fitted one-row table (a global aggregate, so one row by construction)."""
-    out = df.join(F.broadcast(fitted))
+    out = attach(df, fitted)
     return out.withColumns({c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__sd") for c in cols}).drop(
         *[f"{c}__{k}" for c in cols for k in ("mean", "sd")]
     )
@@ -43,7 +44,7 @@ def balanced(train: DataFrame, label: str) -> DataFrame:
     """Class weights n / (2 * n_class)."""
     one = F.col(label) == 1
     share = train.agg(F.avg(one.cast("double")).alias("__p"))
-    return train.join(F.broadcast(share)).withColumn("weight", F.when(one, 0.5 / F.col("__p")).otherwise(0.5 / (1 - F.col("__p")))).drop("__p")
+    return attach(train, share).withColumn("weight", F.when(one, 0.5 / F.col("__p")).otherwise(0.5 / (1 - F.col("__p")))).drop("__p")
 
 
 def estimator(model: str, label: str, trees: int = 200, depth: int = 8, rounds: int = 500, seed: int = 42, classify: bool = True):
@@ -80,7 +81,7 @@ def fit_score(
 
 def base_rate(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """The trivial scorer: the training mean for every row."""
-    return test.join(F.broadcast(train.agg(F.avg(label).alias("score"))))
+    return attach(test, train.agg(F.avg(label).alias("score")))
 
 
 def walk_forward(df: DataFrame, folds: DataFrame, cols: Sequence[str], label: str, models: Sequence[str], **kw) -> DataFrame:

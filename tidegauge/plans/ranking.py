@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.plans.single import attach
 from tidegauge.session import shuffle_width
 
 BUCKET = "__bucket"
@@ -57,7 +58,7 @@ def bucketed(
 
     # two-step search: coarse cut points first, then the one fine run between them;
     # each step is a column of its own so that it is evaluated once per row
-    joined = df.join(cuts, group, "left") if group else df.crossJoin(F.broadcast(cuts))
+    joined = df.join(cuts, group, "left") if group else attach(df, cuts)
     joined = joined.withColumn("__jump", below(F.col("__coarse"), True) * grid)
     joined = joined.withColumn("__under", F.col("__jump") + below(F.slice("__cuts", F.col("__jump") + 1, F.lit(grid)), True))
     exact = F.coalesce(F.try_element_at("__cuts", (F.col("__under") + 1).cast("int")) == s, F.lit(False))
