@@ -25,7 +25,8 @@ def _ratios(v: Views) -> DataFrame:
         d = d.withColumns({"fast": w.sma(b, c, FAST), "slow": w.sma(b, c, SLOW)})
         return d.withColumn("action", F.when(F.col("fast") > F.col("slow"), 1).when(F.col("fast") < F.col("slow"), 2).otherwise(0))
 
-    signals = framed(v.bars.select("symbol", "ts", "close"), BAR_SERIES, build, back=SLOW).select("symbol", "ts", "close", "action")
+    bars = materialise(v.bars.select("symbol", "ts", "close"), "bars")
+    signals = materialise(framed(bars, BAR_SERIES, build, back=SLOW).select("symbol", "ts", "close", "action"), "signals")
     trades = P.ledger(P.track(signals, BAR_SERIES), BAR_SERIES, stake=START)
     closed = trades.select(
         "symbol", F.col("close_at").alias("close_date"), F.col("net").alias("profit_abs"), (F.col("net") / F.col("stake")).alias("profit_ratio")
