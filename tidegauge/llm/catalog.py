@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, exact_dedup, licences, mixing, sentencepieces, token_counts, topk, url_filter
+from tidegauge.llm import chat, exact_dedup, language, licences, mixing, sentencepieces, token_counts, topk, url_filter
 from tidegauge.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("licences", "unmatched")})
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_topk": op3_topk,
         "op5_licences": op5_licences,
+        "op6_language": op6_language,
         "op7_mixing": op7_mixing,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_chat": op9_chat,
