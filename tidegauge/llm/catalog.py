@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, exact_dedup, language, licences, mixing, sentencepieces, token_counts, topk, url_filter
+from tidegauge.llm import chat, exact_dedup, language, licences, mixing, near_dup, sentencepieces, token_counts, topk, url_filter
 from tidegauge.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("licences", "unmatched")})
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_topk": op3_topk,
+        "op4_near_dup": op4_near_dup,
         "op5_licences": op5_licences,
         "op6_language": op6_language,
         "op7_mixing": op7_mixing,

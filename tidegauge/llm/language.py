@@ -32,6 +32,7 @@ ROWS, PIECES = 400, 4
 MOST_LANGUAGES = 1000
 EPOCHS, BATCH, RATE = 5, 64, 0.02
 UNKNOWN = "und"
+PREDICTED, SCORE = "lang_pred", "score"
 
 
 def windows(raw: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +159,18 @@ def learn(docs: DataFrame, usable: Column, rows: int = ROWS, pieces: int = PIECE
     return fit(x, np.array([k for _, k in raw])[owner], languages, seed)
 
 
+def held_out(key: str) -> Column:
+    """crc32(id as text) mod 4 is 2; not so for a null id."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+
+def teaches(key: str) -> Column:
+    """Rows that the network may learn from: not held out, and with an id."""
+    return F.col(key).isNotNull() & ~held_out(key)
+
+
 def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: key, lang_pred, score; with ``keep``, these columns of the input as well."""
+    """One row per document: key, lang_pred, score; with ``keep``, these columns of the input (any names but those two) instead of the key."""
     prepare(docs.sparkSession)
     kept = keep or [key]
     rows = docs.select(*kept, F.coalesce(F.when(whole(column).rlike(r"\p{L}"), F.col(column)), F.lit("")).alias("__text"))
@@ -185,6 +196,5 @@ def identify(docs: DataFrame, key: str = "doc_id", column: str = "text", label:
 
     Held out are rows whose crc32(id as text) mod 4 is 2 (a null id is not held out, and teaches nothing).
     """
-    held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
-    network = learn(docs, F.col(key).isNotNull() & ~held_out, key=key, column=column, label=label)
-    return predict(docs, network, key, column).select(key, held_out.alias("held_out"), "lang_pred", "score")
+    network = learn(docs, teaches(key), key=key, column=column, label=label)
+    return predict(docs, network, key, column).select(key, held_out(key).alias("held_out"), PREDICTED, SCORE)
