@@ -12,7 +12,7 @@ columns of ``docs``.
 5. encode: ids of each text, decoded again; one row of digests for each row of the mix.
 
 Nulls in other columns pass through; empty tables give empty tables; repeated rows fall to one in the
-second stage; extra columns stay until the fourth stage, whatever their names (those beginning with ``__`` are ours).
+second stage; extra columns stay until the fourth stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidegauge.llm import exact_dedup, language, mixing, near_dup, sentencepieces  # noqa: E402
-from tidegauge.llm.common import table  # noqa: E402
+from tidegauge.llm.common import free, table  # noqa: E402
 from tidegauge.plans.stage import materialise  # noqa: E402
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = language.predict(docs, language.learn(docs, language.teaches("doc_id")), keep=docs.columns)
-    return told.filter(F.col(language.PREDICTED) != language.UNKNOWN).select(docs.columns)
+    told, score = free(docs, language.PREDICTED, language.SCORE)
+    rows = language.predict(docs, language.learn(docs, language.teaches("doc_id")), keep=docs.columns, names=(told, score))
+    return rows.filter(F.col(told) != language.UNKNOWN).select(docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.size("draws")).alias("__times")).filter("__times > 0")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    own, times, time = free(docs, "__id", "__times", "__time")
+    drawn = mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max(F.size("draws")).alias(times)).filter(F.col(times) > 0)
+    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(own)))
+    return rows.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import BLANK, Stored, texts, whole
+from tidegauge.llm.common import BLANK, Stored, free, texts, whole
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 TRIE_BYTES = 96 << 20
@@ -98,13 +98,18 @@ class Trie:
         file = tempfile.NamedTemporaryFile(dir=folder, delete=False)
         for entry in self.entries(child):
             pickle.dump(entry, file)
+        for name in self.files(child):  # what was spilled further down goes along
+            for entry in read(name):
+                pickle.dump(entry, file)
+            os.unlink(name)
         child[BELOW], child[OWNER], child[FILE] = {}, None, file
         # the child keeps only the bytes that lead to it
         child[TEXT] = child[TEXT][: child[END]]
         self.held -= weights[child[TEXT][child[START]]]
 
-    def files(self) -> list[str]:
-        out, todo = [], [self.root]
+    def files(self, node=None) -> list[str]:
+        """Files of the subtrees below a node that were spilled, closed."""
+        out, todo = [], [node or self.root]
         while todo:
             node = todo.pop()
             if node[FILE] is not None:
@@ -222,13 +227,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", budg
 
 def keep_first(docs: DataFrame, key: str = "doc_id", column: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
     """The documents that stay, one of each group, with all their columns; of rows equal in id and length any one."""
-    found = groups(docs, key, column, budget).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__stays"), "twins")
+    text, keep, stays_text, twins = free(docs, "__text", "__keep", "__stays", "__twins")
+    found = groups(docs, key, column, budget).select(F.col("keep_id").alias(keep), F.col("text_sha256").alias(stays_text), F.col("twins").alias(twins))
     stays = Stored(docs, "exact-dedup").put(found)  # an id and a digest for each distinct text
-    marked = docs.withColumn("__text", digest(column))
-    kept = marked.join(stays, (F.col("__text") == F.col("__stays")) & F.col(key).eqNullSafe(F.col("__keep")), "left_semi")
-    if not stays.filter("twins > 1").isEmpty():
-        kept = kept.dropDuplicates([key, "__text"])
-    return kept.drop("__text")
+    marked = docs.withColumn(text, digest(column))
+    kept = marked.join(stays, (F.col(text) == F.col(stays_text)) & F.col(key).eqNullSafe(F.col(keep)), "left_semi")
+    if not stays.filter(F.col(twins) > 1).isEmpty():
+        kept = kept.dropDuplicates([key, text])
+    return kept.drop(text)
 
 
 SQL = r"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import texts, whole
+from tidegauge.llm.common import free, texts, whole
 from tidegauge.session import prepare
 
 WINDOW = 256
@@ -169,24 +169,25 @@ def teaches(key: str) -> Column:
     return F.col(key).isNotNull() & ~held_out(key)
 
 
-def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: key, lang_pred, score; with ``keep``, these columns of the input (any names but those two) instead of the key."""
+def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", column: str = "text", keep: list[str] | None = None, names: tuple[str, str] = (PREDICTED, SCORE)) -> DataFrame:
+    """One row per document: key, lang_pred, score (or other ``names``); with ``keep``, these columns of the input instead of the key."""
     prepare(docs.sparkSession)
     kept = keep or [key]
-    rows = docs.select(*kept, F.coalesce(F.when(whole(column).rlike(r"\p{L}"), F.col(column)), F.lit("")).alias("__text"))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    (text,) = free(docs, "__text")
+    rows = docs.select(*kept, F.coalesce(F.when(whole(column).rlike(r"\p{L}"), F.col(column)), F.lit("")).alias(text))
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches):
         for batch in batches:
-            for part, own in texts(batch, "__text"):
+            for part, own in texts(batch, text):
                 if network is None:
-                    names, scores = [UNKNOWN] * len(own), [0.0] * len(own)
+                    told, scores = [UNKNOWN] * len(own), [0.0] * len(own)
                 else:
                     p = network.texts([t.encode() for t in own])
                     best = p.argmax(1)
-                    names = [network.languages[b] if t else UNKNOWN for b, t in zip(best.tolist(), own)]
+                    told = [network.languages[b] if t else UNKNOWN for b, t in zip(best.tolist(), own)]
                     scores = [s if t else 0.0 for s, t in zip(p[np.arange(len(own)), best].tolist(), own)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(told, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
     return rows.mapInArrow(run, schema)
 
