@@ -44,7 +44,7 @@ def _(v):
     "D5",
     f"""WITH {TICKS} SELECT symbol, epoch_ms(date_trunc('second', ts)) AS ts_ms,
         round(sum(CASE WHEN buyer_maker THEN -1.0 ELSE 1.0 END * qty * price), 4) + 0.0 AS signed,
-        round(sum(qty * price), 4) + 0.0 AS vol, arg_max(price, ts) AS px, count(*) AS n FROM ticks GROUP BY 1, 2""",
+        round(sum(qty * price), 4) + 0.0 AS vol, arg_max(price, (ts, agg_id)) AS px, count(*) AS n FROM ticks GROUP BY 1, 2""",
 )
 def _(v):
     out = bars.second_bars(v.ticks).select("symbol", ms("ts").alias("ts_ms"), "signed", "vol", "px", "n")

@@ -64,8 +64,8 @@ TICKS = """ticks AS (
 
 BARS = TICKS + """,
 bars AS (
-  SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
-         arg_max(price, ts) AS close, sum(qty) AS volume
+  SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, (ts, agg_id)) AS open, max(price) AS high, min(price) AS low,
+         arg_max(price, (ts, agg_id)) AS close, sum(qty) AS volume
   FROM ticks GROUP BY ALL),
 nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM bars)"""
 

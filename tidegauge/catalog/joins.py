@@ -134,8 +134,8 @@ def _(v):
     "day_regime_lookup_default",
     "C12 B19",
     f"""WITH {TRADES}, reg AS (SELECT CAST(o_orderdate AS DATE) AS day, CASE WHEN avg(o_totalprice) > 252000 THEN 'bull_high_vol'
-          WHEN avg(o_totalprice) < 248000 THEN 'bear' ELSE 'sideways' END AS regime FROM orders GROUP BY 1)
-      SELECT coalesce(regime, 'out_of_window') AS regime, split_part(coalesce(regime, 'out_of_window'), '_high', 1) AS bucket,
+          WHEN avg(o_totalprice) < 248000 THEN 'bear_high_vol' WHEN avg(o_totalprice) > 250000 THEN 'sideways_high_vol' ELSE 'sideways' END AS regime FROM orders GROUP BY 1)
+      SELECT coalesce(regime, 'out_of_window') AS regime, CASE WHEN regime LIKE 'b%' THEN split_part(regime, '_high', 1) ELSE coalesce(regime, 'out_of_window') END AS bucket,
         count(*) AS n, round(sum(profit_abs), 4) + 0.0 AS pnl FROM trades LEFT JOIN reg ON CAST(close_date AS DATE) = day GROUP BY 1, 2""",
 )
 def _(v):
@@ -143,7 +143,7 @@ def _(v):
 
     mean = F.avg("o_totalprice")
     reg = v.table("orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(
-        F.when(mean > 252000, "bull_high_vol").when(mean < 248000, "bear").otherwise("sideways").alias("regime")
+        F.when(mean > 252000, "bull_high_vol").when(mean < 248000, "bear_high_vol").when(mean > 250000, "sideways_high_vol").otherwise("sideways").alias("regime")
     )
     t = v.trades.select(F.to_date("close_date").alias("day"), "profit_abs")
     out = joins.lookup(t, reg, ["day"], {"regime": "out_of_window"})
@@ -280,8 +280,9 @@ def _(v):
     "C26 C28",
     f"""WITH {TRADES}, a AS (SELECT pair, avg(date_diff('day', open_date, close_date)) AS expo, avg(profit_ratio) AS net FROM trades GROUP BY 1),
       b AS (SELECT l_shipdate_year AS bench, avg(expo) AS expo, avg(net) AS net FROM (SELECT year(close_date) AS l_shipdate_year,
-          date_diff('day', open_date, close_date) AS expo, profit_ratio AS net FROM trades) GROUP BY 1)
-      SELECT pair, arg_min(bench, round(abs(a.expo - b.expo), 9)) AS nearest, bool_or(b.expo <= a.expo AND b.net >= a.net) AS dominated
+          date_diff('day', open_date, close_date) AS expo, profit_ratio AS net FROM trades) GROUP BY 1
+        UNION ALL SELECT 3000, max(expo), max_by(net, expo) FROM a)
+      SELECT pair, arg_min(bench, round(abs(a.expo - b.expo), 9)) AS nearest, bool_or(b.expo <= a.expo + 1e-9 AND b.net >= a.net - 1e-9 AND NOT (abs(b.expo - a.expo) < 1e-9 AND abs(b.net - a.net) < 1e-9)) AS dominated
       FROM a CROSS JOIN b GROUP BY 1""",
 )
 def _(v):
@@ -290,6 +291,8 @@ def _(v):
     t = v.trades.withColumn("expo", F.datediff("close_date", "open_date"))
     a = t.groupBy("pair").agg(F.avg("expo").alias("expo"), F.avg("profit_ratio").alias("net"))
     b = t.groupBy(F.year("close_date").cast("long").alias("bench")).agg(F.avg("expo").alias("expo"), F.avg("profit_ratio").alias("net"))
+    # one benchmark is identical to a run, which it must not dominate
+    b = b.unionByName(a.agg(F.lit(3000).cast("long").alias("bench"), F.max("expo").alias("expo"), F.max_by("net", "expo").alias("net")))
     return nearest_benchmark(a, b, "pair", "bench", "expo").join(dominance(a, b, "pair", "expo", "net"), "pair")
 
 

@@ -211,11 +211,11 @@ def _(v):
     "best_group_by_metric",
     "F5 F7",
     f"""WITH {TRADES}, g AS (SELECT line, pair, avg(profit_ratio) AS m FROM trades GROUP BY 1, 2)
-      SELECT line, arg_max(pair, m) AS best_pair, round(max(m), 7) + 0.0 AS best FROM g GROUP BY 1""",
+      SELECT line, arg_min(pair, (-round(m, 9), pair)) AS best_pair, round(max(m), 7) + 0.0 AS best FROM g GROUP BY 1""",
 )
 def _(v):
     g = v.trades.groupBy("line", "pair").agg(F.avg("profit_ratio").alias("m"))
-    return g.groupBy("line").agg(F.max_by("pair", "m").alias("best_pair"), r(F.max("m"), 7).alias("best"))
+    return g.groupBy("line").agg(F.min_by("pair", F.struct(-F.round("m", 9), "pair")).alias("best_pair"), r(F.max("m"), 7).alias("best"))
 
 
 @query(

@@ -169,7 +169,7 @@ def _(v):
 @query("power_table", "I11 I6")
 def _(v):
     e = T.one_sample_t(v.scores, ["cell"], F.col("fwd"), 0.003)
-    out = T.power_table(e.withColumn("n", F.least(F.col("n_x"), F.lit(400))), ["cell"], "d", "n")
+    out = T.power_table(e.withColumn("n", F.col("n_x")), ["cell"], "d", "n")
     return rounded(out, "d", "power_two_sample", "power_one_sample")
 
 

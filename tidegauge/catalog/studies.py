@@ -212,7 +212,7 @@ def _(v):
         WINDOW a AS (PARTITION BY symbol, length ORDER BY ts ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY symbol, length ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), c AS (PARTITION BY symbol, length ORDER BY ts ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING)),
       z AS (SELECT symbol, length, ts, ret, coalesce(last_value(CASE WHEN close >= up THEN 1 WHEN close <= dn THEN 0 END IGNORE NULLS) OVER w, 0) AS pos FROM y WINDOW w AS (PARTITION BY symbol, length ORDER BY ts)),
       q AS (SELECT *, abs(pos - coalesce(lag(pos) OVER w, 0)) AS turn FROM z WINDOW w AS (PARTITION BY symbol, length ORDER BY ts)),
-      m AS (SELECT symbol, length, CAST(cost AS DOUBLE) AS cost, week(ts) AS p, sum(pos * coalesce(ret, 0) - turn * cost) AS net FROM q, (SELECT unnest([0.001, 0.003, 0.005]) AS cost) GROUP BY 1, 2, 3, 4)
+      m AS (SELECT symbol, length, CAST(cost AS DOUBLE) AS cost, date_trunc('month', ts) AS p, sum(pos * coalesce(ret, 0) - turn * cost) AS net FROM q, (SELECT unnest([0.001, 0.003, 0.005]) AS cost) GROUP BY 1, 2, 3, 4)
       SELECT length, cost, count(*) AS periods, count(*) FILTER (net > 0) AS positive, round(avg(net), 6) + 0.0 AS mean_net FROM m GROUP BY 1, 2""",
 )
 def _(v):

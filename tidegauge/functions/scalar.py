@@ -44,13 +44,13 @@ def base_currency(pair: Column) -> Column:
     return F.split(pair, "/")[0]
 
 
+TRENDS = ("bull", "bear")  # fixed values: regimes whose volatility suffix is left out; all others stay apart
+
+
 def collapse_regime(regime: Column) -> Column:
-    return (
-        F.when(regime.startswith("bull"), "bull")
-        .when(regime.startswith("bear"), "bear")
-        .when(regime.startswith("sideways"), "sideways")
-        .otherwise(regime)
-    )
+    """Bull and bear regimes of any volatility as one each."""
+    trend = F.split(regime, "_")[0]
+    return F.when(trend.isin(*TRENDS), trend).otherwise(regime)
 
 
 # ---- guards -----------------------------------------------------------------

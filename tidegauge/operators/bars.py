@@ -16,14 +16,14 @@ def bucket(ts: Column | str, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(col) / F.lit(seconds)) * seconds)
 
 
-def ohlcv(ticks: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), label: str = "start") -> DataFrame:
-    """Trade prints to bars.  First and last price by time; one hash aggregation."""
-    start = bucket("ts", seconds)
+def ohlcv(ticks: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), label: str = "start", ties: Sequence[str] = ("agg_id",)) -> DataFrame:
+    """Trade prints to bars.  First and last price by time, then by the tie columns; one hash aggregation."""
+    start, order = bucket("ts", seconds), F.struct("ts", *ties)
     out = ticks.groupBy(*keys, start.alias("ts")).agg(
-        F.min_by("price", F.col("ts")).alias("open"),
+        F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", F.col("ts")).alias("close"),
+        F.max_by("price", order).alias("close"),
         F.sum("qty").alias("volume"),
     )
     return _labelled(out, seconds, label)
@@ -41,8 +41,8 @@ def resample_complete(bars: DataFrame, step: int, seconds: int, keys: Sequence[s
     offset = F.unix_seconds("ts") % seconds
     out = bars.groupBy(*keys, bucket("ts", seconds).alias("ts")).agg(
         *_ohlcv_parts(),
-        # one bit per slot seen: a fixed-size buffer, merged map-side (up to 64 slots)
-        F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (offset / step).cast("int")))).alias("__slots"),
+        # the slots seen: at most seconds / step of them, merged map-side
+        F.size(F.collect_set((offset / step).cast("int"))).alias("__slots"),
         F.max((offset % step != 0).cast("int")).alias("__off"),
     )
     return out.filter((F.col("__slots") == slots) & (F.col("__off") == 0)).drop("__slots", "__off")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA, EDGE_MIN, AUC_MIN, IC_MIN, D_MIN, POWER_MIN = 0.05, 1.2, 0.55, 0.01, 0.30, 0.80  # fixed gate bounds
+TOLERANCE = 1e-9
 
 
 def nearest_benchmark(runs: DataFrame, benches: DataFrame, run: str, bench: str, value: str) -> DataFrame:
@@ -32,17 +33,18 @@ def nearest_benchmark(runs: DataFrame, benches: DataFrame, run: str, bench: str,
 
 
 def dominance(runs: DataFrame, benches: DataFrame, run: str, exposure: str, net: str) -> DataFrame:
-    """True where some benchmark has no more exposure and no less net result.
+    """True where some benchmark has no more exposure and no less net result, and is better in one of them.
 
-    Benchmarks are ordered by exposure once; the running best net answers it.
+    Differences below ``TOLERANCE`` do not count, so an identical benchmark dominates nothing.  Each run asks for
+    the best net result at clearly less exposure, which must not be clearly worse, and at no more exposure,
+    which must be clearly better; the running best net in order of exposure answers both.
     """
     marks = benches.select(F.col(exposure).alias("__e"), F.col(net).alias("__n"), F.lit(0).alias("__o"))
-    both = runs.select(run, F.col(exposure).alias("__e"), F.col(net).alias("__net"), F.lit(1).alias("__o")).unionByName(
-        marks, allowMissingColumns=True
-    )
+    asked = F.explode(F.array(*[F.struct((F.col(exposure) + side * TOLERANCE).alias("e"), (F.col(net) + side * TOLERANCE).alias("need")) for side in (-1, 1)]))
+    probes = runs.select(run, asked.alias("q")).select(run, F.col("q.e").alias("__e"), F.col("q.need").alias("__need"), F.lit(1).alias("__o"))
     w = Window.orderBy("__e", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    best = both.withColumn("__best", F.max("__n").over(w)).filter(F.col("__o") == 1)
-    return best.select(run, F.coalesce(F.col("__best") >= F.col("__net"), F.lit(False)).alias("dominated"))
+    best = probes.unionByName(marks, allowMissingColumns=True).withColumn("__best", F.max("__n").over(w)).filter(F.col("__o") == 1)
+    return best.groupBy(run).agg(F.coalesce(F.bool_or(F.col("__best") >= F.col("__need")), F.lit(False)).alias("dominated"))
 
 
 def cell_support(auc: Column, r2: Column, ic: Column, tau: Column) -> Column:

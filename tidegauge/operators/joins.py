@@ -111,9 +111,8 @@ def require_complete(df: DataFrame, cols: Sequence[str], what: str) -> DataFrame
     ok = F.lit(True)
     for c in cols:
         ok = ok & F.col(c).isNotNull()
-    first = cols[0]
-    checked = F.when(ok, F.col(first)).otherwise(F.raise_error(F.lit(f"missing {what}")))
-    return df.withColumn(first, checked)
+    said = F.raise_error(F.lit(f"missing {what}")).cast("boolean")
+    return df.filter(F.when(ok, True).otherwise(said))  # a filter: column pruning cannot drop it
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], defaults: dict[str, Column | str]) -> DataFrame:

@@ -47,18 +47,18 @@ def balanced(train: DataFrame, label: str) -> DataFrame:
     return attach(train, share).withColumn("weight", F.when(one, 0.5 / F.col("__p")).otherwise(0.5 / (1 - F.col("__p")))).drop("__p")
 
 
-def estimator(model: str, label: str, trees: int = 200, depth: int = 8, rounds: int = 500, seed: int = 42, classify: bool = True):
-    """Model families: M1 linear, M2 forest, M3 boosting."""
+def estimator(model: str, label: str, trees: int = 200, depth: int = 8, rounds: int = 500, seed: int = 42, classify: bool = True, rows: int = 1):
+    """Model families: M1 linear (published penalties 1 and C = 1 are sums over rows, here means: 1 / rows), M2 forest, M3 boosting."""
     common = {"featuresCol": "features", "labelCol": label}
     if model == "M1":
-        return LogisticRegression(weightCol="weight", **common) if classify else LinearRegression(elasticNetParam=0.0, regParam=1.0, **common)
+        return LogisticRegression(weightCol="weight", regParam=1 / rows, **common) if classify else LinearRegression(elasticNetParam=0.0, regParam=1 / rows, **common)
     if model == "M2":
         kind = RandomForestClassifier if classify else RandomForestRegressor
-        extra = {"weightCol": "weight"} if classify else {}
+        extra = {"weightCol": "weight"} if classify else {"featureSubsetStrategy": "all"}
         return kind(numTrees=trees, maxDepth=depth, minInstancesPerNode=50, seed=seed, **extra, **common)
     if model == "M3":
         kind = GBTClassifier if classify else GBTRegressor
-        return kind(maxIter=rounds, stepSize=0.05, seed=seed, **common)
+        return kind(maxIter=rounds, stepSize=0.05, subsamplingRate=0.8, seed=seed, **common)
     raise ValueError(f"unknown model {model}")
 
 
@@ -66,17 +66,21 @@ def fit_score(
     train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, model: str, classify: bool = True, **kw
 ) -> DataFrame:
     """Scores of test rows; classifiers always give the probability of class 1."""
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="raw_features", handleInvalid="skip")]
+    stages = [VectorAssembler(inputCols=list(cols), outputCol="raw_features", handleInvalid="keep")]
     if model == "M1":
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
     else:
         stages[0].setOutputCol("features")
-    fitted = Pipeline(stages=[*stages, estimator(model, label, classify=classify, **kw)]).fit(
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull()
+    train = train.filter(known & F.col(label).isNotNull())
+    fitted = Pipeline(stages=[*stages, estimator(model, label, classify=classify, rows=max(1, train.count()), **kw)]).fit(
         balanced(train, label) if classify else train
     )
     out = fitted.transform(test)
     score = vector_to_array("probability")[1] if classify else F.col("prediction")
-    return out.withColumn("score", score).select(*test.columns, "score")
+    return out.withColumn("score", F.when(known, score)).select(*test.columns, "score")  # rows with a missing feature stay, without a score
 
 
 def base_rate(train: DataFrame, test: DataFrame, label: str) -> DataFrame:

@@ -116,8 +116,8 @@ def guard_protected(df: DataFrame, ts: str, bounds: Sequence[tuple[str, str, str
     bad = F.lit(False)
     for _, a, b in bounds:
         bad = bad | F.col(ts).between(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp"))
-    checked = F.when(~bad, F.col(ts)).otherwise(F.raise_error(F.concat(F.lit("protected row at "), F.col(ts).cast("string"))))
-    return df.withColumn(ts, checked)
+    said = F.raise_error(F.concat(F.lit("protected row at "), F.col(ts).cast("string"))).cast("boolean")
+    return df.filter(F.when(bad, said).otherwise(True))  # a filter: column pruning cannot drop it
 
 
 def label_bound(ts: Column, start: Column, end: Column, horizon: int, step: int) -> Column:

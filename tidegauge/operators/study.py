@@ -104,7 +104,7 @@ def channel_variants(bars: DataFrame, s: Series, lengths: Sequence[int], costs:
     held = framed(held, v, lambda d, b: d.withColumn("turn", F.abs(F.col("in_market") - F.coalesce(F.lag("in_market").over(b.w), F.lit(0)))), back=1)
     priced = held.withColumn("cost", F.explode(F.array(*[F.lit(x) for x in costs])))
     net = F.col("in_market") * F.coalesce("ret", F.lit(0.0)) - F.col("turn") * F.col("cost")
-    monthly = priced.groupBy(*s.keys, "length", "cost", F.weekofyear(s.ts).alias("period")).agg(F.sum(net).alias("net"))
+    monthly = priced.groupBy(*s.keys, "length", "cost", F.date_trunc("month", s.ts).alias("period")).agg(F.sum(net).alias("net"))
     return monthly.groupBy("length", "cost").agg(
         F.count(F.lit(1)).alias("periods"), F.count_if(F.col("net") > 0).alias("positive"), F.avg("net").alias("mean_net")
     )

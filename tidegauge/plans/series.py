@@ -59,8 +59,20 @@ class Series:
         return replace(self, reverse=not self.reverse)
 
 
+def _chunked(df: DataFrame, s: Series) -> DataFrame:
+    """Rows with their chunk.  A row without a key or a time has no place in a series: it stops the job.
+
+    The check is a filter, so no plan can prune it.
+    """
+    missing = F.col(s.ts).isNull()
+    for k in s.keys:
+        missing = missing | F.col(k).isNull()
+    said = F.raise_error(F.lit(f"a row without {', '.join(s.keys)} or {s.ts} has no place in a series; filter such rows first")).cast("boolean")
+    return df.filter(F.when(missing, said).otherwise(True)).withColumn(CHUNK, s.chunk())
+
+
 def _match(left: DataFrame, right: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    """Left join on null-safe keys; Spark sizes the small side at run time."""
+    """Left join on keys that are never null here; Spark sizes the small side at run time."""
     return left.join(right, list(cols), "left")
 
 
@@ -71,7 +83,7 @@ def number_rows(df: DataFrame, s: Series, out: str = POS, total: str | None = No
     """Exact 0-based position of every row within its key."""
     if out in df.columns:
         raise ValueError(f"column {out} is taken; rename it before numbering rows")
-    chunked = df.withColumn(CHUNK, s.chunk())
+    chunked = _chunked(df, s)
     counts = chunked.groupBy(*s.keys, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(s.across().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cols = [before.alias("__before")]
@@ -114,7 +126,7 @@ def running(
     ``inclusive=False`` for all, leaves the current row out.  All parts share
     one summary and one local pass, so ask for them together.
     """
-    chunked = df.withColumn(CHUNK, s.chunk())
+    chunked = _chunked(df, s)
     wanted = list(dict.fromkeys((p[0], p[1]) for p in parts.values()))
     aggs = []
     for i, (kind, col) in enumerate(wanted):
@@ -153,7 +165,7 @@ def running_equity(df: DataFrame, s: Series, pnl: str, start: float | None = Non
     at least ``start``.
     """
     base = 0.0 if start is None else start
-    local = df.withColumn(CHUNK, s.chunk()).withColumn("__e", F.sum(F.coalesce(pnl, F.lit(0.0))).over(_upto(s)))
+    local = _chunked(df, s).withColumn("__e", F.sum(F.coalesce(pnl, F.lit(0.0))).over(_upto(s)))
     summary = local.groupBy(*s.keys, CHUNK).agg(F.sum(F.coalesce(pnl, F.lit(0.0))).alias("__s"), F.max("__e").alias("__m"))
     prior = s.across().rowsBetween(Window.unboundedPreceding, -1)
     lifted = summary.withColumn("__b", F.coalesce(F.sum("__s").over(prior), F.lit(0.0)))

@@ -15,8 +15,11 @@ from pyspark.sql.types import StructType
 from tidegauge.session import checkpoint_root
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def read_files(spark: SparkSession, path: str, schema: StructType, glob: str | None = "*.parquet", per_trigger: int | None = None) -> DataFrame:
+    """Files of a table as a stream; ``path`` is its folder, or the file of a table of one."""
+    reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.parquet(path)
@@ -24,12 +27,12 @@ def read_files(spark: SparkSession, path: str, schema: StructType, glob: str = "
 
 def closed_bars(ticks: DataFrame, seconds: int, delay: str) -> DataFrame:
     """Bars emitted once their window is closed by the watermark; the open one never appears."""
-    w = F.window("ts", f"{seconds} seconds")
+    w, order = F.window("ts", f"{seconds} seconds"), F.struct("ts", "agg_id")
     out = ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(
-        F.min_by("price", F.col("ts")).alias("open"),
+        F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", F.col("ts")).alias("close"),
+        F.max_by("price", order).alias("close"),
         F.sum("qty").alias("volume"),
     )
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
@@ -45,7 +48,7 @@ def complete_bars(bars: DataFrame, step: int, seconds: int, delay: str) -> DataF
         F.min("low").alias("low"),
         F.max_by("close", F.col("ts")).alias("close"),
         F.sum("volume").alias("volume"),
-        F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot))).alias("slots"),
+        F.size(F.collect_set(slot)).alias("slots"),
     )
     return out.filter(F.col("slots") == seconds // step).select(
         "symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume"
