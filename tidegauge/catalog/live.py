@@ -1,4 +1,4 @@
-"""Streaming rules: L1-L9.  Each query drains the event files through a stream."""
+"""Streaming rules: L1-L7 and L9.  Each query drains the event files through a stream."""
 
 from __future__ import annotations
 
@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog.accounts import CORE, EQ, LOCK
 from tidegauge.catalog.base import BARS, SETTLEMENTS, TICKS, TRADES, ms, query, r, rounded
-from tidegauge.catalog.simsql import COLUMNS, PLAIN, ledger_sql
 from tidegauge.session import checkpoint_root
 from tidegauge.streaming import live
 from tidegauge.streaming.state import AccountStep, latest_settlement, stateful
 
 
 def _events(v):
+    """The events table as a stream, be it a file or a folder of files."""
     schema = v.table("events").schema
-    return live.read_files(v.spark, v.path, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.read_files(v.spark, f"{v.path}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _symbol():
@@ -132,29 +132,6 @@ def _(v):
     return rounded(done.select("pair", "ts_ms", "high_water", "locked", "reserve"), "high_water", "locked", "reserve")
 
 
-@query(
-    "stream_cooldown_ledger",
-    "L8 E37",
-    f"{ledger_sql(PLAIN, forced=False)} SELECT {COLUMNS} FROM led",
-)
-def _(v):
-    from tidegauge.operators.execution import LEDGER, VARIANTS, advance, variant_rows
-    from tidegauge.plans.stage import materialise
-
-    # the studied variants ride on every bar, so the state key is (variant, symbol)
-    grid = F.explode(variant_rows(VARIANTS))
-    flat = materialise(
-        v.bars.select("symbol", ms("ts").alias("ts_ms"), "high", "low", "close", (F.col("close") > 150).cast("int").alias("sig"), grid.alias("g")).select(
-            "symbol", "ts_ms", "high", "low", "close", "sig", "g.*"
-        ),
-        "signals",
-    )
-    path = flat.inputFiles()[0].rsplit("/", 1)[0]
-    out = stateful(live.read_files(v.spark, path, flat.schema), ["variant", "symbol"], ["ts_ms"], advance, LEDGER)
-    done, _ = live.drain(out, "cooldown")
-    return rounded(done, "open_rate", "close_rate", "stake", "profit_abs")
-
-
 @query(
     "stream_decision_log_sink",
     "L9 A13",

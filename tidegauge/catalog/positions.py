@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import ACTIONS, BARS, TICKS, ms, query, r, rounded
-from tidegauge.catalog.simsql import COLUMNS, HYSTERESIS, ledger_sql
 from tidegauge.operators import positions as P
 from tidegauge.sources.views import BAR_SERIES
 
@@ -172,15 +171,3 @@ def _(v):
     return t.groupBy("symbol", "kind", "regime").agg(
         F.count(F.lit(1)).alias("n"), F.count("r12").alias("n_h12"), r(F.avg("r12")).alias("mean_r12")
     )
-
-
-@query(
-    "min_hold_cooldown_ledger",
-    "E37 K20 C22",
-    f"{ledger_sql(HYSTERESIS, forced=True)} SELECT {COLUMNS} FROM led",
-)
-def _(v):
-    from tidegauge.operators.execution import simulate
-
-    d = v.bars.withColumn("proba", F.least(F.lit(1.0), (F.col("close") - 100) / 100))
-    return rounded(simulate(d, BAR_SERIES), "open_rate", "close_rate", "stake", "profit_abs")

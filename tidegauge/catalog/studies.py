@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import BARS, SCORES, TRADES, ms, query, r, rounded
-from tidegauge.catalog.simsql import HYSTERESIS, ledger_sql
 from tidegauge.operators import gates, reconcile, study
 from tidegauge.sources.views import BAR_SERIES
 
@@ -219,23 +218,6 @@ def _(v):
     return rounded(study.channel_variants(v.bars, BAR_SERIES, (19, 24, 29), (0.001, 0.003, 0.005)), "mean_net")
 
 
-@query(
-    "execution_variant_summary",
-    "K20 D7 E37 D31",
-    f"""{ledger_sql(HYSTERESIS, forced=True)} SELECT variant, count(*) AS n, round(sum(profit_abs), 6) + 0.0 AS net, round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
-      round(sum(greatest(profit_abs, 0)) / sum(greatest(-profit_abs, 0)), 6) + 0.0 AS profit_factor FROM led GROUP BY 1""",
-)
-def _(v):
-    from tidegauge.operators import ledger
-    from tidegauge.operators.execution import simulate
-
-    d = v.bars.withColumn("proba", F.least(F.lit(1.0), (F.col("close") - 100) / 100))
-    t = simulate(d, BAR_SERIES)
-    t = t.withColumn("profit_ratio", F.col("profit_abs") / F.col("stake"))
-    out = ledger.summary(t, ["variant"]).select("variant", "n", "net", "win_rate", "profit_factor")
-    return rounded(out, "net", "win_rate", "profit_factor")
-
-
 @query(
     "churn_flips_and_stay",
     "D19 E39",

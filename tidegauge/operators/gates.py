@@ -88,32 +88,37 @@ def direction_consistency(runs: DataFrame, group: list[str], pss: str, need: flo
     )
 
 
+INVALID_SHARE, USUAL_TURNOVER, TURNOVER_TIMES = 0.01, 86.7, 3  # fixed values: bounds of a run's checks
+
+
+def _run_rules() -> dict[str, dict[str, Column]]:
+    """Name of each finding and when it holds, by severity."""
+    c = F.col
+    per_day, idle = c("trades") / F.greatest(c("days"), F.lit(1.0)), (c("buys") == 0) & (c("sells") == 0)
+    return {
+        "hard_fails": {
+            "nan_reward": c("nan_reward"),
+            "bankrupt": c("bankrupt"),
+            "invalid_rate": c("invalid") > INVALID_SHARE * F.greatest(c("steps"), F.lit(1)),
+            "constant_observation": c("obs_var") == 0,
+        },
+        "warnings": {
+            "zero_trade": c("trades") == 0,
+            "only_hold": idle,
+            "no_sell": ~idle & (c("sells") == 0),
+            "excessive_turnover": per_day > TURNOVER_TIMES * USUAL_TURNOVER,
+            "fee_above_gross": (c("gross") > 0) & (c("fees") > c("gross")),
+        },
+    }
+
+
 def run_checks(df: DataFrame) -> DataFrame:
     """Hard failures and warnings of run records, as two text arrays and a verdict.
 
     Needs: steps, trades, buys, sells, invalid, days, fees, gross, nan_reward, bankrupt, obs_var.
     """
-    c = F.col
-    steps = F.greatest(c("steps"), F.lit(1))
-    hard = F.array_compact(
-        F.array(
-            F.when(c("nan_reward"), "nan_reward"),
-            F.when(c("bankrupt"), "bankrupt"),
-            F.when(c("invalid") / steps > 0.01, "invalid_rate"),
-            F.when(c("obs_var") == 0, "constant_observation"),
-        )
-    )
-    soft = F.array_compact(
-        F.array(
-            F.when(c("trades") == 0, "zero_trade"),
-            F.when((c("buys") == 0) & (c("sells") == 0), "only_hold"),
-            F.when((c("buys") > 0) & (c("sells") == 0), "no_sell"),
-            F.when(c("trades") / F.greatest(c("days"), F.lit(1.0)) > 3 * 86.7, "excessive_turnover"),
-            F.when((c("gross") > 0) & (c("fees") > c("gross")), "fee_above_gross"),
-        )
-    )
-    out = df.withColumns({"hard_fails": hard, "warnings": soft})
-    return out.withColumn("passed", F.size("hard_fails") == 0)
+    found = {kind: F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules.items()])) for kind, rules in _run_rules().items()}
+    return df.withColumns(found).withColumn("passed", F.size("hard_fails") == 0)
 
 
 def threshold_checks(delta: Column, win_rate: Column, max_dd: Column, seed_std: Column) -> dict[str, Column]:

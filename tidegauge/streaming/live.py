@@ -15,11 +15,12 @@ from pyspark.sql.types import StructType
 from tidegauge.session import checkpoint_root
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, glob: str | None = "*.parquet", per_trigger: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = None) -> DataFrame:
     """Files of a table as a stream; ``path`` is its folder, or the file of a table of one."""
-    reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", where.getName() if one else "*.parquet")
+    path = where.getParent().toString() if one else path
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.parquet(path)
