@@ -71,6 +71,18 @@ def test_draws_are_uniform_and_independent(spark):
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06
 
 
+def test_replicates_are_no_shifts_and_far_rows_no_twins(spark):
+    ids = list(range(3000))
+    far = [i + 2147483647 for i in ids]
+    df = spark.createDataFrame([(i,) for i in ids + far], "id long")
+    d = df.select("id", *[uniform(F.col("id"), rep, 4).alias(f"u{rep}") for rep in (3, 4)]).toPandas().set_index("id")
+    assert d["u3"].nunique() == d["u4"].nunique() == 6000
+    assert abs(np.corrcoef(d.loc[ids, "u3"], d.loc[far, "u3"])[0, 1]) < 0.06
+    assert len(set(d["u3"]) & set(d["u4"])) == 0
+    gaps = np.sort(d.loc[ids, "u3"].to_numpy())[:, None] - np.sort(d.loc[ids, "u4"].to_numpy())[None, :100]
+    assert np.unique(np.round(gaps, 12), return_counts=True)[1].max() < 4  # no constant offset
+
+
 def test_draws_stay_in_range(spark):
     big = spark.createDataFrame([(2**62,), (-5,), (0,)], "x long").select(mixed(F.col("x"), 10**9, 10**6).alias("m")).toPandas()["m"]
     assert ((big >= 0) & (big < 2147483647)).all()

@@ -1,60 +1,81 @@
 """Reproducible draws as plain integer arithmetic.
 
 A draw depends only on (row id, replicate, seed): it survives retries, needs no
-generator state, and any SQL engine gives the same number.
+generator state, and any SQL engine gives the same number.  Two lanes of 31
+bits mix all 64 bits of the row id first and the replicate after, so replicates
+are no shifts of each other and no two row ids share their draws by rule.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-M = 2147483647  # fixed values: prime modulus and multipliers of the mixing steps
-A, B, C = 48271, 69621, 16807
+M = 2147483647  # fixed values: prime modulus, multipliers and offsets of the two lanes
+LANES = ((48271, 69621, 16807, 12345), (39373, 62089, 742938285 % 65521, 67867))
+JOIN = 40692
 
 
 def _int(x: Column | int) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
 
+def _mod(x: Column) -> Column:
+    return F.pmod(x, F.lit(M))
+
+
+def _lanes(row: Column, rep: Column | int, seed: int) -> list[Column]:
+    low = _mod(_int(row))
+    high = _mod(F.call_function("div", _int(row) - low, F.lit(M)))
+    out = []
+    for a, b, c, k in LANES:
+        x = _mod(low * a + (seed * c + k) % M)
+        x = _mod(_mod(x * x + k) + high * b)
+        x = _mod(_mod(x * x + a) + _mod(_int(rep)) * c)
+        out.append(_mod(x * x + b))
+    return out
+
+
 def mixed(row: Column, rep: Column | int, seed: int) -> Column:
-    """Integer in [0, M) mixed from row id, replicate and seed (both squared steps stay in 63 bits)."""
-    x = F.pmod(F.pmod(_int(row), F.lit(M)) * A + F.pmod(_int(rep) * B + seed * C, F.lit(M)), F.lit(M))
-    y = F.pmod(x * x + F.lit(12345), F.lit(M))
-    y = F.pmod(y * A + x, F.lit(M))
-    z = F.pmod(y * y + x * B, F.lit(M))
-    return F.pmod(z * C + y, F.lit(M))
+    """Integer in [0, M) mixed from row id, replicate and seed (squares stay in 63 bits)."""
+    one, two = _lanes(row, rep, seed)
+    return _mod(one + two)
 
 
 def uniform(row: Column, rep: Column | int, seed: int) -> Column:
-    """Number in [0, 1)."""
-    return mixed(row, rep, seed) / F.lit(float(M))
+    """Number in [0, 1), of 53 bits."""
+    one, two = _lanes(row, rep, seed)
+    return (_mod(one + two) + _mod(one * JOIN + two) / F.lit(float(M))) / F.lit(float(M))
 
 
-# fixed values: cumulative Poisson(1) probabilities for counts 0..8
-POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751)
+#: Cumulative Poisson(1) probabilities, up to the last that a double tells from 1.
+POISSON = [p for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(19)) if p < 1 - 2**-53]
 
 
 def poisson_weight(row: Column, rep: Column | int, seed: int) -> Column:
-    """Bootstrap weight of a row in a replicate."""
-    u = uniform(row, rep, seed)
-    out = F.when(u < POISSON[0], 0)
-    for k, p in enumerate(POISSON[1:], 1):
-        out = out.when(u < p, k)
-    return out.otherwise(len(POISSON))
+    """Bootstrap weight of a row in a replicate: the number of bounds that a draw reaches."""
+    bounds = F.array(*[F.lit(p) for p in POISSON])
+    u = F.array(uniform(row, rep, seed))
+    return F.transform(u, lambda x: F.size(F.filter(bounds, lambda p: p <= x)))[0]
 
 
 def sql_draws(source: str, row: str, rep: str, seed: int, out: str, column: str = "u") -> str:
     """The same draw as SQL text: a chain of named steps ending in table ``out``."""
-    x = f"((({row}) % {M}) * {A} + (({rep}) * {B} + {seed * C}) % {M}) % {M}"
-    return (
-        f"{out}_1 AS (SELECT *, CAST({x} AS BIGINT) AS mx FROM {source}), "
-        f"{out}_2 AS (SELECT *, (((mx * mx + 12345) % {M}) * {A} + mx) % {M} AS my FROM {out}_1), "
-        f"{out}_3 AS (SELECT *, (my * my + mx * {B}) % {M} AS mz FROM {out}_2), "
-        f"{out} AS (SELECT *, ((mz * {C} + my) % {M}) / {float(M)} AS {column} FROM {out}_3)"
-    )
+    steps = [
+        [f"({row}) % {M} AS m_low", f"((({row}) - ({row}) % {M}) // {M}) % {M} AS m_high", f"({rep}) % {M} AS m_rep"],
+        [f"(m_low * {a} + {(seed * c + k) % M}) % {M} AS m_x{i}" for i, (a, b, c, k) in enumerate(LANES)],
+        [f"((m_x{i} * m_x{i} + {k}) % {M} + m_high * {b}) % {M} AS m_y{i}" for i, (a, b, c, k) in enumerate(LANES)],
+        [f"((m_y{i} * m_y{i} + {a}) % {M} + m_rep * {c}) % {M} AS m_z{i}" for i, (a, b, c, k) in enumerate(LANES)],
+        [f"(m_z{i} * m_z{i} + {b}) % {M} AS m_d{i}" for i, (a, b, c, k) in enumerate(LANES)],
+        [f"((m_d0 + m_d1) % {M} + ((m_d0 * {JOIN} + m_d1) % {M}) / {float(M)}::DOUBLE) / {float(M)}::DOUBLE AS {column}"],
+    ]
+    names = [source, *[f"{out}_{i}" for i in range(len(steps) - 1)], out]
+    cast = lambda e: e if e.endswith(f" AS {column}") else f"CAST({e.split(' AS ')[0]} AS BIGINT) AS {e.split(' AS ')[1]}"
+    return ", ".join(f"{to} AS (SELECT *, {', '.join(map(cast, parts))} FROM {of})" for of, to, parts in zip(names, names[1:], steps))
 
 
 def sql_poisson(u: str) -> str:
-    cases = " ".join(f"WHEN {u} < {p} THEN {k}" for k, p in enumerate(POISSON))
-    return f"CASE {cases} ELSE {len(POISSON)} END"
+    return f"len(list_filter([{', '.join(f'{p!r}::DOUBLE' for p in POISSON)}], lambda p: p <= {u}))"

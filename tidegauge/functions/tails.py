@@ -86,12 +86,12 @@ def _masked(fn, *cols) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def t_greater(t: pd.Series, df: pd.Series) -> pd.Series:
     """One-sided p-value, alternative greater."""
-    return _masked(_t_sf, t, df)
+    return _masked(_t_sf, t, df.where(df > 0))
 
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(lambda a, b: 2 * _t_sf(np.abs(a), b), t, df)
+    return _masked(lambda a, b: 2 * _t_sf(np.abs(a), b), t, df.where(df > 0))
 
 
 @F.pandas_udf(T.DoubleType())
