@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog.accounts import CORE, EQ, LOCK
 from tidegauge.catalog.base import BARS, SETTLEMENTS, TICKS, TRADES, ms, query, r, rounded
+from tidegauge.plans.single import attach
 from tidegauge.session import checkpoint_root
 from tidegauge.streaming import live
 from tidegauge.streaming.state import AccountStep, latest_settlement, stateful
@@ -84,12 +85,23 @@ def _(v):
 @query(
     "stream_late_row_metrics",
     "L5 D6",
-    "SELECT count(*) AS rows, count(*) AS streamed, CAST(count(*) FILTER (ts IS NULL) AS BIGINT) AS dropped_late FROM events",
+    """WITH m AS (SELECT epoch_ms(max(ts)) AS wm FROM events WHERE event_id % 2 = 0)
+      SELECT count(*) AS rows, count(*) AS streamed, count(*) FILTER (event_id % 2 = 1 AND epoch_us(ts) <= wm * 1000) AS dropped_late,
+        count(*) FILTER (event_id % 2 = 0 OR epoch_us(ts) > wm * 1000) AS kept FROM events, m""",
 )
 def _(v):
-    _, seen = live.drain(live.closed_bars(_ticks(v), 3600, "0 seconds"), "late")
-    n = v.table("events").agg(F.count(F.lit(1)).alias("rows"))
-    return n.select("rows", F.lit(seen["input_rows"]).cast("long").alias("streamed"), F.lit(seen["dropped_late"]).cast("long").alias("dropped_late"))
+    """The odd half of the events arrives after the even half: what the watermark has passed is dropped and counted."""
+    root = f"{checkpoint_root(v.spark)}/late-{uuid.uuid4().hex}"
+    e = v.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    seen = []
+    for half in (0, 1):
+        e.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{root}/landing")
+        arrived = live.read_files(v.spark, f"{root}/landing", e.schema)
+        out, counts = live.drain(live.first_copies(arrived, ["event_id"], "0 seconds"), "late", root=root)
+        seen.append(counts)
+    streamed, dropped = (F.lit(sum(c[k] for c in seen)).cast("long") for k in ("input_rows", "dropped_late"))
+    n, kept = e.agg(F.count(F.lit(1)).alias("rows")), out.agg(F.count(F.lit(1)).alias("kept"))
+    return attach(n, kept).select("rows", streamed.alias("streamed"), dropped.alias("dropped_late"), "kept")
 
 
 @query(

@@ -6,10 +6,13 @@ runs one to the end of its available input and returns what it wrote.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from tidegauge.session import checkpoint_root
@@ -79,16 +82,49 @@ def append_log(records: DataFrame, path: str, checkpoint: str):
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, dict]:
-    """Run to the end of the input into a parquet table; also the last progress."""
+class Progress(StreamingQueryListener):
+    """Rows read and late rows dropped by each run of a query, over all of its batches."""
+
+    def __init__(self):
+        self.rows, self.late, self.ended = Counter(), Counter(), threading.Condition()
+        self.over: set[str] = set()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        self.rows[run] += event.progress.numInputRows
+        self.late[run] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        with self.ended:
+            self.over.add(str(event.runId))
+            self.ended.notify_all()
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", root: str | None = None) -> tuple[DataFrame, dict]:
+    """Run to the end of the input into a parquet table; also its row counts.
+
+    A second call with the same ``root`` goes on where the first ended.
+    """
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress]
-    dropped = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p["stateOperators"])
-    rows = sum(int(p["numInputRows"]) for p in progress)
-    return spark.read.schema(stream.schema).parquet(f"{root}/out"), {"input_rows": rows, "dropped_late": dropped}
+    root = root or f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    seen = Progress()
+    spark.streams.addListener(seen)
+    try:
+        q = (
+            stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        run = str(q.runId)
+        with seen.ended:  # events come in order, so the counts are whole once the end is reported
+            if not seen.ended.wait_for(lambda: run in seen.over, timeout=60):
+                raise TimeoutError(f"no end reported for stream {name}")
+    finally:
+        spark.streams.removeListener(seen)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out"), {"input_rows": seen.rows[run], "dropped_late": seen.late[run]}
