@@ -104,11 +104,13 @@ def _(v):
 @query(
     "carry_by_year",
     "D29",
-    f"WITH {DAILY} SELECT symbol, year(day) AS year, round(sum(cash), 6) + 0.0 AS funding_cash, round(sum(chg), 6) + 0.0 AS basis_chg, count(*) AS n_days FROM dl GROUP BY 1, 2",
+    f"""WITH {DAILY}, e AS (SELECT *, year(day) AS year, sum(net) OVER w AS eq FROM dl WINDOW w AS (PARTITION BY symbol, year(day) ORDER BY day)),
+      k AS (SELECT *, max(eq) OVER (PARTITION BY symbol, year ORDER BY day) - eq AS dd FROM e)
+      SELECT symbol, year, round(sum(cash), 6) + 0.0 AS funding_cash, round(sum(chg), 6) + 0.0 AS basis_chg, count(*) AS n_days, round(stddev_samp(net), 6) + 0.0 AS net_vol, round(max(dd), 6) + 0.0 AS max_dd FROM k GROUP BY 1, 2""",
 )
 def _(v):
     out = carry.carry_by_year(carry.daily_carry(_panel(v), v.settlements, "symbol"), "symbol")
-    return rounded(out.withColumn("year", F.col("year").cast("long")), "funding_cash", "basis_chg")
+    return rounded(out.withColumn("year", F.col("year").cast("long")), "funding_cash", "basis_chg", "net_vol", "max_dd")
 
 
 @query(

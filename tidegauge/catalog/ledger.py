@@ -22,12 +22,18 @@ START = 1e7
       round(-sum(profit_abs) FILTER (profit_abs < 0), 4) + 0.0 AS gross_loss, round(avg(profit_ratio), 7) + 0.0 AS mean_ratio,
       round(avg(CASE WHEN profit_abs > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS win_rate,
       round(sum(profit_abs) FILTER (profit_abs > 0) / -sum(profit_abs) FILTER (profit_abs < 0), 6) + 0.0 AS profit_factor,
-      max(profit_abs) AS largest_win, min(profit_abs) AS largest_loss FROM trades GROUP BY 1""",
+      max(profit_abs) AS largest_win, min(profit_abs) AS largest_loss, round(sum(stake_amount) * 0.002, 6) + 0.0 AS fee, round(sum(stake_amount) * 0.001, 6) + 0.0 AS slippage,
+      count(*) FILTER (status = 'O') AS forced, round(avg(profit_ratio), 7) + 0.0 AS avg_ret,
+      round(quantile_cont(date_diff('second', open_date, close_date) / 60.0, 0.5), 4) + 0.0 AS median_hold FROM trades GROUP BY 1""",
 )
 def _(v):
-    out = L.summary(v.trades, ["pair"])
+    costs = L.trade_costs(v.trades, ["pair"], F.col("stake_amount") * 0.002, F.col("stake_amount") * 0.001, F.col("status") == "O")
+    out = L.summary(v.trades, ["pair"]).join(costs, "pair")
     return out.withColumns(
         {
+            **{c: r(c, 6) for c in ("fee", "slippage")},
+            "median_hold": r("median_hold", 4),
+            "avg_ret": r("avg_ret", 7),
             **{c: r(c, 4) for c in ("net", "gross_win", "gross_loss")},
             "mean_ratio": r("mean_ratio", 7),
             "win_rate": r("win_rate"),
@@ -277,8 +283,9 @@ def _(v):
     f"""WITH {SPINE}, e AS (SELECT pair, day, {START} + sum(pa) OVER w AS eq FROM days WINDOW w AS (PARTITION BY pair ORDER BY day)),
       k AS (SELECT pair, eq, eq / greatest(max(eq) OVER (PARTITION BY pair ORDER BY day), {START}) - 1 AS dd, day FROM e),
       m AS (SELECT pair, min(dd) AS max_dd, arg_max(eq, day) AS last_equity FROM k GROUP BY 1)
-      SELECT pair, count(*) FILTER (profit_abs > 0) AS wins, count(*) FILTER (profit_abs < 0) AS losses, round(avg(profit_abs) FILTER (profit_abs > 0), 5) + 0.0 AS avg_win,
-        round(avg(profit_abs) FILTER (profit_abs < 0), 5) + 0.0 AS avg_loss, round(max(max_dd), 6) + 0.0 AS max_dd, round(max(last_equity), 4) + 0.0 AS last_equity FROM trades JOIN m USING (pair) GROUP BY 1""",
+      SELECT pair, count(*) FILTER (profit_abs > 0) AS wins, count(*) FILTER (profit_abs <= 0) AS losses, round(avg(profit_abs) FILTER (profit_abs > 0), 5) + 0.0 AS avg_win,
+        round(avg(profit_abs) FILTER (profit_abs <= 0), 5) + 0.0 AS avg_loss, round(sum(profit_abs) FILTER (profit_abs > 0) / -sum(profit_abs) FILTER (profit_abs < 0), 6) + 0.0 AS profit_factor,
+        max(profit_abs) AS largest_win, min(profit_abs) AS largest_loss, round(avg(profit_abs), 5) + 0.0 AS avg_trade, round(max(max_dd), 6) + 0.0 AS max_dd, round(max(last_equity), 4) + 0.0 AS last_equity FROM trades JOIN m USING (pair) GROUP BY 1""",
 )
 def _(v):
     from tidegauge.plans.stage import materialise
@@ -286,8 +293,9 @@ def _(v):
     t = v.trades.select("pair", "close_date", "profit_abs", "profit_ratio")
     x = F.col("profit_abs")
     kpi = t.groupBy("pair").agg(
-        F.count_if(x > 0).alias("wins"), F.count_if(x < 0).alias("losses"), r(F.avg(F.when(x > 0, x)), 5).alias("avg_win"),
-        r(F.avg(F.when(x < 0, x)), 5).alias("avg_loss"), r(F.sum(x) + START, 4).alias("last_equity"),
+        F.count_if(x > 0).alias("wins"), F.count_if(x <= 0).alias("losses"), r(F.avg(F.when(x > 0, x)), 5).alias("avg_win"),
+        r(F.avg(F.when(x <= 0, x)), 5).alias("avg_loss"), r(F.sum(x) + START, 4).alias("last_equity"),
+        r(L.profit_factor("profit_abs")).alias("profit_factor"), F.max(x).alias("largest_win"), F.min(x).alias("largest_loss"), r(F.avg(x), 5).alias("avg_trade"),
     )
     days = materialise(L.daily(t, ["pair"]), "days")
     return kpi.join(rounded(L.wallet_drawdown(days, ["pair"], START), "max_dd"), "pair")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import loss_ratio
 from tidegauge.operators import bars
+from tidegauge.plans.ranking import exact_quantiles
 from tidegauge.plans.stage import materialise
 from tidegauge.plans.series import Series, running, running_equity
 
@@ -76,6 +77,13 @@ def summary(trades: DataFrame, by: Sequence[str], pnl: str = "profit_abs", ratio
     )
 
 
+def trade_costs(trades: DataFrame, by: Sequence[str], fee: Column, slippage: Column, forced: Column, ratio: str = "profit_ratio") -> DataFrame:
+    """What trading cost per group, how long the middle trade was held, and how many were closed by force."""
+    minutes = trades.withColumn("__minutes", F.timestamp_diff("SECOND", F.col("open_date"), F.col("close_date")) / 60.0)
+    sums = trades.groupBy(*by).agg(F.sum(fee).alias("fee"), F.sum(slippage).alias("slippage"), F.count_if(forced).alias("forced"), F.avg(ratio).alias("avg_ret"))
+    return sums.join(exact_quantiles(minutes, list(by), "__minutes", {"median_hold": 0.5}), list(by), "left")
+
+
 def daily(trades: DataFrame, by: Sequence[str], values: Sequence[str] = ("profit_abs", "profit_ratio")) -> DataFrame:
     """Sums by close day on a zero-filled calendar per group."""
     d = trades.groupBy(*by, F.to_date("close_date").alias("day")).agg(*[F.sum(c).alias(c) for c in values])
