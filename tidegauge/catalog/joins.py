@@ -245,12 +245,12 @@ def _(v):
 @query(
     "required_price_lookup",
     "C3 C27",
-    f"""WITH {BARS}, e AS (SELECT symbol, ts, ts + INTERVAL 6 HOUR AS x FROM bars WHERE hour(ts) = 0),
+    f"""WITH {BARS}, e AS (SELECT symbol, ts, ts + INTERVAL 6 HOUR AS x FROM bars),
       j AS (SELECT e.*, a.close AS p0, b.close AS p1 FROM e JOIN bars a ON a.symbol = e.symbol AND a.ts = e.ts LEFT JOIN bars b ON b.symbol = e.symbol AND b.ts = e.x)
       SELECT symbol, count(*) AS entries, CAST(count(*) - count(p1) AS BIGINT) AS unmatched, round(avg(p1 / p0 - 1), 6) + 0.0 AS mean_ret FROM j GROUP BY 1""",
 )
 def _(v):
-    entries = v.bars.filter(F.hour("ts") == 0).select("symbol", "ts", F.col("close").alias("p0"))
+    entries = v.bars.select("symbol", "ts", F.col("close").alias("p0"))
     entries = joins.require_complete(entries, ["p0"], "entry price")
     out = joins.at_offset(entries, v.bars.select("symbol", "ts", F.col("close").alias("p1")), ["symbol"], 6 * 3600, ["p1"])
     return out.groupBy("symbol").agg(
@@ -309,8 +309,8 @@ def _(v):
 @query(
     "entry_time_not_in_bars",
     "G2 G4",
-    f"""WITH {BARS} SELECT DISTINCT epoch_ms(ts) AS ts_ms FROM (SELECT ts FROM bars WHERE symbol = 'S0' EXCEPT SELECT ts FROM bars WHERE symbol = 'S1')""",
+    f"""WITH {BARS} SELECT symbol, epoch_ms(ts) AS ts_ms FROM (SELECT symbol, ts + INTERVAL 1 HOUR AS ts FROM bars EXCEPT SELECT symbol, ts FROM bars)""",
 )
 def _(v):
-    a = v.bars.filter("symbol = 'S0'").select("ts")
-    return a.exceptAll(v.bars.filter("symbol = 'S1'").select("ts")).select(ms("ts").alias("ts_ms"))
+    entries = v.bars.select("symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return entries.exceptAll(v.bars.select("symbol", "ts")).select("symbol", ms("ts").alias("ts_ms"))

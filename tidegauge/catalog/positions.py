@@ -135,7 +135,7 @@ def _(v):
 @query(
     "first_barrier_exit",
     "E36",
-    f"""WITH {BARS}, e AS (SELECT symbol, ts AS entry_at, close AS p FROM bars WHERE hour(ts) % 6 = 0),
+    f"""WITH {BARS}, e AS (SELECT symbol, ts AS entry_at, close AS p FROM bars),
       j AS (SELECT e.*, b.ts, b.close, CASE WHEN b.low <= p * 0.9 THEN p * 0.9 WHEN b.high >= p * 1.5 THEN p * 1.5 WHEN b.close > 200 THEN b.close END AS px,
          CASE WHEN b.low <= p * 0.9 THEN 'stop_loss' WHEN b.high >= p * 1.5 THEN 'roi' WHEN b.close > 200 THEN 'exit_signal' END AS why
         FROM e JOIN bars b ON e.symbol = b.symbol AND b.ts > e.entry_at AND b.ts <= e.entry_at + INTERVAL 1 DAY)
@@ -144,7 +144,7 @@ def _(v):
         coalesce(arg_min(why, ts) FILTER (px IS NOT NULL), 'force_exit') AS exit_reason FROM j GROUP BY 1, 2""",
 )
 def _(v):
-    ent = v.bars.filter(F.hour("ts") % 6 == 0).select("symbol", F.col("ts").alias("entry_at"), F.col("close").alias("entry_price"))
+    ent = v.bars.select("symbol", F.col("ts").alias("entry_at"), F.col("close").alias("entry_price"))
     path = v.bars.withColumn("exit_flag", (F.col("close") > 200).cast("int"))
     out = P.first_barrier(ent, path, ["symbol"], stop=0.10, target=0.50, horizon_s=86_400)
     return out.select("symbol", ms("entry_at").alias("entry_ms"), ms("exit_at").alias("exit_ms"), r("exit_price").alias("exit_price"), "exit_reason")

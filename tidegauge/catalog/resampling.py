@@ -165,9 +165,9 @@ def _(v):
     "random_entry_reference",
     "I26 D26",
     f"""WITH {SCORES}, rp AS (SELECT *, 0 AS rep FROM scores), {sql_draws('rp', 'id', 'rep', 26, 'dr')},
-      s AS (SELECT * FROM dr ORDER BY u, id LIMIT 2000)
+      s AS (SELECT * FROM dr ORDER BY u, id LIMIT 5000)
       SELECT count(*) AS n, round(avg(fwd), 7) + 0.0 AS mean, round(avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS p_pos FROM s""",
 )
 def _(v):
-    s = R.random_reference(v.scores, "id", 2000, 26)
+    s = R.random_reference(v.scores, "id", 5000, 26)
     return s.agg(F.count(F.lit(1)).alias("n"), r(F.avg("fwd"), 7).alias("mean"), r(F.avg((F.col("fwd") > 0).cast("double"))).alias("p_pos"))

@@ -43,13 +43,13 @@ def _(v):
 @query(
     "regime_premium_min_n",
     "D37",
-    f"""WITH {SCORES}, g AS (SELECT *, CASE WHEN raw > 35 THEN 'high' WHEN raw < 15 THEN 'low' ELSE 'mid' END AS regime FROM scores WHERE raw <> 20),
+    f"""WITH {SCORES}, g AS (SELECT *, CASE WHEN raw > 35 THEN 'high' WHEN raw < 15 THEN 'low' ELSE 'mid' END AS regime FROM scores),
       rk AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY regime) AS n FROM g)
       SELECT regime, count(*) AS n_top, round(avg(fwd) - {COST}, 7) + 0.0 AS pss FROM rk WHERE rn <= ceil(n * 0.1) GROUP BY 1 HAVING max(n) >= 100""",
 )
 def _(v):
     raw = F.col("raw")
-    g = v.scores.filter(raw != 20).withColumn("regime", F.when(raw > 35, "high").when(raw < 15, "low").otherwise("mid"))
+    g = v.scores.withColumn("regime", F.when(raw > 35, "high").when(raw < 15, "low").otherwise("mid"))
     out = S.top_premium(g, ["regime"], "score", "fwd", "id", COST)
     size = g.groupBy("regime").agg(F.count(F.lit(1)).alias("n")).filter("n >= 100")
     return out.join(size, "regime").select("regime", "n_top", r("pss", 7).alias("pss"))
@@ -87,14 +87,13 @@ def _(v):
 @query(
     "probability_losses",
     "I14 B17",
-    f"""WITH {SCORES}, p AS (SELECT *, least(0.98, score) AS p FROM scores)
+    f"""WITH {SCORES}, p AS (SELECT *, score AS p FROM scores)
       SELECT cell, round(avg(-(label * ln(greatest(1e-9, p)) + (1 - label) * ln(1 - p))), 6) + 0.0 AS logloss, round(avg((p - label) * (p - label)), 6) + 0.0 AS brier,
         round(avg(CASE WHEN CAST(p >= 0.5 AS INTEGER) = label THEN 1.0 ELSE 0 END), 6) + 0.0 AS accuracy,
         round(sqrt(avg((p - fwd) * (p - fwd))), 6) + 0.0 AS rmse, round(1 - sum((fwd - p) * (fwd - p)) / (var_pop(fwd) * count(*)), 4) + 0.0 AS r2 FROM p GROUP BY 1""",
 )
 def _(v):
-    p = F.least(F.lit(0.98), F.col("score"))
-    out = v.scores.withColumn("p", p).groupBy("cell").agg(
+    out = v.scores.withColumn("p", F.col("score")).groupBy("cell").agg(
         *S.probability_losses(F.col("p"), F.col("label")), *S.regression_losses(F.col("p"), F.col("fwd"))
     )
     return rounded(rounded(out, "logloss", "brier", "accuracy", "rmse"), "r2", digits=4)
@@ -163,22 +162,22 @@ def _(v):
 @query(
     "difference_corr_beta",
     "D27",
-    f"""WITH {BARS}, p AS (SELECT a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'S0' AND b.symbol = 'S1'),
-      d AS (SELECT x - lag(x) OVER (ORDER BY ts) AS dx, y - lag(y) OVER (ORDER BY ts) AS dy FROM p)
-      SELECT count(*) AS n, round(corr(dx, dy), 6) + 0.0 AS corr, round(covar_samp(dx, dy) / var_pop(dx), 6) + 0.0 AS beta FROM d WHERE dx IS NOT NULL""",
+    f"""WITH {BARS}, p AS (SELECT b.symbol, a.ts, a.close AS x, b.close AS y FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'S0' AND b.symbol <> 'S0'),
+      d AS (SELECT symbol, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+      SELECT symbol, count(*) AS n, round(corr(dx, dy), 6) + 0.0 AS corr, round(covar_samp(dx, dy) / var_pop(dx), 6) + 0.0 AS beta FROM d WHERE dx IS NOT NULL GROUP BY 1""",
 )
 def _(v):
     from tidegauge.operators.stats import difference_beta
     from tidegauge.plans.series import Series, framed
 
-    pick = lambda s, c: v.bars.filter(F.col("symbol") == s).select("ts", F.col("close").alias(c))
-    j = pick("S0", "x").join(pick("S1", "y"), "ts").withColumn("pair", F.lit("S0/S1"))
+    base = v.bars.filter("symbol = 'S0'").select("ts", F.col("close").alias("x"))
+    j = base.join(v.bars.filter("symbol <> 'S0'").select("symbol", "ts", F.col("close").alias("y")), "ts")
 
     def build(d, b):
         return d.withColumns({"dx": F.col("x") - F.lag("x").over(b.w), "dy": F.col("y") - F.lag("y").over(b.w)})
 
-    d = framed(j, Series(("pair",), "ts", (), 30 * 86_400), build, back=1).filter("dx IS NOT NULL")
-    return rounded(difference_beta(d, ["pair"], "dx", "dy").drop("pair"), "corr", "beta")
+    d = framed(j, Series(("symbol",), "ts", (), 30 * 86_400), build, back=1).filter("dx IS NOT NULL")
+    return rounded(difference_beta(d, ["symbol"], "dx", "dy"), "corr", "beta")
 
 
 @query(

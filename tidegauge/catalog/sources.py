@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import BARS, SNAPSHOTS, TICKS, TRADES, ms, query, r, rounded
@@ -41,11 +43,11 @@ def _(v):
 @query(
     "scan_kline_csv",
     "A5",
-    f"WITH {BARS} SELECT epoch_ms(ts) AS open_ms, close FROM bars WHERE symbol = 'S1'",
+    f"WITH {BARS} SELECT epoch_ms(ts) AS open_ms, close FROM bars",
 )
 def _(v):
     path = _folder(v, "klines")
-    b = v.bars.filter("symbol = 'S1'").select(
+    b = v.bars.select(
         F.unix_millis("ts").alias("open_time"), "open", "high", "low", "close", "volume",
         *[F.lit(0).alias(c) for c in files.KLINE[6:]],
     )
@@ -183,9 +185,8 @@ def _(v):
 
 @query("file_integrity_digests", "A15 H10")
 def _(v):
-    found = files.file_digests(v.spark, f"{v.path}/events.parquet").unionByName(
-        files.file_digests(v.spark, f"{v.path}/orders.parquet")
-    )
+    tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+    found = reduce(DataFrame.unionByName, [files.file_digests(v.spark, f"{v.path}/{t}.parquet") for t in tables])
     manifest = found.withColumn("sha256", F.when(F.col("file").startswith("orders"), F.lit("0" * 64)).otherwise(F.col("sha256")))
     return files.failed_digests(found, manifest).select("file", "length")
 
