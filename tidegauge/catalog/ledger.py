@@ -299,3 +299,16 @@ def _(v):
     )
     days = materialise(L.daily(t, ["pair"]), "days")
     return kpi.join(rounded(L.wallet_drawdown(days, ["pair"], START), "max_dd"), "pair")
+
+
+@query(
+    "round_trip_after_costs",
+    "H11 D7",
+    f"""WITH {TRADES} SELECT pair, status, round(sum(stake_amount * (1 - 0.001) / (1 + 0.0005) * (1 + profit_ratio) * (1 - 0.0005) * (1 - 0.001) - stake_amount), 3) + 0.0 AS net
+      FROM trades GROUP BY 1, 2""",
+)
+def _(v):
+    from tidegauge.functions.scalar import round_trip_net
+
+    net = round_trip_net(F.col("stake_amount"), F.lit(1.0), 1 + F.col("profit_ratio"), 0.001, 0.0005)
+    return v.trades.groupBy("pair", "status").agg(r(F.sum(net), 3).alias("net"))

@@ -91,10 +91,6 @@ def signal_label(rsi: Column, fast: Column, slow: Column) -> Column:
     return F.when((rsi < 30) & (fast > slow), "BUY").when(rsi > 70, "SELL").otherwise("WAIT")
 
 
-def proba_to_signal(p: Column, threshold: float) -> Column:
-    return (p >= threshold).cast("int")
-
-
 def bands(x: Column, edges: list[float], names: list[str], right_closed: bool = True) -> Column:
     """Named ranges; right-closed like a cut, values outside are null."""
     out = None

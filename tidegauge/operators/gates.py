@@ -75,11 +75,6 @@ def arm_gate(cells: DataFrame, family: str = "family") -> DataFrame:
     )
 
 
-def select_candidate(cells: DataFrame, edge: str, cell: str, gate: Column) -> DataFrame:
-    """Best edge among passing cells; the lower cell id wins a tie."""
-    return cells.filter(gate).orderBy(F.col(edge).desc(), F.col(cell)).limit(1)
-
-
 def direction_consistency(runs: DataFrame, group: list[str], pss: str, need: float = 2 / 3) -> DataFrame:
     return runs.groupBy(*group).agg(
         F.avg((F.col(pss) > 0).cast("double")).alias("frac"),

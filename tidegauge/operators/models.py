@@ -34,12 +34,6 @@ def normalise(df: DataFrame, fitted: DataFrame, cols: Sequence[str]) -> DataFram
     )
 
 
-def normaliser_digest(fitted: DataFrame) -> DataFrame:
-    """Short hash of the fitted values, for run records."""
-    text = F.concat_ws(",", *[F.format_number(c, 10) for c in fitted.columns])
-    return fitted.select(F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
-
-
 def balanced(train: DataFrame, label: str) -> DataFrame:
     """Class weights n / (2 * n_class)."""
     one = F.col(label) == 1

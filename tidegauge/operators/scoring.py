@@ -85,12 +85,6 @@ def pooled_d(a: str, b: str) -> Column:
     return F.when((F.least(na, nb) >= 2) & (var > 0), (F.col(f"mean_{a}") - F.col(f"mean_{b}")) / F.sqrt(var)).otherwise(0.0)
 
 
-def avg_ranked(df: DataFrame, cell: list[str], col: str, out: str) -> DataFrame:
-    """Rows with the average rank of ``col``; ties share one rank row."""
-    r = value_ranks(df.select(*cell, col), cell, col).select(*cell, col, F.col("avg_rank").alias(out))
-    return df.join(r, [*cell, col])
-
-
 def rank_correlation(df: DataFrame, cell: list[str], a: str, b: str, out: str = "rank_ic") -> DataFrame:
     """Correlation of average ranks, with ties."""
     d = df.select(*cell, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -196,7 +190,3 @@ def quantile_buckets(df: DataFrame, group: list[str], x: str, q: int, out: str =
     v = F.col(x)
     place = F.greatest(F.lit(0), F.size(F.filter("__edges", lambda e: e < v)) - 1)
     return df.join(edges, group).withColumn(out, place.cast("long")).drop("__edges")
-
-
-def score_concentration(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    return df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
