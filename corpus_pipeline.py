@@ -47,7 +47,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, times, time = free(docs, "__id", "__times", "__time")
     drawn = mixing.mix(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max(F.size("draws")).alias(times)).filter(F.col(times) > 0)
-    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(own)))
+    rows = docs.join(drawn.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)))
     return rows.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
