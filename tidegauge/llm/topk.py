@@ -1,12 +1,12 @@
 """Exact top-k by inner product with sorted lists and no random access (operator 3).
 
 Candidates are dealt to shards and queries to groups; a cell, one shard with one group, is a task of bounded
-size.  A shard keeps, for each component, a list of its vectors sorted by that component.  A query reads every
-list from its best end, all to the same depth.  What it has read of a vector gives a lower bound of its score
-(read parts, plus the least that the parts not read can add: by the lists' ends, and by the length that the
-vector has left), and the frontier of the lists an upper bound.  It stops when the k-th best lower bound
-leaves few vectors with a higher upper bound, so that no other can qualify, and resolves the final scores of
-those.  The k best of each shard meet, per query, in a last ranking.
+size.  A shard keeps, for each component, a list of its vectors sorted by that component.  A query reads the lists
+in order of their weight: the heavy ones to their end, the others' heads from the query's better side.  What it has read of a vector gives a
+lower and an upper bound of its score: for the parts not read, by the length that the vector has left against that of the query, and
+above also by the frontiers of the heads.  It reads on, list after list, until the k-th best lower bound leaves
+few vectors with a higher upper bound, so that no other can qualify, and resolves the final scores of those.
+The k best of each shard meet, per query, in a last ranking.
 
 Components are floor(256 * x) as integers.  Vectors that are null, or hold null or non-finite components, take
 no part; shorter vectors read 0 for missing components; empty vectors score 0.  Rows that share a vec_id are one
@@ -26,9 +26,9 @@ from pyspark.sql.window import Window as W
 from tidegauge.session import prepare
 
 SHARD_ROWS, GROUP_ROWS = 8192, 2048
-DEPTHS = (0.3, 0.42, 0.56, 0.75, 1.0)
+#: Shares of a query's squared length that the lists not read to their end may hold when bounds are compared, and the part of such lists that is read.
+UNREAD, HEAD = (0.1, 0.04, 0.015, 0.005), 0.125
 FEW = 0.02
-LEADERS = 48
 
 
 def components(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -44,25 +44,29 @@ class Shard:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         self.lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(np.ascontiguousarray(x.T), self.lists, 1).astype(np.float64)
-        self.length = (x.astype(np.float64) ** 2).sum(1)
+        self.parts = np.ascontiguousarray(x.T.astype(np.float64))  # component by component, to read a list to its end
+        self.values = np.take_along_axis(self.parts, self.lists, 1)
+        self.squares = self.parts**2
+        self.length = self.squares.sum(0)
+        self.head = max(1, int(HEAD * len(ids)))
 
     def best(self, key: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best vectors of other ids, best first, equal scores by id."""
         n, weight = len(self.ids), q.astype(np.float64)
-        up = [d for d in np.flatnonzero(q)]
         want = min(k + int((self.ids == key).sum()), n)  # the query's own rows may be among the best
+        order = np.argsort(-np.abs(weight), kind="stable")
+        behind = np.append(np.cumsum((weight[order] ** 2)[::-1])[::-1], 0)  # squared length of the weights from each list on
+        known, left, read = np.zeros(n), self.length.copy(), 0
         alive = np.arange(n)
-        for depth in DEPTHS if up else ():
-            t = max(1, int(np.ceil(depth * n)))
-            if t == n:
-                break  # all is read: scores are known
-            heads = [(self.lists[d, n - t :], self.values[d, n - t :], self.values[d, n - t]) if q[d] > 0 else (self.lists[d, :t], self.values[d, :t], self.values[d, t - 1]) for d in up]
-            frontier = np.array([weight[d] * f for d, (_, _, f) in zip(up, heads)])
-            over = np.concatenate([(v - f) * weight[d] for d, (_, v, f) in zip(up, heads)])
-            upper = frontier.sum() + np.bincount(np.concatenate([i for i, _, _ in heads]), over, n)
-            lead = np.argpartition(upper, max(0, n - LEADERS - want))[-LEADERS - want :]
-            floor = np.sort(self._lower(lead, weight, up, frontier))[-want]
+        for share in UNREAD if len(order) else ():
+            while behind[read] > share * behind[0]:
+                d = order[read]
+                known += weight[d] * self.parts[d]
+                left -= self.squares[d]
+                read += 1
+            turned = np.sqrt(np.maximum(left, 0) * behind[read])
+            upper = known + np.minimum(turned, self._heads(order[read:], weight))
+            floor = np.partition(known - turned, n - want)[n - want]
             alive = np.flatnonzero(upper >= floor - 1e-9 * (abs(floor) + 1))
             if len(alive) <= max(FEW * n, 4 * want):
                 break
@@ -87,15 +91,16 @@ class Shard:
         out.pop(key, None)
         return [(s, i) for i, s in list(out.items())[:k]]
 
-    def _lower(self, rows: np.ndarray, weight: np.ndarray, up: list[int], frontier: np.ndarray) -> np.ndarray:
-        """Least score of vectors, from the parts that have been read: those above the frontier."""
-        part = self.x[rows][:, up] * weight[up]
-        read = part > frontier
-        known = np.where(read, part, 0).sum(1)
-        ends = np.minimum(self.values[up, 0] * weight[up], self.values[up, -1] * weight[up])
-        left = np.maximum(self.length[rows] - np.where(read, self.x[rows][:, up].astype(np.float64) ** 2, 0).sum(1), 0)
-        turned = np.sqrt(left * np.where(read, 0, weight[up] ** 2).sum(1))
-        return known + np.maximum(np.where(read, 0, ends).sum(1), -turned)
+    def _heads(self, lists: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What these lists can add at most: what their heads show, and their frontiers for vectors not in the heads."""
+        n, t = len(self.ids), self.head
+        up, down = lists[weight[lists] > 0], lists[weight[lists] < 0]
+        values = np.concatenate([self.values[up, n - t :] * weight[up, None], self.values[down, :t] * weight[down, None]])
+        if not len(values):
+            return np.zeros(n)
+        frontier = values.min(1, keepdims=True)
+        at = np.concatenate([self.lists[up, n - t :], self.lists[down, :t]])
+        return frontier.sum() + np.bincount(at.ravel(), (values - frontier).ravel(), n)
 
 
 def _matrix(column: pa.ChunkedArray, wide: int) -> np.ndarray:
