@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,15 @@ def bucket(ts: Column | str, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(col) / F.lit(seconds)) * seconds)
 
 
-def ohlcv(ticks: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), label: str = "start", ties: Sequence[str] = ("agg_id",)) -> DataFrame:
-    """Trade prints to bars.  First and last price by time, then by the tie columns; one hash aggregation."""
-    start, order = bucket("ts", seconds), F.struct("ts", *ties)
+def moment(ts: str = "ts", tie: str = "agg_id") -> Column:
+    """Time and then an integer id as one number, which a hash aggregate can keep (a struct would need a sort)."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(19,0)")
+    return micros * F.lit(Decimal(10**19)) + F.col(tie).cast("decimal(19,0)")
+
+
+def ohlcv(ticks: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), label: str = "start", tie: str = "agg_id") -> DataFrame:
+    """Trade prints to bars.  First and last price by time, then by the id of the print; one hash aggregation."""
+    start, order = bucket("ts", seconds), moment("ts", tie)
     out = ticks.groupBy(*keys, start.alias("ts")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
+from tidegauge.operators.bars import moment
 from tidegauge.session import checkpoint_root
 
 
@@ -31,7 +32,7 @@ def read_files(spark: SparkSession, path: str, schema: StructType, per_trigger:
 
 def closed_bars(ticks: DataFrame, seconds: int, delay: str) -> DataFrame:
     """Bars emitted once their window is closed by the watermark; the open one never appears."""
-    w, order = F.window("ts", f"{seconds} seconds"), F.struct("ts", "agg_id")
+    w, order = F.window("ts", f"{seconds} seconds"), moment()
     out = ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
