@@ -22,7 +22,7 @@ from tidegauge.llm.common import texts
 from tidegauge.llm.vocab import NONE, SPACE, Kept, Vocab, load
 from tidegauge.session import prepare
 
-WORDS = 600_000
+WORDS = 250_000
 
 
 def merge_rounds(v: Vocab, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
