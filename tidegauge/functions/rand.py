@@ -9,6 +9,7 @@ are no shifts of each other and no two row ids share their draws by rule.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column
@@ -57,9 +58,8 @@ POISSON = [p for p in accumulate(math.exp(-1) / math.factorial(k) for k in range
 
 def poisson_weight(row: Column, rep: Column | int, seed: int) -> Column:
     """Bootstrap weight of a row in a replicate: the number of bounds that a draw reaches."""
-    bounds = F.array(*[F.lit(p) for p in POISSON])
-    u = F.array(uniform(row, rep, seed))
-    return F.transform(u, lambda x: F.size(F.filter(bounds, lambda p: p <= x)))[0]
+    u = uniform(row, rep, seed)
+    return reduce(lambda x, p: x + (u >= F.lit(p)).cast("int"), POISSON, F.lit(0))
 
 
 def sql_draws(source: str, row: str, rep: str, seed: int, out: str, column: str = "u") -> str:
