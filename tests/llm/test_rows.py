@@ -151,6 +151,70 @@ def test_licences(docs):
     assert licences.scan(docs([])).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{name}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_NAME = """
+3. Neither the name of Some Firm Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2").replace("If not, see <https://www.gnu.org/licenses/>.", "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.").replace("program.  if", "program; if")
+
+
+def test_published_notices(docs):
+    """Whole notices, wrapped at several widths, in comments, on one line, with other lines at both ends."""
+    import textwrap
+
+    whole = {"Apache-2.0": [APACHE], "MIT": [MIT], "BSD-3-Clause": [BSD.format(name=BSD_NAME)], "BSD-2-Clause": [BSD.format(name="")], "GPL-3.0-or-later": [GPL3], "GPL-2.0-or-later": [GPL2]}
+    shapes = []
+    for name, texts in whole.items():
+        for text in texts:
+            parts = text.split("\n\n")
+            shapes.append((name, " ".join(text.split())))
+            for width in (30, 70, 76, 80):
+                wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in parts)
+                shapes += [(name, wrapped), (name, wrapped.replace("\n", "\r\n")), (name, "/*\n" + textwrap.indent(wrapped, " * ", lambda _: True) + "\n */"), (name, f"A heading\n{wrapped}\nint main(void)")]
+    got = {r.doc_id: r for r in licences.scan(docs([(i, t) for i, (_, t) in enumerate(shapes)])).collect()}
+    for i, (name, text) in enumerate(shapes):
+        r = got[i]
+        assert (r.licences, r.n_found, r.unmatched, r.n_unknown) == ([name], 1, [], 0), (r, text)
+
+
+def test_every_known_sentence_is_searched():
+    import re
+
+    assert all(re.search(licences.HINTS, k) for k in licences.KNOWN)
+
+
+def test_wrapped_phrases_and_near_misses(docs):
+    rows = [
+        (1, "A line without a mark\nReleased under\nthe MIT License.\nAnother line"),
+        (2, "Released under\nthe MITX License."),
+        (3, "Nothing here\nis known\nat all"),
+        (4, "Copyright (c) 2020, 2023 Some Firm\nAll rights\nreserved."),
+    ]
+    got = {r.doc_id: (r.licences, r.n_unknown, r.n_sentences) for r in licences.scan(docs(rows)).collect()}
+    assert got == {1: (["MIT"], 0, 3), 2: ([], 1, 2), 3: ([], 0, 3), 4: (["LicenseRef-All-rights-reserved"], 1, 2)}
+
+
 def brute_chat(rows):
     by = defaultdict(list)
     for c, t, r, x in rows:

@@ -7,6 +7,10 @@ identifiers that stand next to each other for it, the first rule that fits takes
 later rules see what is left.  Licence sentences that no rule takes are reported as unmatched, and sentences
 that speak of licences without being known as unknown.
 
+A line's end ends a sentence, but a known sentence may run over lines, blank lines, marks inside it and list
+marks before it: it is put on one line first.  So notices wrapped at any width are known, with what stands
+before or after them on lines of its own.  In a known sentence '*' stands for one to twelve words of a name.
+
 Everything happens inside a row: no shuffle, whole texts, every copy of a sentence.
 
 Null and empty texts have no sentences and no licences; repeated rows and null ids are rows like others; an
@@ -67,30 +71,116 @@ RULES = (
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
     ("LicenseRef-All-rights-reserved", ("AllRights",)),
 )
+_BSD_FREE = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_GPL_FREE = "* is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+#: Whole sentences of the published notices; of two that begin alike the longer stands first.
+PUBLISHED = {
+    "licensed to * under one or more contributor license agreements": "AsfGrant",
+    "see the notice file distributed with this work for additional information regarding copyright ownership": "AsfNotice",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "ApacheHead2",
+    "licensed under the apache license version 2 0 the license": "ApacheHead2",
+    "you may not use this file except in compliance with the license": "ApacheUse",
+    **{f"you may obtain a copy of the license at {x} www apache org licenses license 2 0{y}": "ApacheCopy" for x in ("http", "https") for y in (" html", " txt", "")},
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "AsIsBasis",
+    "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MitNotice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIsSoftware",
+    "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
+    _BSD_FREE: "BsdUse",
+    _BSD_SOURCE: "BsdSource",
+    _BSD_BINARY: "BsdBinary",
+    **{f"neither the name of * {x} may be used to endorse or promote products derived from this software without specific prior written permission": "BsdName" for x in ("nor the names of its contributors", "nor the names of the contributors", "nor the names of contributors", "nor the names of other contributors")},
+    "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdAsIs",
+    "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiability",
+    **{f"{_GPL_FREE} as published by the free software foundation either version {n} of the license or at your option any later version": f"GplNotice{n}Later" for n in (2, 3)},
+    **{f"{_GPL_FREE} {x}": f"GplNotice{n}Only" for n in (2, 3) for x in (f"as published by the free software foundation version {n} of the license", f"version {n} as published by the free software foundation", f"version {n} only as published by the free software foundation")},
+    "* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplHope",
+    "see the gnu general public license for more details": "GplSee",
+    **{f"you should have received a copy of the gnu general public license along with {x}": "GplCopy" for x in ("this program", "this software", "this file", "this package", "*")},
+    **{f"if not see {x} www gnu org licenses": "GplNot" for x in ("http", "https")},
+    **{f"if not write to the free software foundation inc {x}": "GplNot" for x in ("51 franklin street fifth floor boston ma 02110 1301 usa", "59 temple place suite 330 boston ma 02111 1307 usa", "675 mass ave cambridge ma 02139 usa", "*")},
+    **{f"this work is licensed under {a} creative commons attribution {x}4 0 international license": i for a in ("a", "the") for x, i in (("", "CcBy4"), ("sharealike ", "CcBySa4"), ("noncommercial ", "CcByNc4"), ("noncommercial sharealike ", "CcByNcSa4"))},
+}
+KNOWN = SENTENCES | PUBLISHED
+_BSD_END = ("BsdAsIs", "BsdLiability")
+_GPL_END = ("GplHope", "GplSee", "GplCopy", "GplNot")
+#: Rules for whole published notices come before the others, so that they take all of a notice.
+NOTICES = (
+    ("Apache-2.0", ("AsfGrant", "AsfNotice", "ApacheHead2", "ApacheUse", "ApacheCopy", "AsIsBasis", "ApacheSee")),
+    ("Apache-2.0", ("ApacheHead2", "ApacheUse", "ApacheCopy", "AsIsBasis", "ApacheSee")),
+    ("MIT", ("MitGrant", "MitNotice", "AsIsSoftware", "MitLiability")),
+    *(("BSD-3-Clause", (*head, "BsdUse", "BsdSource", "BsdBinary", "BsdName", *_BSD_END)) for head in (("AllRights",), ())),
+    *(("BSD-2-Clause", (*head, "BsdUse", "BsdSource", "BsdBinary", *_BSD_END)) for head in (("AllRights",), ())),
+    *((f"GPL-{n}.0-{x}", (f"GplNotice{n}{i}", *_GPL_END[:k])) for n in (3, 2) for x, i in (("or-later", "Later"), ("only", "Only")) for k in (4, 3, 2, 1, 0)),
+)
 #: A sentence ends at a line's end or after a mark of its end that a blank follows; a blank line or a full stop inside a version number ends none.
 ENDS = r"[\r\n]+|[.;!?][ \t]+|[.;!?]+\z"
 SPEAKS = r"licen[cs]e|copyright|warrant|redistribut"
+#: Some word of every known sentence; other texts are not searched for sentences that run over lines.
+HINTS = rf"{SPEAKS}|permission|permitted|all[ \n]+rights|in[ \n]+no[ \n]+event|if[ \n]+not|free[ \n]+software|under[ \n]+cc|endorse"
+#: A number or letter of a list, what stands between two words of a sentence, and how a notice on one line goes on after a colon or an address.
+LISTED, STEP = r"(?:[0-9]{1,2}|[a-z]|i{1,3}|iv)", r"(?: |\n+)"
+GOES_ON = rf"(?:{LISTED}|unless|the above|redistributions)"
 MOST_RULES = 2_000
 
 
-def sentences(text: Column | str) -> Column:
+def _bare(known: str) -> str:
+    """A known sentence without its places for names: what stands in the text once it is found."""
+    return " ".join(w for w in known.split() if w != "*")
+
+
+def _over_lines(known: str) -> str:
+    """Pattern of a known sentence that may run over lines; a whole sentence, but for list marks around published ones."""
+    words = known.split()
+    body = "".join((r"(?:[a-z0-9]+ ){1,12}?" if not n else rf"(?:[a-z0-9]+{STEP}){{0,11}}?[a-z0-9]+" + STEP * (n + 1 < len(words))) if w == "*" else w + STEP * (n + 1 < len(words)) for n, w in enumerate(words))
+    if known in PUBLISHED and known not in SENTENCES:
+        return rf"(?<![^\n])(?:{LISTED}{STEP})?{body}(?=\n|\z| {GOES_ON}(?:\n| ))"
+    return rf"(?<![^\n]){body}(?![^\n])"
+
+
+def sentences(text: Column | str, known: Mapping[str, str] = KNOWN) -> Column:
     """Normalised sentences of a text, in order.  Only ASCII letters and digits count; others stand for a blank."""
     plain = F.regexp_replace(F.lower(whole(text)), ENDS, "\n")
     plain = F.regexp_replace(plain, r"[^a-z0-9\n]+", " ")
+    first = [k for k in PUBLISHED if k in known]
+    order = [*first, *(k for k in known if k not in PUBLISHED)]
+    steps = F.array(*[
+        F.struct(F.lit(max(k.split("*"), key=len).strip()).alias("part"), F.lit(_over_lines(k)).alias("all"), F.lit(_bare(k) + "\n").alias("one")) for k in order
+    ])
+
+    def joined(t: Column) -> Column:
+        tight = F.regexp_replace(t, " ?\n ?", "\n")
+        start = F.struct(tight.alias("t"), F.regexp_replace(tight, "\n+", " ").alias("flat"))
+        found = F.aggregate(
+            steps,
+            start,
+            lambda a, k: F.when(
+                F.contains(a["flat"], k["part"]),
+                F.struct(F.regexp_replace(F.regexp_replace(a["t"], k["all"], k["one"]), " ?\n ?", "\n").alias("t"), a["flat"].alias("flat")),
+            ).otherwise(a),
+        )
+        return found["t"]
+
+    hinted = plain.rlike(HINTS) if known is KNOWN else F.lit(True)
+    plain = F.when(hinted, joined(plain)).otherwise(plain)
     return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def identified(held: Column, known: Mapping[str, str] = SENTENCES) -> Column:
+def identified(held: Column, known: Mapping[str, str] = KNOWN) -> Column:
     """Identifier of each sentence: that of a known one, '?' if it speaks of licences, else '-'."""
-    index = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    index = F.create_map(*[F.lit(x) for pair in {_bare(k): i for k, i in known.items()}.items() for x in pair])
     return F.transform(held, lambda s: F.coalesce(F.try_element_at(index, s), F.when(s.rlike(SPEAKS), "?").otherwise("-")))
 
 
-def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, key: str = "doc_id", column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, rules: Sequence[tuple[str, Sequence[str]]] = NOTICES + RULES, key: str = "doc_id", column: str = "text") -> DataFrame:
     """One row per document: key, licences (array, in order of the rules), n_found (places where a rule fitted), unmatched (identifiers no rule took), n_unknown, n_sentences."""
     if len(rules) > MOST_RULES or len(known) > MOST_RULES:
         raise ValueError(f"rules and sentences stand in the query text; at most {MOST_RULES} of each")
-    rows = docs.select(F.col(key), sentences(column).alias("held"))
+    rows = docs.select(F.col(key), sentences(column, known).alias("held"))
     rows = rows.select(key, F.size("held").alias("n_sentences"), identified(F.col("held"), known).alias("ids"))
     # only identifiers of licence sentences and the gaps between them matter from here on: long runs of others become one gap
     line = F.concat(F.lit(" "), F.array_join(F.filter("ids", lambda i: i != "-"), "  "), F.lit(" "))
@@ -123,7 +213,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[
 
 
 def _sql() -> str:
-    """The query in SQL, written out from the same tables: one replacement for each rule."""
+    """The query in SQL for the phrases and rules of the given tables, whose lines are whole: one replacement for each rule."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     index = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in SENTENCES.items()) + "}"
     steps, at = [], "seq"
