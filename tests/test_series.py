@@ -201,3 +201,31 @@ def test_no_window_over_a_whole_key(walk):
     for line in text.splitlines():
         if "Window" in line and "windowspecdefinition(symbol" in line and "__chunk" not in line:
             assert "__block" in line
+
+
+@pytest.mark.parametrize("flat", [3, 9000])
+def test_adx_seed_after_a_flat_start(spark, flat):
+    """The first movement seeds the average wherever it comes, in the first block or after it."""
+    from tidegauge.operators.regime import market_regime
+
+    rng = np.random.default_rng(1)
+    px = np.concatenate([np.full(flat, 100.0), 101 + np.abs(rng.normal(0, 1, 1500)).cumsum() - np.arange(1500) * 0.6])
+    hi, lo = px.copy(), px.copy()
+    hi[flat:] += 0.5
+    t0 = pd.Timestamp("2024-01-01")
+    pdf = pd.DataFrame({"symbol": "x", "ts": [t0 + pd.Timedelta(60 * i, "s") for i in range(len(px))], "close": px, "high": hi, "low": lo})
+    tr = p = m = 0.0
+    want, a = [], None
+    for i in range(len(px)):
+        up, down = (hi[i] - hi[i - 1], lo[i - 1] - lo[i]) if i else (0.0, 0.0)
+        now = max(hi[i] - lo[i], abs(hi[i] - px[i - 1]), abs(lo[i] - px[i - 1])) if i else hi[i] - lo[i]
+        tr, p, m = [x * 13 / 14 + y / 14 for x, y in ((tr, now), (p, up if up > down and up > 0 else 0.0), (m, down if down > up and down > 0 else 0.0))]
+        if p + m > 0:
+            dx = 100 * abs(p - m) / (p + m)
+            a = dx if a is None else a * 13 / 14 + dx / 14
+        want.append(a)
+    df = spark.createDataFrame(pdf)
+    for got in (indicators.adx(df, series(86_400), 14, "ewm"), market_regime(df, series(86_400))):
+        got = got.toPandas().sort_values("ts")["adx"].astype(float).to_numpy()
+        assert np.isnan(got[:flat]).all() and got[flat] == pytest.approx(100)
+        np.testing.assert_allclose(got[flat:], want[flat:], rtol=1e-9)

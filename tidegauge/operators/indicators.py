@@ -6,12 +6,12 @@ weight a double can hold, so a block with that much halo is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import windows as w
 from tidegauge.operators.features import rsi_value
-from tidegauge.plans.series import POS, Blocks, Series, block_size, ewm, framed, memory, number_rows, rma
+from tidegauge.plans.series import BLOCK, POS, Blocks, Series, _match as match, block_size, ewm, framed, memory, number_rows, rma
 
 
 
@@ -85,15 +85,17 @@ def with_adx(d: DataFrame, b: Blocks, period: int, seed: str) -> DataFrame:
     d = d.withColumn("__dx", w.ratio(100 * F.abs(pdi - mdi), pdi + mdi))
     if seed == "sma":
         return d.withColumn("adx", rma(b, F.col("__dx"), period, first=period - 1)).drop("__tr", "__pdm", "__mdm", "__p", "__m", "__dx")
-    # the first movement may come late: its row is the seed.  Only a series' first
-    # block can hold it at full weight; later blocks have forgotten the seed.
-    start = F.min(F.when(F.col("__dx").isNotNull(), F.col(POS))).over(b.run)
-    lead = F.col(POS) == start
-    part = F.when(lead & (F.col(POS) < b.size), F.col("__dx")).when(F.col("__dx").isNotNull(), F.col("__dx") * (1 - decay))
+    # the first movement may come late, in any block: its row is the seed.  One row per block finds it for the key,
+    # as a dx that a halo copy has is never one before the series' own first.
+    starts = d.groupBy(*b.keys, BLOCK).agg(F.min(F.when(F.col("__dx").isNotNull(), F.col(POS))).alias("__at"))
+    starts = starts.select(*b.keys, BLOCK, F.min("__at").over(Window.partitionBy(*b.keys)).alias("__start"))
+    d = match(d, starts, (*b.keys, BLOCK))
+    lead = F.col(POS) == F.col("__start")
+    part = F.when(lead, F.col("__dx")).when(F.col("__dx").isNotNull(), F.col("__dx") * (1 - decay))
     grow = F.pow(F.lit(1 / decay), b.step())
     return d.withColumn("__part", part).withColumn(
         "adx", F.when(F.col("__dx").isNotNull(), F.sum(F.col("__part") * grow).over(b.run) / grow)
-    ).drop("__tr", "__pdm", "__mdm", "__p", "__m", "__dx", "__part")
+    ).drop("__tr", "__pdm", "__mdm", "__p", "__m", "__dx", "__part", "__start")
 
 
 def adx(df: DataFrame, s: Series, period: int = 14, seed: str = "sma") -> DataFrame:
