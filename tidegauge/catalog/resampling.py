@@ -1,6 +1,8 @@
 """Bootstraps and Monte-Carlo controls: I16-I23, I26.
 
 Draws are integer arithmetic on row ids, so the oracle repeats them exactly.
+A query with SQL has the few replicates that the SQL text names; beside it the same
+query ends in ``_published`` and draws the published number (and block length).
 """
 
 from pyspark.sql import functions as F
@@ -31,11 +33,14 @@ def _ci(x: str, src: str, by: str = "", digits: int = 7) -> str:
         FROM (SELECT *, fwd AS score_x, id % 2 = 0 AS a FROM w) GROUP BY 1, 2)
       {_ci('diff', 'd', 'cell')}""",
 )
-def _(v):
-    d = R.mean_diff_draws(v.scores, ["cell"], "fwd", F.col("id") % 2 == 0, "id", 100, 11)
+def _(v, reps=100):
+    d = R.mean_diff_draws(v.scores, ["cell"], "fwd", F.col("id") % 2 == 0, "id", reps, 11)
     return rounded(R.interval(d, ["cell"], "diff"), "boot_mean", "lo", "hi", digits=7)
 
 
+query("bootstrap_mean_difference_published", "I16")(lambda v, f=_: f(v, 2000))
+
+
 @query(
     "paired_bootstrap_premium_difference",
     "I17",
@@ -48,12 +53,15 @@ def _(v):
       t AS (SELECT rep, sum(greatest(0, least(w, k - bb)) * fwd) / max(k) - sum(greatest(0, least(w, k - ba)) * fwd) / max(k) AS delta FROM c GROUP BY 1)
       {_ci('delta', 't', digits=6)}""",
 )
-def _(v):
+def _(v, reps=40):
     s = v.scores.withColumn("other", ((F.col("id") % 7919) * 31 + F.col("id") % 104729) / 1e6)
-    d = R.premium_difference(s, "score", "other", "fwd", "id", 40, 17)
+    d = R.premium_difference(s, "score", "other", "fwd", "id", reps, 17)
     return rounded(R.interval(d, [], "delta"), "boot_mean", "lo", "hi")
 
 
+query("paired_bootstrap_premium_difference_published", "I17")(lambda v, f=_: f(v, 10000))
+
+
 @query(
     "moving_block_theta",
     "I18 I5",
@@ -67,12 +75,15 @@ def _(v):
       t AS (SELECT symbol, rep, s1 / n / sqrt((s2 - s1 * s1 / n) / (n - 1)) * sqrt(365) AS theta FROM g)
       {_ci('theta', 't', 'symbol', 6)}""",
 )
-def _(v):
+def _(v, reps=200, k=24):
     d = v.bars.select("symbol", "ts", (F.col("close") / F.col("open") - 1).alias("r"))
-    t = R.moving_block_theta(d, Series(("symbol",), "ts", (), 30 * 86_400), "r", 24, 200, 18, 365.0)
+    t = R.moving_block_theta(d, Series(("symbol",), "ts", (), 30 * 86_400), "r", k, reps, 18, 365.0)
     return rounded(R.interval(t, ["symbol"], "theta"), "boot_mean", "lo", "hi")
 
 
+query("moving_block_theta_published", "I18 I5")(lambda v, f=_: f(v, 10000, 500))
+
+
 @query(
     "calendar_week_block_theta",
     "I19 H2",
@@ -85,14 +96,17 @@ def _(v):
       t AS (SELECT pair, rep, s1 / n / sqrt((s2 - s1 * s1 / n) / (n - 1)) * sqrt(365) AS theta FROM g)
       {_ci('theta', 't', 'pair', 6)}""",
 )
-def _(v):
+def _(v, reps=200):
     week = F.concat(
         F.extract(F.lit("YEAROFWEEK"), F.col("close_date")).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("close_date").cast("string"), 2, "0")
     )
-    t = R.calendar_block_theta(v.trades, ["pair"], week, "profit_ratio", 200, 19, 365.0)
+    t = R.calendar_block_theta(v.trades, ["pair"], week, "profit_ratio", reps, 19, 365.0)
     return rounded(R.interval(t, ["pair"], "theta"), "boot_mean", "lo", "hi")
 
 
+query("calendar_week_block_theta_published", "I19 H2")(lambda v, f=_: f(v, 10000))
+
+
 @query(
     "cluster_bootstrap_mean",
     "I20 I23",
@@ -103,16 +117,19 @@ def _(v):
       t AS (SELECT p.pair, p.rep, avg(k.d) AS stat FROM (SELECT pair, rep, CAST(floor(u * m) AS BIGINT) AS pos FROM dr) p JOIN k ON p.pair = k.pair AND p.pos = k.pos GROUP BY 1, 2)
       {_ci('stat', 't', 'pair')}""",
 )
-def _(v):
+def _(v, reps=500):
     from tidegauge.plans.ranking import exact_quantiles
 
     med = exact_quantiles(v.trades, ["pair", "line"], "profit_ratio", {"med": 0.5})
     s = v.trades.groupBy("pair", "line").agg(F.avg("profit_ratio").alias("m")).join(med, ["pair", "line"])
     s = s.select("pair", "line", (F.col("med") - F.col("m")).alias("d"))
-    t = R.cluster_mean_draws(s, ["pair"], "line", "d", 500, 20)
+    t = R.cluster_mean_draws(s, ["pair"], "line", "d", reps, 20)
     return rounded(R.interval(t, ["pair"], "stat"), "boot_mean", "lo", "hi", digits=7)
 
 
+query("cluster_bootstrap_mean_published", "I20 I23")(lambda v, f=_: f(v, 10000))
+
+
 @query(
     "resampled_sharpe_interval",
     "I21",
@@ -123,13 +140,16 @@ def _(v):
       t AS (SELECT pair, rep, s1 / n / sqrt((s2 - s1 * s1 / n) / (n - 1)) * sqrt(365) AS sharpe FROM g)
       {_ci('sharpe', 't', 'pair', 6)}""",
 )
-def _(v):
+def _(v, reps=100):
     d = v.trades.groupBy("pair", F.to_date("close_date").alias("day")).agg(F.sum("profit_ratio").alias("r"))
     d = d.withColumn("row", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long"))
-    t = R.ratio_draws(d, ["pair"], "r", "row", 100, 21, 365.0)
+    t = R.ratio_draws(d, ["pair"], "r", "row", reps, 21, 365.0)
     return rounded(R.interval(t, ["pair"], "sharpe"), "boot_mean", "lo", "hi")
 
 
+query("resampled_sharpe_interval_published", "I21")(lambda v, f=_: f(v, 10000))
+
+
 @query(
     "matched_control_monte_carlo",
     "I22",
@@ -144,7 +164,7 @@ def _(v):
       c AS (SELECT d.symbol, d.rep, avg(p.ret) AS ctrl FROM (SELECT symbol, regime, rep, CAST(floor(u * size) AS BIGINT) + 1 AS pos FROM dr) d JOIN pool p ON p.regime = d.regime AND p.pos = d.pos GROUP BY 1, 2)
       SELECT symbol, round(avg(CASE WHEN ctrl >= obs THEN 1.0 ELSE 0 END), 6) + 0.0 AS mc_p, round(max(obs), 6) + 0.0 AS obs, round(avg(ctrl), 6) + 0.0 AS ctrl_mean FROM c JOIN ob USING (symbol) GROUP BY 1""",
 )
-def _(v):
+def _(v, reps=200):
     from tidegauge.operators import windows as w
     from tidegauge.plans.series import framed
     from tidegauge.sources.views import BAR_SERIES
@@ -156,11 +176,14 @@ def _(v):
         F.when(c > 160, "high").when(c < 125, "low").otherwise("mid").alias("regime"), "volume", "ret",
     )
     ev = f.filter("volume > 150")
-    draws = R.matched_control(f, ev, ["symbol"], "regime", "ret", "id", 200, 22)
+    draws = R.matched_control(f, ev, ["symbol"], "regime", "ret", "id", reps, 22)
     obs = ev.groupBy("symbol").agg(F.avg("ret").alias("obs"))
     return rounded(R.control_p_value(draws, obs, ["symbol"], "obs"), "mc_p", "obs", "ctrl_mean")
 
 
+query("matched_control_monte_carlo_published", "I22")(lambda v, f=_: f(v, 2000))
+
+
 @query(
     "random_entry_reference",
     "I26 D26",
