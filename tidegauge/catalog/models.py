@@ -104,4 +104,4 @@ def _(v):
     base = M.fit_score(train, test, FEATURES[:2], "l0", "M1").select("id", "l2", F.col("score").alias("base"))
     full = M.fit_score(train, test, FEATURES, "l0", "M1").select("id", F.col("score").alias("full"))
     both = materialise(base.join(full, "id"), "arms")
-    return rounded(interval(premium_difference(both, "base", "full", "l2", "id", 50, 3), [], "delta"), "boot_mean", "lo", "hi")
+    return rounded(interval(premium_difference(both, "base", "full", "l2", "id", 10000, 3), [], "delta"), "boot_mean", "lo", "hi")
