@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, exact_dedup, language, licences, mixing, near_dup, sentencepieces, token_counts, topk, url_filter
+from tidegauge.llm import chat, codes, exact_dedup, language, licences, merkle, mixing, near_dup, personal, sentencepieces, token_counts, topk, url_filter
 from tidegauge.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.find(table(spark, sf_dir, "documents")))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -65,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_chat": op9_chat,
         "op10_url_filter": op10_url_filter,
+        "op11_merkle": op11_merkle,
+        "op12_pii": op12_pii,
+        "op13_codes": op13_codes,
     }
 
 
@@ -75,4 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_licences": licences.SQL,
         "op7_mixing": mixing.SQL,
         "op10_url_filter": url_filter.SQL,
+        "op11_merkle": merkle.SQL,
+        "op12_pii": personal.SQL,
+        "op13_codes": codes.SQL,
     }
