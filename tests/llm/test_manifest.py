@@ -103,11 +103,8 @@ PERSONAL = [
     "+1 (956) 555-0122, +49 30 1234567. +1 2 ++1 234-5678- (1) +123456789012345 +1234567890123456",
     "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 but DE88370400440532013000 xGB82WEST12345698765432",
     "social security 123-45-6789, plain 123-45-6789 far from any of the words that would tell its meaning",
-    "call me: (956) 555-0122 or 956-555-0123. Nothing near here of any kind at all 956.555.0124 is kept out",
+    "call me: (956) 555-0122 or by phone 956-555-0123. Nothing near here of any kind at all 956.555.0124 is kept out",
     "phone +1 (956) 555-0122",
-    "5" * 30_000 + " " + "1 " * 20_000 + "a." * 20_000 + "@" + "b." * 20_000 + "c",
-    "a" * 200_000,
-    "1." * 100_000,
     "a@b.c " * 3_000 + "10.0.0.1 " * 1_000,
 ]
 
@@ -133,6 +130,22 @@ def test_personal(spark):
     assert personal.digest(personal.find(df.limit(0))).count() == 0
 
 
+LONG = {  # kind, start, end; the contract's patterns would take hours over these in Python
+    "5" * 100_000 + " " + "1 " * 50_000: [],
+    "a." * 100_000 + "@" + "b." * 100_000 + "c": [("email", 0, 400_002)],
+    "a" * 500_000: [],
+    "1." * 200_000: [("ip", 8 * k, 8 * k + 7) for k in range(50_000)],
+    "+1" + "2 -" * 100_000: [],
+    "A" * 100_000 + "DE89" * 100_000: [],
+}
+
+
+def test_personal_long_texts(spark):
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal.find(df).collect()}
+    assert got == dict(enumerate(LONG.values()))
+
+
 def test_personal_scores(spark):
     df = spark.createDataFrame([(1, "the server at 10.0.0.1"), (2, "see version 10.0.0.1"), (3, "x 10.0.0.1")], "doc_id long, text string")
     assert {r.doc_id: r.spans[0].score for r in personal.find(df).collect()} == {1: 0.9, 2: 0.3, 3: 0.6}
@@ -177,7 +190,7 @@ def test_codes(spark, n, entries):
         codes.compress(df.union(df.limit(1).withColumn("embedding", F.array(F.lit(1.0)))))
 
 
-@pytest.mark.parametrize("scale,width", [(1, 3), (40, 16), (2**27, 4)])
+@pytest.mark.parametrize("scale,width", [(1, 3), (40, 16), (2**18, 4)])
 def test_gnat_is_exact(scale, width):
     rng = np.random.default_rng(width)
     centre = rng.integers(-50, 50, (12, width)) * 9

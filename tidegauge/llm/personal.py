@@ -19,7 +19,6 @@ code points; the end is exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,55 +37,36 @@ class Kind:
     name: str
     pattern: str
     may: str  # a text in which this is not found holds no span that passes the check
-    check: Callable[[Column], Column]
+    check: str  # SQL over z.h, the match, and z.d, its digits
     score: float
     base: bool
     near: str = ""  # words that raise the score by 0.3
     against: str = ""  # words that lower it by 0.3
 
 
-def _digits(h: Column) -> Column:
-    return F.regexp_replace(h, "[^0-9]", "")
-
-
-def _between(c: Column, low: int, high: int) -> Column:
-    return (c >= low) & (c <= high)
-
-
-def luhn(digits: Column) -> Column:
-    """Digits from the right, every second one doubled (less 9 above 9), sum to a multiple of ten."""
-    n = F.length(digits)
-
-    def add(s: Column, i: Column) -> Column:
-        x = F.substring(digits, n - i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
-        return s + x - F.when(x > 9, 9).otherwise(0)
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
-
-
-def mod97(account: Column) -> Column:
-    """The first four characters go to the end, letters count from 10; the number leaves 1 when divided by 97."""
-    turned = F.concat(F.substring(account, 5, 100), F.substring(account, 1, 4))
-
-    def add(s: Column, c: Column) -> Column:
-        return F.when(c.rlike("[0-9]"), s * 10 + F.ascii(c) - 48).otherwise(s * 100 + F.ascii(c) - 55) % 97
-
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
+def let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is computed once and not for each use."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
+#: Digits from the right, every second one doubled (less 9 above 9), sum to a multiple of ten.
+LUHN = "aggregate(sequence(1, length(z.d)), 0, (s, i) -> " + let("int(substring(z.d, length(z.d) - i + 1, 1)) * if(i % 2 = 0, 2, 1)", "x", "s + x - if(x > 9, 9, 0)") + ") % 10 = 0"
+#: The first four characters go to the end, letters count from 10; the number leaves 1 when divided by 97.
+MOD97 = let(
+    "replace(substring(z.h, 5) || substring(z.h, 1, 4), ' ', '')", "t",
+    "aggregate(sequence(1, length(t)), 0, (s, i) -> " + let("ascii(substring(t, i, 1))", "c", "if(c < 65, s * 10 + c - 48, s * 100 + c - 55) % 97") + ") = 1",
+)
 BYTE = "^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 LOCAL = "[A-Za-z0-9._%+-]"
 KINDS = (
-    Kind("email", f"(?:(?<!{LOCAL})|\\G){LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "@", lambda h: F.lit(True), 0.9, True, "mail|email|contact|write"),
+    Kind("email", f"(?:(?<!{LOCAL})|\\G){LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "@", "true", 0.9, True, "mail|email|contact|write"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]",
-         lambda h: F.forall(F.split(h, "\\."), lambda p: p.rlike(BYTE)), 0.6, True, "ip|host|server|address|login", "version|release|section"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){15}",
-         lambda h: _between(F.length(_digits(h)), 16, 19) & F.when(_between(F.length(_digits(h)), 16, 19), luhn(_digits(h))).otherwise(False), 0.7, True, "card|visa|credit|payment"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda h: _between(F.length(_digits(h)), 8, 15), 0.6, True, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
-         lambda h: mod97(F.regexp_replace(h, "\\x20", "")), 0.7, False, "iban|account|bank"),
-    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda h: ~h.rlike("^(?:000|666|9)|-00-|0000$"), 0.3, False, "ssn|social|security"),
-    Kind("local_phone", r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}", r"[0-9]{3}[-.\x20][0-9]{4}", lambda h: F.lit(True), 0.3, False, "phone|tel|call|mobile|fax"),
+         rf"forall(split(z.h, r'\.'), p -> rlike(p, r'{BYTE}'))", 0.6, True, "ip|host|server|address|login", "version|release|section"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){15}", f"if(length(z.d) BETWEEN 16 AND 19, {LUHN}, false)", 0.7, True, "card|visa|credit|payment"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "length(z.d) BETWEEN 8 AND 15", 0.6, True, "phone|tel|call|mobile|fax"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", MOD97, 0.7, False, "iban|account|bank"),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT rlike(z.h, '^(?:000|666|9)|-00-|0000$')", 0.3, False, "ssn|social|security"),
+    Kind("local_phone", r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}", r"[0-9]{3}[-.\x20][0-9]{4}", "true", 0.3, False, "phone|tel|call|mobile|fax"),
 )
 
 
@@ -94,69 +74,57 @@ def _words(words: str) -> str:
     return f"(?i)(?:^|[^a-z])(?:{words})(?:[^a-z]|$)"
 
 
-def _starts(gaps: Column, hits: Column) -> Column:
-    """Where each match begins: lengths before it, summed per block of matches and then inside the block."""
-    long = lambda c: F.length(c).cast("long")
-    zero = F.lit(0).cast("long")
-    steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: long(h) + long(g))
-    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int"))
-    sums = F.transform(blocks, lambda b: total(F.slice(steps, b * BLOCK + 1, BLOCK)))
-    before = F.transform(blocks, lambda b: total(F.slice(sums, F.lit(1), b)))
-    inside = lambda i: total(F.slice(steps, i - i % BLOCK + 1, i % BLOCK))
-    return F.transform(hits, lambda h, i: F.get(before, F.floor(i / BLOCK).cast("int")) + inside(i) + long(F.get(gaps, i)))
-
-
-def _spans(kind: Kind, gaps: Column, hits: Column, starts: Column) -> Column:
-    def span(h: Column, i: Column) -> Column:
-        left, right = F.get(gaps, i), F.get(gaps, i + 1)
-        context = F.concat(F.right(left, F.lit(NEAR)), F.lit(" "), F.left(right, F.lit(NEAR)))
-        score = F.lit(kind.score)
-        for words, by in ((kind.near, 0.3), (kind.against, -0.3)):
-            if words:
-                score = score + F.when(context.rlike(_words(words)), by).otherwise(0.0)
-        good = kind.check(h)
-        if not kind.base:  # a part of a longer word or number is none
-            good = good & ~F.right(left, F.lit(1)).rlike("[A-Za-z0-9]") & ~F.left(right, F.lit(1)).rlike("[A-Za-z0-9]")
-        at = F.get(starts, i)
-        return F.when(good, F.struct(
-            F.lit(kind.name).alias("kind"), at.alias("start"), (at + F.length(h)).alias("end"),
-            F.round(F.least(score, F.lit(1.0)), 2).alias("score"), F.lit(kind.base).alias("base"), h.alias("text"),
-        ))
-
-    found = F.filter(F.transform(hits, span), lambda s: s.isNotNull())
-    return found if kind.base else F.filter(found, lambda s: s["score"] >= ENOUGH)
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0L, (p, q) -> p + q)"
+
+
+def _before(hits: str, gaps: str) -> str:
+    """SQL for the lengths before each match and the piece in front of it: summed per block of matches, then inside the block."""
+    steps = f"zip_with({hits}, slice({gaps}, 1, size({hits})), (h, g) -> bigint(length(h) + length(g)))"
+    sums = f"transform(sequence(0, int((size(s) - 1) div {BLOCK})), b -> {_sum(f'slice(s, b * {BLOCK} + 1, {BLOCK})')})"
+    blocks = f"transform(sequence(0, size(t) - 1), b -> {_sum('slice(t, 1, b)')})"
+    inside = _sum(f"slice(s, i - i % {BLOCK} + 1, i % {BLOCK})")
+    return let(steps, "s", let(sums, "t", let(blocks, "o", f"transform(s, (x, i) -> o[int(i div {BLOCK})] + {inside})")))
+
+
+def _spans(k: Kind) -> str:
+    """SQL for the confirmed spans of a kind, from its matches and the pieces between them."""
+    hits, gaps = f"_hits_{k.name}", f"_gaps_{k.name}"
+    sides = f"zip_with(slice({gaps}, 1, size({hits})), slice({gaps}, 2, size({hits})), (l, r) -> struct(l, r))"
+    matched = f"zip_with({hits}, {_before(hits, gaps)}, (h, at) -> struct(h, at, regexp_replace(h, '[^0-9]', '') AS d))"
+    every = f"zip_with({matched}, {sides}, (m, n) -> struct(m.h AS h, m.at + length(n.l) AS at, m.d AS d, n.l AS l, n.r AS r))"
+    context = f"right(z.l, {NEAR}) || ' ' || left(z.r, {NEAR})"
+    score = f"{k.score}D"
+    for words, by in ((k.near, 0.3), (k.against, -0.3)):
+        if words:
+            score += f" + if(rlike({context}, r'{_words(words)}'), {by}D, 0D)"
+    good = k.check
+    if not k.base:  # a part of a longer word or number is none
+        good = f"NOT rlike(right(z.l, 1) || left(z.r, 1), '[A-Za-z0-9]') AND {good} AND {score} >= {ENOUGH}D"
+    span = f"struct('{k.name}' AS kind, z.at AS start, z.at + length(z.h) AS end, round(least({score}, 1D), 2) AS score, {str(k.base).lower()} AS base, z.h AS text)"
+    return f"if(size({hits}) = 0, CAST(array() AS {SPAN}), CAST(transform(filter({every}, z -> {good}), z -> {span}) AS {SPAN}))"
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, spans (kind, start, end, score, base, text), by kind as listed, then start."""
     rows = docs.select(F.col(key), whole(text).alias("_text"))
-    none = F.array().cast("array<string>")
-    hits = {k.name: F.when(F.col("_text").rlike(k.may), F.regexp_extract_all("_text", F.lit(k.pattern), 0)).otherwise(none) for k in KINDS}
-    rows = rows.withColumns({f"_hits_{n}": c for n, c in hits.items()})
-    own = lambda k: F.col(f"_hits_{k.name}")
-    rows = rows.withColumns({f"_gaps_{k.name}": F.when(F.size(own(k)) > 0, F.split("_text", k.pattern, -1)).otherwise(none) for k in KINDS})
-    longs = F.array().cast("array<bigint>")
-    rows = rows.withColumns({f"_starts_{k.name}": F.when(F.size(own(k)) > 0, _starts(F.col(f"_gaps_{k.name}"), own(k))).otherwise(longs) for k in KINDS})
-    empty = F.array().cast(SPAN)
-    spans = {f"_spans_{k.name}": F.when(F.size(own(k)) > 0, _spans(k, F.col(f"_gaps_{k.name}"), own(k), F.col(f"_starts_{k.name}"))).otherwise(empty).cast(SPAN) for k in KINDS}
-    rows = rows.select(key, *[c.alias(n) for n, c in spans.items()])
-    base = F.concat(*[F.col(f"_spans_{k.name}") for k in KINDS if k.base])
-    added = F.concat(*[F.col(f"_spans_{k.name}") for k in KINDS if not k.base])
-    rows = rows.select(key, base.alias("_base"), added.alias("_added"))
-    free = F.filter("_added", lambda a: ~F.exists("_base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return rows.select(key, F.concat("_base", F.when(F.size("_added") > 0, free).otherwise(F.col("_added"))).alias("spans"))
-
-
-def _told(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    none = "CAST(array() AS array<string>)"
+    rows = rows.withColumns({f"_hits_{k.name}": F.expr(f"if(rlike(_text, r'{k.may}'), regexp_extract_all(_text, r'{k.pattern}', 0), {none})") for k in KINDS})
+    rows = rows.withColumns({f"_gaps_{k.name}": F.expr(f"if(size(_hits_{k.name}) > 0, split(_text, r'{k.pattern}', -1), {none})") for k in KINDS})
+    base, added = (", ".join(_spans(k) for k in KINDS if k.base == b) for b in (True, False))
+    rows = rows.select(key, F.expr(f"concat({base})").alias("_base"), F.expr(f"concat({added})").alias("_added"))
+    free = "filter(_added, a -> NOT exists(_base, b -> a.start < b.end AND b.start < a.end))"
+    return rows.select(key, F.expr(f"concat(_base, if(size(_added) > 0, {free}, _added))").alias("spans"))
+
+
+def _told(spans: str) -> Column:
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, string(s.start), string(s.end))), ',')")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The contract's columns from the spans."""
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    base = F.filter("spans", lambda s: s["base"])
-    return found.select(key, *[count(k.name) for k in KINDS if k.base], F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
+    counts = [F.expr(f"bigint(size(filter(spans, s -> s.kind = '{k.name}')))").alias(f"n_{k.name}") for k in KINDS if k.base]
+    return found.select(key, *counts, F.sha2(_told("filter(spans, s -> s.base)"), 256).alias("base_sha256"), _told("spans").alias("spans"))
 
 
 #: Name, pattern, check over (h, d: its digits), score, words, words against; the base patterns are the contract's text.
