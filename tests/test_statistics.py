@@ -97,15 +97,33 @@ def test_bootstrap_covers_normal_theory(spark):
     assert (row["hi"] - row["lo"]) == pytest.approx(2 * 1.96 * se, rel=0.2)
 
 
-def test_weighted_top_mean_against_loop(spark):
+@pytest.mark.parametrize("n", [500, 9000])
+def test_premium_difference_against_loop(spark, n):
     rng = np.random.default_rng(6)
-    n = 500
-    pdf = pd.DataFrame({"id": np.arange(n), "s": rng.integers(0, 40, n).astype(float), "r": rng.normal(size=n)})
+    pdf = pd.DataFrame({"id": np.arange(n), "s": rng.integers(0, 40, n).astype(float), "t": rng.normal(size=n), "r": rng.normal(size=n)})
     df = spark.createDataFrame(pdf)
-    got = resampling.weighted_top_mean(df, "s", "r", "id", 5, 13, 0.1, "m").orderBy("rep").toPandas()
+    got = resampling.premium_difference(df, "s", "t", "r", "id", 5, 13, 0.1).orderBy("rep").toPandas()
     wts = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("w", poisson_weight(F.col("id"), F.col("rep"), 13)).toPandas()
     for rep, g in wts.groupby("rep"):
-        g = g.sort_values(["s", "id"], ascending=[False, True])
-        k = int(np.ceil(g["w"].sum() * 0.1))
-        flat = np.repeat(g["r"].to_numpy(), g["w"].to_numpy())[:k]
-        assert got.loc[got.rep == rep, "m"].iloc[0] == pytest.approx(flat.mean())
+        for score, top in (("s", "top_a"), ("t", "top_b")):
+            g = g.sort_values([score, "id"], ascending=[False, True])
+            k = int(np.ceil(g["w"].sum() * 0.1 - 1e-9))
+            flat = np.repeat(g["r"].to_numpy(), g["w"].to_numpy())[:k]
+            assert got.loc[got.rep == rep, top].iloc[0] == pytest.approx(flat.mean())
+
+
+def test_premium_difference_of_equal_outcomes(spark):
+    """Cells of many rows: the interval agrees with one of row weights."""
+    rng = np.random.default_rng(8)
+    n = 60_000
+    pdf = pd.DataFrame({"id": np.arange(n), "s": rng.normal(size=n), "t": rng.normal(size=n)})
+    pdf["r"] = (pdf.s > 1).astype(float) + rng.integers(0, 3, n)
+    got = resampling.premium_difference(spark.createDataFrame(pdf), "s", "t", "r", "id", 200, 5).toPandas()
+    tops = []
+    for _ in range(100):
+        w = rng.poisson(1, n)
+        tops.append([np.repeat(pdf.r.to_numpy()[o := np.argsort(-pdf[c].to_numpy())], w[o])[: int(np.ceil(w.sum() * 0.1))].mean() for c in "st"])
+    tops = np.array(tops)
+    for i, c in enumerate(("top_a", "top_b")):
+        assert got[c].mean() == pytest.approx(tops[:, i].mean(), abs=0.006) and got[c].std() == pytest.approx(tops[:, i].std(), rel=0.3)
+    assert got["delta"].std() == pytest.approx((tops[:, 1] - tops[:, 0]).std(), rel=0.3)

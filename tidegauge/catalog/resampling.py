@@ -8,7 +8,7 @@ query ends in ``_published`` and draws the published number (and block length).
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import BARS, SCORES, TRADES, query, r, rounded
-from tidegauge.functions.rand import sql_draws, sql_poisson
+from tidegauge.functions.rand import sql_draws, sql_poisson, sql_poisson_of
 from tidegauge.operators import resampling as R
 from tidegauge.plans.series import Series
 
@@ -41,25 +41,33 @@ def _(v, reps=100):
 query("bootstrap_mean_difference_published", "I16")(lambda v, f=_: f(v, 2000))
 
 
-@query(
-    "paired_bootstrap_premium_difference",
-    "I17",
-    f"""WITH {SCORES}, s2 AS (SELECT *, ((id % 7919) * 31 + id % 104729) / 1e6 AS other FROM scores),
-      rp AS (SELECT s.*, r.i AS rep FROM s2 s CROSS JOIN range(0, 40) r(i)),
-      {sql_draws('rp', 'id', 'rep', 17, 'dr')}, w AS (SELECT *, {sql_poisson('u')} AS w FROM dr),
-      k AS (SELECT rep, ceil(sum(w) * 0.1) AS k FROM w GROUP BY 1),
-      c AS (SELECT w.rep, fwd, w, k, sum(w) OVER (PARTITION BY w.rep ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) - w AS ba,
-        sum(w) OVER (PARTITION BY w.rep ORDER BY other DESC, id ROWS UNBOUNDED PRECEDING) - w AS bb FROM w JOIN k ON w.rep = k.rep),
-      t AS (SELECT rep, sum(greatest(0, least(w, k - bb)) * fwd) / max(k) - sum(greatest(0, least(w, k - ba)) * fwd) / max(k) AS delta FROM c GROUP BY 1)
-      {_ci('delta', 't', digits=6)}""",
-)
+def _premium_sql(reps: int) -> str:
+    """Rows near one of the cuts weigh one by one; all others as cells of equal outcome, 4 096 rows a draw."""
+    near = f"CAST(ceil(8 * sqrt(n * {0.1 * (1 - 0.1)!r}::DOUBLE)) AS BIGINT) + 50"
+    side = lambda c: f"CASE WHEN r{c} <= mid - half THEN 0 WHEN r{c} <= mid + half THEN 1 ELSE 2 END AS c{c}"
+    top = lambda c: f"(sum(CASE WHEN c{c} = 0 THEN w * fwd WHEN c{c} = 1 THEN greatest(0, least(w, k - b{c})) * fwd ELSE 0 END) / max(k))"
+    before = lambda c: f"sum(CASE WHEN c{c} < 2 THEN w ELSE 0 END) OVER (PARTITION BY rep ORDER BY c{c}, CASE WHEN c{c} = 1 THEN r{c} ELSE 0 END, lid, piece ROWS UNBOUNDED PRECEDING) - w AS b{c}"
+    return f"""WITH {SCORES}, s2 AS (SELECT id, fwd, row_number() OVER (ORDER BY score DESC, id) AS ra,
+        row_number() OVER (ORDER BY ((id % 7919) * 31 + id % 104729) / 1e6 DESC, id) AS rb, count(*) OVER () AS n FROM scores),
+      s3 AS (SELECT *, {near} AS half, CAST(ceil(n * 0.1::DOUBLE - 1e-9) AS BIGINT) AS mid FROM s2), s4 AS (SELECT *, {side("a")}, {side("b")} FROM s3),
+      g AS (SELECT ca, cb, fwd, min(ra) AS ra, min(rb) AS rb, min(id) AS lid, count(*) AS n FROM s4 GROUP BY ca, cb, fwd, CASE WHEN ca = 1 OR cb = 1 THEN id END),
+      gp AS (SELECT *, unnest(range(0, (n - 1) // 4096 + 1)) AS piece FROM g), pc AS (SELECT * REPLACE (least(4096, n - piece * 4096) AS n) FROM gp),
+      rp AS (SELECT pc.*, r.i AS rep FROM pc CROSS JOIN range(0, {reps}) r(i)),
+      {sql_draws("rp", "lid + piece", "rep", 17, "dr")}, {sql_poisson_of("dr", "n", "u", "dw")},
+      w AS MATERIALIZED (SELECT ca, cb, ra, rb, lid, piece, fwd, rep, w FROM dw), k AS (SELECT rep, ceil(sum(w) * 0.1::DOUBLE - 1e-9) AS k FROM w GROUP BY 1),
+      c AS (SELECT w.*, k, {before("a")}, {before("b")} FROM w JOIN k USING (rep)),
+      t AS (SELECT rep, {top("b")} - {top("a")} AS delta FROM c GROUP BY 1)
+      {_ci("delta", "t", digits=6)}"""
+
+
+@query("paired_bootstrap_premium_difference", "I17", _premium_sql(40))
 def _(v, reps=40):
     s = v.scores.withColumn("other", ((F.col("id") % 7919) * 31 + F.col("id") % 104729) / 1e6)
     d = R.premium_difference(s, "score", "other", "fwd", "id", reps, 17)
     return rounded(R.interval(d, [], "delta"), "boot_mean", "lo", "hi")
 
 
-query("paired_bootstrap_premium_difference_published", "I17")(lambda v, f=_: f(v, 10000))
+query("paired_bootstrap_premium_difference_published", "I17", _premium_sql(10000))(lambda v, f=_: f(v, 10000))
 
 
 @query(

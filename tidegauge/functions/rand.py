@@ -12,6 +12,7 @@ import math
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +53,35 @@ def uniform(row: Column, rep: Column | int, seed: int) -> Column:
     return (_mod(one + two) + _mod(one * JOIN + two) / F.lit(float(M))) / F.lit(float(M))
 
 
+def uniform_array(row: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
+    """``uniform`` on arrays of row ids and replicates that fit each other, for work inside tasks."""
+    row, rep = np.asarray(row, np.int64), np.asarray(rep, np.int64)
+    low = row % M
+    high = (row - low) // M % M
+    lanes = []
+    for a, b, c, k in LANES:
+        x = (low * a + (seed * c + k) % M) % M
+        x = ((x * x + k) % M + high * b) % M
+        x = ((x * x + a) % M + rep % M * c) % M
+        lanes.append((x * x + b) % M)
+    one, two = lanes
+    return ((one + two) % M + (one * JOIN + two) % M / float(M)) / float(M)
+
+
+def poisson_array(u: np.ndarray, mean: int) -> np.ndarray:
+    """Poisson numbers of an integer mean from uniform ones: how many cumulative probabilities each reaches."""
+    low, high = poisson_span(mean)
+    k = np.arange(low, high + 1)
+    bounds = np.cumsum(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k.tolist()])))
+    return low + np.searchsorted(bounds, u, side="right")
+
+
+def poisson_span(mean: int) -> tuple[int, int]:
+    """Least and greatest number worth a place in the table: what lies outside is rarer than a double can tell."""
+    wide = 9 * math.sqrt(mean) + 20
+    return max(0, math.floor(mean - wide)), math.ceil(mean + wide)
+
+
 #: Cumulative Poisson(1) probabilities, up to the last that a double tells from 1.
 POISSON = [p for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(19)) if p < 1 - 2**-53]
 
@@ -79,3 +109,11 @@ def sql_draws(source: str, row: str, rep: str, seed: int, out: str, column: str
 
 def sql_poisson(u: str) -> str:
     return f"len(list_filter([{', '.join(f'{p!r}::DOUBLE' for p in POISSON)}], lambda p: p <= {u}))"
+
+
+def sql_poisson_of(source: str, mean: str, u: str, out: str) -> str:
+    """Steps of SQL text that add ``w``, a Poisson number of the integer mean in a column, to the rows of ``source``."""
+    return f"""{out}_m AS (SELECT DISTINCT {mean} AS mean, CAST(greatest(0, floor({mean} - (9 * sqrt({mean}) + 20))) AS BIGINT) AS low, CAST(ceil({mean} + 9 * sqrt({mean}) + 20) AS BIGINT) AS high FROM {source}),
+      {out}_p AS (SELECT mean, low, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(low, high + 1)) AS k FROM {out}_m)),
+      {out}_c AS (SELECT mean, max(low) AS low, list(c ORDER BY k) AS bounds FROM (SELECT *, sum(p) OVER (PARTITION BY mean ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM {out}_p) GROUP BY mean),
+      {out} AS (SELECT s.*, low + len(list_filter(bounds, lambda b: b <= {u})) AS w FROM {source} s JOIN {out}_c ON {mean} = mean)"""

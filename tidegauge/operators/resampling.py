@@ -7,12 +7,18 @@ draw indices and join them to block sums.  All draws are hashed (functions.rand)
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.rand import poisson_weight, uniform
-from tidegauge.plans.ranking import BUCKET, bucketed, exact_rank
+from tidegauge.functions.rand import poisson_array, poisson_weight, uniform, uniform_array
+from tidegauge.plans.ranking import exact_rank
 from tidegauge.plans.series import Series, framed, number_rows
+from tidegauge.plans.single import attach
+from tidegauge.plans.stage import materialise
 
 
 def _reps(n: int) -> Column:
@@ -46,43 +52,93 @@ def mean_diff_draws(df: DataFrame, by: list[str], x: str, in_a: Column, row: str
     return out.select(*by, "rep", (F.col("__ma") - F.col("__mb")).alias("diff"))
 
 
-def weighted_top_mean(df: DataFrame, score: str, ret: str, row: str, reps: int, seed: int, share: float, out: str) -> DataFrame:
-    """Mean outcome of each replicate's top share by score.
+PIECE = 4096  # rows of equal outcome that share one draw
+SIGMAS = 8.0
+TURNS = 100  # replicates of one task
+
+
+def cut_class(rank: Column, n: Column, share: float) -> Column:
+    """0: inside the top share in every replicate, 2: in none, 1: near the cut, so that weights decide.
 
-    Weights are summed per (replicate, score bucket).  Only the bucket a
-    replicate's cut falls into is ordered row by row.
+    The weight above a rank differs from its expectation by less than eight deviations; ``_cuts`` checks it.
     """
-    d = df.select((-F.col(score)).alias("__s"), F.col(ret).alias("__r"), F.col(row).alias("__id"), F.lit(0).alias("__g"))
-    b = bucketed(d, ["__g"], "__s", "__id")
-    w = b.withColumn("rep", _reps(reps)).withColumn("__w", poisson_weight(F.col("__id"), F.col("rep"), seed))
-    key = [BUCKET, "__slice"]
-    sums = w.groupBy("rep", *key).agg(F.sum("__w").alias("sw"), F.sum(F.col("__w") * F.col("__r")).alias("sr"))
-    order = Window.partitionBy("rep").orderBy(*key)
-    prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumns(
-        {
-            "__before": F.coalesce(F.sum("sw").over(prior), F.lit(0)),
-            "__rbefore": F.coalesce(F.sum("sr").over(prior), F.lit(0.0)),
-            "__k": F.ceil(F.sum("sw").over(Window.partitionBy("rep")) * share),
-        }
-    )
-    cut = sums.filter((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("sw") >= F.col("__k")))
-    cut = cut.select("rep", *key, "__before", "__rbefore", "__k")
-    edge = w.join(cut, ["rep", *key])
-    inside = Window.partitionBy("rep", *key).orderBy("__s", "__id").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("__k") - F.col("__before") - F.coalesce(F.sum("__w").over(inside), F.lit(0))
-    take = F.greatest(F.lit(0), F.least(F.col("__w").cast("long"), left))
-    edge = edge.withColumn("__take", take)
-    return edge.groupBy("rep").agg(
-        ((F.max("__rbefore") + F.sum(F.col("__take") * F.col("__r"))) / F.max("__k")).alias(out)
-    )
+    half = F.ceil(SIGMAS * F.sqrt(n * F.lit(share * (1 - share)))) + 50
+    middle = F.ceil(n * share - 1e-9)
+    return F.when(rank <= middle - half, 0).when(rank <= middle + half, 1).otherwise(2)
+
+
+def _sums(reps: int, seed: int):
+    """Task that adds up the weights of its cells per replicate: in all, and above both cuts with outcomes."""
+
+    def add(batches):
+        rep = np.arange(reps)
+        total, above, gain = np.zeros(reps, np.int64), np.zeros((2, reps), np.int64), np.zeros((2, reps))
+        for batch in batches:
+            at, piece, n, r, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.argsort(n, kind="stable")
+            for i in range(0, len(order), 32):
+                some = order[i : i + 32]
+                u = uniform_array(at[some, None] + piece[some, None], rep[None, :], seed)
+                w = np.empty(u.shape, np.int64)
+                for mean in np.unique(n[some]):
+                    w[n[some] == mean] = poisson_array(u[n[some] == mean], int(mean))
+                total += w.sum(0)
+                for side, c in enumerate((a[some], b[some])):
+                    above[side] += w[c == 0].sum(0)
+                    gain[side] += r[some][c == 0] @ w[c == 0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep, total, *above, *gain)], ["rep", "total", "above_a", "above_b", "gain_a", "gain_b"])
+
+    return add
+
+
+def _cuts(seed: int, share: float):
+    """Group of one side and some replicates: goes down the rows near the cut until the share is full."""
+
+    def cut(_, sums, band):
+        near = band.sort_by("pos")
+        at, r = near.column("at").to_numpy(), near.column("r").to_numpy()
+        rows = []
+        for s in sums.sort_by("rep").to_pylist():
+            side = "ab"[s["side"]]
+            k, before = math.ceil(s["total"] * share - 1e-9), s[f"above_{side}"]
+            w = poisson_array(uniform_array(at, s["rep"], seed), 1)
+            if s["total"] and not (s["below"] == 0 or before + w.sum() >= k) or before and before >= k:
+                raise ValueError("a replicate's cut lies outside the rows near it")
+            take = np.clip(k - before - (np.cumsum(w) - w), 0, w)
+            rows.append((s["rep"], s["side"], float((s[f"gain_{side}"] + take @ r) / k) if k else None))
+        names = ["rep", "side", "top"]
+        return pa.table({n: pa.array([x[i] for x in rows], t) for i, (n, t) in enumerate(zip(names, (pa.int64(), pa.int32(), pa.float64())))})
+
+    return cut
 
 
 def premium_difference(df: DataFrame, a: str, b: str, ret: str, row: str, reps: int, seed: int, share: float = 0.1) -> DataFrame:
-    """Paired replicates of top-share premium under two scores (same weights in both)."""
-    one = weighted_top_mean(df, a, ret, row, reps, seed, share, "top_a")
-    two = weighted_top_mean(df, b, ret, row, reps, seed, share, "top_b")
-    return one.join(two, "rep").withColumn("delta", F.col("top_b") - F.col("top_a"))
+    """Paired replicates of the mean outcome of the top share under two scores, with the same weights in both.
+
+    Every row weighs Poisson(1) in a replicate.  Where it stands against both cuts is certain for all rows but those
+    near a cut, some multiple of the root of all rows.  The others only count: rows of the same side of both cuts and
+    the same outcome are one cell, whose weight is one Poisson number of its size.  So work is replicates times
+    (outcomes + root of rows), tasks send one row per replicate, and a task near the cut holds that band only.
+    """
+    one = exact_rank(df.select((-F.col(a)).alias("__a"), (-F.col(b)).alias("__b"), F.col(ret).alias("r"), F.col(row).alias("at")), [], "__a", "at", rank="rank_a", total="n")
+    both = exact_rank(one, [], "__b", "at", rank="rank_b", total="n_b")
+    both = both.select("at", "r", *[F.col(f"rank_{c}") for c in "ab"], *[cut_class(F.col(f"rank_{c}"), F.col("n"), share).alias(c) for c in "ab"])
+    both = materialise(both, "premium")
+    band = (F.col("a") == 1) | (F.col("b") == 1)
+    cells = both.groupBy("a", "b", "r", F.when(band, F.col("at")).alias("own")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    pieces = cells.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    pieces = pieces.select("at", "piece", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE).alias("n"), "r", "a", "b")
+    parts = pieces.repartition("at", "piece").mapInArrow(_sums(reps, seed), "rep long, total long, above_a long, above_b long, gain_a double, gain_b double")
+    sums = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
+    below = both.agg(*[F.coalesce(F.sum((F.col(c) == 2).cast("long")), F.lit(0)).alias(f"below_{c}") for c in "ab"])
+    sums = attach(sums, below).withColumn("block", F.floor(F.col("rep") / TURNS))
+    sums = sums.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("below", F.when(F.col("side") == 0, F.col("below_a")).otherwise(F.col("below_b")))
+    near = both.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"rank_{c}").alias("pos"), (F.col(c) == 1).alias("is")) for i, c in enumerate("ab")]))).filter("s.is")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((reps - 1) // TURNS).cast("long")))
+    near = near.select("at", "r", "s.side", "s.pos", blocks.alias("block"))
+    tops = sums.groupBy("side", "block").cogroup(near.groupBy("side", "block")).applyInArrow(_cuts(seed, share), "rep long, side int, top double")
+    wide = tops.groupBy("rep").agg(*[F.max(F.when(F.col("side") == i, F.col("top"))).alias(f"top_{c}") for i, c in enumerate("ab")])
+    return wide.withColumn("delta", F.col("top_b") - F.col("top_a"))
 
 
 def moving_block_theta(df: DataFrame, s: Series, r: str, k: int, reps: int, seed: int, lam: float) -> DataFrame:
