@@ -268,14 +268,12 @@ def plain_verdict(url):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x", "https://www.example.com/en/1?x#y", "https://a.www.Example.COM/en/", "http://notexample.com/en/", "http://example.com/EN/", "http://example.com/en", "http://x.net/es/", "http://net/fr/1", "http://xnet/fr/", "ftp://a.net/fr", "http://com", "http://com/", "x://y://z.net/es/", "http://ÄB.net/es/é", "http://a.org/ads/1", "http://a.net/track", "http://a.com/ads/1", "http://example.com:80/en/", "http://a.net?/es/", "http://a\nb.net/es/", "http://a.net/es/" + "z" * 20_000]
+    urls = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x", "https://www.example.com/en/1?x#y", "https://a.www.Example.COM/en/", "http://notexample.com/en/", "http://example.com/EN/", "http://example.com/en", "http://x.net/es/", "http://net/fr/1", "http://xnet/fr/", "ftp://a.net/fr", "http://com", "http://com/", "x://y://z.net/es/", "http://ÄB.net/es/é", "http://a.org/ads/1", "http://a.net/track", "http://a.com/ads/1", "http://example.com:80/en/", "http://a.net?/es/", "http://a\nb.net/es/", "http://a\n.b.com/x", "http://a\nexample.com/en/", "http://x\\n.com/", "http://www.example.com/en/\n/ads/", "http://\n", "http://net\n/es/", "http://a.\nnet/es/", "http://a.net/\nes/", "http://a.net/es/" + "z" * 20_000]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(None, urls[4]), (4, urls[4])], "page_id long, url string").withColumn("host", F.lit("x")).withColumn("rule", F.lit(1))
     got = url_filter.judge(df).collect()
     assert len(got) == len(urls) + 2
     for r in got:
         url = urls[r.page_id] if r.page_id is not None else urls[4]
-        if url and "\n" in url:
-            continue
         host, path, rule, verdict = plain_verdict(url)
         assert (r.host, r.path, r.rule) == (host, path, rule), url
         assert verdict in (None, r.verdict)

@@ -30,7 +30,7 @@ CUT = "[^A-Za-z0-9]+"
 class Rule:
     name: str
     verdict: str
-    pattern: str  # over host, a line feed, path; found anywhere
+    pattern: str  # over host, a line feed, path, both ``escaped``; found anywhere
     tokens: tuple[str, ...]
 
 
@@ -43,7 +43,17 @@ def site_rule(verdict: str, site: str) -> Rule:
     return Rule(site, verdict, rf"\A(?:[^\n]*\.)?{quoted(host)}\n{quoted(path)}", tuple(whole))
 
 
+def escaped(part: Column) -> Column:
+    """A host or path without line feeds, so that one can stand between the two in an address."""
+    return F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\%"))
+
+
+def address(host: Column, path: Column) -> Column:
+    return F.concat(escaped(host), F.lit("\n"), escaped(path))
+
+
 def quoted(text: str) -> str:
+    text = text.replace("\\", "\\\\").replace("\n", "\\%")
     return "".join(c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}" for c in text)
 
 
@@ -85,7 +95,7 @@ def token_counts(urls: DataFrame, rules: Sequence[Rule], url: str = "url") -> di
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    tokens = F.array_distinct(F.split(F.concat_ws("\n", host_of(url), path_of(url)), CUT))
+    tokens = F.array_distinct(F.split(address(host_of(url), path_of(url)), CUT))
     own = F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted]))
     counted = urls.select(F.explode(own).alias("token")).groupBy("token").count().collect()
     return dict.fromkeys(wanted, 0) | {r["token"]: r["count"] for r in counted}
@@ -105,7 +115,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule] = RULES, patterns: Sequence[Rul
         else:
             always.append(i)
     rows = urls.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("address", F.concat_ws("\n", "host", "path"))
+    rows = rows.withColumn("address", address(F.col("host"), F.col("path")))
     fetched = F.array(*[F.lit(i) for i in always]).cast("array<int>")
     if filed:
         index = F.create_map(*[x for t, ids in filed.items() for x in (F.lit(t), F.array(*[F.lit(i) for i in ids]))])
@@ -139,10 +149,11 @@ rules(rhost, rpath, act) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/
 f AS (SELECT page_id, host, path,
         (SELECT arg_max(rhost || rpath, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
         (SELECT arg_max(act, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS act
-      FROM h)
+      FROM h),
+g AS (SELECT *, replace(replace(host, '\', '\\'), chr(10), '\%') || chr(10) || replace(replace(path, '\', '\\'), chr(10), '\%') AS address FROM f)
 SELECT page_id, host, path, rule, coalesce(act, CASE
-    WHEN regexp_matches(host || chr(10) || path, '(?:\A|[^\nA-Za-z0-9])(?:[^\n]*\n[^\n]*/)?ads?(?:[./]|\z)') THEN 'block'
-    WHEN regexp_matches(host || chr(10) || path, '/track(?:er|ing)?(?:/|\z)') THEN 'block'
-    WHEN regexp_matches(host || chr(10) || path, '/(?:log|sign)in(?:/|\z)') THEN 'block'
-    ELSE 'allow' END) AS verdict FROM f
+    WHEN regexp_matches(address, '(?:\A|[^\nA-Za-z0-9])(?:[^\n]*\n[^\n]*/)?ads?(?:[./]|\z)') THEN 'block'
+    WHEN regexp_matches(address, '/track(?:er|ing)?(?:/|\z)') THEN 'block'
+    WHEN regexp_matches(address, '/(?:log|sign)in(?:/|\z)') THEN 'block'
+    ELSE 'allow' END) AS verdict FROM g
 """
