@@ -229,3 +229,29 @@ def test_adx_seed_after_a_flat_start(spark, flat):
         got = got.toPandas().sort_values("ts")["adx"].astype(float).to_numpy()
         assert np.isnan(got[:flat]).all() and got[flat] == pytest.approx(100)
         np.testing.assert_allclose(got[flat:], want[flat:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("size,fan", [(None, 1024), (7, 3), (50, 1024), (1, 2)])
+def test_averaged_against_recursion(spark, size, fan):
+    """Late first values, nulls in between, short and long memories, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    decays = {"short": 1 / 3, "mid": 13 / 14, "long": 1 - 2 / 100_001, "none": 0.0}
+    for key, late in (("a", 0), ("b", 40), ("c", 10_000)):
+        y = dict.fromkeys(decays)
+        for pos in range(130):
+            x = float(rng.normal()) if pos >= late and rng.random() > 0.1 else None
+            rows.append((key, pos, x))
+            for n, d in decays.items():
+                if y[n] is None or not d:
+                    y[n] = x
+                else:
+                    y[n] = d * y[n] + (1 - d) * (x or 0.0)
+                want[key, pos, n] = y[n]
+    df = spark.createDataFrame(rows, "symbol string, pos long, x double").repartition(5)
+    got = S.averaged(df, S.Series(), {n: ("x", d) for n, d in decays.items()}, size=size, fan=fan).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for n in decays:
+            w = want[r.symbol, r.pos, n]
+            assert (r[n] is None and w is None) or r[n] == pytest.approx(w, rel=1e-9, abs=1e-12), (r, n)

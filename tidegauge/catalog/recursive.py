@@ -31,6 +31,19 @@ def _(v):
     return rounded(out.select("symbol", "pos", "ema12", "ema26"), "ema12", "ema26")
 
 
+@query(
+    "ema_long_spans",
+    "E6",
+    f"""WITH RECURSIVE {BARS}, e AS (SELECT symbol, pos, close AS a, close AS b FROM nb WHERE pos = 0
+      UNION ALL SELECT n.symbol, n.pos, e.a * (1 - 2 / 4001.0::DOUBLE) + n.close * 2 / 4001, e.b * (1 - 2 / 100001.0::DOUBLE) + n.close * 2 / 100001
+        FROM e JOIN nb n ON n.symbol = e.symbol AND n.pos = e.pos + 1)
+      SELECT symbol, pos, round(a, 6) + 0.0 AS ema4000, round(b, 6) + 0.0 AS ema100000 FROM e""",
+)
+def _(v):
+    out = ind.ema(v.bars, BAR_SERIES, {"ema4000": 4000, "ema100000": 100_000}, keep_pos=True)
+    return rounded(out.select("symbol", "pos", "ema4000", "ema100000"), "ema4000", "ema100000")
+
+
 @query(
     "rsi_ewm_seed",
     "E7 E9",

@@ -1,7 +1,7 @@
 """Recursive indicators with both seeding dialects.
 
-Each runs in one haloed pass: history beyond ``memory(decay)`` rows has no
-weight a double can hold, so a block with that much halo is exact.
+Averages of a whole history are affine scans over blocks (``plans.series.averaged``).  ``with_adx`` is the form for
+callers that already hold haloed blocks: history beyond ``memory(decay)`` rows has no weight a double can hold.
 """
 
 from __future__ import annotations
@@ -11,52 +11,51 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import windows as w
 from tidegauge.operators.features import rsi_value
-from tidegauge.plans.series import BLOCK, POS, Blocks, Series, _match as match, block_size, ewm, framed, memory, number_rows, rma
-
-
-
-def _run(df: DataFrame, s: Series, build, decays: list[float], extra: int = 0) -> DataFrame:
-    back = max(memory(d) for d in decays) + extra
-    return framed(number_rows(df, s), s, build, back=back, size=block_size(decays, back), numbered=True)
+from tidegauge.plans.series import BLOCK, POS, Blocks, Series, _match as match, averaged, ewm, framed, number_rows, rma
 
 
 def ema(df: DataFrame, s: Series, spans: dict[str, int], price: str = "close", keep_pos: bool = False) -> DataFrame:
-    """Exponential averages 2/(span+1), started at the first value."""
-    decays = {name: 1 - 2 / (n + 1) for name, n in spans.items()}
-    out = _run(
-        df, s, lambda d, b: d.withColumns({k: ewm(b, F.col(price), a) for k, a in decays.items()}), list(decays.values())
-    )
+    """Exponential averages 2/(span+1), started at the first value; spans of any length."""
+    out = averaged(number_rows(df, s), s, {name: (price, 1 - 2 / (n + 1)) for name, n in spans.items()})
     return out if keep_pos else out.drop(POS)
 
 
-def _averages(b: Blocks, seed: str, period: int, first: int, *xs: Column) -> list[Column]:
+def _seeded(b: Blocks, seed: str, period: int, first: int, x: Column) -> Column:
+    """What ``averaged`` takes: x itself, or from position first + period - 1 with the mean so far in that place."""
     if seed == "ewm":
-        return [ewm(b, x, 1 - 1 / period, first=first, min_rows=period) for x in xs]
+        return x
     if seed == "sma":
-        return [rma(b, x, period, first=first) for x in xs]
+        at = F.col(POS)
+        return F.when(at == first + period - 1, F.avg(x).over(b.rows(period))).when(at >= first + period, x)
     raise ValueError(f"seed must be ewm or sma, not {seed}")
 
 
+def _warm(seed: str, period: int, first: int, y: str, x: str) -> Column:
+    """The average from the first full period on."""
+    ready = F.col(POS) >= first + period - 1
+    return F.when(ready if seed == "ewm" else ready & F.col(x).isNotNull(), F.col(y))
+
+
 def rsi(df: DataFrame, s: Series, period: int = 14, seed: str = "ewm") -> DataFrame:
     def build(d: DataFrame, b: Blocks) -> DataFrame:
         diff = F.col("close") - F.lag("close").over(b.w)
         d = d.withColumns(
             {"__g": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))), "__l": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0)))}
         )
-        g, lo = _averages(b, seed, period, 1, F.col("__g"), F.col("__l"))
-        d = d.withColumns({"__ag": g, "__al": lo})
-        return d.withColumn("rsi", rsi_value(F.col("__ag"), F.col("__al"))).drop("__g", "__l", "__ag", "__al")
+        return d.withColumns({f"__x{c}": _seeded(b, seed, period, 1, F.col(f"__{c}")) for c in "gl"})
 
-    return _run(df, s, build, [1 - 1 / period], extra=period)
+    decay = 1 - 1 / period
+    d = framed(number_rows(df, s), s, build, back=period, numbered=True)
+    d = averaged(d, s, {f"__a{c}": (f"__x{c}", decay) for c in "gl"})
+    out = rsi_value(*[_warm(seed, period, 1, f"__a{c}", f"__{c}") for c in "gl"])
+    return d.withColumn("rsi", out).drop(*[f"__{k}{c}" for k in ("", "x", "a") for c in "gl"])
 
 
 def atr(df: DataFrame, s: Series, period: int = 14) -> DataFrame:
-    def build(d: DataFrame, b: Blocks) -> DataFrame:
-        d = d.withColumn("__tr", w.true_range(b, F.col("high"), F.col("low"), F.col("close")))
-        d = d.withColumn("atr", ewm(b, F.col("__tr"), 1 - 1 / period, min_rows=period))
-        return d.withColumn("atr_ratio", w.ratio(F.col("atr"), F.col("close"))).drop("__tr")
-
-    return _run(df, s, build, [1 - 1 / period])
+    d = framed(number_rows(df, s), s, lambda d, b: d.withColumn("__tr", w.true_range(b, F.col("high"), F.col("low"), F.col("close"))), back=1, numbered=True)
+    d = averaged(d, s, {"__atr": ("__tr", 1 - 1 / period)})
+    d = d.withColumn("atr", _warm("ewm", period, 0, "__atr", "__tr"))
+    return d.withColumn("atr_ratio", w.ratio(F.col("atr"), F.col("close"))).drop("__tr", "__atr")
 
 
 def directional(b: Blocks, d: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def with_adx(d: DataFrame, b: Blocks, period: int, seed: str) -> DataFrame:
     if seed == "ewm":
         t, p, m = [ewm(b, x, decay) for x in xs]
     else:
-        t, p, m = _averages(b, seed, period, 0, *xs)
+        t, p, m = [rma(b, x, period) for x in xs]
     d = d.withColumns({"atr": t, "__p": p, "__m": m})
     pdi, mdi = w.ratio(F.col("__p"), F.col("atr")), w.ratio(F.col("__m"), F.col("atr"))
     d = d.withColumn("__dx", w.ratio(100 * F.abs(pdi - mdi), pdi + mdi))
@@ -99,4 +98,22 @@ def with_adx(d: DataFrame, b: Blocks, period: int, seed: str) -> DataFrame:
 
 
 def adx(df: DataFrame, s: Series, period: int = 14, seed: str = "sma") -> DataFrame:
-    return _run(df, s, lambda d, b: with_adx(d, b, period, seed), [1 - 1 / period], extra=memory(1 - 1 / period) + 2 * period)
+    """Adds ``pos``, ``atr`` and ``adx``: averages of the movements, then of their index, each in a scan of its own."""
+    decay = 1 - 1 / period
+    moves = ("tr", "pdm", "mdm")
+
+    def build(d: DataFrame, b: Blocks) -> DataFrame:
+        return directional(b, d).withColumns({f"__x{c}": _seeded(b, seed, period, 0, F.col(f"__{c}")) for c in moves})
+
+    d = framed(number_rows(df, s), s, build, back=period + 1, numbered=True)
+    d = averaged(d, s, {f"__a{c}": (f"__x{c}", decay) for c in moves})
+    atr_, p, m = [F.col(f"__a{c}") for c in moves]
+    pdi, mdi = w.ratio(p, atr_), w.ratio(m, atr_)
+    d = d.withColumn("atr", atr_).withColumn("__dx", w.ratio(100 * F.abs(pdi - mdi), pdi + mdi))
+    if seed == "sma":
+        d = framed(d, s, lambda d, b: d.withColumn("__xdx", _seeded(b, seed, period, period - 1, F.col("__dx"))), back=period, numbered=True)
+    else:
+        d = d.withColumn("__xdx", F.col("__dx"))
+    d = averaged(d, s, {"__adx": ("__xdx", decay)})
+    ready = F.col("__dx").isNotNull() & ((F.col(POS) >= 2 * period - 2) if seed == "sma" else F.lit(True))
+    return d.withColumn("adx", F.when(ready, F.col("__adx"))).drop("__adx", "__dx", "__xdx", *[f"__{k}{c}" for k in ("", "x", "a") for c in moves])

@@ -285,3 +285,75 @@ def rma(b: Blocks, x: Column, period: int, first: int = 0) -> Column:
     start = F.avg(x).over(b.rows(period))
     part = F.when(pos == seed, start).when(pos > seed, x / F.lit(float(period)))
     return F.when((pos >= seed) & x.isNotNull(), _decayed(b, 1.0 - 1.0 / period, part))
+
+
+# --------------------------------------------------------------------------- affine scans
+
+FAN = 1024  # blocks folded into one, on the way to a whole key
+
+
+def averaged(df: DataFrame, s: Series, parts: Mapping[str, tuple[str, float]], size: int | None = None, fan: int = FAN) -> DataFrame:
+    """Exponential averages ``{out: (column, decay)}`` of numbered rows, with any memory and no halo.
+
+    y = x at a key's first non-null x, wherever it stands; then y = decay * y + (1 - decay) * x, where a null x only
+    decays.  Null before the first x; with a decay of zero y is x itself.  Every block of positions is an affine step of what came before it: it scales
+    the average by decay^size and adds its own weighted sum, and if nothing came before it, its first x weighs 1.
+    Steps of ``fan`` blocks are composed into one, those of a key into prefixes, and the value before each block is
+    joined back to its rows.  Rows are ordered inside their block only.
+    """
+    parts, plain = {n: p for n, p in parts.items() if p[1] > 0}, {n: F.col(p[0]) for n, p in parts.items() if p[1] <= 0}
+    if not parts:
+        return df.withColumns(plain)
+    size = size or min([8192, *[int(280 / -math.log10(d)) for _, d in parts.values()]])
+    names, state = list(parts), "struct<b:double,h:boolean,c:double>"
+    rows = df.withColumn(BLOCK, F.expr(f"{POS} div {size}"))
+    left = F.lit(float(size - 1)) - (F.col(POS) - F.col(BLOCK) * size)  # rows to the nominal end of the block
+    aggs = []
+    for name, (x, d) in parts.items():
+        v = F.col(x).cast("double")
+        first = F.min(F.when(v.isNotNull(), F.struct(F.col(POS).alias("p"), (v * d * F.pow(F.lit(d), left)).alias("c"))))
+        total = F.coalesce(F.sum(v * (1 - d) * F.pow(F.lit(d), left)), F.lit(0.0))
+        aggs.append(F.struct(total.alias("b"), first.isNotNull().alias("h"), F.coalesce(first["c"], F.lit(0.0)).alias("c")).alias(f"__{name}"))
+    blocks = rows.groupBy(*s.keys, BLOCK).agg(*aggs)
+
+    def folded(items: DataFrame, by: list[str], place: str, width: int) -> DataFrame:
+        """Items of a group in order: totals, and for each the state of those before it."""
+        g = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place, *[f"__{n}" for n in names]))).alias("__all"))
+        folds = {}
+        for n in names:
+            a = f"{parts[n][1] ** width!r}D"
+            start = f"named_struct('b', 0D, 'h', false, 'c', 0D, 'out', CAST(array() AS array<{state}>))"
+            step = f"named_struct('b', s.b * {a} + x.__{n}.b, 'h', s.h OR x.__{n}.h, 'c', if(s.h, s.c * {a}, x.__{n}.c), 'out', array_append(s.out, named_struct('b', s.b, 'h', s.h, 'c', s.c)))"
+            folds[f"__t_{n}"] = F.expr(f"aggregate(__all, {start}, (s, x) -> {step})")
+        return g.withColumns(folds)
+
+    def prefixes(g: DataFrame, by: list[str], place: str, prefix: str) -> DataFrame:
+        """One row per item again, with the state before it."""
+        at = F.posexplode(f"__all.{place}").alias("__i", place)
+        out = g.select(*by, at, *[F.col(f"__t_{n}.out").alias(f"__o_{n}") for n in names])
+        return out.select(*by, place, *[F.col(f"__o_{n}")[F.col("__i")].alias(f"{prefix}{n}") for n in names])
+
+    keys = list(s.keys)
+    low = folded(blocks.withColumn("__group", F.expr(f"{BLOCK} div {fan}")), [*keys, "__group"], BLOCK, size)
+    totals = low.select(*keys, "__group", *[F.struct(*[F.col(f"__t_{n}.{c}").alias(c) for c in "bhc"]).alias(f"__{n}") for n in names])
+    high = prefixes(folded(totals, keys, "__group", size * fan), keys, "__group", "__u_")
+    carry = _match(prefixes(low, [*keys, "__group"], BLOCK, "__p_"), high, (*keys, "__group"))
+    before = {}
+    for n in names:
+        d, up, own = parts[n][1], F.col(f"__u_{n}"), F.col(f"__p_{n}")
+        scale = F.pow(F.lit(d), (F.col(BLOCK) - F.col("__group") * fan).cast("double") * size)
+        before[f"__y_{n}"] = scale * (up["b"] + up["c"]) + own["b"] + F.when(up["h"], 0.0).otherwise(own["c"])
+        before[f"__seen_{n}"] = up["h"] | own["h"]
+    carry = carry.withColumns(before).select(*keys, BLOCK, *before)
+
+    b = Blocks(s.keys, size)
+    joined = _match(rows, carry, (*keys, BLOCK))
+    outs, step = {}, b.step().cast("double")
+    for n, (x, d) in parts.items():
+        v = F.col(x).cast("double")
+        grow = F.pow(F.lit(1.0 / d), step)
+        local = F.coalesce(F.sum(v * (1 - d) * grow).over(b.run) / grow, F.lit(0.0))
+        first = F.first(F.when(v.isNotNull(), F.struct(F.col(POS).alias("p"), v.alias("x"))), True).over(b.run)
+        seed = F.when(F.col(f"__seen_{n}"), 0.0).otherwise(d * first["x"] * F.pow(F.lit(d), (F.col(POS) - first["p"]).cast("double")))
+        outs[n] = F.when(F.col(f"__seen_{n}") | first.isNotNull(), local + F.pow(F.lit(d), step + 1) * F.col(f"__y_{n}") + seed)
+    return joined.withColumns(outs | plain).drop(BLOCK, *before)
