@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import scoring
+from tidegauge.plans import ranking
 from tidegauge.plans.ranking import bucketed, exact_quantiles, exact_rank, value_ranks
 
 
@@ -78,3 +79,41 @@ def test_top_premium_ramp(spark):
     row = scoring.top_premium(spark.createDataFrame(pdf), ["cell"], "score", "fwd", "id", 0.003).first()
     assert row["n_top"] == 100
     assert row["mean_top"] == pytest.approx(pdf["fwd"].nlargest(100).mean())
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50_000])
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_running_in_rank(spark, piece, group):
+    rng = np.random.default_rng(piece)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 60) if group else 0, "x": np.where(rng.random(60) < 0.3, rng.normal(size=60), np.nan)})
+    pdf["rank"] = pdf.groupby("g").cumcount() + 1
+    df = spark.createDataFrame([(int(a), None if np.isnan(b) else float(b), int(c)) for a, b, c in pdf.itertuples(index=False)], "g int, x double, rank long").repartition(3)
+    got = ranking.running_in_rank(df, group, "rank", {"a": ("last", "x"), "b": ("next", "x"), "c": ("max", "x"), "d": ("min_after", "x")}, piece).toPandas().sort_values(["g", "rank"])
+    want = pdf.sort_values(["g", "rank"]).groupby("g").x
+    back = lambda s: s[::-1]
+    for name, f in (("a", lambda s: s.ffill()), ("b", lambda s: s.bfill()), ("c", lambda s: s.fillna(-np.inf).cummax()), ("d", lambda s: back(back(s).fillna(np.inf).cummin()))):
+        w = want.transform(f).replace([np.inf, -np.inf], np.nan)
+        assert np.allclose(got[name].to_numpy(float), w.to_numpy(), equal_nan=True), name
+
+
+def test_nearest_and_dominance_and_fdr_against_loops(spark):
+    from tidegauge.operators import gates, stats
+
+    rng = np.random.default_rng(4)
+    runs = [(f"r{k}", float(rng.integers(0, 8)) if k % 5 else 3.0, float(rng.integers(0, 5))) for k in range(60)] + [("none", None, 1.0)]
+    benches = [(f"b{k}", float(rng.integers(0, 8)) + 0.5 * (k % 2), float(rng.integers(0, 5))) for k in range(9)]
+    r, b = spark.createDataFrame(runs, "run string, e double, n double"), spark.createDataFrame(benches, "bench string, e double, n double")
+    near = {x.run: x.nearest for x in gates.nearest_benchmark(r, b, "run", "bench", "e").collect()}
+    over = {x.run: x.dominated for x in gates.dominance(r, b, "run", "e", "n").collect()}
+    for name, e, n in runs:
+        assert near[name] == (None if e is None else min((round(abs(x - e), 9), k) for k, x, _ in benches)[1])
+        assert over[name] == (e is not None and any(x <= e and y >= n and (x < e or y > n) for _, x, y in benches))
+    p = [(k % 3, f"t{k}", float(rng.choice([0.01, 0.2, 0.2, 0.9, rng.random()]))) for k in range(80)] + [(0, "null", None)]
+    q = {x.t: x.q for x in stats.bh_adjust(spark.createDataFrame(p, "f int, t string, p double"), ["f"], "p", "t").collect()}
+    for f in range(3):
+        own = sorted((x, t) for g, t, x in p if g == f and x is not None)
+        least = 1.0
+        for rank in range(len(own), 0, -1):
+            least = min(least, own[rank - 1][0] * len(own) / rank)
+            assert q[own[rank - 1][1]] == pytest.approx(least)
+    assert q["null"] is None

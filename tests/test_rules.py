@@ -115,7 +115,7 @@ def test_pair_corr_null_spread(spark):
     m = 100 + rng.normal(0, 1, (n, 3)).cumsum(axis=0)
     long = pd.concat([pd.DataFrame({"symbol": f"x{i}", "ts": ts, "close": m[:, i]}) for i in range(3)])
     long = long[~((long.symbol == "x1") & (long.ts == ts[20]))]
-    got = features.mean_pairwise_corr(spark.createDataFrame(long), S5, ["x0", "x1", "x2"], 3600, 6).toPandas().set_index("ts")["mean_corr"]
+    got = features.mean_pairwise_corr(spark.createDataFrame(long), S5, 3600, 6, ["x0", "x1", "x2"]).toPandas().set_index("ts")["mean_corr"]
     r = pd.DataFrame(m).pct_change()
     r.iloc[20:22, 1] = np.nan
     want = {}

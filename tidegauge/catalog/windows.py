@@ -1,9 +1,12 @@
 """Bounded window features: E1-E5, E14-E17, E20-E28, E34, E35, E40, E45, E46."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import BARS, SETTLEMENTS, SNAPSHOTS, TICKS, ms, query, r, rounded
 from tidegauge.operators import bars, joins, windows as w
+from tidegauge.operators.order_stats import window_ranks
 from tidegauge.plans.series import framed
 from tidegauge.sources.views import BAR_SERIES
 
@@ -139,10 +142,23 @@ def _(v):
       FROM x""",
 )
 def _(v):
-    def build(d, b):
-        return d.withColumns({"pct_le": w.share_at_or_below(b, F.col("close"), 48), "pct_avg": w.average_rank_share(b, F.col("close"), 48)})
+    return _out(window_ranks(v.bars.select("symbol", "ts", "close"), BAR_SERIES, 48, {"pct_le": "close"}, {"pct_avg": "close"}), "pct_le", "pct_avg")
+
+
+@query(
+    "rolling_percentile_ranks_long",
+    "E21 E22",
+    f"""WITH {TICKS}, x AS (SELECT symbol, agg_id, price, array_agg(price) OVER (PARTITION BY symbol ORDER BY ts, agg_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS h FROM ticks)
+      SELECT symbol, agg_id,
+       {_rd(pct_le='CASE WHEN len(h) = 1000 THEN len(list_filter(h, lambda z: z <= price)) / 1000.0 END',
+            pct_avg='CASE WHEN len(h) = 1000 THEN (len(list_filter(h, lambda z: z < price)) + (len(list_filter(h, lambda z: z = price)) + 1) / 2.0) / 1000.0 END')}
+      FROM x""",
+)
+def _(v):
+    from tidegauge.sources.views import TICK_SERIES
 
-    return _out(framed(v.bars, BAR_SERIES, build, back=48), "pct_le", "pct_avg")
+    out = window_ranks(v.ticks.select("symbol", "ts", "agg_id", "price"), replace(TICK_SERIES, span=86_400), 1000, {"pct_le": "price"}, {"pct_avg": "price"})
+    return rounded(out.select("symbol", "agg_id", "pct_le", "pct_avg"), "pct_le", "pct_avg")
 
 
 @query(
@@ -345,7 +361,28 @@ def _(v):
     from tidegauge.operators.features import mean_pairwise_corr
 
     four = bars.resample(v.bars, 14_400)
-    out = mean_pairwise_corr(four, BAR_SERIES, [f"S{i}" for i in range(8)], step=14_400, n=12)
+    out = mean_pairwise_corr(four, BAR_SERIES, step=14_400, n=12)
+    return out.select(ms("ts").alias("ts_ms"), r("mean_corr").alias("mean_corr"))
+
+
+@query(
+    "pairwise_rolling_correlation_288",
+    "E17 C21",
+    f"""WITH {BARS}, ends AS (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM bars GROUP BY 1),
+      f AS (SELECT g.symbol, g.ts, last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.ts) AS close
+        FROM (SELECT symbol, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM ends) g LEFT JOIN bars b USING (symbol, ts)),
+      x AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS ret FROM f {WSQL}),
+      p AS (SELECT a.symbol AS s1, b.symbol AS s2, a.ts, a.ret AS ra, b.ret AS rb FROM x a JOIN x b USING (ts) WHERE a.symbol < b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL),
+      c AS (SELECT s1, s2, ts, count(*) OVER r AS n, corr(ra, rb) OVER r AS c FROM p
+        WINDOW r AS (PARTITION BY s1, s2 ORDER BY ts ROWS BETWEEN 287 PRECEDING AND CURRENT ROW)),
+      k AS (SELECT count(DISTINCT symbol) AS k FROM bars)
+      SELECT epoch_ms(ts) AS ts_ms, round(avg(c), 6) + 0.0 AS mean_corr FROM c, k GROUP BY ts, k HAVING min(n) = 288 AND count(*) = k * (k - 1) // 2""",
+)
+def _(v):
+    from tidegauge.operators.features import mean_pairwise_corr
+
+    hourly = bars.filled(v.bars.select("symbol", "ts", "close"), 3600, ["close"], [], BAR_SERIES)
+    out = mean_pairwise_corr(hourly.select("symbol", "ts", "close"), BAR_SERIES, step=3600)
     return out.select(ms("ts").alias("ts_ms"), r("mean_corr").alias("mean_corr"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import bars as B
 from tidegauge.operators import joins, windows as w
+from tidegauge.operators.order_stats import mean_pair_correlation, window_ranks
+from tidegauge.plans.single import attach
 from tidegauge.plans.series import Blocks, Series, block_size, ewm, framed, memory, rma
 
 
@@ -207,32 +209,26 @@ def ratio_change(bars: DataFrame, s: Series, top: str, bottom: str, k: int) -> D
     return framed(both, s, lambda d, b: d.withColumn(name, w.positive_change(b, F.col("q"), k)), back=k)
 
 
-def mean_pairwise_corr(bars: DataFrame, s: Series, universe: Sequence[str], step: int, n: int = 288) -> DataFrame:
-    """Mean Pearson correlation over all pairs of a universe in an N-row grid window.
+def mean_pairwise_corr(bars: DataFrame, s: Series, step: int, n: int = 288, universe: Sequence[str] | None = None) -> DataFrame:
+    """Mean Pearson correlation over all pairs of symbols in an N-row grid window.
 
-    The panel is turned wide (one column per asset of the declared universe), so
-    the pairs are expressions of one windowed pass instead of joined rows.  A
-    missing return of any asset inside the window gives no result.
+    Without ``universe`` the symbols are those of the data, found once.  Each instant is one row with a vector of
+    returns; windows sum the products of all pairs, so the plan is the same for any number of symbols.  A
+    missing return of any symbol inside the window gives no result.
     """
-    names = list(universe)
-    wide = (
-        bars.filter(F.col("symbol").isin(names))
-        .groupBy("ts")
-        .agg(*[F.max(F.when(F.col("symbol") == a, F.col("close"))).alias(f"c{i}") for i, a in enumerate(names)])
-        .withColumn("panel", F.lit("all"))
-    )
-    grid = B.spine(wide, step, ("panel",)).join(wide, ["panel", "ts"], "left")
-    cols = range(len(names))
-
-    def build(d: DataFrame, b: Blocks) -> DataFrame:
-        d = d.withColumns({f"r{i}": w.positive_change(b, F.col(f"c{i}"), 1) for i in cols})
-        known = F.lit(True)
-        for i in cols:
-            known = known & F.col(f"r{i}").isNotNull()
-        d = d.withColumn("__known", F.when(known, 1))
-        pairs = [F.corr(f"r{i}", f"r{j}").over(b.rows(n)) for i in cols for j in cols if i < j]
-        total = sum(pairs[1:], pairs[0])
-        return d.withColumn("mean_corr", F.when(F.count("__known").over(b.rows(n)) == n, total / len(pairs)))
-
-    out = framed(grid, Series(("panel",), s.ts, (), s.span), build, back=n + 1)
+    if universe is None:
+        names = bars.agg(F.array_sort(F.collect_set("symbol")).alias("__names"))  # one row: the symbols there are
+    else:
+        names = bars.sparkSession.range(1).select(F.array(*[F.lit(u) for u in universe]).alias("__names"))
+    closes = bars.filter(F.col("symbol").isNotNull()).groupBy("ts", "symbol").agg(F.max("close").alias("c"))
+    closes = closes.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "c"))).alias("__at")).withColumn("panel", F.lit("all"))
+    grid = attach(B.spine(closes, step, ("panel",)).join(closes, ["panel", "ts"], "left"), names)
+    grid = grid.withColumn("__c", F.transform("__names", lambda u: F.try_element_at("__at", u))).drop("__at", "__names")
+    one = Series(("panel",), s.ts, (), s.span)
+
+    def returns(d: DataFrame, b: Blocks) -> DataFrame:
+        change = F.zip_with("__c", F.lag("__c").over(b.w), lambda now, was: F.when((now > 0) & (was > 0), now / was - 1))
+        return d.withColumn("__r", change)
+
+    out = mean_pair_correlation(framed(grid, one, returns, back=1).drop("__c").filter(F.col("__r").isNotNull()), one, "__r", n)
     return out.filter(F.col("mean_corr").isNotNull()).select("ts", "mean_corr")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.plans.ranking import exact_rank, running_in_rank
+
 ALPHA, EDGE_MIN, AUC_MIN, IC_MIN, D_MIN, POWER_MIN = 0.05, 1.2, 0.55, 0.01, 0.30, 0.80  # fixed gate bounds
 TOLERANCE = 1e-9
 
@@ -12,18 +14,15 @@ TOLERANCE = 1e-9
 def nearest_benchmark(runs: DataFrame, benches: DataFrame, run: str, bench: str, value: str) -> DataFrame:
     """For each run the benchmark closest in ``value``; the lower benchmark wins a tie.
 
-    Only the neighbours below and above in value order can be closest.
+    Only the neighbours below and above in value order can be closest.  A run without a value has no nearest one.
     """
-    marks = benches.groupBy(F.col(value).alias("__v")).agg(F.min(bench).alias("__b")).withColumn("__o", F.lit(0))
-    both = runs.select(run, F.col(value).alias("__v"), F.lit(1).alias("__o")).unionByName(marks, allowMissingColumns=True)
-    mark = F.when(F.col("__o") == 0, F.struct(F.col("__v").alias("v"), F.col("__b").alias("b")))
-    w = Window.orderBy("__v", "__o")
-    around = both.withColumns(
-        {
-            "__lo": F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "__hi": F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).filter(F.col("__o") == 1)
+    marks = benches.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.min(bench).alias("__b"))
+    place = F.pmod(F.xxhash64(run), F.lit(1 << 30)).cast("double")
+    both = runs.select(run, F.col(value).alias("__v"), place.alias("__o")).unionByName(marks.withColumn("__o", F.lit(-1.0)), allowMissingColumns=True)
+    mark = F.when(F.col("__o") < 0, F.struct(F.col("__v").alias("v"), F.col("__b").alias("b")))
+    ranked = exact_rank(both.withColumn("__mark", mark), [], "__v", "__o", rank="__rank", total="__total")
+    around = running_in_rank(ranked, [], "__rank", {"__lo": ("last", "__mark"), "__hi": ("next", "__mark")}).filter(F.col("__o") >= 0)
+    around = around.unionByName(runs.filter(F.col(value).isNull()).select(run), allowMissingColumns=True)
 
     def gap(side: str) -> Column:
         m = F.col(side)
@@ -39,11 +38,13 @@ def dominance(runs: DataFrame, benches: DataFrame, run: str, exposure: str, net:
     the best net result at clearly less exposure, which must not be clearly worse, and at no more exposure,
     which must be clearly better; the running best net in order of exposure answers both.
     """
-    marks = benches.select(F.col(exposure).alias("__e"), F.col(net).alias("__n"), F.lit(0).alias("__o"))
+    marks = benches.select(F.col(exposure).alias("__e"), F.col(net).alias("__n"), F.lit(-1.0).alias("__o"))
     asked = F.explode(F.array(*[F.struct((F.col(exposure) + side * TOLERANCE).alias("e"), (F.col(net) + side * TOLERANCE).alias("need")) for side in (-1, 1)]))
-    probes = runs.select(run, asked.alias("q")).select(run, F.col("q.e").alias("__e"), F.col("q.need").alias("__need"), F.lit(1).alias("__o"))
-    w = Window.orderBy("__e", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    best = probes.unionByName(marks, allowMissingColumns=True).withColumn("__best", F.max("__n").over(w)).filter(F.col("__o") == 1)
+    place = F.pmod(F.xxhash64(run), F.lit(1 << 30)).cast("double")
+    probes = runs.select(run, asked.alias("q")).select(run, F.col("q.e").alias("__e"), F.col("q.need").alias("__need"), place.alias("__o"))
+    ranked = exact_rank(probes.unionByName(marks, allowMissingColumns=True), [], "__e", "__o", rank="__rank", total="__total")
+    best = running_in_rank(ranked, [], "__rank", {"__best": ("max", "__n")}).filter(F.col("__o") >= 0)
+    best = best.unionByName(runs.filter(F.col(exposure).isNull()).select(run), allowMissingColumns=True)
     return best.groupBy(run).agg(F.coalesce(F.bool_or(F.col("__best") >= F.col("__need")), F.lit(False)).alias("dominated"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import tails
-from tidegauge.plans.ranking import value_ranks
+from tidegauge.plans.ranking import exact_rank, running_in_rank, value_ranks
 
 
 def moments(x: Column, suffix: str) -> list[Column]:
@@ -81,15 +81,16 @@ def sign_test(df: DataFrame, by: list[str], x: str) -> DataFrame:
 def bh_adjust(tests: DataFrame, family: list[str], p: str, tie: str, out: str = "q") -> DataFrame:
     """Benjamini-Hochberg q-values by rank within each family.
 
-    A family is a table of tests, one row each.
+    Ranks are exact for families of any size, and so is the least value behind a rank: tests are ordered inside
+    pieces of the rank only.  A test without p takes no part and has no q.  Equal p have equal q, so ``tie`` only
+    fixes the order of work.
     """
-    key = family or [F.lit(0)]
-    up = Window.partitionBy(*key).orderBy(F.col(p), F.col(tie))
-    m = F.count(p).over(Window.partitionBy(*key))
-    ranked = tests.withColumns({"__rank": F.row_number().over(up), "__m": m})
-    down = Window.partitionBy(*key).orderBy(F.col("__rank").desc())
-    q = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(down)
-    return ranked.withColumn(out, F.least(F.lit(1.0), q)).drop("__rank", "__m")
+    known = tests.withColumns({"__family": F.to_json(F.struct(F.lit(0).alias("_"), *family)), "__tie": F.pmod(F.xxhash64(tie), F.lit(1 << 30))})
+    ranked = exact_rank(known, ["__family"], p, "__tie", rank="__rank", total="__m")
+    ranked = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
+    least = running_in_rank(ranked, ["__family"], "__rank", {"__least": ("min_after", "__raw")})
+    least = least.withColumn(out, F.least(F.lit(1.0), F.col("__least"))).select(*tests.columns, out)
+    return least.unionByName(tests.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def event_theta(df: DataFrame, by: list[str], r: str, years: float) -> DataFrame:

@@ -154,3 +154,30 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         frac = F.max(spot - left)
         aggs.append((a + (c - a) * frac).alias(name))
     return ranked.groupBy(*group).agg(*aggs)
+
+
+def running_in_rank(df: DataFrame, group: list[str], rank: str, parts: dict[str, tuple[str, str]], piece: int = 50_000) -> DataFrame:
+    """Running values in the order of a dense rank, for groups of any size and for no group at all.
+
+    ``parts`` are {out: (kind, column)}: ``last`` and ``next`` give the nearest value that is not null at or before and
+    at or after a row, ``max`` the greatest up to it, ``min_after`` the least from it on.  Rows are ordered inside pieces
+    of the rank; a piece's own value is carried on through one row for each piece.
+    """
+    piece_of = "__piece"
+    cut = df.withColumn(piece_of, F.floor((F.col(rank) - 1) / piece).cast("long"))
+    here = Window.partitionBy(*group, piece_of).orderBy(rank)
+    across = Window.partitionBy(*(group or [F.lit(0)])).orderBy(piece_of)
+    back, on = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    upto, since = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    kinds = {  # value of a piece; value over pieces; value inside; pieces and rows looked at; joined
+        "last": (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(rank))), lambda c: F.last(c, True), back, upto, lambda x, y: F.coalesce(x, y)),
+        "next": (lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(rank))), lambda c: F.first(c, True), on, since, lambda x, y: F.coalesce(x, y)),
+        "max": (F.max, F.max, back, upto, F.greatest),
+        "min_after": (F.min, F.min, on, since, F.least),
+    }
+    sums = cut.groupBy(*group, piece_of).agg(*[kinds[k][0](c).alias(f"__s_{o}") for o, (k, c) in parts.items()])
+    carried = sums.select(*group, piece_of, *[kinds[k][1](f"__s_{o}").over(across.rowsBetween(*kinds[k][2])).alias(f"__c_{o}") for o, (k, _) in parts.items()])
+    out = cut.join(carried, [*group, piece_of], "left")
+    return out.withColumns({o: kinds[k][4](kinds[k][1](c).over(here.rowsBetween(*kinds[k][3])), F.col(f"__c_{o}")) for o, (k, c) in parts.items()}).drop(
+        piece_of, *[f"__c_{o}" for o in parts]
+    )

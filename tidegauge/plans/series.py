@@ -7,6 +7,8 @@ here partitions by (key, bounded piece of the key) instead:
 * ``running``      unbounded running aggregates, chunk summary + prefix + local
 * ``framed``       bounded frames (lag, lead, N-row windows) on row blocks that
                    carry a replicated halo, trimmed afterwards
+* ``blocked``      the same blocks as Arrow tables
+* ``averaged``     recursive averages of any memory, as an affine scan over blocks
 * ``ewm``/``rma``  recursive averages as weighted running sums on those blocks
 
 A chunk is a fixed span of time, a block a fixed number of positions.  The only
@@ -20,8 +22,11 @@ import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 BLOCK = "__block"
@@ -246,6 +251,37 @@ def framed(
     return out if numbered else out.drop(POS)
 
 
+def blocked(
+    df: DataFrame,
+    s: Series,
+    columns: Mapping[str, str],
+    compute: Callable[[pa.Table], Mapping[str, pa.Array]],
+    back: int = 0,
+    ahead: int = 0,
+    size: int | None = None,
+    numbered: bool = False,
+) -> DataFrame:
+    """``framed`` for what no window expression says: ``compute`` gets a block with its halo, in order, as an Arrow
+    table and gives the new ``columns`` (name: type) for all its rows; those of the halo are dropped."""
+    size = size or max(8192, 4 * (back + ahead))
+    base = df if numbered else number_rows(df, s)
+    first = F.greatest(F.floor((F.col(POS) - ahead) / F.lit(size)), F.lit(0)).cast("long")
+    last = F.floor((F.col(POS) + back) / F.lit(size)).cast("long")
+    haloed = base.withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    schema = T.StructType([*base.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(POS)
+        new = compute(table)
+        for name in columns:
+            table = table.append_column(name, new[name])
+        own = pc.equal(pc.divide(table.column(POS), size), table.column(BLOCK))
+        return table.filter(own).select(schema.names)
+
+    out = haloed.groupBy(*s.keys, BLOCK).applyInArrow(run, schema)
+    return out if numbered else out.drop(POS)
+
+
 # --------------------------------------------------------------------------- recursive averages
 
 
