@@ -59,3 +59,54 @@ def test_pair_plan_does_not_grow_with_symbols(spark):
         return features.mean_pairwise_corr(bars, Series(span=86_400), 3600, 3)._jdf.queryExecution().analyzed().toString().count("\n")
 
     assert plan(2) == plan(9)
+
+
+def test_reached_against_loop():
+    from tidegauge.operators.positions import Reached
+
+    rng = np.random.default_rng(2)
+    for rows in (0, 1, 2, 7, 64, 300):
+        low, high, marked = rng.normal(-1, 1, rows), rng.normal(1, 1, rows), rng.random(rows) < 0.01
+        tree = Reached(low, high, marked)
+        start = rng.integers(0, max(rows, 1), 200)
+        floor, ceiling = rng.normal(-3, 1, 200), rng.normal(3, 1, 200)
+        floor[:20] = ceiling[:20] = np.nan  # an entry without a price meets marks only
+        got = tree.first(start, floor, ceiling)
+        for i in range(200):
+            hits = [j for j in range(start[i], rows) if low[j] <= floor[i] or high[j] >= ceiling[i] or marked[j]]
+            assert got[i] == (hits[0] if hits else 1 << tree.levels)
+
+
+@pytest.mark.parametrize("piece", [50, 10_000])
+def test_first_barrier_against_loop(spark, piece):
+    from tidegauge.operators.positions import first_barrier
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for key in "ab":
+        price = 100.0
+        for i in range(120):
+            price *= 1 + rng.normal(0, 0.02)
+            rows.append((key, i * 10, price * 0.99 if i % 17 else None, price * 1.01, price, int(rng.random() < 0.02)))
+    path = spark.createDataFrame(rows, "symbol string, s long, low double, high double, close double, exit_flag int").withColumn("ts", F.timestamp_seconds("s"))
+    ent = path.selectExpr("symbol", "ts AS entry_at", "close AS entry_price")
+    got = {(r.symbol, r.entry_at.timestamp()): r for r in first_barrier(ent, path, ["symbol"], 0.05, 0.08, 300, piece).collect()}
+    for key, s, _, _, p, _ in rows:
+        later = [r for r in rows if r[0] == key and s < r[1] <= s + 300]
+        if not later:
+            assert (key, s) not in got
+            continue
+        for _, at, low, high, close, flag in later:
+            if low is not None and low <= p * 0.95:
+                want = at, p * 0.95, "stop_loss"
+            elif high >= p * 1.08:
+                want = at, p * 1.08, "roi"
+            elif flag:
+                want = at, close, "exit_signal"
+            else:
+                continue
+            break
+        else:
+            want = later[-1][1], later[-1][4], "force_exit"
+        r = got[key, s]
+        assert (r.exit_at.timestamp(), r.exit_price, r.exit_reason) == (want[0], pytest.approx(want[1]), want[2])

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.plans.series import Series, framed, running
 from tidegauge.plans.stage import materialise
@@ -111,35 +114,89 @@ def reentry_actions(tracked: DataFrame, s: Series) -> DataFrame:
     return framed(tracked, s, build, back=1)
 
 
+class Reached:
+    """First row at or after a place that falls to a lower bound, rises to an upper one, or is marked.
+
+    Runs of 1, 2, 4, ... rows keep their least low, greatest high and whether one is marked; a search skips whole
+    runs without a hit and then goes down into the first one that has it, for all askers at once.
+    """
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, marked: np.ndarray):
+        self.levels = max(1, int(np.ceil(np.log2(max(len(low), 1)))))
+        full = 1 << self.levels
+        pad = lambda x, v: np.concatenate([x, np.full(full - len(x), v, x.dtype)])
+        self.tiers = [(pad(low, np.inf), pad(high, -np.inf), pad(marked, False))]
+        for _ in range(self.levels):
+            lo, hi, m = self.tiers[-1]
+            self.tiers.append((np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2]), m[::2] | m[1::2]))
+
+    def _hit(self, level: int, at: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
+        lo, hi, m = (x[at >> level] for x in self.tiers[level])
+        return (lo <= floor) | (hi >= ceiling) | m
+
+    def first(self, start: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
+        """Place of the first hit, or the number of places where there is none."""
+        end = 1 << self.levels
+        at, found = start.astype(np.int64).copy(), np.full(len(start), -1)
+        for level in range(self.levels + 1):
+            ask = np.flatnonzero((found < 0) & (at < end) & ((at >> level) % 2 == 1 if level < self.levels else at == 0))
+            hit = self._hit(level, at[ask], floor[ask], ceiling[ask])
+            found[ask[hit]] = level
+            at[ask[~hit]] += 1 << level
+        for level in range(self.levels - 1, -1, -1):
+            ask = np.flatnonzero(found > level)
+            miss = ask[~self._hit(level, at[ask], floor[ask], ceiling[ask])]
+            at[miss] += 1 << level
+        return np.where(found < 0, end, at)
+
+
+def _exits(stop: float, target: float, horizon_s: int, keys: Sequence[str]):
+    def run(entries: pa.Table, path: pa.Table) -> pa.Table:
+        path = path.sort_by("micros")
+        col = lambda t, c, v: t.column(c).fill_null(v).to_numpy()
+        micros, close = path.column("micros").to_numpy(), path.column("close")
+        tree = Reached(col(path, "low", np.inf), col(path, "high", -np.inf), path.column("mark").fill_null(0).to_numpy() == 1)
+        at, price = entries.column("micros").to_numpy(), entries.column("price").cast(pa.float64()).fill_null(np.nan).to_numpy()
+        begin = np.searchsorted(micros, at, "right")
+        end = np.searchsorted(micros // 1_000_000, at // 1_000_000 + horizon_s, "right")
+        floor, ceiling = price * (1 - stop), price * (1 + target)
+        hit = tree.first(np.minimum(begin, (1 << tree.levels) - 1), floor, ceiling)
+        some = np.flatnonzero(end > begin)  # entries with no later row have no exit
+        inside = hit[some] < end[some]
+        row = np.where(inside, hit[some], end[some] - 1)
+        low, high = (path.column(c).take(pa.array(row)) for c in ("low", "high"))
+        stopped = inside & (col(pa.table({"x": low}), "x", np.inf) <= floor[some])
+        gained = inside & ~stopped & (col(pa.table({"x": high}), "x", -np.inf) >= ceiling[some])
+        why = np.select([stopped, gained, inside], ["stop_loss", "roi", "exit_signal"], "force_exit")
+        closed = close.take(pa.array(row))
+        px = pa.array(np.select([stopped, gained], [floor[some], ceiling[some]], closed.fill_null(np.nan).to_numpy()), mask=~stopped & ~gained & closed.is_null().to_numpy())
+        out = {k: entries.column(k).take(pa.array(some)) for k in keys}
+        return pa.table({**out, "entry": pa.array(at[some]), "exit": pa.array(micros[row]), "exit_price": px, "exit_reason": pa.array(why.tolist(), pa.string())})
+
+    return run
+
+
 def first_barrier(
     entries: DataFrame, path: DataFrame, keys: Sequence[str], stop: float, target: float, horizon_s: int, piece: int = 86_400
 ) -> DataFrame:
     """First exit of each entry: stop, then target, then signal, on later rows.
 
-    Entries meet later rows by (key, time piece) equi join, bounded by the
-    horizon; the earliest barrier by (time, priority) wins.  No hit: forced at
-    the last row inside the horizon.
+    A task holds one key's entries of a time piece and the rows of that piece and the horizon behind it, and finds
+    each entry's first hit in a hierarchy of lows and highs (``Reached``): no entry is joined to the rows it passes.
+    No hit: forced at the last row inside the horizon.
     """
-    sec = F.unix_seconds("entry_at")
-    pieces = F.sequence(F.floor(sec / piece), F.floor((sec + horizon_s) / piece))
-    spread = entries.withColumn("__piece", F.explode(pieces))
-    rows = path.withColumn("__piece", F.floor(F.unix_seconds("ts") / piece))
-    later = spread.join(rows, [*keys, "__piece"]).filter(
-        (F.col("ts") > F.col("entry_at")) & (F.unix_seconds("ts") <= F.unix_seconds("entry_at") + horizon_s)
-    )
-    p = F.col("entry_price")
-    hit = (
-        F.when(F.col("low") <= p * (1 - stop), F.struct(F.lit(0).alias("o"), (p * (1 - stop)).alias("px"), F.lit("stop_loss").alias("why")))
-        .when(F.col("high") >= p * (1 + target), F.struct(F.lit(0).alias("o"), (p * (1 + target)).alias("px"), F.lit("roi").alias("why")))
-        .when(F.col("exit_flag") == 1, F.struct(F.lit(0).alias("o"), F.col("close").alias("px"), F.lit("exit_signal").alias("why")))
-    )
-    later = later.withColumn("__hit", hit)
-    out = later.groupBy(*keys, "entry_at").agg(
-        F.min(F.when(F.col("__hit").isNotNull(), F.struct(F.col("ts").alias("at"), F.col("__hit.px").alias("px"), F.col("__hit.why").alias("why")))).alias("h"),
-        F.max(F.struct(F.col("ts").alias("at"), F.col("close").alias("px"), F.lit("force_exit").alias("why"))).alias("f"),
-    )
-    pick = F.coalesce(F.col("h"), F.col("f"))
-    return out.select(*keys, "entry_at", pick["at"].alias("exit_at"), pick["px"].alias("exit_price"), pick["why"].alias("exit_reason"))
+    span = max(piece, horizon_s)
+    sec, by = F.unix_seconds("entry_at"), [*keys, "__piece"]
+    asked = entries.select(*keys, F.unix_micros("entry_at").alias("micros"), F.col("entry_price").cast("double").alias("price"), F.floor(sec / span).alias("__piece"))
+    at = F.unix_seconds("ts")
+    rows = path.select(
+        *keys, F.unix_micros("ts").alias("micros"), *[F.col(c).cast("double").alias(c) for c in ("low", "high", "close")], F.col("exit_flag").cast("int").alias("mark"),
+        F.explode(F.sequence(F.floor((at - horizon_s) / span), F.floor(at / span))).alias("__piece"),
+    )
+    schema = T.StructType([*[entries.schema[k] for k in keys], T.StructField("entry", T.LongType()), T.StructField("exit", T.LongType()), T.StructField("exit_price", T.DoubleType()), T.StructField("exit_reason", T.StringType())])
+    out = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_exits(stop, target, horizon_s, keys), schema)
+    time = F.timestamp_micros
+    return out.select(*keys, time("entry").alias("entry_at"), time("exit").alias("exit_at"), "exit_price", "exit_reason")
 
 
 def max_concurrent(intervals: DataFrame, s: Series, start: str, end: str, out: str = "max_open") -> DataFrame:
