@@ -148,6 +148,34 @@ def test_capital_reserve_needs_realised_profit():
     assert st["reserve"] == 0.5
 
 
+@pytest.mark.parametrize("ratio,least,period", [(0.0, 0.0, "daily"), (0.3, 1.0, "daily"), (0.5, 0.0, "always"), (0.3, 4.0, "weekly")])
+def test_reserve_against_row_by_row(ratio, least, period):
+    rng = np.random.default_rng(9)
+    for case in range(20):
+        n = int(rng.integers(1, 400))
+        at = np.cumsum(rng.integers(0, 3, n)) * 40_000_000
+        realised = np.round(rng.normal(0.05, 3, n).cumsum(), 1)
+        locked = np.maximum.accumulate(np.maximum(0, realised + rng.normal(0, 2, n))) * 0.5
+        x = last = 0.0
+        when, want = None, []
+        for t, r, k in zip(at, realised, locked):
+            cap = max(r, 0.0) * 0.5
+            x = min(k, cap) if x > cap + 1e-9 else max(x, min(k, cap))
+            paid = 0.0
+            if ratio > 0 and r - last > 0 and r - last >= least and (when is None or t - when >= capital.PERIOD_MS[period]):
+                paid, when, last = (r - last) * ratio, t, r
+                x += paid
+            want.append((x, paid))
+        step = capital.ReserveStep(0.5, ratio, least, period)
+        rows = pd.DataFrame({"ts_ms": at, "realised": realised, "locked": locked})
+        cut = int(rng.integers(0, n))
+        st, a = step(None, rows.iloc[:cut], False)
+        st, b = step(st, rows.iloc[cut:], True)
+        got = pd.concat([a, b])
+        np.testing.assert_allclose(got[["reserve", "harvest"]].to_numpy(), np.array(want), atol=1e-8)
+        np.testing.assert_allclose(got["total_harvested"], np.cumsum([w[1] for w in want]), atol=1e-8)
+
+
 def test_fold_slices_do_not_matter(spark):
     rng = np.random.default_rng(2)
     n = 200

@@ -9,6 +9,7 @@ from tidegauge.plans.series import Series
 
 CORE, LOCK = 1_000_000.0, 0.5
 S = Series(("pair",), "ts", (), 365 * 86_400)
+SLICE = 3 * 365 * 86_400  # seconds of history a task of an ordered fold holds
 
 EQ = f"""{TRADES}, d AS (SELECT pair, date_trunc('day', close_date) AS ts, round(sum(profit_abs), 4) AS pa FROM trades GROUP BY 1, 2),
     q AS (SELECT pair, ts, sum(pa) OVER w AS realised, pa * 0.5 AS unrealised, row_number() OVER w AS i FROM d WINDOW w AS (PARTITION BY pair ORDER BY ts)),
@@ -46,7 +47,7 @@ def _(v):
 )
 def _(v):
     p = K.protection(_rows(v), S, CORE, LOCK)
-    out = K.reserve(p, S, K.ReserveStep(LOCK), span=3650 * 86_400)
+    out = K.reserve(p, S, K.ReserveStep(LOCK), span=SLICE)
     return out.select("pair", "ts_ms", r("reserve", 6).alias("reserve"))
 
 
@@ -64,7 +65,7 @@ def _(v):
 def _(v):
     p = K.protection(_rows(v), S, CORE, LOCK)
     step = K.ReserveStep(LOCK, harvest_ratio=0.3, threshold=1000.0, period="weekly")
-    out = K.capital_view(p, K.reserve(p, S, step, span=3650 * 86_400), "pair", CORE)
+    out = K.capital_view(p, K.reserve(p, S, step, span=SLICE), "pair", CORE)
     cols = ("reserve", "harvest", "total_harvested", "trading_capital")
     return rounded(out.select("pair", "ts_ms", *cols), *cols, digits=6)
 

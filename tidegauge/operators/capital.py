@@ -1,12 +1,13 @@
 """Capital protection over dated equity rows.
 
 High-water mark and locked profit only grow, so they are running maxima.  The
-actual reserve and the periodic harvest depend on their own past and run as an
-ordered fold in time slices.
+reserve follows from them row by row; only periodic harvests depend on earlier
+harvests, and run as an ordered fold in time slices.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,25 @@ def protection(rows: DataFrame, s: Series, core: float, lock: float = 0.5, buffe
     )
 
 
+def _next_harvest(realised: np.ndarray, begin: int, last: float, least: float) -> int:
+    """First row from ``begin`` whose gain over the last harvest is positive and large enough; looked for in growing steps."""
+    step = 64
+    while begin < len(realised):
+        gain = realised[begin : begin + step] - last
+        good = np.flatnonzero((gain > 0) & (gain >= least))
+        if len(good):
+            return begin + int(good[0])
+        begin, step = begin + step, 2 * step
+    return len(realised)
+
+
 class ReserveStep:
-    """One account's reserve rule and harvest; state is a small dict.
+    """One account's reserve and harvests; state is a small dict, work is by harvest and not by row.
 
-    The reserve follows locked profit but never exceeds the realised cap; if it
-    does, it is corrected down once.
+    A row lets the reserve x through if target < x <= cap, and else sets it to the target, the lesser of locked profit
+    and cap.  Locked profit never falls, so a target below an earlier one is its own cap.  Hence rows in sequence
+    act as one row with the last target and the least cap, and between harvests the reserve of every row
+    follows from running minima of the cap.
     """
 
     def __init__(self, lock: float, harvest_ratio: float = 0.0, threshold: float = 0.0, period: str = "daily"):
@@ -48,34 +63,48 @@ class ReserveStep:
     def start(self) -> dict:
         return {"reserve": 0.0, "harvested": 0.0, "last_at": None, "last_realised": 0.0}
 
+    def advance(self, st: dict, at: np.ndarray, realised: np.ndarray, locked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reserve and harvest of rows in order; ``st`` moves on to the last of them."""
+        cap = np.maximum(realised, 0.0) * self.lock
+        target = np.minimum(locked, cap)
+        held, harvest = np.empty(len(at)), np.zeros(len(at))
+        begin = 0
+        while begin < len(at):
+            due = begin if st["last_at"] is None else max(begin, int(np.searchsorted(at, st["last_at"] + self.period)))
+            event = _next_harvest(realised, due, st["last_realised"], self.threshold) if self.ratio > 0 else len(at)
+            part = slice(begin, min(event + 1, len(at)))
+            through = (st["reserve"] > target[part]) & (st["reserve"] <= np.minimum.accumulate(cap[part]) + EPS)
+            held[part] = np.where(through, st["reserve"], target[part])
+            if event < len(at):
+                harvest[event] = (realised[event] - st["last_realised"]) * self.ratio
+                held[event] += harvest[event]
+                st.update(last_at=int(at[event]), last_realised=float(realised[event]))
+            st["reserve"], begin = float(held[part.stop - 1]), part.stop
+        st["harvested"] += float(harvest.sum())
+        return held, harvest
+
     def one(self, st: dict, at: int, realised: float, locked: float) -> float:
         """Advance by one dated row; returns the amount harvested on it."""
-        cap = max(realised, 0.0) * self.lock
-        target = min(locked, cap)
-        st["reserve"] = target if st["reserve"] > cap + EPS else max(st["reserve"], target)
-        gain = realised - st["last_realised"]
-        due = st["last_at"] is None or at - st["last_at"] >= self.period
-        if self.ratio <= 0 or gain <= 0 or gain < self.threshold or not due:
-            return 0.0
-        amount = gain * self.ratio
-        st["reserve"] += amount
-        st["harvested"] += amount
-        st.update(last_at=at, last_realised=realised)
-        return amount
+        return float(self.advance(st, np.array([at]), np.array([realised], float), np.array([locked], float))[1][0])
 
     def __call__(self, state: dict | None, rows: pd.DataFrame, final: bool) -> tuple[dict, pd.DataFrame]:
-        st = state or self.start()
-        out = []
-        for row in rows.itertuples(index=False):
-            amount = self.one(st, int(row.ts_ms), float(row.realised), float(row.locked))
-            out.append((int(row.ts_ms), st["reserve"], amount, st["harvested"]))
-        return st, pd.DataFrame(out, columns=["ts_ms", "reserve", "harvest", "total_harvested"])
+        st = dict(state or self.start())
+        before = st["harvested"]
+        at, realised, locked = (rows[c].to_numpy(t) for c, t in (("ts_ms", np.int64), ("realised", float), ("locked", float)))
+        held, harvest = self.advance(st, at, realised, locked)
+        return st, pd.DataFrame({"ts_ms": at, "reserve": held, "harvest": harvest, "total_harvested": before + np.cumsum(harvest)})
 
 
 def reserve(protected: DataFrame, s: Series, step: ReserveStep, span: int) -> DataFrame:
-    """Actual reserve and harvests per row of ``protection`` output."""
+    """Actual reserve and harvests per row of ``protection`` output.
+
+    Without harvests nothing ever lifts the reserve above its target, so every row tells its own.
+    """
     key = s.keys[0]
     rows = protected.select(key, s.ts, "realised", "locked", F.unix_millis(s.ts).alias("ts_ms"))
+    if step.ratio <= 0:
+        target = F.least("locked", F.greatest("realised", F.lit(0.0)) * step.lock)
+        return rows.select(key, "ts_ms", target.alias("reserve"), F.lit(0.0).alias("harvest"), F.lit(0.0).alias("total_harvested"))
     schema = f"{key} string, ts_ms long, reserve double, harvest double, total_harvested double"
     return sliced_fold(rows, [key], s.ts, ["ts_ms"], span, step, schema)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,13 +42,16 @@ def latest_settlement(state: dict | None, rows: pd.DataFrame, final: bool) -> tu
     Rows of both streams come as one: ``side`` 0 for settlements, 1 for bars.
     """
     st = state or {"rate": None, "at": None}
-    out = []
-    for row in rows.itertuples(index=False):
-        if row.side == 0:
-            st = {"rate": float(row.rate), "at": int(row.ts_us)}
-        else:
-            out.append((int(row.ts_us), int(row.row_id), st["rate"], st["at"]))
-    return st, pd.DataFrame(out, columns=["ts_us", "row_id", "rate", "settled_us"])
+    change = rows["side"].to_numpy() == 0
+    at = np.maximum.accumulate(np.where(change, np.arange(len(rows)), -1))  # the settlement a row sees; -1: the carried one
+    seen = at >= 0
+    rate = np.where(seen, rows["rate"].to_numpy(float)[at], np.nan if st["rate"] is None else st["rate"]) if len(rows) else np.empty(0)
+    micros = [int(t) if s else st["at"] for t, s in zip(rows["ts_us"].to_numpy()[at], seen)]
+    if change.any():
+        last = int(np.flatnonzero(change)[-1])
+        st = {"rate": float(rows["rate"].iloc[last]), "at": int(rows["ts_us"].iloc[last])}
+    out = pd.DataFrame({"ts_us": rows["ts_us"], "row_id": rows["row_id"], "rate": rate, "settled_us": pd.array(micros, "Int64")})[~change]
+    return st, out.reset_index(drop=True)
 
 
 class AccountStep:
@@ -57,12 +61,10 @@ class AccountStep:
         self.core, self.reserve = core, reserve
 
     def __call__(self, state: dict | None, rows: pd.DataFrame, final: bool) -> tuple[dict, pd.DataFrame]:
-        st = state or {**self.reserve.start(), "high": self.core}
-        out = []
-        for row in rows.itertuples(index=False):
-            equity = self.core + float(row.realised) + float(row.unrealised)
-            st["high"] = max(st["high"], equity)
-            locked = max(0.0, st["high"] - self.core) * self.reserve.lock
-            amount = self.reserve.one(st, int(row.ts_ms), float(row.realised), locked)
-            out.append((int(row.ts_ms), st["high"], locked, st["reserve"], amount))
-        return st, pd.DataFrame(out, columns=["ts_ms", "high_water", "locked", "reserve", "harvest"])
+        st = dict(state or {**self.reserve.start(), "high": self.core})
+        at, realised, loose = (rows[c].to_numpy(t) for c, t in (("ts_ms", np.int64), ("realised", float), ("unrealised", float)))
+        high = np.maximum.accumulate(np.concatenate([[st["high"]], self.core + realised + loose]))[1:]
+        locked = np.maximum(0.0, high - self.core) * self.reserve.lock
+        held, harvest = self.reserve.advance(st, at, realised, locked)
+        st["high"] = float(high[-1]) if len(rows) else st["high"]
+        return st, pd.DataFrame({"ts_ms": at, "high_water": high, "locked": locked, "reserve": held, "harvest": harvest})
