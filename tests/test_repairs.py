@@ -69,3 +69,50 @@ def test_streams_read_folders_and_files(spark):
     for name, n in (("t.parquet", 10), ("one.parquet", 2)):
         out, seen = live.drain(live.read_files(spark, f"{path}/{name}", schema), "files")
         assert out.count() == n == seen["input_rows"]
+
+
+def test_stored_merge_survives_a_killed_write(spark, monkeypatch):
+    """A failure before the pointer turns leaves the old version; the next merge works and clears what was left."""
+    import os
+    import tempfile
+
+    from tidegauge.sources import sinks
+
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    held = lambda: {tuple(r) for r in sinks.current(spark, root).collect()}
+    assert sinks.current(spark, root) is None
+    sinks.merge_version(root, make([(1, "a"), (2, "b")]), ["k"])
+    reader = sinks.current(spark, root)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_turn", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            sinks.merge_version(root, make([(2, "lost")]), ["k"])
+    broken = make([(3, "x")]).withColumn("v", F.raise_error(F.lit("lost executor")).cast("string"))
+    with pytest.raises(Exception, match="lost executor"):
+        sinks.merge_version(root, broken, ["k"])
+    assert held() == {(1, "a"), (2, "b")}
+    sinks.merge_version(root, make([(2, "c"), (3, "d")]), ["k"])
+    assert held() == {(1, "a"), (2, "c"), (3, "d")}
+    assert {tuple(r) for r in reader.collect()} == {(1, "a"), (2, "b")}  # who read the version before still can
+    assert sum(name.startswith("v-") for name in os.listdir(root)) == 2
+
+
+@pytest.mark.parametrize("rows", [1, 3, 4, 5, 30])
+def test_content_tree_does_not_depend_on_chunks(spark, rows):
+    import hashlib
+
+    from tidegauge.operators.quality import content_tree
+    from tidegauge.plans.series import Series
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    df = spark.createDataFrame([("a", i, i / 3) for i in range(rows)], "symbol string, s long, x double").withColumn("ts", F.timestamp_seconds("s"))
+    level = [sha(f"{i * 1_000_000}:{i / 3:.8f}") for i in range(rows)]
+    while len(level) > 1:
+        level = [sha("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
+    got = {tuple(content_tree(df, Series(span=span), "x", fan=4).first()) for span in (1, 7, 10_000)}
+    assert got == {("a", rows, level[0])}

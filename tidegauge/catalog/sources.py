@@ -239,6 +239,47 @@ def _(v):
     return Q.content_hash(v.bars, BAR_SERIES, "close")
 
 
+_TREE = """l AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n, sha256(epoch_us(ts) || ':' || printf('%.8f', close)) AS h FROM bars),
+      up AS (SELECT symbol, n, p, h FROM l UNION ALL SELECT symbol, (n + 255) // 256, p // 256, sha256(string_agg(h, '' ORDER BY p)) FROM up WHERE n > 1 GROUP BY symbol, n, p // 256),
+      tree AS (SELECT symbol, h AS digest FROM up WHERE n = 1)"""
+
+
+@query("ordered_content_tree", "D35 H10", f"WITH RECURSIVE {BARS}, {_TREE} SELECT symbol, rows, digest FROM tree JOIN (SELECT symbol, count(*) AS rows FROM bars GROUP BY 1) USING (symbol)")
+def _(v):
+    from tidegauge.sources.views import BAR_SERIES
+
+    return Q.content_tree(v.bars, BAR_SERIES, "close")
+
+
+@query(
+    "download_manifest_files",
+    "A18 D35",
+    f"""WITH RECURSIVE {BARS}, {_TREE} SELECT symbol AS part, count(*) AS rows, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, max(digest) AS digest
+      FROM bars JOIN tree USING (symbol) GROUP BY 1""",
+)
+def _(v):
+    path = _folder(v, "files")
+    v.bars.select("symbol", "ts", "close").repartition("symbol").write.partitionBy("symbol").parquet(path)  # one file for each symbol
+    back = v.spark.read.parquet(path).select("ts", "close", F.col("_metadata.file_path").alias("file"))
+    m = sinks.file_manifest(back, "file", "ts", "close", span=30 * 86_400)
+    return m.select(F.regexp_extract("file", "symbol=([^/]+)/", 1).alias("part"), "rows", ms("first_ts").alias("first_ms"), ms("last_ts").alias("last_ms"), "digest")
+
+
+@query(
+    "stored_merge_versions",
+    "A16",
+    f"""WITH {BARS} SELECT symbol, epoch_ms(ts) AS ts_ms, CASE WHEN epoch_ms(ts) // 3600000 % 3 = 0 THEN close + 2 WHEN epoch_ms(ts) // 3600000 % 3 = 1 THEN close + 1 ELSE close END AS close FROM bars""",
+)
+def _(v):
+    """A table written once and merged twice: each merge replaces a share of the rows by key."""
+    root, hour = _folder(v, "versions"), F.unix_seconds("ts") / 3600
+    b = v.bars.select("symbol", "ts", "close")
+    sinks.save_version(root, b)
+    sinks.merge_version(root, b.filter(hour % 3 < 2).withColumn("close", F.col("close") + 1), ["symbol", "ts"])
+    sinks.merge_version(root, b.filter(hour % 3 == 0).withColumn("close", F.col("close") + 2), ["symbol", "ts"])
+    return sinks.current(v.spark, root).select("symbol", ms("ts").alias("ts_ms"), "close")
+
+
 @query(
     "string_and_time_functions",
     "H1 H2 H3 H4 H7 H8",

@@ -136,3 +136,27 @@ def content_hash(df: DataFrame, s: Series, value: str) -> DataFrame:
     return parts.groupBy(*s.keys).agg(
         F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(CHUNK, "h"))), lambda z: z["h"])), 256).alias("digest")
     )
+
+
+TREE = 256  # children of a node of a content tree
+
+
+def content_tree(df: DataFrame, s: Series, value: str, fan: int = TREE) -> DataFrame:
+    """One digest per key over its rows in order, and their number.
+
+    Rows are leaves by their exact position, ``fan`` neighbours become the digest of their digests, level by level
+    until one is left.  So the digest depends on rows and order alone, not on how they were cut into chunks or
+    tasks, and no task holds more of a key than ``fan`` digests at a time.
+    """
+    from tidegauge.plans.series import POS, number_rows
+
+    line = F.concat_ws(":", F.unix_micros(s.ts).cast("string"), F.format_string("%.8f", F.col(value)))
+    at = number_rows(df.select(*s.keys, s.ts, *s.ties, value), s, total="rows").select(*s.keys, "rows", F.col("rows").alias("n"), F.col(POS).alias("p"), F.sha2(line, 256).alias("h"))
+    most = at.agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        together = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]))
+        up = F.when(F.col("n") == 1, F.max("h")).otherwise(F.sha2(together, 256))  # a lone node is done and stays
+        at = at.groupBy(*s.keys, "rows", "n", F.expr(f"p div {fan}").alias("__up")).agg(up.alias("h"))
+        at = at.select(*s.keys, "rows", F.expr(f"(n + {fan - 1}) div {fan}").alias("n"), F.col("__up").alias("p"), "h")
+        most = -(-most // fan)
+    return at.select(*s.keys, "rows", F.col("h").alias("digest"))
