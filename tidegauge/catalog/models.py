@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import BARS, ms, query, r, rounded
+from tidegauge.operators import arms, bars
 from tidegauge.operators import models as M
 from tidegauge.operators import windows as w
+from tidegauge.operators.features import BLOCK_COLUMNS, bar_features, cross_asset, mean_pairwise_corr, ratio_change
 from tidegauge.plans.folds import calendar_folds
 from tidegauge.plans.series import framed
 from tidegauge.plans.stage import materialise
@@ -94,14 +96,54 @@ def _(v):
     return rounded(both.groupBy("model").agg(*regression_losses(F.col("score"), F.col("l2"))), "rmse", "r2")
 
 
-@query("incremental_arms_base_new_full", "K10 I17")
+BASE28 = BLOCK_COLUMNS["B3"]
+CONTEXT = ("breadth_1", "breadth_12", "dispersion_12", "base_rel_12", "ratio_chg_12", "mean_corr")
+COST = 0.003
+
+
+def _context(v, members):
+    """What the other assets did, per instant, from hourly closes carried over gaps: S0 is the base, S1 over S0 the ratio."""
+    hourly = bars.filled(v.bars.select("symbol", "ts", "close"), 3600, ["close"], [], BAR_SERIES).select("symbol", "ts", "close")
+    wide = cross_asset(hourly, BAR_SERIES, base="S0", universe=members)
+    ratio = ratio_change(hourly, BAR_SERIES, "S1", "S0", 12).select("ts", "ratio_chg_12")
+    corr = mean_pairwise_corr(hourly, BAR_SERIES, 3600, 48, universe=["S0", *members])
+    return wide.join(ratio, "ts").join(corr, "ts").select("ts", *CONTEXT)
+
+
+def _arm_rows(v):
+    """All 28 bar features of all symbols, and the label: does the return of four bars beat the cost."""
+    d = bar_features(v.bars, BAR_SERIES, per_year=24 * 365, rank_window=48)
+    d = framed(d, BAR_SERIES, lambda d, b: d.withColumn("l2", w.forward_return(b, F.col("close"), 4)), ahead=4)
+    key = F.unix_micros("ts") * 10 + F.substring("symbol", 2, 1).cast("long")
+    return materialise(d.na.drop(subset=[*BASE28, "l2"]).withColumns({"l1": (F.col("l2") > COST).cast("double"), "id": key}), "arm-rows")
+
+
+def _members(v):
+    return [x[0] for x in v.bars.select("symbol").filter("symbol <> 'S0'").distinct().orderBy("symbol").collect()]
+
+
+def _split(d):
+    cut = F.lit("2024-01-20").cast("timestamp")
+    return d.filter(F.col("ts") < cut), d.filter(F.col("ts") >= cut)
+
+
+@query("incremental_arms_base_new_full", "K10 I17 J4")
 def _(v):
-    from tidegauge.operators.resampling import interval, premium_difference
+    d = materialise(_arm_rows(v).join(_context(v, _members(v)), "ts"), "arm-frame")
+    train, test = _split(d)
+    out = arms.incremental(train, test, BASE28, CONTEXT, "l1", "l2", "id", COST)
+    cols = ("least", "most", "pss", "edge_over_cost", "t_stat", "p", "q", "cohens_d", "delta_mean", "delta_lo", "delta_hi")
+    return rounded(out.select("arm", "n_features", "n_test", "n_top", *cols, "passed"), *cols)
 
-    d = materialise(_frame(v), "frame")
-    cut = F.lit("2024-01-15").cast("timestamp")
-    train, test = d.filter(F.col("ts") < cut), d.filter(F.col("ts") >= cut).select("id", "l2", *FEATURES)
-    base = M.fit_score(train, test, FEATURES[:2], "l0", "M1").select("id", "l2", F.col("score").alias("base"))
-    full = M.fit_score(train, test, FEATURES, "l0", "M1").select("id", F.col("score").alias("full"))
-    both = materialise(base.join(full, "id"), "arms")
-    return rounded(interval(premium_difference(both, "base", "full", "l2", "id", 10000, 3), [], "delta"), "boot_mean", "lo", "hi")
+
+@query("incremental_arms_leave_one_out_model", "K10 J4")
+def _(v):
+    """FULL without each asset but the base and the one of the ratio, as published; the assets are those of the data."""
+    rows, members = _arm_rows(v), _members(v)
+
+    def features(stay):
+        return _split(materialise(rows.join(_context(v, ["S1", *stay]), "ts"), "arm-frame"))
+
+    out = arms.leave_one_out([m for m in members if m != "S1"], features, BASE28, CONTEXT, "l1", "l2", "id", COST)
+    cols = ("least", "most", "pss", "edge_over_cost", "t_stat", "p")
+    return rounded(out.select("left_out", "n_features", "n_test", "n_top", *cols), *cols)

@@ -56,25 +56,32 @@ def estimator(model: str, label: str, trees: int = 200, depth: int = 8, rounds:
     raise ValueError(f"unknown model {model}")
 
 
-def fit_score(
-    train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, model: str, classify: bool = True, **kw
-) -> DataFrame:
-    """Scores of test rows; classifiers always give the probability of class 1."""
+def fit(train: DataFrame, cols: Sequence[str], label: str, model: str, classify: bool = True, **kw):
+    """A fitted pipeline; rows with a missing feature or label do not teach."""
     stages = [VectorAssembler(inputCols=list(cols), outputCol="raw_features", handleInvalid="keep")]
     if model == "M1":
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
     else:
         stages[0].setOutputCol("features")
+    train = train.na.drop(subset=[*cols, label])
+    pipeline = Pipeline(stages=[*stages, estimator(model, label, classify=classify, rows=max(1, train.count()), **kw)])
+    return pipeline.fit(balanced(train, label) if classify else train)
+
+
+def score(fitted, test: DataFrame, cols: Sequence[str], classify: bool = True) -> DataFrame:
+    """Adds ``score``; classifiers give the probability of class 1.  Rows with a missing feature stay, without a score."""
     known = F.lit(True)
     for c in cols:
         known = known & F.col(c).isNotNull()
-    train = train.filter(known & F.col(label).isNotNull())
-    fitted = Pipeline(stages=[*stages, estimator(model, label, classify=classify, rows=max(1, train.count()), **kw)]).fit(
-        balanced(train, label) if classify else train
-    )
-    out = fitted.transform(test)
-    score = vector_to_array("probability")[1] if classify else F.col("prediction")
-    return out.withColumn("score", F.when(known, score)).select(*test.columns, "score")  # rows with a missing feature stay, without a score
+    got = vector_to_array("probability")[1] if classify else F.col("prediction")
+    return fitted.transform(test).withColumn("score", F.when(known, got)).select(*test.columns, "score")
+
+
+def fit_score(
+    train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, model: str, classify: bool = True, **kw
+) -> DataFrame:
+    """Scores of test rows by a model of the training rows."""
+    return score(fit(train, cols, label, model, classify, **kw), test, cols, classify)
 
 
 def base_rate(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
