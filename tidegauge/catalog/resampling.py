@@ -24,21 +24,23 @@ def _ci(x: str, src: str, by: str = "", digits: int = 7) -> str:
     )
 
 
-@query(
-    "bootstrap_mean_difference",
-    "I16",
-    f"""WITH {SCORES}, rp AS (SELECT s.cell, s.id, s.fwd, s.label, r.i AS rep FROM scores s CROSS JOIN range(0, 100) r(i)),
-      {sql_draws('rp', 'id', 'rep', 11, 'dr')}, w AS (SELECT *, {sql_poisson('u')} AS w FROM dr),
-      d AS (SELECT cell, rep, sum(w * score_x) FILTER (a) / sum(w) FILTER (a) - sum(w * score_x) FILTER (NOT a) / sum(w) FILTER (NOT a) AS diff
-        FROM (SELECT *, fwd AS score_x, id % 2 = 0 AS a FROM w) GROUP BY 1, 2)
-      {_ci('diff', 'd', 'cell')}""",
-)
+def _diff_sql(reps: int) -> str:
+    """Rows of one cell, side and value weigh together, 4 096 rows a draw."""
+    return f"""WITH {SCORES}, g AS (SELECT cell, id % 2 = 0 AS a, fwd, min(id) AS lid, count(*) AS n FROM scores GROUP BY 1, 2, 3),
+      gp AS (SELECT *, unnest(range(0, (n - 1) // 4096 + 1)) AS piece FROM g), pc AS (SELECT * REPLACE (least(4096, n - piece * 4096) AS n) FROM gp),
+      rp AS (SELECT pc.*, r.i AS rep FROM pc CROSS JOIN range(0, {reps}) r(i)),
+      {sql_draws("rp", "lid + piece * 1000000007", "rep", 11, "dr")}, {sql_poisson_of("dr", "n", "u", "w")},
+      d AS (SELECT cell, rep, sum(w * fwd) FILTER (a) / sum(w) FILTER (a) - sum(w * fwd) FILTER (NOT a) / sum(w) FILTER (NOT a) AS diff FROM w GROUP BY 1, 2)
+      {_ci("diff", "d", "cell")}"""
+
+
+@query("bootstrap_mean_difference", "I16", _diff_sql(100))
 def _(v, reps=100):
     d = R.mean_diff_draws(v.scores, ["cell"], "fwd", F.col("id") % 2 == 0, "id", reps, 11)
     return rounded(R.interval(d, ["cell"], "diff"), "boot_mean", "lo", "hi", digits=7)
 
 
-query("bootstrap_mean_difference_published", "I16")(lambda v, f=_: f(v, 2000))
+query("bootstrap_mean_difference_published", "I16", _diff_sql(2000))(lambda v, f=_: f(v, 2000))
 
 
 def _premium_sql(reps: int) -> str:
@@ -53,7 +55,7 @@ def _premium_sql(reps: int) -> str:
       g AS (SELECT ca, cb, fwd, min(ra) AS ra, min(rb) AS rb, min(id) AS lid, count(*) AS n FROM s4 GROUP BY ca, cb, fwd, CASE WHEN ca = 1 OR cb = 1 THEN id END),
       gp AS (SELECT *, unnest(range(0, (n - 1) // 4096 + 1)) AS piece FROM g), pc AS (SELECT * REPLACE (least(4096, n - piece * 4096) AS n) FROM gp),
       rp AS (SELECT pc.*, r.i AS rep FROM pc CROSS JOIN range(0, {reps}) r(i)),
-      {sql_draws("rp", "lid + piece", "rep", 17, "dr")}, {sql_poisson_of("dr", "n", "u", "dw")},
+      {sql_draws("rp", "lid + piece * 1000000007", "rep", 17, "dr")}, {sql_poisson_of("dr", "n", "u", "dw")},
       w AS MATERIALIZED (SELECT ca, cb, ra, rb, lid, piece, fwd, rep, w FROM dw), k AS (SELECT rep, ceil(sum(w) * 0.1::DOUBLE - 1e-9) AS k FROM w GROUP BY 1),
       c AS (SELECT w.*, k, {before("a")}, {before("b")} FROM w JOIN k USING (rep)),
       t AS (SELECT rep, {top("b")} - {top("a")} AS delta FROM c GROUP BY 1)

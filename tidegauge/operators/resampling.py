@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.rand import poisson_array, poisson_weight, uniform, uniform_array
 from tidegauge.plans.ranking import exact_rank
@@ -40,19 +41,69 @@ def interval(draws: DataFrame, by: list[str], x: str, alpha: float = 0.05) -> Da
     return draws.groupBy(*by).agg(F.avg(x).alias("boot_mean"), q[0].alias("lo"), q[1].alias("hi"))
 
 
+PIECE = 4096  # rows of equal outcome that share one draw
+STEP = 1_000_000_007  # draws of further pieces start from row ids this far apart
+
+
+def _pieces(cells: DataFrame) -> DataFrame:
+    """Cells with ``at`` (their least row id) and ``n`` (rows), cut into pieces of bounded n with draws of their own."""
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE)))
+    cut = cells.withColumn("__piece", piece).withColumn("n", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("__piece") * PIECE))
+    return cut.withColumn("at", F.col("at") + F.col("__piece") * STEP).drop("__piece")
+
+
+def _weights(at: np.ndarray, n: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson weights of cells by replicates."""
+    u = uniform_array(at[:, None], rep[None, :], seed)
+    w = np.empty(u.shape, np.int64)
+    for mean in np.unique(n):
+        w[n == mean] = poisson_array(u[n == mean], int(mean))
+    return w
+
+
 def mean_diff_draws(df: DataFrame, by: list[str], x: str, in_a: Column, row: str, reps: int, seed: int) -> DataFrame:
-    """Replicated difference of two group means."""
-    d = df.select(*by, F.col(x).alias("__x"), in_a.alias("__a"), F.col(row).alias("__id"))
-    w = d.withColumn("rep", _reps(reps)).withColumn("__w", poisson_weight(F.col("__id"), F.col("rep"), seed))
-    wa, wb = F.when(F.col("__a"), F.col("__w")), F.when(~F.col("__a"), F.col("__w"))
-    out = w.groupBy(*by, "rep").agg(
-        F.try_divide(F.sum(wa * F.col("__x")), F.sum(wa)).alias("__ma"),
-        F.try_divide(F.sum(wb * F.col("__x")), F.sum(wb)).alias("__mb"),
-    )
-    return out.select(*by, "rep", (F.col("__ma") - F.col("__mb")).alias("diff"))
+    """Replicated difference of two group means.
+
+    Rows of one group, side and value are one cell, which weighs one Poisson number of its size in a replicate.  Tasks
+    go through their cells by group and send one row for each group and replicate.
+    """
+    d = df.select(*by, F.col(x).cast("double").alias("x"), in_a.alias("side"), F.col(row).alias("at")).filter("x IS NOT NULL AND side IS NOT NULL")
+    cells = _pieces(d.groupBy(*by, "side", "x").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))).repartition("at")
+    group = F.struct(F.lit(0).alias("_"), *by)
+    cells = cells.select(group.alias("of"), F.xxhash64(group).alias("key"), "side", "x", "at", "n").sortWithinPartitions("key")
+
+    def add(batches):
+        rep, now, sums = np.arange(reps), None, np.zeros((4, reps))
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now] * reps, kind), pa.array(rep), *[pa.array(v) for v in sums]], ["of", "rep", "wa", "sa", "wb", "sb"])
+
+        for batch in batches:
+            kind = batch.schema.field("of").type
+            groups, (side, value, at, n) = batch.column("of").to_pylist(), (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "x", "at", "n"))
+            start = 0
+            while start < len(groups):
+                end = start + 1
+                while end < len(groups) and end - start < 64 and groups[end] == groups[start]:
+                    end += 1
+                if now is not None and groups[start] != now:
+                    yield done()
+                    sums = np.zeros((4, reps))
+                now = groups[start]
+                w = _weights(at[start:end], n[start:end], rep, seed)
+                for k, own in ((0, side[start:end]), (2, ~side[start:end])):
+                    sums[k] += w[own].sum(0)
+                    sums[k + 1] += value[start:end][own] @ w[own]
+                start = end
+        if now is not None:
+            yield done()
+
+    of = cells.schema["of"].dataType
+    schema = T.StructType([T.StructField("of", of), T.StructField("rep", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("wa", "sa", "wb", "sb")]])
+    out = cells.mapInArrow(add, schema).groupBy("of", "rep").agg(*[F.sum(c).alias(c) for c in ("wa", "sa", "wb", "sb")])
+    return out.select(*[F.col(f"of.{c}").alias(c) for c in by], "rep", (F.try_divide("sa", "wa") - F.try_divide("sb", "wb")).alias("diff"))
 
 
-PIECE = 4096  # rows of equal outcome that share one draw
 SIGMAS = 8.0
 TURNS = 100  # replicates of one task
 
@@ -74,14 +125,11 @@ def _sums(reps: int, seed: int):
         rep = np.arange(reps)
         total, above, gain = np.zeros(reps, np.int64), np.zeros((2, reps), np.int64), np.zeros((2, reps))
         for batch in batches:
-            at, piece, n, r, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at, n, r, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             order = np.argsort(n, kind="stable")
             for i in range(0, len(order), 32):
                 some = order[i : i + 32]
-                u = uniform_array(at[some, None] + piece[some, None], rep[None, :], seed)
-                w = np.empty(u.shape, np.int64)
-                for mean in np.unique(n[some]):
-                    w[n[some] == mean] = poisson_array(u[n[some] == mean], int(mean))
+                w = _weights(at[some], n[some], rep, seed)
                 total += w.sum(0)
                 for side, c in enumerate((a[some], b[some])):
                     above[side] += w[c == 0].sum(0)
@@ -126,9 +174,8 @@ def premium_difference(df: DataFrame, a: str, b: str, ret: str, row: str, reps:
     both = materialise(both, "premium")
     band = (F.col("a") == 1) | (F.col("b") == 1)
     cells = both.groupBy("a", "b", "r", F.when(band, F.col("at")).alias("own")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
-    pieces = cells.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
-    pieces = pieces.select("at", "piece", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE).alias("n"), "r", "a", "b")
-    parts = pieces.repartition("at", "piece").mapInArrow(_sums(reps, seed), "rep long, total long, above_a long, above_b long, gain_a double, gain_b double")
+    pieces = _pieces(cells).select("at", "n", "r", "a", "b")
+    parts = pieces.repartition("at").mapInArrow(_sums(reps, seed), "rep long, total long, above_a long, above_b long, gain_a double, gain_b double")
     sums = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
     below = both.agg(*[F.coalesce(F.sum((F.col(c) == 2).cast("long")), F.lit(0)).alias(f"below_{c}") for c in "ab"])
     sums = attach(sums, below).withColumn("block", F.floor(F.col("rep") / TURNS))

@@ -66,7 +66,7 @@ def walk_forward_report(trades: DataFrame, folds: DataFrame, regime: DataFrame,
     from tidegauge.operators.joins import lookup
     from tidegauge.plans.folds import assign
 
-    t = assign(trades, folds, "close_date").filter(F.col("part") == "test")
+    t = assign(trades, folds, "close_date", only="test")
     t = lookup(t.withColumn("day", F.to_date("close_date")), regime, ["day"], {"regime": "out_of_window"})
     parts = t.rollup("fold", "regime").agg(
         F.count(F.lit(1)).alias("n"),

@@ -50,13 +50,17 @@ def calendar_folds(df: DataFrame, ts: str, n: int, min_train_share: float = 0.5)
     )
 
 
-def assign(df: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
+def assign(df: DataFrame, folds: DataFrame, ts: str, only: str | None = None) -> DataFrame:
     """Rows in every fold window that holds them, tagged train/validation/test.
 
-    The fold table is a few rows made from one aggregate; its size does not
-    depend on the data, so it is broadcast.
+    ``only`` names one part: rows meet just the folds that hold them there, so those of the other parts are not
+    multiplied first.  The fold table has one row per step of the time range (a century by days is 36 525), whatever
+    the rows are, so it is broadcast.
     """
     t = F.col(ts)
+    if only:
+        begin, end = {"train": ("train_start", "train_end"), "validation": ("train_end", "validation_end"), "test": ("validation_end", "test_end")}[only]
+        return df.join(F.broadcast(folds), (t >= F.col(begin)) & (t < F.col(end))).withColumn("part", F.lit(only))
     part = F.when(t < F.col("train_end"), "train").when(t < F.col("validation_end"), "validation").otherwise("test")
     cond = (t >= F.col("train_start")) & (t < F.col("test_end"))
     return df.join(F.broadcast(folds), cond).withColumn("part", part)
