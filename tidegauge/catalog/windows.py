@@ -309,7 +309,7 @@ def _(v):
 
 
 PANEL = f"""WITH {BARS}, x AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS ret, close / lag(close, 12) OVER w - 1 AS r12 FROM nb {WSQL}),
-      base AS (SELECT ts, r12 AS base FROM x WHERE symbol = 'S0'), rest AS (SELECT * FROM x WHERE symbol <> 'S0')"""
+      base AS (SELECT ts, r12 AS base FROM x WHERE symbol = 'S0'), rest AS (SELECT * FROM x WHERE symbol <> 'S0'), k AS (SELECT count(DISTINCT symbol) AS k FROM rest)"""
 
 
 @query(
@@ -317,14 +317,15 @@ PANEL = f"""WITH {BARS}, x AS (SELECT symbol, ts, close / lag(close) OVER w - 1
     "E28",
     f"""{PANEL}, a AS (SELECT ts, count(ret) AS n, count(r12) AS n12, avg(CAST(ret > 0 AS DOUBLE)) AS b1,
         avg(CAST(r12 > 0 AS DOUBLE)) AS b12, stddev_samp(r12) AS dsp, avg(r12) AS m12 FROM rest GROUP BY ts)
-      SELECT epoch_ms(ts) AS ts_ms, round(CASE WHEN n = 7 THEN b1 END, 6) + 0.0 AS breadth_1, round(CASE WHEN n12 = 7 THEN b12 END, 6) + 0.0 AS breadth_12,
-       round(CASE WHEN n12 = 7 THEN dsp END, 6) + 0.0 AS dispersion_12, round(CASE WHEN n12 = 7 THEN base - m12 END, 6) + 0.0 AS base_rel_12
-      FROM a LEFT JOIN base USING (ts)""",
+      SELECT epoch_ms(ts) AS ts_ms, round(CASE WHEN n = k THEN b1 END, 6) + 0.0 AS breadth_1, round(CASE WHEN n12 = k THEN b12 END, 6) + 0.0 AS breadth_12,
+       round(CASE WHEN n12 = k THEN dsp END, 6) + 0.0 AS dispersion_12, round(CASE WHEN n12 = k THEN base - m12 END, 6) + 0.0 AS base_rel_12
+      FROM a LEFT JOIN base USING (ts) CROSS JOIN k""",
 )
 def _(v):
     from tidegauge.operators.features import cross_asset
 
-    out = cross_asset(v.bars, BAR_SERIES, base="S0", universe=[f"S{i}" for i in range(1, 8)])
+    others = [x[0] for x in v.bars.filter("symbol <> 'S0'").select("symbol").distinct().collect()]  # the assets there are
+    out = cross_asset(v.bars, BAR_SERIES, base="S0", universe=others)
     cols = ("breadth_1", "breadth_12", "dispersion_12", "base_rel_12")
     return rounded(out.select(ms("ts").alias("ts_ms"), *cols), *cols)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import bars as B
 from tidegauge.operators import joins, windows as w
-from tidegauge.operators.order_stats import mean_pair_correlation, window_ranks
+from tidegauge.operators.order_stats import mean_pair_correlation
 from tidegauge.plans.single import attach
 from tidegauge.plans.series import Blocks, Series, block_size, ewm, framed, memory, rma
 
