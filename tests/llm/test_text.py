@@ -197,7 +197,7 @@ def brute_classes(rows, similar=0.8):
     n, df = len(rows), Counter()
     for _, t, *_ in rows:
         df.update(plain_shingles(t).keys())
-    weight = lambda g: 1 + np.log(min(n / df[g], 10))
+    weight = lambda g: 1 + np.log(n / df[g])
     up = {i: i for i in sets}
 
     def find(x):
@@ -249,6 +249,54 @@ def test_near_duplicates_against_all_pairs(docs, family, tile):
     assert all(r["first"] == (r.doc_id is None or r.class_id == r.doc_id) for r in got)
 
 
+def test_document_frequencies(spark, family):
+    """Frequencies over all rows and tasks; with a larger share, rarer shingles weigh alike."""
+    df = spark.createDataFrame(family, "doc_id long, text string").repartition(7)
+    want = Counter()
+    for _, t in family:
+        want.update(shingles.weighed([(t or "").lower()])[0].tolist())
+    for share in (0.001, 0.2):
+        got = near_dup.idf(df, "text", share=share)
+        some = {k: n for k, n in want.items() if n >= share * len(family)}
+        assert got.keys.tolist() == sorted(some)
+        assert np.allclose(got.idf, [1 + np.log(len(family) / some[k]) for k in sorted(some)])
+        assert got.rare == 1 + np.log(1 / share)
+
+
+def test_pages_of_one_template_stay_apart(docs):
+    """5 % of the pages share a template of 104 words and have 10 words of their own: weighted similarity 0.74."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    template = [word() for _ in range(104)]
+    rows = [(k, " ".join([*template, *(word() for _ in range(10))])) for k in range(20)]
+    rows += [(k, " ".join(word() for _ in range(60))) for k in range(20, 400)]
+    assert len({r.class_id for r in near_dup.classes(docs(rows)).collect()}) == 400
+
+
+def test_recall_near_the_threshold(docs):
+    """Pairs of similarity 0.80 to 0.85: nearly all are found."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(300):
+        base = [word() for _ in range(150)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rnd, base, 0.015)))]
+    df = Counter()
+    sets = [plain_shingles(t) for _, t in rows]
+    for g in sets:
+        df.update(g.keys())
+    weight = lambda g: 1 + np.log(len(rows) / df[g])
+    close = []
+    for k in range(300):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        both = sum(weight(g) * min(a[g], b[g]) for g in a.keys() & b.keys())
+        every = sum(weight(g) * max(a[g], b[g]) for g in a.keys() | b.keys())
+        if 0.8 <= both / every < 0.85:
+            close.append(2 * k)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs(rows)).collect()}
+    assert len(close) > 30 and np.mean([got[k] == got[k + 1] for k in close]) >= 0.97
+
+
 def test_candidate_rest_path_is_complete(spark, family):
     """Where the first of a bucket is no partner, members still find each other."""
     rows = [(i, t) for i, t in family if i is not None and t]

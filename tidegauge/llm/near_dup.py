@@ -1,9 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles (operator 4).
 
-1. Shingles of five words carry weight tf * idf, with idf = 1 + ln(min(N / df, 1 / COMMON)): document frequencies
-   are counted over all documents, and those under a share COMMON of them weigh alike.  Which shingles reach that share
-   is found exactly in two passes: one that does so overall does so in some chunk of documents, and what does
-   so in a chunk is then counted everywhere.  At most (shingles per document) / COMMON of them exist.
+1. Shingles of five words carry weight tf * idf, with idf = 1 + ln(min(N / df, 1 / COMMON)): document frequencies df are
+   exact over all N documents for every shingle in a share COMMON of them or more; rarer ones weigh alike, so tables of
+   up to 1 / COMMON documents have no such limit.  There are at most (shingles per document) / COMMON frequent ones, however many documents
+   there are, so their table may go to every task.  A tally of all shingles over 2 ** SLOTS counters, added up in two levels, tells
+   which can be frequent (no count is below the true one); those are then counted exactly.
 2. Documents with the same multiset of shingles fall together at once (a 128-bit digest), so copies cost one row.
 3. Each distinct one draws BANDS * EACH consistent weighted samples; documents that share all samples of a band
    are candidates.  A candidate is tied to the first document of its bucket if their samples agree in at least
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,20 @@ from tidegauge.llm.shingles import mix, weighed
 SIZE, SIMILAR = 5, 0.8
 BANDS, EACH = 20, 4
 LEAST = 0.63
-COMMON = 0.1
-CHUNK, CANDIDATES = 2_000_000, 2_000_000
+COMMON = 0.001
+CHUNK = 1_000_000
+SLOTS, PIECE = 22, 16
 TILE = 512
 BITS = 16
 
 
 class Weights:
-    """idf of shingles: a table of the common ones, one weight for all others."""
+    """idf of shingles: a table of the frequent ones, one weight for all others."""
 
-    def __init__(self, documents: int, common: dict[int, int], share: float = COMMON):
+    def __init__(self, documents: int, shingle: np.ndarray, df: np.ndarray, share: float = COMMON):
+        order = np.argsort(shingle)
         self.rare = 1 + np.log(1 / share)
-        self.keys = np.array(sorted(common), np.uint64)
-        self.idf = np.array([1 + np.log(min(documents / common[int(k)], 1 / share)) for k in self.keys])
+        self.keys, self.idf = shingle[order], 1 + np.log(np.minimum(documents / df[order], 1 / share))
 
     def of(self, shingle: np.ndarray, times: np.ndarray) -> np.ndarray:
         out = np.full(len(shingle), self.rare)
@@ -107,52 +110,84 @@ def sample(shingle: np.ndarray, weight: np.ndarray, count: np.ndarray, samples:
     return out
 
 
+def _packed(piece: int, salt: int, total: np.ndarray) -> pa.RecordBatch:
+    """Counters of a piece in the narrowest integers that hold them; only those above zero where few are."""
+    kind = next(k for k in ("u1", "u2", "u4", "i8") if total.max() <= np.iinfo(k).max)
+    at = np.flatnonzero(total)
+    few = 4 * len(at) < len(total)
+    fields = [pa.array([piece], pa.int32()), pa.array([salt], pa.int32()), pa.array([kind]), pa.array([at.astype("u2").tobytes() if few else None], pa.binary()), pa.array([(total[at] if few else total).astype(kind).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(fields, names=["piece", "salt", "kind", "place", "counts"])
+
+
+def _added(batches) -> dict[int, np.ndarray]:
+    """Sums of the counters of each piece."""
+    out: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, kind, place, counts in zip(*(batch.column(c).to_pylist() for c in ("piece", "kind", "place", "counts"))):
+            total = out.setdefault(piece, np.zeros(1 << PIECE, np.int64))
+            total[slice(None) if place is None else np.frombuffer(place, "u2")] += np.frombuffer(counts, kind)
+    return out
+
+
+def possible(rows: DataFrame, least: float, size: int) -> np.ndarray:
+    """A flag for each slot of the tally: some shingle of that slot may stand in ``least`` documents."""
+
+    def tally(batches):
+        total, held = np.zeros(1 << SLOTS, np.int64), [np.zeros(0, np.int64)]
+        for batch in batches:
+            for _, own in texts(batch):
+                held.append((weighed(own, size)[0] >> np.uint64(64 - SLOTS)).astype(np.int64))
+                if sum(map(len, held)) > CHUNK:
+                    total += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
+                    held = [held[0]]
+        total += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
+        salt = TaskContext.get().partitionId() >> 6
+        for piece, own in enumerate(total.reshape(-1, 1 << PIECE)):
+            if own.any():
+                yield _packed(piece, salt, own)
+
+    def add(batches):
+        for piece, total in _added(batches).items():
+            yield _packed(piece, 0, total)
+
+    def flag(batches):
+        for piece, total in _added(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["piece", "flags"])
+
+    form = "piece int, salt int, kind string, place binary, counts binary"
+    sums = rows.mapInArrow(tally, form).repartition("piece", "salt").mapInArrow(add, form)
+    out = np.zeros((1 << (SLOTS - PIECE), 1 << PIECE), bool)
+    for piece, flags in sums.repartition("piece").mapInArrow(flag, "piece int, flags binary").collect():  # one row a piece, 8 KB each
+        out[piece] = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+    return out.reshape(-1)
+
+
 def idf(docs: DataFrame, text: str, size: int = SIZE, share: float = COMMON) -> Weights:
     """Weights of the shingles of all documents (see 1. above)."""
     rows = docs.select(F.lower(whole(text)).alias("text"))
+    documents = rows.count()
+    flags = np.packbits(possible(rows, share * documents, size))
 
-    def in_chunks(batches):
-        held, rows_held = [], 0
+    def count(batches):
+        open_, held = np.unpackbits(flags).astype(bool), []
 
-        def common():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            found = values[times >= share * rows_held].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.zeros(len(found), np.int64))], names=["shingle", "documents"])
+        def counted():
+            value, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["shingle", "documents"])
 
         for batch in batches:
-            for part, own in texts(batch):
-                held.append(weighed(own, size)[0])
-                rows_held += part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part.num_rows], pa.int64())], names=["shingle", "documents"])
+            for _, own in texts(batch):
+                got = weighed(own, size)[0]
+                held.append(got[open_[got >> np.uint64(64 - SLOTS)]])
                 if sum(map(len, held)) > CHUNK:
-                    yield common()
-                    held, rows_held = [], 0
+                    yield counted()
+                    held.clear()
         if held:
-            yield common()
-
-    found = Stored(docs, "near-dup-idf").put(rows.mapInArrow(in_chunks, "shingle long, documents long").groupBy("shingle").agg(F.sum("documents").alias("documents")))
-    documents = found.filter("shingle IS NULL").agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
-    todo = found.filter("shingle IS NOT NULL").select("shingle")
-    parts = -(-todo.count() // CANDIDATES)
-    common: dict[int, int] = {}
-    for k in range(parts):  # one part, unless tiny chunks made very many candidates; each goes to the tasks whole, so its size is bounded
-        wanted = np.sort(todo.filter(F.pmod(F.hash("shingle"), F.lit(parts)) == k).toPandas()["shingle"].to_numpy().astype(np.int64).view(np.uint64))
-        if not len(wanted):
-            continue
+            yield counted()
 
-        def count(batches, wanted=wanted):
-            total = np.zeros(len(wanted), np.int64)
-            for batch in batches:
-                for _, own in texts(batch):
-                    got = weighed(own, size)[0]
-                    at = np.minimum(np.searchsorted(wanted, got), len(wanted) - 1)
-                    total += np.bincount(at[wanted[at] == got], minlength=len(wanted))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], names=["shingle", "documents"])
-
-        counted = rows.mapInArrow(count, "shingle long, documents long").groupBy("shingle").agg(F.sum("documents").alias("documents"))
-        common |= {r[0] % 2**64: r[1] for r in counted.filter(F.col("documents") > share * documents).collect()}
-    return Weights(documents, common, share)
+    counted = rows.mapInArrow(count, "shingle long, documents long").groupBy("shingle").agg(F.sum("documents").alias("documents"))
+    found = counted.filter(F.col("documents") >= share * documents).toArrow()
+    return Weights(documents, found.column("shingle").to_numpy().view(np.uint64), found.column("documents").to_numpy(), share)
 
 
 def signatures(docs: DataFrame, weights: Weights, key: str, text: str, size: int = SIZE, bands: int = BANDS, each: int = EACH) -> DataFrame:
