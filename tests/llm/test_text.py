@@ -279,8 +279,8 @@ def test_recall_near_the_threshold(docs):
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
     rows = []
     for k in range(300):
-        base = [word() for _ in range(150)]
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rnd, base, 0.015)))]
+        base = [word() for _ in range(300)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rnd, base, 0.0167)))]
     df = Counter()
     sets = [plain_shingles(t) for _, t in rows]
     for g in sets:
