@@ -124,6 +124,59 @@ def test_hypergeometric_numbers(spark):
         assert abs(got[k] / n - p) < 1e-3
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+
+
+def test_names_tags_and_further_notices(docs):
+    shapes = [
+        ("MIT", "// SPDX-License-Identifier: MIT"),
+        ("GPL-3.0-or-later", "/* SPDX-License-Identifier: GPL-3.0-or-later */\nint x;"),
+        ("MIT", "Licensed under the MIT License."),
+        ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+        ("Apache-2.0", "This project is licensed under the Apache 2.0 license. Have fun."),
+        ("Zlib", "The code is available under a zlib licence"),
+        ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'),
+        ("ISC", ISC),
+        ("MPL-2.0", MPL),
+        ("MPL-2.0", "\n".join(f" * {x}" for x in MPL.split("\n"))),
+        ("Unlicense", UNLICENSE),
+        ("LGPL-2.1-or-later", LGPL),
+        ("LGPL-2.1-or-later", LGPL.replace("This library is", " ".join(f"part{k}" for k in range(30)) + " is")),
+        ("AGPL-3.0-or-later", LGPL.replace("Lesser", "Affero").replace("version 2.1", "version 3")),
+    ]
+    got = {r.doc_id: r for r in licences.scan(docs([(i, t) for i, (_, t) in enumerate(shapes)])).collect()}
+    for i, (name, text) in enumerate(shapes):
+        r = got[i]
+        assert (r.licences, r.n_found, r.unmatched, r.n_unknown) == ([name], 1, [], 0), (r, text)
+    (both,) = licences.scan(docs([(1, "SPDX-License-Identifier: MIT OR Apache-2.0")])).collect()
+    assert (both.licences, both.n_unknown) == ([], 1)
+
+
 def test_licences(docs):
     apache = "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at"
     rows = [

@@ -9,7 +9,10 @@ that speak of licences without being known as unknown.
 
 A line's end ends a sentence, but a known sentence may run over lines, blank lines, marks inside it and list
 marks before it: it is put on one line first.  So notices wrapped at any width are known, with what stands
-before or after them on lines of its own.  In a known sentence '*' stands for one to twelve words of a name.
+before or after them on lines of its own.  In a known sentence '*' stands for one to NAME words of a name.
+
+A tag ("SPDX-License-Identifier: MIT") or a head on one line ("Released under the Apache License, Version 2.0.") is known by the
+licence's name behind it.  Expressions of several licences are unknown sentences.
 
 Everything happens inside a row: no shuffle, whole texts, every copy of a sentence.
 
@@ -52,9 +55,42 @@ SENTENCES = {
     "neither the name of the copyright holder may be used to endorse or promote products": "BsdName",
     "all rights reserved": "AllRights",
 }
+#: SPDX identifiers and the names by which tags and heads call the licences, normalised, without "license" at the end.
+NAMES = {
+    "Apache-2.0": ("apache 2 0", "apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache version 2 0"),
+    "MIT": ("mit", "expat"),
+    "BSD-2-Clause": ("bsd 2 clause", "simplified bsd", "2 clause bsd"),
+    "BSD-3-Clause": ("bsd 3 clause", "new bsd", "modified bsd", "3 clause bsd"),
+    "ISC": ("isc",),
+    "MPL-2.0": ("mpl 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mozilla public license version 2 0"),
+    "GPL-2.0-only": ("gpl 2 0", "gpl 2 0 only", "gplv2", "gpl v2", "gnu gpl v2", "gnu general public license v2", "gnu general public license version 2"),
+    "GPL-2.0-or-later": ("gpl 2 0 or later", "gnu general public license version 2 or later", "gnu general public license v2 or later"),
+    "GPL-3.0-only": ("gpl 3 0", "gpl 3 0 only", "gplv3", "gpl v3", "gnu gpl v3", "gnu general public license v3", "gnu general public license version 3"),
+    "GPL-3.0-or-later": ("gpl 3 0 or later", "gnu general public license version 3 or later", "gnu general public license v3 or later"),
+    "LGPL-2.1-only": ("lgpl 2 1", "lgpl 2 1 only", "gnu lesser general public license v2 1", "gnu lesser general public license version 2 1"),
+    "LGPL-2.1-or-later": ("lgpl 2 1 or later", "gnu lesser general public license version 2 1 or later"),
+    "LGPL-3.0-only": ("lgpl 3 0", "lgpl 3 0 only", "gnu lesser general public license v3", "gnu lesser general public license version 3"),
+    "LGPL-3.0-or-later": ("lgpl 3 0 or later", "gnu lesser general public license version 3 or later"),
+    "AGPL-3.0-only": ("agpl 3 0", "agpl 3 0 only", "gnu affero general public license v3", "gnu affero general public license version 3"),
+    "AGPL-3.0-or-later": ("agpl 3 0 or later", "gnu affero general public license version 3 or later"),
+    "Unlicense": ("unlicense",),
+    "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal"),
+    "CC-BY-4.0": ("cc by 4 0",),
+    "CC-BY-SA-4.0": ("cc by sa 4 0",),
+    "CC-BY-NC-4.0": ("cc by nc 4 0",),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0",),
+    "Zlib": ("zlib",),
+    "BSL-1.0": ("bsl 1 0", "boost software license 1 0", "boost software license version 1 0"),
+    "EPL-2.0": ("epl 2 0", "eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license version 2 0"),
+}
+NAMED = {name: f"Named{licence}" for licence, names in NAMES.items() for name in names}
+#: What stands before the name of a licence in a tag or head, and what may stand behind it.
+BEFORE = r"^(?:spdx license identifier|(?:(?:(?:this|the) )?[a-z]+ is )?(?:licensed|released|distributed|available) under(?: the| an?)?) "
+BEHIND = r" licen[cs]e$"
 #: Ordered rules: licence and the identifiers that must follow each other.
 RULES = (
     ("Apache-2.0", ("ApacheHead2", "ApacheUse", "ApacheCopy")),
+    ("Apache-2.0", ("ApacheHead2", "ApacheUse")),
     ("Apache-2.0", ("ApacheHead2",)),
     ("MIT", ("MitGrant", "MitNotice", "AsIsSoftware")),
     ("MIT", ("MitHead",)),
@@ -69,12 +105,15 @@ RULES = (
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
+    *((licence, (f"Named{licence}",)) for licence in NAMES),
     ("LicenseRef-All-rights-reserved", ("AllRights",)),
 )
 _BSD_FREE = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
 _BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
 _BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
-_GPL_FREE = "* is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_FREE = "* is free software you can redistribute it and or modify it under the terms of the gnu"
+_GPL_FREE = f"{_FREE} general public license"
+_RELATED = (("lesser", "Lgpl", "2 1"), ("lesser", "Lgpl", "3"), ("affero", "Agpl", "3"))
 #: Whole sentences of the published notices; of two that begin alike the longer stands first.
 PUBLISHED = {
     "licensed to * under one or more contributor license agreements": "AsfGrant",
@@ -103,6 +142,17 @@ PUBLISHED = {
     **{f"you should have received a copy of the gnu general public license along with {x}": "GplCopy" for x in ("this program", "this software", "this file", "this package", "*")},
     **{f"if not see {x} www gnu org licenses": "GplNot" for x in ("http", "https")},
     **{f"if not write to the free software foundation inc {x}": "GplNot" for x in ("51 franklin street fifth floor boston ma 02110 1301 usa", "59 temple place suite 330 boston ma 02111 1307 usa", "675 mass ave cambridge ma 02139 usa", "*")},
+    **{f"{_FREE} {kind} general public license as published by the free software foundation either version {n} of the license or at your option any later version": f"{i}Notice{n.replace(' ', '.')}Later" for kind, i, n in _RELATED},
+    **{f"see the gnu {kind} general public license for more details": f"{i}See" for kind, i, _ in _RELATED},
+    **{f"you should have received a copy of the gnu {kind} general public license along with {x}": f"{i}Copy" for kind, i, _ in _RELATED for x in ("this program", "this library", "this software", "*")},
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "the software is provided as is and * disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscAsIs",
+    "in no event shall * be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiability",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "MplHead",
+    **{f"if a copy of the mpl was not distributed with this file you can obtain one at {x} mozilla org mpl 2 0": "MplCopy" for x in ("http", "https")},
+    "this is free and unencumbered software released into the public domain": "UnlicenseHead",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseUse",
     **{f"this work is licensed under {a} creative commons attribution {x}4 0 international license": i for a in ("a", "the") for x, i in (("", "CcBy4"), ("sharealike ", "CcBySa4"), ("noncommercial ", "CcByNc4"), ("noncommercial sharealike ", "CcByNcSa4"))},
 }
 KNOWN = SENTENCES | PUBLISHED
@@ -115,17 +165,22 @@ NOTICES = (
     ("MIT", ("MitGrant", "MitNotice", "AsIsSoftware", "MitLiability")),
     *(("BSD-3-Clause", (*head, "BsdUse", "BsdSource", "BsdBinary", "BsdName", *_BSD_END)) for head in (("AllRights",), ())),
     *(("BSD-2-Clause", (*head, "BsdUse", "BsdSource", "BsdBinary", *_BSD_END)) for head in (("AllRights",), ())),
+    *((f"{i.upper()}-{v}-or-later", (f"{i}Notice{n}Later", *("GplHope", f"{i}See", f"{i}Copy", "GplNot")[:k])) for i, n, v in (("Lgpl", "2.1", "2.1"), ("Lgpl", "3", "3.0"), ("Agpl", "3", "3.0")) for k in (4, 3, 2, 1, 0)),
+    *(("ISC", ("IscGrant", "IscAsIs", "IscLiability")[:k]) for k in (3, 2, 1)),
+    *(("MPL-2.0", ("MplHead", "MplCopy")[:k]) for k in (2, 1)),
+    *(("Unlicense", ("UnlicenseHead", "UnlicenseUse")[:k]) for k in (2, 1)),
     *((f"GPL-{n}.0-{x}", (f"GplNotice{n}{i}", *_GPL_END[:k])) for n in (3, 2) for x, i in (("or-later", "Later"), ("only", "Only")) for k in (4, 3, 2, 1, 0)),
 )
 #: A sentence ends at a line's end or after a mark of its end that a blank follows; a blank line or a full stop inside a version number ends none.
 ENDS = r"[\r\n]+|[.;!?][ \t]+|[.;!?]+\z"
 SPEAKS = r"licen[cs]e|copyright|warrant|redistribut"
 #: Some word of every known sentence; other texts are not searched for sentences that run over lines.
-HINTS = rf"{SPEAKS}|permission|permitted|all[ \n]+rights|in[ \n]+no[ \n]+event|if[ \n]+not|free[ \n]+software|under[ \n]+cc|endorse"
+HINTS = rf"{SPEAKS}|permission|permitted|all[ \n]+rights|in[ \n]+no[ \n]+event|if[ \n]+not|free[ \n]+software|under[ \n]+cc|endorse|mpl|unencumbered|anyone[ \n]+is[ \n]+free"
 #: A number or letter of a list, what stands between two words of a sentence, and how a notice on one line goes on after a colon or an address.
 LISTED, STEP = r"(?:[0-9]{1,2}|[a-z]|i{1,3}|iv)", r"(?: |\n+)"
 GOES_ON = rf"(?:{LISTED}|unless|the above|redistributions)"
 MOST_RULES = 2_000
+NAME = 100
 
 
 def _bare(known: str) -> str:
@@ -136,7 +191,7 @@ def _bare(known: str) -> str:
 def _over_lines(known: str) -> str:
     """Pattern of a known sentence that may run over lines; a whole sentence, but for list marks around published ones."""
     words = known.split()
-    body = "".join((r"(?:[a-z0-9]+ ){1,12}?" if not n else rf"(?:[a-z0-9]+{STEP}){{0,11}}?[a-z0-9]+" + STEP * (n + 1 < len(words))) if w == "*" else w + STEP * (n + 1 < len(words)) for n, w in enumerate(words))
+    body = "".join((rf"(?:[a-z0-9]+ ){{1,{NAME}}}?" if not n else rf"(?:[a-z0-9]+{STEP}){{0,{NAME - 1}}}?[a-z0-9]+" + STEP * (n + 1 < len(words))) if w == "*" else w + STEP * (n + 1 < len(words)) for n, w in enumerate(words))
     if known in PUBLISHED and known not in SENTENCES:
         return rf"(?<![^\n])(?:{LISTED}{STEP})?{body}(?=\n|\z| {GOES_ON}(?:\n| ))"
     return rf"(?<![^\n]){body}(?![^\n])"
@@ -153,7 +208,7 @@ def sentences(text: Column | str, known: Mapping[str, str] = KNOWN) -> Column:
     ])
 
     def joined(t: Column) -> Column:
-        tight = F.regexp_replace(t, " ?\n ?", "\n")
+        tight = F.trim(F.regexp_replace(t, " ?\n ?", "\n"))
         start = F.struct(tight.alias("t"), F.regexp_replace(tight, "\n+", " ").alias("flat"))
         found = F.aggregate(
             steps,
@@ -173,7 +228,12 @@ def sentences(text: Column | str, known: Mapping[str, str] = KNOWN) -> Column:
 def identified(held: Column, known: Mapping[str, str] = KNOWN) -> Column:
     """Identifier of each sentence: that of a known one, '?' if it speaks of licences, else '-'."""
     index = F.create_map(*[F.lit(x) for pair in {_bare(k): i for k, i in known.items()}.items() for x in pair])
-    return F.transform(held, lambda s: F.coalesce(F.try_element_at(index, s), F.when(s.rlike(SPEAKS), "?").otherwise("-")))
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def by_name(s: Column) -> Column:
+        return F.when(F.lit(known is KNOWN) & s.rlike(BEFORE), F.try_element_at(named, F.regexp_replace(F.regexp_replace(s, BEFORE, ""), BEHIND, "")))
+
+    return F.transform(held, lambda s: F.coalesce(F.try_element_at(index, s), by_name(s), F.when(s.rlike(SPEAKS), "?").otherwise("-")))
 
 
 def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, rules: Sequence[tuple[str, Sequence[str]]] = NOTICES + RULES, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -216,6 +276,8 @@ def _sql() -> str:
     """The query in SQL for the phrases and rules of the given tables, whose lines are whole: one replacement for each rule."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     index = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in SENTENCES.items()) + "}"
+    named = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in NAMED.items()) + "}"
+    by_name = f"CASE WHEN regexp_matches(x, '{BEFORE}') THEN ({named})[regexp_replace(regexp_replace(x, '{BEFORE}', ''), '{BEHIND}', '')] END"
     steps, at = [], "seq"
     for n, (_, ids) in enumerate(RULES):
         steps.append(f"r{n} AS (SELECT *, replace({at}, {quote(''.join(f' {i} ' for i in ids))}, ' - ') AS s{n} FROM {f'r{n - 1}' if n else 'q'})")
@@ -228,7 +290,7 @@ WITH s AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '{ENDS}', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS held
   FROM documents),
 i AS (SELECT doc_id, len(held) AS n_sentences,
-        list_transform(held, lambda x: coalesce(({index})[x], CASE WHEN regexp_matches(x, '{SPEAKS}') THEN '?' ELSE '-' END)) AS ids FROM s),
+        list_transform(held, lambda x: coalesce(({index})[x], {by_name}, CASE WHEN regexp_matches(x, '{SPEAKS}') THEN '?' ELSE '-' END)) AS ids FROM s),
 q AS (SELECT doc_id, n_sentences, len(list_filter(ids, lambda x: x = '?')) AS n_unknown, ' ' || coalesce(array_to_string(ids, '  '), '') || ' ' AS seq FROM i),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS licences, n_found, array_to_string(list_filter(string_split_regex({at}, ' +'), lambda x: x NOT IN ('', '-', '?')), ',') AS unmatched,
