@@ -117,3 +117,21 @@ def test_nearest_and_dominance_and_fdr_against_loops(spark):
             least = min(least, own[rank - 1][0] * len(own) / rank)
             assert q[own[rank - 1][1]] == pytest.approx(least)
     assert q["null"] is None
+
+
+def test_ranks_hold_when_cut_points_come_out_differently_each_time(spark, tied, monkeypatch):
+    """Merge order moves approximate quantiles; without reuse of exchanges every reader would work out its own."""
+    import random
+
+    pdf, df = tied
+    plain, jitter = ranking._cuts, F.udf(lambda: random.SystemRandom().random() * 3, "double").asNondeterministic()
+    moved = lambda *a: plain(*a).withColumn("__j", jitter()).withColumn("__cuts", F.transform("__cuts", lambda c: c + F.col("__j"))).drop("__j")
+    monkeypatch.setattr(ranking, "_cuts", moved)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        ranks = exact_rank(df, ["cell"], "score", "id").groupBy("cell").agg(F.count_distinct("rn").alias("d"), F.max("rn").alias("hi"), F.count("rn").alias("n")).collect()
+        got = {x.cell: x.q for x in exact_quantiles(df, ["cell"], "score", {"q": 0.5}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert all(x.d == x.hi == x.n for x in ranks)
+    assert got == pytest.approx(pdf.groupby("cell")["score"].quantile(0.5).to_dict())

@@ -15,27 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.plans.single import attach
+from tidegauge.plans.stage import materialise
 from tidegauge.session import shuffle_width
 
 BUCKET = "__bucket"
 SLICE = "__slice"
 
 
-def _cuts(df: DataFrame, group: list[str], score: str, tie: str | None, grid: int, share: list[str]) -> DataFrame:
-    """Cut points per group.
-
-    ``share`` names columns the other passes over ``df`` read as well.  Reading
-    them here too keeps the shuffle below identical, so Spark runs it once.
-    """
+def _cuts(df: DataFrame, group: list[str], score: str, tie: str | None, grid: int) -> DataFrame:
+    """Cut points per group."""
     k = grid * grid
     probs = F.array(*[F.lit(i / k) for i in range(1, k)])
     aggs = [F.percentile_approx(score, probs, F.lit(max(1000, 10 * k))).alias("__cuts")]
     if tie:
         aggs += [F.min(tie).cast("double").alias("__tlo"), F.max(tie).cast("double").alias("__thi")]
-    if not share:
-        return df.groupBy(*group).agg(*aggs)
-    seen = F.max(F.xxhash64(*share))
-    return df.groupBy(*group).agg(*aggs, seen.alias("__seen")).filter(F.col("__seen").isNotNull()).drop("__seen")
+    return df.groupBy(*group).agg(*aggs)
 
 
 def bucketed(
@@ -44,11 +38,14 @@ def bucketed(
     score: str,
     tie: str | None = None,
     grid: int | None = None,
-    share: list[str] | None = None,
 ) -> DataFrame:
-    """Add order-preserving bucket columns for (score, tie) inside each group."""
+    """Add order-preserving bucket columns for (score, tie) inside each group.
+
+    Approximate quantiles depend on the order in which tasks are merged.  Bucket counts and rows must see the same
+    cut points, so these are stored (one row per group) and never worked out twice.
+    """
     grid = grid or max(4, min(64, math.ceil(math.sqrt(2 * shuffle_width(df.sparkSession)))))
-    cuts = _cuts(df, group, score, tie, grid, share or [])
+    cuts = materialise(_cuts(df, group, score, tie, grid), "cuts")
     coarse = F.transform(F.sequence(F.lit(1), F.lit(grid - 1)), lambda i: F.element_at("__cuts", i * grid))
     cuts = cuts.withColumn("__coarse", coarse)
     s = F.col(score)
@@ -105,7 +102,8 @@ def exact_rank(
 def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct score: count, rows below, average rank, group size.
 
-    Ties are merged before anything is ordered, so a repeated score costs one row.
+    Ties are merged before anything is ordered, so a repeated score costs one row.  The merged scores feed the cut
+    points, the bucket counts and the rows, so they are stored.
     ``weight`` adds per-score sums and their running totals below the score.
     """
     extra = weight or {}
@@ -115,7 +113,7 @@ def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, C
         .agg(F.count(F.lit(1)).alias("ties"), *[F.sum(c).alias(n) for n, c in extra.items()])
     )
     names = ["ties", *extra]
-    b = bucketed(merged, group, score, share=names)
+    b = bucketed(materialise(merged, "merged"), group, score)
     sums = b.groupBy(*group, BUCKET).agg(*[F.sum(n).alias(f"__{n}") for n in names])
     key = group or [F.lit(0)]
     across = Window.partitionBy(*key).orderBy(BUCKET)
