@@ -127,3 +127,27 @@ def test_premium_difference_of_equal_outcomes(spark):
     for i, c in enumerate(("top_a", "top_b")):
         assert got[c].mean() == pytest.approx(tops[:, i].mean(), abs=0.006) and got[c].std() == pytest.approx(tops[:, i].std(), rel=0.3)
     assert got["delta"].std() == pytest.approx((tops[:, 1] - tops[:, 0]).std(), rel=0.3)
+
+
+def test_bootstraps_by_rows_draw_for_each_row(spark):
+    """Rows of equal outcome keep draws of their own: weights by row and replicate, not one number for a cell."""
+    from tidegauge.functions.rand import poisson_array, uniform_array
+
+    rng, n, reps = np.random.default_rng(5), 3000, 7
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, n), "id": rng.permutation(n) * 7, "x": rng.integers(0, 3, n) / 10, "s": rng.random(n), "t": rng.random(n)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = resampling.mean_diff_draws(df, ["g"], "x", F.col("id") % 2 == 0, "id", reps, 9, each=True).toPandas().set_index(["g", "rep"])["diff"]
+    for g, rep in got.index:
+        own = pdf[pdf.g == g]
+        w, a = poisson_array(uniform_array(own.id.to_numpy(), rep, 9), 1), (own.id % 2 == 0).to_numpy()
+        assert got[g, rep] == pytest.approx(np.average(own.x[a], weights=w[a]) - np.average(own.x[~a], weights=w[~a]), abs=1e-12)
+    deltas = resampling.premium_difference(df, "s", "t", "x", "id", reps, 9, each=True).toPandas().set_index("rep")["delta"]
+    assert len(deltas) == reps
+    for rep in deltas.index:
+        top = []
+        for c in "st":
+            own = pdf.sort_values(c, ascending=False)
+            w = poisson_array(uniform_array(own.id.to_numpy(), rep, 9), 1)
+            k = -(-w.sum() // 10)
+            top.append(np.clip(k - (w.cumsum() - w), 0, w) @ own.x / k)
+        assert deltas[rep] == pytest.approx(top[1] - top[0], abs=1e-12)

@@ -24,6 +24,14 @@ def _ci(x: str, src: str, by: str = "", digits: int = 7) -> str:
     )
 
 
+def _row_diff_sql(reps: int) -> str:
+    return f"""WITH {SCORES}, rp AS (SELECT s.cell, s.id, s.fwd, s.label, r.i AS rep FROM scores s CROSS JOIN range(0, {reps}) r(i)),
+      {sql_draws('rp', 'id', 'rep', 11, 'dr')}, w AS (SELECT *, {sql_poisson('u')} AS w FROM dr),
+      d AS (SELECT cell, rep, sum(w * score_x) FILTER (a) / sum(w) FILTER (a) - sum(w * score_x) FILTER (NOT a) / sum(w) FILTER (NOT a) AS diff
+        FROM (SELECT *, fwd AS score_x, id % 2 = 0 AS a FROM w) GROUP BY 1, 2)
+      {_ci('diff', 'd', 'cell')}"""
+
+
 def _diff_sql(reps: int) -> str:
     """Rows of one cell, side and value weigh together, 4 096 rows a draw."""
     return f"""WITH {SCORES}, g AS (SELECT cell, id % 2 = 0 AS a, fwd, min(id) AS lid, count(*) AS n FROM scores GROUP BY 1, 2, 3),
@@ -34,13 +42,13 @@ def _diff_sql(reps: int) -> str:
       {_ci("diff", "d", "cell")}"""
 
 
-@query("bootstrap_mean_difference", "I16", _diff_sql(100))
-def _(v, reps=100):
-    d = R.mean_diff_draws(v.scores, ["cell"], "fwd", F.col("id") % 2 == 0, "id", reps, 11)
+@query("bootstrap_mean_difference", "I16", _row_diff_sql(100))
+def _(v, reps=100, each=True):
+    d = R.mean_diff_draws(v.scores, ["cell"], "fwd", F.col("id") % 2 == 0, "id", reps, 11, each)
     return rounded(R.interval(d, ["cell"], "diff"), "boot_mean", "lo", "hi", digits=7)
 
 
-query("bootstrap_mean_difference_published", "I16", _diff_sql(2000))(lambda v, f=_: f(v, 2000))
+query("bootstrap_mean_difference_published", "I16", _diff_sql(2000))(lambda v, f=_: f(v, 2000, False))
 
 
 def _premium_sql(reps: int) -> str:

@@ -61,14 +61,18 @@ def _weights(at: np.ndarray, n: np.ndarray, rep: np.ndarray, seed: int) -> np.nd
     return w
 
 
-def mean_diff_draws(df: DataFrame, by: list[str], x: str, in_a: Column, row: str, reps: int, seed: int) -> DataFrame:
+def mean_diff_draws(df: DataFrame, by: list[str], x: str, in_a: Column, row: str, reps: int, seed: int, each: bool = False) -> DataFrame:
     """Replicated difference of two group means.
 
-    Rows of one group, side and value are one cell, which weighs one Poisson number of its size in a replicate.  Tasks
-    go through their cells by group and send one row for each group and replicate.
+    Rows of one group, side and value are one cell, which weighs one Poisson number of its size in a replicate; with
+    ``each`` every row has a draw of its own and stays in its task.  Tasks go through their cells by group and send
+    one row for each group and replicate.
     """
     d = df.select(*by, F.col(x).cast("double").alias("x"), in_a.alias("side"), F.col(row).alias("at")).filter("x IS NOT NULL AND side IS NOT NULL")
-    cells = _pieces(d.groupBy(*by, "side", "x").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))).repartition("at")
+    if each:
+        cells = d.withColumn("n", F.lit(1).cast("long"))
+    else:
+        cells = _pieces(d.groupBy(*by, "side", "x").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))).repartition("at")
     group = F.struct(F.lit(0).alias("_"), *by)
     cells = cells.select(group.alias("of"), F.xxhash64(group).alias("key"), "side", "x", "at", "n").sortWithinPartitions("key")
 
@@ -80,21 +84,22 @@ def mean_diff_draws(df: DataFrame, by: list[str], x: str, in_a: Column, row: str
 
         for batch in batches:
             kind = batch.schema.field("of").type
-            groups, (side, value, at, n) = batch.column("of").to_pylist(), (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "x", "at", "n"))
-            start = 0
-            while start < len(groups):
-                end = start + 1
-                while end < len(groups) and end - start < 64 and groups[end] == groups[start]:
-                    end += 1
-                if now is not None and groups[start] != now:
+            of, (key, side, value, at, n) = batch.column("of"), (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "x", "at", "n"))
+            turns = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+            for first, last in zip(turns, turns[1:]):
+                if first == last:
+                    continue
+                group = of[first].as_py()
+                if now is not None and group != now:
                     yield done()
                     sums = np.zeros((4, reps))
-                now = groups[start]
-                w = _weights(at[start:end], n[start:end], rep, seed)
-                for k, own in ((0, side[start:end]), (2, ~side[start:end])):
-                    sums[k] += w[own].sum(0)
-                    sums[k + 1] += value[start:end][own] @ w[own]
-                start = end
+                now = group
+                for start in range(first, last, 64):
+                    end = min(start + 64, last)
+                    w = _weights(at[start:end], n[start:end], rep, seed)
+                    for k, own in ((0, side[start:end]), (2, ~side[start:end])):
+                        sums[k] += w[own].sum(0)
+                        sums[k + 1] += value[start:end][own] @ w[own]
         if now is not None:
             yield done()
 
@@ -127,8 +132,9 @@ def _sums(reps: int, seed: int):
         for batch in batches:
             at, n, r, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             order = np.argsort(n, kind="stable")
-            for i in range(0, len(order), 32):
-                some = order[i : i + 32]
+            step = max(1, 65_536 // reps)
+            for i in range(0, len(order), step):
+                some = order[i : i + step]
                 w = _weights(at[some], n[some], rep, seed)
                 total += w.sum(0)
                 for side, c in enumerate((a[some], b[some])):
@@ -160,22 +166,26 @@ def _cuts(seed: int, share: float):
     return cut
 
 
-def premium_difference(df: DataFrame, a: str, b: str, ret: str, row: str, reps: int, seed: int, share: float = 0.1) -> DataFrame:
+def premium_difference(df: DataFrame, a: str, b: str, ret: str, row: str, reps: int, seed: int, share: float = 0.1, each: bool = False) -> DataFrame:
     """Paired replicates of the mean outcome of the top share under two scores, with the same weights in both.
 
     Every row weighs Poisson(1) in a replicate.  Where it stands against both cuts is certain for all rows but those
     near a cut, some multiple of the root of all rows.  The others only count: rows of the same side of both cuts and
     the same outcome are one cell, whose weight is one Poisson number of its size.  So work is replicates times
     (outcomes + root of rows), tasks send one row per replicate, and a task near the cut holds that band only.
+    With ``each`` there are no cells: every row has a draw of its own in every replicate, and work is replicates times rows.
     """
     one = exact_rank(df.select((-F.col(a)).alias("__a"), (-F.col(b)).alias("__b"), F.col(ret).alias("r"), F.col(row).alias("at")), [], "__a", "at", rank="rank_a", total="n")
     both = exact_rank(one, [], "__b", "at", rank="rank_b", total="n_b")
     both = both.select("at", "r", *[F.col(f"rank_{c}") for c in "ab"], *[cut_class(F.col(f"rank_{c}"), F.col("n"), share).alias(c) for c in "ab"])
     both = materialise(both, "premium")
     band = (F.col("a") == 1) | (F.col("b") == 1)
-    cells = both.groupBy("a", "b", "r", F.when(band, F.col("at")).alias("own")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
-    pieces = _pieces(cells).select("at", "n", "r", "a", "b")
-    parts = pieces.repartition("at").mapInArrow(_sums(reps, seed), "rep long, total long, above_a long, above_b long, gain_a double, gain_b double")
+    if each:
+        pieces = both.select("at", F.lit(1).cast("long").alias("n"), "r", "a", "b")
+    else:
+        cells = both.groupBy("a", "b", "r", F.when(band, F.col("at")).alias("own")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+        pieces = _pieces(cells).select("at", "n", "r", "a", "b").repartition("at")
+    parts = pieces.mapInArrow(_sums(reps, seed), "rep long, total long, above_a long, above_b long, gain_a double, gain_b double")
     sums = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
     below = both.agg(*[F.coalesce(F.sum((F.col(c) == 2).cast("long")), F.lit(0)).alias(f"below_{c}") for c in "ab"])
     sums = attach(sums, below).withColumn("block", F.floor(F.col("rep") / TURNS))
