@@ -51,6 +51,17 @@ def _(v, reps=100, each=True):
 query("bootstrap_mean_difference_published", "I16", _diff_sql(2000))(lambda v, f=_: f(v, 2000, False))
 
 
+def _row_premium_sql(reps: int) -> str:
+    return f"""WITH {SCORES}, s2 AS (SELECT *, ((id % 7919) * 31 + id % 104729) / 1e6 AS other FROM scores),
+      rp AS (SELECT s.*, r.i AS rep FROM s2 s CROSS JOIN range(0, {reps}) r(i)),
+      {sql_draws('rp', 'id', 'rep', 17, 'dr')}, w AS (SELECT *, {sql_poisson('u')} AS w FROM dr),
+      k AS (SELECT rep, ceil(sum(w) * 0.1) AS k FROM w GROUP BY 1),
+      c AS (SELECT w.rep, fwd, w, k, sum(w) OVER (PARTITION BY w.rep ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) - w AS ba,
+        sum(w) OVER (PARTITION BY w.rep ORDER BY other DESC, id ROWS UNBOUNDED PRECEDING) - w AS bb FROM w JOIN k ON w.rep = k.rep),
+      t AS (SELECT rep, sum(greatest(0, least(w, k - bb)) * fwd) / max(k) - sum(greatest(0, least(w, k - ba)) * fwd) / max(k) AS delta FROM c GROUP BY 1)
+      {_ci('delta', 't', digits=6)}"""
+
+
 def _premium_sql(reps: int) -> str:
     """Rows near one of the cuts weigh one by one; all others as cells of equal outcome, 4 096 rows a draw."""
     near = f"CAST(ceil(8 * sqrt(n * {0.1 * (1 - 0.1)!r}::DOUBLE)) AS BIGINT) + 50"
@@ -70,14 +81,14 @@ def _premium_sql(reps: int) -> str:
       {_ci("delta", "t", digits=6)}"""
 
 
-@query("paired_bootstrap_premium_difference", "I17", _premium_sql(40))
-def _(v, reps=40):
+@query("paired_bootstrap_premium_difference", "I17", _row_premium_sql(40))
+def _(v, reps=40, each=True):
     s = v.scores.withColumn("other", ((F.col("id") % 7919) * 31 + F.col("id") % 104729) / 1e6)
-    d = R.premium_difference(s, "score", "other", "fwd", "id", reps, 17)
+    d = R.premium_difference(s, "score", "other", "fwd", "id", reps, 17, each=each)
     return rounded(R.interval(d, [], "delta"), "boot_mean", "lo", "hi")
 
 
-query("paired_bootstrap_premium_difference_published", "I17", _premium_sql(10000))(lambda v, f=_: f(v, 10000))
+query("paired_bootstrap_premium_difference_published", "I17", _premium_sql(10000))(lambda v, f=_: f(v, 10000, False))
 
 
 @query(
