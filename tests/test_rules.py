@@ -218,6 +218,25 @@ def test_stream_equals_batch_over_many_batches(spark):
         np.testing.assert_allclose(got[c], want[c])
 
 
+def test_step_sees_bounded_slices_of_a_large_batch(spark):
+    path = scratch()
+    for i in range(2):
+        f = f"{path}/part-{i}.parquet"
+        at = np.random.default_rng(i).permutation(120_000) + i * 120_000
+        pd.DataFrame({"pair": "a", "ts_ms": at}).to_parquet(f)
+        os.utime(f, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))
+
+    def step(state, rows, final):
+        seen = (state or {"n": 0})["n"]
+        ok = bool((rows["ts_ms"].to_numpy() == seen + np.arange(len(rows))).all())
+        return {"n": seen + len(rows)}, pd.DataFrame({"size": [len(rows)], "ordered": [ok], "n": [seen + len(rows)]})
+
+    stream = live.read_files(spark, path, spark.read.parquet(path).schema, per_trigger=1)
+    got = live.drain(stateful(stream, ["pair"], ["ts_ms"], step, "pair string, size long, ordered boolean, n long"), "slices")[0].toPandas()
+    assert got["size"].sum() == got["n"].max() == 240_000
+    assert got["size"].max() <= 50_000 and got["ordered"].all() and set(got["pair"]) == {"a"}
+
+
 def test_zip_klines_and_upsert(spark):
     path = scratch()
     buf = io.StringIO("open_time,open,high,low,close,volume,ct,q,n,a,b,i\n1000,1,2,0.5,1.5,10,0,0,0,0,0,0\n2000,1,2,0.5,1.7,10,0,0,0,0,0,0\n")

@@ -1,8 +1,8 @@
 """Keyed state between micro-batches: the batch fold steps, kept in the state store.
 
 A step sees one key's rows of a micro-batch in time order and its last state.
-Input must arrive in time order between micro-batches; the size of a micro-batch
-bounds what a task holds.
+Input must arrive in time order between micro-batches.  A task holds the bare numbers of
+one key's rows of a micro-batch; steps and results see ``SLICE`` rows at a time.
 """
 
 from __future__ import annotations
@@ -17,19 +17,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.plans.fold import Step
 
+SLICE = 50_000
+
 
 def stateful(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out_schema: str) -> DataFrame:
     """Apply a fold step per key with its state in the state store."""
     names = [p.strip().split(" ")[0] for p in out_schema.split(",")]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(list(order)).reset_index(drop=True)
+        # the key repeats in every row, so it does not stay
+        rows = pd.concat([b.drop(columns=list(keys)) for b in batches], ignore_index=True)
+        place = rows[list(order)].sort_values(list(order), kind="stable").index.to_numpy()
         held = json.loads(state.get[0]) if state.exists else None
-        after, out = step(held, rows, False)
-        state.update((json.dumps(after),))
-        for k, v in zip(keys, key):
-            out[k] = v
-        yield out.reindex(columns=names)
+        for at in range(0, len(place), SLICE):
+            held, out = step(held, rows.iloc[place[at : at + SLICE]].reset_index(drop=True), False)
+            for k, v in zip(keys, key):
+                out[k] = v
+            yield out.reindex(columns=names)
+        state.update((json.dumps(held),))
 
     return stream.groupBy(*keys).applyInPandasWithState(
         advance, out_schema, "state string", "append", GroupStateTimeout.NoTimeout
