@@ -116,3 +116,25 @@ def test_content_tree_does_not_depend_on_chunks(spark, rows):
         level = [sha("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
     got = {tuple(content_tree(df, Series(span=span), "x", fan=4).first()) for span in (1, 7, 10_000)}
     assert got == {("a", rows, level[0])}
+
+
+def test_window_metrics_read_the_trades_once(spark):
+    from tidegauge.operators import ledger
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    pdf = pd.DataFrame({"pair": ["a", "b"] * 20, "close_date": pd.date_range("2024-01-01", periods=40, freq="15h"), "stake_amount": 10.0})
+    pdf["profit_ratio"] = [0.02, -0.01, 0.0, 0.03] * 10
+    pdf["profit_abs"] = pdf.stake_amount * pdf.profit_ratio
+    df = spark.createDataFrame(pdf)
+    got = ledger.window_metrics(df.mapInPandas(count, df.schema), ["pair"], 100.0).toPandas().set_index("pair")
+    assert read.value == len(pdf)
+    for k, g in pdf.groupby("pair"):
+        x, row = g.profit_abs, got.loc[k]
+        assert (row.n, row.largest_win, row.largest_loss) == (20, x.max(), x.min())
+        assert [row.net, row.win_rate, row.mean_ratio, row.volume] == pytest.approx([x.sum(), (x > 0).mean(), g.profit_ratio.mean(), 200.0])

@@ -110,19 +110,48 @@ def ratio_drawdown(days: DataFrame, by: Sequence[str], span: int = 3650 * 86_400
     return peak.groupBy(*by).agg(F.min(F.when(F.col("peak") > 0, F.col("eq") / F.col("peak") - 1)).alias("max_dd_ratio"))
 
 
+def day_parts(trades: DataFrame, by: Sequence[str], **more: Column) -> DataFrame:
+    """One stored row per group and close day that daily results and all totals of ``day_totals`` follow from.
+
+    The trades are read once; ``more`` adds sums of other columns.
+    """
+    x, ratio = F.col("profit_abs"), F.col("profit_ratio")
+    parts = trades.groupBy(*by, F.to_date("close_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("profit_abs"), F.sum(ratio).alias("profit_ratio"), F.count(x).alias("known"), F.count(ratio).alias("ratios"),
+        F.count_if(x > 0).alias("wins"), F.sum(F.when(x > 0, x)).alias("won"), F.sum(F.when(x < 0, -x)).alias("lost"),
+        F.max(x).alias("largest_win"), F.min(x).alias("largest_loss"), *[F.sum(c).alias(name) for name, c in more.items()],
+    )
+    return materialise(parts, "day-parts")
+
+
+def day_totals(parts: DataFrame, by: Sequence[str], *more: str) -> DataFrame:
+    """What ``summary`` says of the trades, with counts of wins and losses and the sums ``more``, from their ``day_parts``."""
+    t = F.sum
+    won, lost = F.coalesce(t("won"), F.lit(0.0)), F.coalesce(t("lost"), F.lit(0.0))
+    losses = t("known") - t("wins")
+    return parts.groupBy(*by).agg(
+        t("n").alias("n"), t("profit_abs").alias("net"), won.alias("gross_win"), lost.alias("gross_loss"),
+        F.try_divide(t("profit_ratio"), t("ratios")).alias("mean_ratio"), F.try_divide(t("wins"), t("known")).alias("win_rate"),
+        loss_ratio(won, lost).alias("profit_factor"), F.max("largest_win").alias("largest_win"), F.min("largest_loss").alias("largest_loss"),
+        t("wins").alias("wins"), losses.alias("losses"), F.try_divide(t("won"), t("wins")).alias("avg_win"), F.try_divide(-t("lost"), losses).alias("avg_loss"),
+        F.try_divide(t("profit_abs"), t("known")).alias("avg_trade"), *[t(c).alias(c) for c in more],
+    )
+
+
+def filled(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``daily`` from ``day_parts``."""
+    values = ["profit_abs", "profit_ratio"]
+    return bars.daily_zero_filled(parts.select(*by, "day", *values), "day", values, tuple(by))
+
+
 def window_metrics(trades: DataFrame, by: Sequence[str], start: float, fee: float = 0.001) -> DataFrame:
     """Ledger metrics of a window: daily Sharpe/Sortino, wallet drawdown, totals."""
-    d = materialise(daily(trades, by), "daily")
+    parts = day_parts(trades, by, volume=F.col("stake_amount"), fees=(F.col("stake_amount") * 2 + F.col("profit_abs")) * fee)
+    d = materialise(filled(parts, by), "daily")
     ratios = d.groupBy(*by).agg(
         *returns_stats("profit_ratio", 365, strict=True), F.count(F.lit(1)).alias("n_days")
     )
-    totals = summary(trades, by).join(
-        trades.groupBy(*by).agg(
-            F.sum("stake_amount").alias("volume"),
-            F.sum((F.col("stake_amount") * 2 + F.col("profit_abs")) * fee).alias("fees"),
-        ),
-        list(by),
-    )
+    totals = day_totals(parts, by, "volume", "fees").drop("wins", "losses", "avg_win", "avg_loss", "avg_trade")
     return totals.join(ratios, list(by)).join(wallet_drawdown(d, by, start), list(by))
 
 
