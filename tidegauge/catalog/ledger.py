@@ -288,17 +288,12 @@ def _(v):
         max(profit_abs) AS largest_win, min(profit_abs) AS largest_loss, round(avg(profit_abs), 5) + 0.0 AS avg_trade, round(max(max_dd), 6) + 0.0 AS max_dd, round(max(last_equity), 4) + 0.0 AS last_equity FROM trades JOIN m USING (pair) GROUP BY 1""",
 )
 def _(v):
-    from tidegauge.plans.stage import materialise
-
-    t = v.trades.select("pair", "close_date", "profit_abs", "profit_ratio")
-    x = F.col("profit_abs")
-    kpi = t.groupBy("pair").agg(
-        F.count_if(x > 0).alias("wins"), F.count_if(x <= 0).alias("losses"), r(F.avg(F.when(x > 0, x)), 5).alias("avg_win"),
-        r(F.avg(F.when(x <= 0, x)), 5).alias("avg_loss"), r(F.sum(x) + START, 4).alias("last_equity"),
-        r(L.profit_factor("profit_abs")).alias("profit_factor"), F.max(x).alias("largest_win"), F.min(x).alias("largest_loss"), r(F.avg(x), 5).alias("avg_trade"),
+    parts = L.day_parts(v.trades, ["pair"])
+    kpi = L.day_totals(parts, ["pair"]).select(
+        "pair", "wins", "losses", r("avg_win", 5).alias("avg_win"), r("avg_loss", 5).alias("avg_loss"), r(F.col("net") + START, 4).alias("last_equity"),
+        r("profit_factor").alias("profit_factor"), "largest_win", "largest_loss", r("avg_trade", 5).alias("avg_trade"),
     )
-    days = materialise(L.daily(t, ["pair"]), "days")
-    return kpi.join(rounded(L.wallet_drawdown(days, ["pair"], START), "max_dd"), "pair")
+    return kpi.join(rounded(L.wallet_drawdown(L.filled(parts, ["pair"]), ["pair"], START), "max_dd"), "pair")
 
 
 @query(
