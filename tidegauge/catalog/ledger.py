@@ -27,8 +27,7 @@ START = 1e7
       round(quantile_cont(date_diff('second', open_date, close_date) / 60.0, 0.5), 4) + 0.0 AS median_hold FROM trades GROUP BY 1""",
 )
 def _(v):
-    costs = L.trade_costs(v.trades, ["pair"], F.col("stake_amount") * 0.002, F.col("stake_amount") * 0.001, F.col("status") == "O")
-    out = L.summary(v.trades, ["pair"]).join(costs, "pair")
+    out = L.trade_costs(v.trades, ["pair"], F.col("stake_amount") * 0.002, F.col("stake_amount") * 0.001, F.col("status") == "O")
     return out.withColumns(
         {
             **{c: r(c, 6) for c in ("fee", "slippage")},

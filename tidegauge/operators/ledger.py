@@ -61,8 +61,8 @@ def win_rate(pnl: str) -> Column:
     return F.avg((F.col(pnl) > 0).cast("double"))
 
 
-def summary(trades: DataFrame, by: Sequence[str], pnl: str = "profit_abs", ratio: str = "profit_ratio") -> DataFrame:
-    """Counts, gross wins and losses, mean return, win rate, profit factor per group."""
+def summary(trades: DataFrame, by: Sequence[str], pnl: str = "profit_abs", ratio: str = "profit_ratio", more: Sequence[Column] = ()) -> DataFrame:
+    """Counts, gross wins and losses, mean return, win rate, profit factor per group; ``more`` aggregates in the same pass."""
     x = F.col(pnl)
     return trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -74,13 +74,15 @@ def summary(trades: DataFrame, by: Sequence[str], pnl: str = "profit_abs", ratio
         profit_factor(pnl).alias("profit_factor"),
         F.max(x).alias("largest_win"),
         F.min(x).alias("largest_loss"),
+        *more,
     )
 
 
 def trade_costs(trades: DataFrame, by: Sequence[str], fee: Column, slippage: Column, forced: Column, ratio: str = "profit_ratio") -> DataFrame:
-    """What trading cost per group, how long the middle trade was held, and how many were closed by force."""
+    """``summary`` with what trading cost per group, how long the middle trade was held, and how many were closed by force."""
     minutes = trades.withColumn("__minutes", F.timestamp_diff("SECOND", F.col("open_date"), F.col("close_date")) / 60.0)
-    sums = trades.groupBy(*by).agg(F.sum(fee).alias("fee"), F.sum(slippage).alias("slippage"), F.count_if(forced).alias("forced"), F.avg(ratio).alias("avg_ret"))
+    more = [F.sum(fee).alias("fee"), F.sum(slippage).alias("slippage"), F.count_if(forced).alias("forced"), F.avg(ratio).alias("avg_ret")]
+    sums = summary(trades, by, ratio=ratio, more=more)
     return sums.join(exact_quantiles(minutes, list(by), "__minutes", {"median_hold": 0.5}), list(by), "left")
 
 
