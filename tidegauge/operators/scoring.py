@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.plans.ranking import exact_quantiles, exact_rank, value_ranks
+from tidegauge.plans.ranking import exact_quantiles, exact_rank, sent, value_ranks
 from tidegauge.plans.stage import materialise
 
 
@@ -64,8 +64,31 @@ def top_premium(df: DataFrame, cell: list[str], score: str, ret: str, tie: str,
     ranked = exact_rank(d, cell, "__neg", tie)
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
     top, bot = F.col("rn") <= k, F.col("rn") > F.col("n") - k
+    return _premium(ranked.filter(top | bot), cell, top, bot, ret, cost)
+
+
+def top_premium_of_ranked(ranked: DataFrame, cell: list[str], score: str, ret: str, cost: float, share: float = 0.10) -> DataFrame:
+    """``top_premium`` of stored rows that are ranked upwards by (score, tie) already (rn, n); nothing is ordered again.
+
+    The scores at both borders are looked up, then where their ties begin and end: of equal scores the lower ties are
+    nearer to the top, so the first rows of the upper block and the last rows of the lower one complete the shares.
+    """
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    s, rn = F.col(score), F.col("rn")
+    at = {"hi": F.col("n") - k + 1, "lo": k}
+    edge = sent(materialise(ranked.groupBy(*cell).agg(*[F.max(F.when(rn == i, s)).alias(f"__{e}") for e, i in at.items()]), "edges"), 2)
+    r = ranked.join(edge, cell)
+    ends = [f(F.when(s == F.col(f"__{e}"), rn)).alias(f"__{e}_{n}") for e in at for n, f in (("first", F.min), ("last", F.max))]
+    blocks = sent(materialise(r.filter((s == F.col("__hi")) | (s == F.col("__lo"))).groupBy(*cell).agg(*ends), "blocks"), 4)
+    r = r.join(blocks, cell)
+    top = (s > F.col("__hi")) | (s == F.col("__hi")) & (rn - F.col("__hi_first") < k - (F.col("n") - F.col("__hi_last")))
+    bot = (s < F.col("__lo")) | (s == F.col("__lo")) & (rn > F.col("__lo_last") - (k - F.col("__lo_first") + 1))
+    return _premium(r, cell, top, bot, ret, cost)
+
+
+def _premium(ranked: DataFrame, cell: list[str], top: Column, bot: Column, ret: str, cost: float) -> DataFrame:
     x = F.col(ret)
-    out = ranked.filter(top | bot).groupBy(*cell).agg(
+    out = ranked.groupBy(*cell).agg(
         F.count_if(top).alias("n_top"),
         F.avg(F.when(top, x)).alias("mean_top"),
         F.stddev_samp(F.when(top, x)).alias("sd_top"),
@@ -98,10 +121,14 @@ def rank_correlation(df: DataFrame, cell: list[str], a: str, b: str, out: str =
         F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
         F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"),
     )
+    return _correlation(m, cell, out)
+
+
+def _correlation(m: DataFrame, cell: list[str], out: str, *more: str) -> DataFrame:
     c = F.col
     cov = c("sxy") - c("sx") * c("sy") / c("sw")
     vx, vy = c("sxx") - c("sx") * c("sx") / c("sw"), c("syy") - c("sy") * c("sy") / c("sw")
-    return m.select(*cell, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).otherwise(0.0).alias(out))
+    return m.select(*cell, F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).otherwise(0.0).alias(out), *more)
 
 
 def _expand(d: DataFrame, cell: list[str], col: str) -> DataFrame:
@@ -110,21 +137,53 @@ def _expand(d: DataFrame, cell: list[str], col: str) -> DataFrame:
 
 def roc_pr_auc(df: DataFrame, cell: list[str], score: str, label: str) -> DataFrame:
     """Exact ROC area by rank sums and step-sum PR area, ties as one threshold."""
-    per = value_ranks(df.filter(F.col(label).isNotNull()), cell, score, {"pos": F.col(label).cast("double")})
+    return _areas(value_ranks(df.filter(F.col(label).isNotNull()), cell, score, {"pos": F.col(label).cast("double")}), cell)
+
+
+def _areas(per: DataFrame, cell: list[str]) -> DataFrame:
+    return _area_of(per.groupBy(*cell).agg(*_area_sums("ties")), cell)
+
+
+def _area_sums(n: str) -> list[Column]:
+    """Sums over distinct scores whose rows with a label are counted in column ``n``."""
     c = F.col
-    neg = c("ties") - c("pos")
-    below_neg = c("below_ties") - c("below_pos")
+    neg = c(n) - c("pos")
+    below_neg = c(f"below_{n}") - c("below_pos")
     # one threshold per distinct score: everything at or above it is called positive
     caught = c("total_pos") - c("below_pos")
-    called = c("total_ties") - c("below_ties")
-    out = per.groupBy(*cell).agg(
+    called = c(f"total_{n}") - c(f"below_{n}")
+    return [
         F.sum(c("pos") * (below_neg + neg / 2.0)).alias("__wins"),
         F.max("total_pos").alias("__p"),
-        F.max("total_ties").alias("__n"),
-        F.sum(c("pos") / c("total_pos") * caught / called).alias("pr_auc"),
-    )
-    p, n = c("__p"), c("__n")
-    return out.select(*cell, F.try_divide(c("__wins"), p * (n - p)).alias("auc"), "pr_auc")
+        F.max(f"total_{n}").alias("__n"),
+        F.sum(F.when(c(n) > 0, c("pos") / c("total_pos") * caught / called)).alias("pr_auc"),
+    ]
+
+
+def _area_of(out: DataFrame, cell: list[str], *more: str) -> DataFrame:
+    p, n = F.col("__p"), F.col("__n")
+    return out.select(*cell, F.try_divide(F.col("__wins"), p * (n - p)).alias("auc"), "pr_auc", *more)
+
+
+def areas_and_rank_correlation(df: DataFrame, cell: list[str], score: str, ret: str, label: str, out: str = "rank_ic") -> DataFrame:
+    """``roc_pr_auc`` and ``rank_correlation`` from one order of the scores.
+
+    Rows get the average rank of their outcome first.  Then one row per distinct score holds what both need: labelled
+    rows and positive ones, rows with an outcome, and the sums of outcome ranks and of their squares.
+    """
+    d = df.select(*cell, score, ret, label).filter(F.col(score).isNotNull())
+    y = value_ranks(d.select(*cell, ret), cell, ret).select(*cell, ret, F.col("avg_rank").alias("__y"))
+    d = d.join(sent(materialise(y, "outcomes"), 2), [*cell, ret], "left")
+    lab, has, y = F.col(label).isNotNull().cast("long"), F.col(ret).isNotNull().cast("long"), F.col("__y")
+    pos = F.coalesce(F.col(label).cast("double"), F.lit(0.0))
+    per = value_ranks(d, cell, score, {"pos": pos, "lab": lab, "w": has}, {"__y1": y, "__y2": y * y})
+    w, x = F.col("w"), F.col("below_w") + (F.col("w") + 1) / 2.0
+    m = per.groupBy(*cell).agg(
+        *_area_sums("lab"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum("__y1").alias("sy"),
+        F.sum(w * x * x).alias("sxx"), F.sum("__y2").alias("syy"), F.sum(x * F.col("__y1")).alias("sxy"),
+    )
+    m = m.filter("__n > 0 AND sw > 0")
+    return _area_of(_correlation(m, cell, out, "__wins", "__p", "__n", "pr_auc"), cell, out)
 
 
 def probability_losses(p: Column, y: Column) -> list[Column]:

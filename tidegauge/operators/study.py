@@ -18,11 +18,13 @@ from tidegauge.plans.stage import materialise
 def cell_bundle(scores: DataFrame, cell: list[str], cost: float) -> DataFrame:
     """Every metric of every cell: premium, tests, areas, losses, calibration, order.
 
-    Scores feed several ranked passes, so they are stored once.  So is the bundle, one row per cell: the ranks of its
+    Scores feed two orders: all rows by (score, id), stored for premium, calibration and deciles, and distinct scores
+    for areas and rank correlation.  So scores are stored once.  So is the bundle, one row per cell: the ranks of its
     p-values read it many times, and all must see the same numbers.
     """
     s = materialise(scores.select(*cell, "id", "score", "fwd", "label"), "scores")
-    top = scoring.top_premium(s, cell, "score", "fwd", "id", cost)
+    ranked = materialise(exact_rank(s, cell, "score", "id").drop("id"), "ranked")
+    top = scoring.top_premium_of_ranked(ranked, cell, "score", "fwd", cost)
     top = top.withColumns(
         {
             "p_test": tails.t_greater("t_stat", F.col("n_top") - 1),
@@ -30,15 +32,13 @@ def cell_bundle(scores: DataFrame, cell: list[str], cost: float) -> DataFrame:
         }
     )
     losses = s.groupBy(*cell).agg(*scoring.probability_losses(F.col("score"), F.col("label")), F.count(F.lit(1)).alias("n_val"))
-    areas = scoring.roc_pr_auc(s, cell, "score", "label")
-    ic = scoring.rank_correlation(s, cell, "score", "fwd")
-    ranked = materialise(exact_rank(s, cell, "score", "id"), "ranked")
+    areas = scoring.areas_and_rank_correlation(s, cell, "score", "fwd", "label")
     ece = scoring.chunked_gap(ranked, cell, "score", "label")
     bucket = scoring.decile_of(F.col("rn"), F.col("n")).alias("bucket")
     dec = ranked.groupBy(*cell, bucket).agg(F.avg("fwd").alias("mean"))
     tau = scoring.kendall_over_buckets(dec, cell, "bucket", "mean")
     out = losses
-    for part in (top, areas, ic, ece, tau):
+    for part in (top, areas, ece, tau):
         out = out.join(part, cell)
     return materialise(out, "bundle")
 

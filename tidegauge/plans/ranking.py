@@ -20,6 +20,7 @@ from tidegauge.session import shuffle_width
 
 BUCKET = "__bucket"
 SLICE = "__slice"
+SENT = 4_000_000  # numbers of a stored table that are sent to every task (32 MB)
 
 
 def _cuts(df: DataFrame, group: list[str], score: str, tie: str | None, grid: int) -> DataFrame:
@@ -32,6 +33,11 @@ def _cuts(df: DataFrame, group: list[str], score: str, tie: str | None, grid: in
     return df.groupBy(*group).agg(*aggs)
 
 
+def sent(stored: DataFrame, width: int) -> DataFrame:
+    """A stored table for a join: sent to every task while it holds ``SENT`` numbers at most, ``width`` to a row."""
+    return F.broadcast(stored) if stored.count() * width <= SENT else stored
+
+
 def bucketed(
     df: DataFrame,
     group: list[str],
@@ -42,10 +48,14 @@ def bucketed(
     """Add order-preserving bucket columns for (score, tie) inside each group.
 
     Approximate quantiles depend on the order in which tasks are merged.  Bucket counts and rows must see the same
-    cut points, so these are stored (one row per group) and never worked out twice.
+    cut points, so these are stored (one row per group) and never worked out twice.  They go to the rows: a join by
+    group would put every row of a group into one task.  Only where there are so many groups that their cut points
+    are too large for that are rows dealt by group.
     """
     grid = grid or max(4, min(64, math.ceil(math.sqrt(2 * shuffle_width(df.sparkSession)))))
     cuts = materialise(_cuts(df, group, score, tie, grid), "cuts")
+    if group:
+        cuts = sent(cuts, grid * grid)
     coarse = F.transform(F.sequence(F.lit(1), F.lit(grid - 1)), lambda i: F.element_at("__cuts", i * grid))
     cuts = cuts.withColumn("__coarse", coarse)
     s = F.col(score)
@@ -99,25 +109,25 @@ def exact_rank(
     )
 
 
-def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, Column] | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct score: count, rows below, average rank, group size.
 
     Ties are merged before anything is ordered, so a repeated score costs one row.  The merged scores feed the cut
     points, the bucket counts and the rows, so they are stored.
-    ``weight`` adds per-score sums and their running totals below the score.
+    ``weight`` adds per-score sums and their running totals below the score, ``sums`` adds per-score sums only.
     """
     extra = weight or {}
     merged = (
         df.filter(F.col(score).isNotNull())
         .groupBy(*group, score)
-        .agg(F.count(F.lit(1)).alias("ties"), *[F.sum(c).alias(n) for n, c in extra.items()])
+        .agg(F.count(F.lit(1)).alias("ties"), *[F.sum(c).alias(n) for n, c in {**extra, **(sums or {})}.items()])
     )
     names = ["ties", *extra]
     b = bucketed(materialise(merged, "merged"), group, score)
-    sums = b.groupBy(*group, BUCKET).agg(*[F.sum(n).alias(f"__{n}") for n in names])
+    parts = b.groupBy(*group, BUCKET).agg(*[F.sum(n).alias(f"__{n}") for n in names])
     key = group or [F.lit(0)]
     across = Window.partitionBy(*key).orderBy(BUCKET)
-    offsets = sums.select(
+    offsets = parts.select(
         *group,
         BUCKET,
         *[
