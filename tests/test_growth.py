@@ -6,8 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tidegauge.operators import scoring
-from tidegauge.plans.ranking import bucketed, exact_rank
+from tidegauge.plans.ranking import bucketed, exact_quantiles, exact_rank
+from tidegauge.sources.views import Views
+
+SMALL = "/root/testdata/sf0.001"
 
 
 @contextlib.contextmanager
@@ -55,3 +59,21 @@ def test_areas_and_rank_correlation_together(spark):
     got = scoring.areas_and_rank_correlation(d, ["cell"], "score", "fwd", "label").orderBy("cell").toPandas()
     areas, ic = scoring.roc_pr_auc(d, ["cell"], "score", "label"), scoring.rank_correlation(d, ["cell"], "score", "fwd")
     pd.testing.assert_frame_equal(got, areas.join(ic, "cell").orderBy("cell").toPandas())
+
+
+def test_clusters_read_the_trades_once(spark):
+    """Counts per cluster and result are stored; neither mean nor median goes back to the trades."""
+    assert "lineitem" not in plan(queries()["cluster_bootstrap_mean"](spark, SMALL))
+
+
+def test_quantiles_of_counted_values(spark):
+    d = tied(spark).withColumn("n", F.lit(2) + F.col("id") % 3)
+    each = d.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    want = exact_quantiles(each, ["cell"], "fwd", {"q1": 0.25, "q2": 0.5}).orderBy("cell").toPandas()
+    pd.testing.assert_frame_equal(exact_quantiles(d, ["cell"], "fwd", {"q1": 0.25, "q2": 0.5}, F.col("n")).orderBy("cell").toPandas(), want)
+
+
+def test_trades_move_results_not_their_parts(spark):
+    with unsent(spark):
+        p = plan(Views(spark, SMALL).trades.groupBy("pair").agg(F.avg("profit_ratio")))
+    assert not any("l_discount" in line for line in p.split("Exchange hashpartitioning(l_orderkey")[0].splitlines())

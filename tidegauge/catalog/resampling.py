@@ -11,6 +11,7 @@ from tidegauge.catalog.base import BARS, SCORES, TRADES, query, r, rounded
 from tidegauge.functions.rand import sql_draws, sql_poisson, sql_poisson_of
 from tidegauge.operators import resampling as R
 from tidegauge.plans.series import Series
+from tidegauge.plans.stage import materialise
 
 Q = "quantile_cont({x}, 0.025)", "quantile_cont({x}, 0.975)"
 
@@ -149,8 +150,12 @@ query("calendar_week_block_theta_published", "I19 H2")(lambda v, f=_: f(v, 10000
 def _(v, reps=500):
     from tidegauge.plans.ranking import exact_quantiles
 
-    med = exact_quantiles(v.trades, ["pair", "line"], "profit_ratio", {"med": 0.5})
-    s = v.trades.groupBy("pair", "line").agg(F.avg("profit_ratio").alias("m")).join(med, ["pair", "line"])
+    # trades are read once: rows of one cluster and result are one row, which holds their number
+    merged = v.trades.filter("profit_ratio IS NOT NULL").groupBy("pair", "line", "profit_ratio").agg(F.count(F.lit(1)).alias("n"))
+    merged = materialise(merged, "clusters")
+    med = exact_quantiles(merged, ["pair", "line"], "profit_ratio", {"med": 0.5}, F.col("n"))
+    mean = (F.sum(F.col("profit_ratio") * F.col("n")) / F.sum("n")).alias("m")
+    s = merged.groupBy("pair", "line").agg(mean).join(med, ["pair", "line"])
     s = s.select("pair", "line", (F.col("med") - F.col("m")).alias("d"))
     t = R.cluster_mean_draws(s, ["pair"], "line", "d", reps, 20)
     return rounded(R.interval(t, ["pair"], "stat"), "boot_mean", "lo", "hi", digits=7)

@@ -109,18 +109,21 @@ def exact_rank(
     )
 
 
-def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+def value_ranks(
+    df: DataFrame, group: list[str], score: str, weight: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, times: Column | None = None
+) -> DataFrame:
     """One row per distinct score: count, rows below, average rank, group size.
 
     Ties are merged before anything is ordered, so a repeated score costs one row.  The merged scores feed the cut
     points, the bucket counts and the rows, so they are stored.
     ``weight`` adds per-score sums and their running totals below the score, ``sums`` adds per-score sums only.
+    Where a row stands for several, ``times`` is their number.
     """
     extra = weight or {}
     merged = (
         df.filter(F.col(score).isNotNull())
         .groupBy(*group, score)
-        .agg(F.count(F.lit(1)).alias("ties"), *[F.sum(c).alias(n) for n, c in {**extra, **(sums or {})}.items()])
+        .agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("ties"), *[F.sum(c).alias(n) for n, c in {**extra, **(sums or {})}.items()])
     )
     names = ["ties", *extra]
     b = bucketed(materialise(merged, "merged"), group, score)
@@ -145,13 +148,13 @@ def value_ranks(df: DataFrame, group: list[str], score: str, weight: dict[str, C
     )
 
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float], times: Column | None = None) -> DataFrame:
     """Linear-interpolation quantiles, exact, one output row per group.
 
     Works on merged distinct values; picks the two order statistics around each
     probability instead of holding a group's values in one task.
     """
-    ranked = value_ranks(df.select(*group, value), group, value)
+    ranked = value_ranks(df, group, value, times=times)
     lo, hi = F.col("below_ties"), F.col("below_ties") + F.col("ties") - 1  # 0-based positions held
     aggs = []
     for name, p in probs.items():
