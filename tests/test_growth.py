@@ -77,3 +77,8 @@ def test_trades_move_results_not_their_parts(spark):
     with unsent(spark):
         p = plan(Views(spark, SMALL).trades.groupBy("pair").agg(F.avg("profit_ratio")))
     assert not any("l_discount" in line for line in p.split("Exchange hashpartitioning(l_orderkey")[0].splitlines())
+
+
+def test_benchmarks_read_the_trades_once(spark):
+    """Runs and benchmarks are told from stored sums by pair and year."""
+    assert "lineitem" not in plan(queries()["nearest_by_value_benchmark"](spark, SMALL))

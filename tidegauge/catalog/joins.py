@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidegauge.catalog.base import ACTIONS, BARS, SETTLEMENTS, SNAPSHOTS, TICKS, TRADES, ms, query, r, rounded
 from tidegauge.operators import events, joins, windows as w
 from tidegauge.plans.series import Series
+from tidegauge.plans.stage import materialise
 from tidegauge.sources.views import BAR_SERIES, TICK_SERIES
 
 WSQL = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
@@ -288,9 +289,12 @@ def _(v):
 def _(v):
     from tidegauge.operators.gates import dominance, nearest_benchmark
 
+    # trades are read once: sums by pair and year are stored, runs and benchmarks are told from them
     t = v.trades.withColumn("expo", F.datediff("close_date", "open_date"))
-    a = t.groupBy("pair").agg(F.avg("expo").alias("expo"), F.avg("profit_ratio").alias("net"))
-    b = t.groupBy(F.year("close_date").cast("long").alias("bench")).agg(F.avg("expo").alias("expo"), F.avg("profit_ratio").alias("net"))
+    parts = [f(F.col(c)).alias(f"{n}_{c}") for c in ("expo", "profit_ratio") for n, f in (("sum", F.sum), ("n", F.count))]
+    t = materialise(t.groupBy("pair", F.year("close_date").cast("long").alias("bench")).agg(*parts), "sums")
+    means = [F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(out) for c, out in (("expo", "expo"), ("profit_ratio", "net"))]
+    a, b = materialise(t.groupBy("pair").agg(*means), "runs"), t.groupBy("bench").agg(*means)
     # one benchmark is identical to a run, which it must not dominate
     b = b.unionByName(a.agg(F.lit(3000).cast("long").alias("bench"), F.max("expo").alias("expo"), F.max_by("net", "expo").alias("net")))
     return nearest_benchmark(a, b, "pair", "bench", "expo").join(dominance(a, b, "pair", "expo", "net"), "pair")
