@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from tidegauge.operators import scoring
+from tidegauge.operators import resampling, scoring
 from tidegauge.plans.ranking import bucketed, exact_quantiles, exact_rank
 from tidegauge.sources.views import Views
 
@@ -82,3 +82,28 @@ def test_trades_move_results_not_their_parts(spark):
 def test_benchmarks_read_the_trades_once(spark):
     """Runs and benchmarks are told from stored sums by pair and year."""
     assert "lineitem" not in plan(queries()["nearest_by_value_benchmark"](spark, SMALL))
+
+
+def test_only_rows_near_a_cut_are_ranked(spark):
+    """Sides of both cuts are those of exact ranks, though most rows are told by their bucket alone."""
+    n, share = 20_000, 0.1
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"at": np.arange(n), "r": rng.normal(size=n), "__a": rng.integers(0, 3000, n) / 7.0, "__b": rng.normal(size=n)})
+    d = spark.createDataFrame(pdf)
+    far, near, below = resampling._by_cut(d, share)
+    assert near.count() < n / 2
+    got = far.unionByName(near.select(*far.columns)).toPandas().sort_values("at")
+    for c in "ab":
+        rank = exact_rank(d, [], f"__{c}", "at", rank="rank", total="n")
+        want = rank.select("at", "rank", resampling.cut_class(F.col("rank"), F.col("n"), share).alias("side")).toPandas().sort_values("at")
+        assert (got[c].to_numpy() == want["side"].to_numpy()).all()
+        assert below.first()[f"below_{c}"] == (want["side"] == 2).sum()
+        ranked = near.filter(f"rank_{c} IS NOT NULL").toPandas().merge(want, on="at")
+        assert (ranked[f"rank_{c}"] == ranked["rank"]).all() and (want["side"] == 1).sum() == (ranked["side"] == 1).sum()
+
+
+def test_cells_of_many_draws_stay_dealt(spark):
+    """Few bytes, many draws: run-time coalescing must not put all cells into one task."""
+    cells = resampling._dealt(spark.range(1000).withColumnRenamed("id", "at"))
+    cells.count()
+    assert cells.rdd.getNumPartitions() >= 32

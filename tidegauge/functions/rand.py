@@ -53,6 +53,13 @@ def uniform(row: Column, rep: Column | int, seed: int) -> Column:
     return (_mod(one + two) + _mod(one * JOIN + two) / F.lit(float(M))) / F.lit(float(M))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x % M`` of numbers from 0 to under 2^62: M is 2^31 - 1, so parts of 31 bits add up."""
+    x = (x & M) + (x >> 31)
+    x = (x & M) + (x >> 31)
+    return x - M * (x >= M)
+
+
 def uniform_array(row: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
     """``uniform`` on arrays of row ids and replicates that fit each other, for work inside tasks."""
     row, rep = np.asarray(row, np.int64), np.asarray(rep, np.int64)
@@ -62,10 +69,10 @@ def uniform_array(row: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
     for a, b, c, k in LANES:
         x = (low * a + (seed * c + k) % M) % M
         x = ((x * x + k) % M + high * b) % M
-        x = ((x * x + a) % M + rep % M * c) % M
-        lanes.append((x * x + b) % M)
+        x = _folded((x * x + a) % M + rep % M * c)
+        lanes.append(_folded(x * x + b))
     one, two = lanes
-    return ((one + two) % M + (one * JOIN + two) % M / float(M)) / float(M)
+    return (_folded(one + two) + _folded(one * JOIN + two) / float(M)) / float(M)
 
 
 def poisson_array(u: np.ndarray, mean: int) -> np.ndarray:

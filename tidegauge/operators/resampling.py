@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.rand import poisson_array, poisson_weight, uniform, uniform_array
-from tidegauge.plans.ranking import exact_rank
+from tidegauge.plans.ranking import BUCKET, SLICE, bucketed, exact_rank, sent
 from tidegauge.plans.series import Series, framed, number_rows
 from tidegauge.plans.single import attach
 from tidegauge.plans.stage import materialise
+from tidegauge.session import shuffle_width
 
 
 def _reps(n: int) -> Column:
@@ -72,7 +73,7 @@ def mean_diff_draws(df: DataFrame, by: list[str], x: str, in_a: Column, row: str
     if each:
         cells = d.withColumn("n", F.lit(1).cast("long"))
     else:
-        cells = _pieces(d.groupBy(*by, "side", "x").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))).repartition("at")
+        cells = _dealt(_pieces(d.groupBy(*by, "side", "x").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))))
     group = F.struct(F.lit(0).alias("_"), *by)
     cells = cells.select(group.alias("of"), F.xxhash64(group).alias("key"), "side", "x", "at", "n").sortWithinPartitions("key")
 
@@ -118,9 +119,55 @@ def cut_class(rank: Column, n: Column, share: float) -> Column:
 
     The weight above a rank differs from its expectation by less than eight deviations; ``_cuts`` checks it.
     """
+    first, last = _band(n, share)
+    return F.when(rank <= first, 0).when(rank <= last, 1).otherwise(2)
+
+
+def _band(n: Column, share: float) -> tuple[Column, Column]:
+    """Ranks before the rows near the cut, and the last of them."""
     half = F.ceil(SIGMAS * F.sqrt(n * F.lit(share * (1 - share)))) + 50
     middle = F.ceil(n * share - 1e-9)
-    return F.when(rank <= middle - half, 0).when(rank <= middle + half, 1).otherwise(2)
+    return middle - half, middle + half
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells are few bytes but many draws: their tasks are a fixed number, which run-time coalescing leaves alone."""
+    return cells.repartition(max(32, shuffle_width(cells.sparkSession)), "at")
+
+
+def _by_cut(df: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows by their side of both cuts: those far from both, those near one with exact ranks, and rows below each cut.
+
+    Value buckets and their counts tell the side of all rows but those of the few buckets that hold a cut and its
+    surroundings.  Only these are ordered, so most rows are neither shuffled nor sorted.
+    """
+    d = df.filter("__a IS NOT NULL AND __b IS NOT NULL")
+    for c in "ab":
+        d = bucketed(d, [], f"__{c}", "at").withColumnsRenamed({BUCKET: f"bucket_{c}", SLICE: f"slice_{c}"})
+    d = materialise(d, "premium")
+    below = []
+    for c in "ab":
+        key = [f"bucket_{c}", f"slice_{c}"]
+        whole = Window.partitionBy(F.lit(0))
+        upto = whole.orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+        counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("__in"))
+        places = counts.select(*key, F.sum("__in").over(upto).alias("__upto"), "__in", F.sum("__in").over(whole).alias("n"))
+        last, before, n = F.col("__upto"), F.col("__upto") - F.col("__in"), F.col("n")
+        side = cut_class(last, n, share)
+        sure = F.when((cut_class(before + 1, n, share) == side) & (side != 1), side)
+        places = materialise(places.select(*key, before.alias(f"before_{c}"), sure.alias(c), F.col("n").alias(f"n_{c}")), "places")
+        below.append(places.agg(F.greatest(F.lit(0), F.coalesce(F.max(f"n_{c}") - _band(F.max(f"n_{c}"), share)[1], F.lit(0))).cast("long").alias(f"below_{c}")))
+        d = d.join(sent(places, 5), key)
+    d = d.select("at", "r", *[f"{x}{c}" for c in "ab" for x in ("", "__", "before_")], F.col("n_a").alias("n"))
+    far = d.filter("a IS NOT NULL AND b IS NOT NULL").select("at", "r", "a", "b")
+    near = materialise(d.filter("a IS NULL OR b IS NULL"), "near")
+    for c in "ab":
+        unsure = near.filter(F.col(c).isNull())
+        ranked = attach(exact_rank(unsure, [], f"__{c}", "at", rank="__rn", total="__m"), unsure.agg(F.min(f"before_{c}").alias("__base")))
+        ranked = ranked.withColumn(f"rank_{c}", F.col("__rn") + F.col("__base")).drop("__rn", "__m", "__base")
+        ranked = ranked.withColumn(c, cut_class(F.col(f"rank_{c}"), F.col("n"), share))
+        near = materialise(ranked.unionByName(near.filter(F.col(c).isNotNull()), allowMissingColumns=True), "near")
+    return far, near.select("at", "r", "a", "b", "rank_a", "rank_b"), attach(*below)
 
 
 def _sums(reps: int, seed: int):
@@ -175,22 +222,21 @@ def premium_difference(df: DataFrame, a: str, b: str, ret: str, row: str, reps:
     (outcomes + root of rows), tasks send one row per replicate, and a task near the cut holds that band only.
     With ``each`` there are no cells: every row has a draw of its own in every replicate, and work is replicates times rows.
     """
-    one = exact_rank(df.select((-F.col(a)).alias("__a"), (-F.col(b)).alias("__b"), F.col(ret).alias("r"), F.col(row).alias("at")), [], "__a", "at", rank="rank_a", total="n")
-    both = exact_rank(one, [], "__b", "at", rank="rank_b", total="n_b")
-    both = both.select("at", "r", *[F.col(f"rank_{c}") for c in "ab"], *[cut_class(F.col(f"rank_{c}"), F.col("n"), share).alias(c) for c in "ab"])
-    both = materialise(both, "premium")
+    d = df.select((-F.col(a)).alias("__a"), (-F.col(b)).alias("__b"), F.col(ret).alias("r"), F.col(row).alias("at"))
+    far, near, below = _by_cut(d, share)
+    both = far.unionByName(near.select("at", "r", "a", "b"))
     band = (F.col("a") == 1) | (F.col("b") == 1)
     if each:
         pieces = both.select("at", F.lit(1).cast("long").alias("n"), "r", "a", "b")
     else:
         cells = both.groupBy("a", "b", "r", F.when(band, F.col("at")).alias("own")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
-        pieces = _pieces(cells).select("at", "n", "r", "a", "b").repartition("at")
+        pieces = _pieces(cells).select("at", "n", "r", "a", "b")
+        pieces = _dealt(pieces)
     parts = pieces.mapInArrow(_sums(reps, seed), "rep long, total long, above_a long, above_b long, gain_a double, gain_b double")
     sums = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]])
-    below = both.agg(*[F.coalesce(F.sum((F.col(c) == 2).cast("long")), F.lit(0)).alias(f"below_{c}") for c in "ab"])
     sums = attach(sums, below).withColumn("block", F.floor(F.col("rep") / TURNS))
     sums = sums.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("below", F.when(F.col("side") == 0, F.col("below_a")).otherwise(F.col("below_b")))
-    near = both.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"rank_{c}").alias("pos"), (F.col(c) == 1).alias("is")) for i, c in enumerate("ab")]))).filter("s.is")
+    near = near.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"rank_{c}").alias("pos"), (F.col(c) == 1).alias("is")) for i, c in enumerate("ab")]))).filter("s.is")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((reps - 1) // TURNS).cast("long")))
     near = near.select("at", "r", "s.side", "s.pos", blocks.alias("block"))
     tops = sums.groupBy("side", "block").cogroup(near.groupBy("side", "block")).applyInArrow(_cuts(seed, share), "rep long, side int, top double")
