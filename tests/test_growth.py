@@ -107,3 +107,20 @@ def test_cells_of_many_draws_stay_dealt(spark):
     cells = resampling._dealt(spark.range(1000).withColumnRenamed("id", "at"))
     cells.count()
     assert cells.rdd.getNumPartitions() >= 32
+
+
+def test_premiums_order_only_rows_at_a_border(spark):
+    """Tops and bottoms are those of exact ranks, though most rows are told by their zone alone."""
+    n = 20_000
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"cell": rng.integers(0, 2, n), "id": rng.permutation(n), "score": rng.normal(size=n), "few": rng.integers(0, 9, n) / 4.0})
+    d = spark.createDataFrame(pdf)
+    for score in ("score", "few"):
+        for share in (0.1, 0.37, 0.5, 1.0):
+            sure, near = scoring._ends(d, ["cell"], score, "id", share)
+            assert score == "few" or near.count() < n / 20
+            got = sure.select("id", "__first", "__last").unionByName(near.select("id", "__first", "__last")).orderBy("id").toPandas()
+            ranked = exact_rank(d, ["cell"], score, "id").orderBy("id").toPandas()
+            k = np.maximum(1, np.ceil(ranked["n"] * share))
+            assert (got["id"] == ranked["id"]).all()
+            assert (got["__first"] == (ranked["rn"] <= k)).all() and (got["__last"] == (ranked["rn"] > ranked["n"] - k)).all()

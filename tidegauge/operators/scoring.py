@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.plans.ranking import exact_quantiles, exact_rank, sent, value_ranks
+from tidegauge.plans.single import attach
 from tidegauge.plans.stage import materialise
 
+NEAR = 0.001  # share of a cell's rows on either side of a border that are ordered
+
 
 def tail_profile(df: DataFrame, by: list[str], ret: str, thr: float) -> DataFrame:
     """Mean, median and tail probabilities of a return column."""
@@ -61,10 +64,40 @@ def top_premium(df: DataFrame, cell: list[str], score: str, ret: str, tie: str,
     Top and bottom hold ceil(share * n) rows; ties go to the lower tie column.
     """
     d = df.select(*cell, score, ret, tie).withColumn("__neg", -F.col(score))
-    ranked = exact_rank(d, cell, "__neg", tie)
+    sure, near = _ends(d, cell, "__neg", tie, share)
+    top, bot = F.col("__first"), F.col("__last")
+    cols = [*cell, ret, "__first", "__last"]
+    return _premium(sure.select(cols).unionByName(near.select(cols)).filter(top | bot), cell, top, bot, ret, cost)
+
+
+def _ends(df: DataFrame, cell: list[str], score: str, tie: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """Rows told to be among the first and the last ceil(share * n) of their cell by ascending (score, tie).
+
+    Approximate quantiles around both borders cut a cell into five zones, whose exact counts tell both for all rows but
+    those of the zones that hold a border (second table).  Only these are ordered, so most rows are neither shuffled
+    nor sorted.  However far the quantiles are off, or many scores equal, the result is exact: the zone is only larger.
+    """
+    s, key = F.col(score), [*cell, "__zone"]
+    d = df.filter(s.isNotNull())
+    at = sorted((min(1.0, max(0.0, p + side * NEAR)), side) for p in (share, 1 - share) for side in (-1, 1))
+    cuts = d.groupBy(*cell).agg(F.percentile_approx(score, [p for p, _ in at], round(4 / NEAR)).alias("__cuts"))
+    cuts = materialise(cuts.select(*cell, *[F.element_at("__cuts", i + 1).alias(f"__c{i}") for i in range(4)]), "cuts")
+    zone = sum(((s > F.col(f"__c{i}")) if side > 0 else (s >= F.col(f"__c{i}"))).cast("int") for i, (_, side) in enumerate(at))
+    d = d.join(sent(cuts, 4), cell) if cell else attach(d, cuts)
+    d = d.withColumn("__zone", zone).drop(*[f"__c{i}" for i in range(4)])
+    whole = Window.partitionBy(*cell)
+    upto = F.sum("__in").over(whole.orderBy("__zone").rowsBetween(Window.unboundedPreceding, 0))
+    counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("__in"))
+    places = counts.select(*key, (upto - F.col("__in")).alias("__lo"), upto.alias("__hi"), F.sum("__in").over(whole).alias("n"))
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
-    top, bot = F.col("rn") <= k, F.col("rn") > F.col("n") - k
-    return _premium(ranked.filter(top | bot), cell, top, bot, ret, cost)
+    places = places.select(*key, "__lo", "__hi", k.alias("__k"), (F.col("n") - k).alias("__rest"))
+    before, upto, k, rest = (F.col(x) for x in ("__lo", "__hi", "__k", "__rest"))
+    rows = d.join(sent(materialise(places, "places"), len(key) + 4), key)
+    split = (before < k) & (k < upto) | (before < rest) & (rest < upto)
+    sure = rows.filter(~split).withColumns({"__first": upto <= k, "__last": before >= rest})
+    near = exact_rank(materialise(rows.filter(split), "near"), key, score, tie, rank="__rn", total="__m")
+    rn = before + F.col("__rn")
+    return sure, near.withColumns({"__first": rn <= k, "__last": rn > rest})
 
 
 def top_premium_of_ranked(ranked: DataFrame, cell: list[str], score: str, ret: str, cost: float, share: float = 0.10) -> DataFrame:
