@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input: what is joined, shuffled and read how often."""
 
 import contextlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from tidegauge.operators import resampling, scoring
 from tidegauge.plans.ranking import bucketed, exact_quantiles, exact_rank
+from tidegauge.sources import files
 from tidegauge.sources.views import Views
 
 SMALL = "/root/testdata/sf0.001"
@@ -124,3 +126,25 @@ def test_premiums_order_only_rows_at_a_border(spark):
             k = np.maximum(1, np.ceil(ranked["n"] * share))
             assert (got["id"] == ranked["id"]).all()
             assert (got["__first"] == (ranked["rn"] <= k)).all() and (got["__last"] == (ranked["rn"] > ranked["n"] - k)).all()
+
+
+def test_long_files_are_hashed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The digest stays that of the whole file, though it is read in splits and carried from turn to turn."""
+    noise = np.random.default_rng(9).integers(0, 256, 300_000).astype(np.uint8).tobytes()
+    bom = b"\xef\xbb\xbf"
+    kinds = {"noise": noise, "ends": noise + b"\n", "bom": bom + noise, "bom ends": bom + noise + b"\n", "crlf": b"a\r\nb\r\r\n\n" * 9_000, "no line": noise.replace(b"\n", b""), "marks": bom * 9_000, "lines": b"\n" * 70_000, "short": b"x\n"}
+    for name, content in kinds.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "packed.gz").write_bytes(noise)  # not unpacked, and no fault if it is not gzip at all
+    want = {(n, hashlib.sha256(c).hexdigest(), len(c)) for n, c in (kinds | {"packed.gz": noise}).items()}
+    turns, carry = [], files._added
+    monkeypatch.setattr(files, "SPAN", 50_000)
+    monkeypatch.setattr(files, "_added", lambda *a: turns.append(len(a[0])) or carry(*a))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        assert {tuple(r) for r in files.file_digests(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+    assert len(turns) > 4 and turns[0] == 0 and turns[-1] == 7

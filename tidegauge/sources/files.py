@@ -6,12 +6,19 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.functions import sha256
 from tidegauge.functions.scalar import bool_text, positive
+from tidegauge.plans.stage import materialise
+
+SPAN = 128 << 20  # bytes of a file that one task hashes at a time
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
 
 # fixed values: column order of the public kline and trade-print archives
 KLINE = (
@@ -181,11 +188,84 @@ def log_errors(df: DataFrame) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size per file."""
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SHA-256 and size per file.
+
+    A file of up to ``SPAN`` bytes is hashed by one task.  The digest of a longer one is carried from turn to turn, see
+    ``_carried_digests``.  Without OpenSSL's functions, and for files that Spark would unpack by their names, one task
+    hashes the whole file; Spark holds 2 GB at most then.
+    """
+    size, file = F.col("_metadata.file_size"), F.col("_metadata.file_name")
+    at_once = (size <= SPAN) | file.rlike(PACKED) if sha256.resumable() else F.lit(True)  # known before a file is opened
     raw = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return raw.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    found = raw.filter(at_once).select(name, F.sha2("content", 256).alias("sha256"), "length")
+    long = raw.filter(~at_once).select(F.col("_metadata.file_path").alias("path"), name, "length").collect()
+    if not long:
+        return found
+    digests = _carried_digests(spark.read.text(path, lineSep="\n").filter(~at_once), {r["path"]: r["length"] for r in long})
+    return found.unionByName(spark.createDataFrame([(r["file"], digests[r["path"]], r["length"]) for r in long], "file string, sha256 string, length long"))
+
+
+def _carried_digests(lines: DataFrame, lengths: dict[str, int]) -> dict[str, str]:
+    """Digests of long files, each read by many tasks.
+
+    Spark's text reader splits a file at any byte and gives its lines as they are, so they are its bytes but for the
+    newline at the end and a byte order mark, which the length tells.  Pieces are stored by turns of ``SPAN`` bytes; in
+    a turn one task for each file takes up the state of the chain, adds the turn's pieces and hands on 112 bytes.
+    """
+    spark, paths = lines.sparkSession, sorted(lengths)
+    at = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, at int")
+    start = F.col("_metadata.file_block_start")
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), start.alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = rows.join(F.broadcast(at), "path").select("at", "start", "line").mapInArrow(_joined, "at int, start long, n long, size long, piece binary")
+    stored = materialise(pieces.withColumn("turn", F.expr(f"start div {SPAN}")), "pieces", by=["turn"])
+    place = F.struct("start", "n")
+    sums = stored.groupBy("at").agg(F.sum("size").alias("size"), F.min(place).alias("first"), F.max(place).alias("last")).collect()
+    ends = {}
+    for r in sums:
+        lacks = lengths[paths[r["at"]]] - r["size"]  # every line has its newline here: the last one may be too many
+        if lacks not in (0, -1, 3, 2):
+            raise ValueError(f"{paths[r['at']]} changed or was not read byte for byte")
+        ends[r["at"]] = (tuple(r["first"]) if lacks > 0 else None, tuple(r["last"]) if lacks in (-1, 2) else None)
+    states: dict[int, bytes] = {}
+    for (turn,) in sorted(stored.select("turn").distinct().collect()):
+        part = stored.filter(F.col("turn") == turn).select("at", "start", "n", "piece").repartitionById(len(paths), "at")
+        done = part.sortWithinPartitions("at", "start", "n").mapInArrow(_added(states, ends), "at int, state binary").collect()
+        states = states | {r["at"]: bytes(r["state"]) for r in done}
+    return {p: sha256.Sha256(states[i]).hexdigest() for i, p in enumerate(paths)}
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive lines of one split as one piece, each line with its newline."""
+    n = 0
+    for batch in batches:
+        at, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (start[1:] != start[:-1])) + 1).tolist(), len(at)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                piece = b"\n".join([*batch.column(2).slice(a, b - a).to_pylist(), b""])
+                cols = [pa.array([at[a]], pa.int32()), pa.array([start[a]], pa.int64()), pa.array([n], pa.int64()), pa.array([len(piece)], pa.int64()), pa.array([piece], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["at", "start", "n", "size", "piece"])
+                n += 1
+
+
+def _added(states: dict[int, bytes], ends: dict[int, tuple]):
+    """Task that adds ordered pieces to the states of their files."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains: dict[int, sha256.Sha256] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, start, n, piece = (c[i].as_py() for c in batch.columns)
+                chain = chains.setdefault(at, sha256.Sha256(states.get(at)))
+                first, last = ends[at]
+                if (start, n) == first:
+                    chain.update(b"\xef\xbb\xbf")
+                chain.update(piece[:-1] if (start, n) == last else piece)
+        yield pa.RecordBatch.from_arrays([pa.array([*chains], pa.int32()), pa.array([c.state() for c in chains.values()], pa.binary())], ["at", "state"])
+
+    return add
 
 
 def failed_digests(found: DataFrame, manifest: DataFrame) -> DataFrame:
