@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from tidegauge.functions.rand import uniform_array
 from tidegauge.operators import resampling, scoring
 from tidegauge.plans.ranking import bucketed, exact_quantiles, exact_rank
 from tidegauge.sources import files
@@ -148,3 +149,33 @@ def test_long_files_are_hashed_by_many_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert len(turns) > 4 and turns[0] == 0 and turns[-1] == 7
+
+
+def test_control_draws_stay_in_their_tasks(spark, monkeypatch):
+    """Replicates times events of them: before, run-time size checks took them for a small table and sent it through the driver."""
+    rng = np.random.default_rng(11)
+    n = 900
+    pdf = pd.DataFrame({"who": rng.integers(0, 4, n), "of": rng.integers(0, 3, n), "id": rng.permutation(n) * 7, "x": rng.normal(size=n)})
+    pdf.loc[::50, "x"] = None
+    d, reps, seed = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None))), 70, 22
+    hit = (F.col("id") % 3 == 0) & ((F.col("of") > 0) | (F.col("who") > 2))
+    monkeypatch.setattr(resampling, "PLACES", 128)  # some pools are cut into pieces
+    with unsent(spark):
+        got = resampling.matched_control(d, d.filter(hit), ["who"], "of", "x", "id", reps, seed)
+        assert not any("hashpartitioning" in line and "rep" in line and "pos" in line for line in plan(got).splitlines())
+        got = got.orderBy("who", "rep").toPandas()
+    pools = {k: g.sort_values("id")["x"].to_numpy() for k, g in pdf.groupby("of")}
+    events = pdf[(pdf["id"] % 3 == 0) & ((pdf["of"] > 0) | (pdf["who"] > 2))].groupby(["who", "of"]).size()
+    want = []
+    for who in range(4):
+        for rep in range(reps):
+            drawn = [pools[of][(uniform_array(np.arange(k), np.array(rep), seed) * len(pools[of])).astype(int)] for of, k in events[who].items()]
+            want.append((who, rep, np.nanmean(np.concatenate(drawn))))
+    want = pd.DataFrame(want, columns=["who", "rep", "ctrl_mean"])
+    assert max(map(len, pools.values())) > 256
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_control_pool_is_stored_once(spark):
+    """It feeds ranks, sizes and events: the ticks are not read again for each."""
+    assert "events.parquet" not in plan(queries()["matched_control_monte_carlo_published"](spark, SMALL))

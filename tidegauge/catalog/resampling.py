@@ -209,6 +209,7 @@ def _(v, reps=200):
         "symbol", (F.unix_micros("ts") * 10 + F.substring("symbol", 2, 1).cast("long")).alias("id"),
         F.when(c > 160, "high").when(c < 125, "low").otherwise("mid").alias("regime"), "volume", "ret",
     )
+    f = materialise(f, "control")
     ev = f.filter("volume > 150")
     draws = R.matched_control(f, ev, ["symbol"], "regime", "ret", "id", reps, 22)
     obs = ev.groupBy("symbol").agg(F.avg("ret").alias("obs"))

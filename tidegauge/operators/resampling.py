@@ -1,8 +1,9 @@
-"""Bootstrap intervals and Monte-Carlo controls as joins over draws.
+"""Bootstrap intervals and Monte-Carlo controls over hashed draws.
 
 Row-level bootstraps weight every row per replicate (Poisson) and sum on the map
 side, so what is shuffled is replicates, not rows.  Block and cluster bootstraps
-draw indices and join them to block sums.  All draws are hashed (functions.rand).
+draw indices and join them to block sums.  Matched controls send their pool to the
+tasks that draw from it.  All draws are hashed (functions.rand).
 """
 
 from __future__ import annotations
@@ -314,20 +315,61 @@ def ratio_draws(df: DataFrame, by: list[str], r: str, row: str, reps: int, seed:
     return _theta_of_sums(j, [*by, "rep"], per_year).withColumnRenamed("theta", "sharpe")
 
 
+BLOCKS = 32  # parts that the replicates are dealt in
+PLACES = 1 << 20  # positions of a pool that a task holds
+
+
+def _looked_up(reps: int, per: int, seed: int):
+    """Group of one regime, a piece of its pool and some replicates: sums of the outcomes drawn, up to each event count."""
+
+    def look(key, pool, counts):
+        start, block = key[1].as_py() * PLACES, key[2].as_py()
+        rep, want = np.arange(block * per, min(reps, (block + 1) * per)), np.unique(counts.column("__want").to_numpy())
+        size, most = counts.column("__size").to_numpy().max(initial=0), want.max(initial=0)
+        x = np.empty(pool.num_rows)
+        x[pool.column("__pos").to_numpy() - 1 - start] = pool.column("__x").to_numpy()
+        sums, known = np.zeros((2, len(rep), len(want)))
+        step = max(1, 65_536 // len(rep))
+        for first in range(0, most, step):
+            i = np.arange(first, min(first + step, most))
+            at = np.floor(uniform_array(i[None, :], rep[:, None], seed) * size).astype(np.int64) - start
+            # draws of an event count go on where those of the next smaller one end
+            cell = np.arange(len(rep))[:, None] * len(want) + np.searchsorted(want, i, side="right")
+            here = (at >= 0) & (at < len(x))
+            at, cell = at[here], cell[here]
+            there = ~np.isnan(x[at])
+            sums += np.bincount(cell[there], x[at[there]], sums.size).reshape(sums.shape)
+            known += np.bincount(cell[there], minlength=sums.size).reshape(sums.shape)
+        values = (np.tile(want, len(rep)), np.repeat(rep, len(want)), sums.cumsum(1).ravel(), known.cumsum(1).ravel())
+        return pa.table([pa.repeat(key[0], sums.size), *[pa.array(v) for v in values]], ["__of", "__want", "rep", "__sum", "__known"])
+
+    return look
+
+
 def matched_control(pool: DataFrame, events: DataFrame, by: list[str], regime: str, ret: str, order: str, reps: int, seed: int) -> DataFrame:
     """Control means drawn from the pool with the events' regime counts, per replicate.
 
-    Draws name a position in the regime's pool; positions are exact ranks, so
-    the lookup is an equi join spread over (regime, position).
+    Draws name a position in the regime's pool; positions are exact ranks.  There are replicates times events of them,
+    far more than rows, so the pool goes to the draws: a task holds a piece of one regime's pool and makes the draws of
+    some replicates, and sends one row for each replicate and event count.  A draw is that of its number and replicate,
+    whatever group it is for, so groups share it.  In pools of more than ``PLACES`` rows every piece goes through the draws.
     """
-    ranked = exact_rank(pool.select(regime, ret, order), [regime], order, order, rank="__pos", total="__size")
-    sizes = pool.groupBy(regime).agg(F.count(order).alias("__size"))
-    want = events.groupBy(*by, regime).agg(F.count(F.lit(1)).alias("__want"))
-    draws = _numbered(want.join(sizes, regime).withColumn("rep", _reps(reps)), F.col("__want"), "__i", [*by, regime, "rep"])
-    at = F.floor(uniform(F.col("__i"), F.col("rep"), seed) * F.col("__size")).cast("long") + 1
-    hits = draws.groupBy(*by, "rep", regime, at.alias("__pos")).agg(F.count(F.lit(1)).alias("__m"))
-    j = hits.join(ranked.select(regime, "__pos", ret), [regime, "__pos"])
-    return j.groupBy(*by, "rep").agg((F.sum(F.col("__m") * F.col(ret)) / F.sum("__m")).alias("ctrl_mean"))
+    of = F.col(regime).alias("__of")
+    ranked = exact_rank(pool.select(of, F.col(ret).cast("double").alias("__x"), F.col(order).alias("__at")), ["__of"], "__at", "__at", rank="__pos", total="__n")
+    sizes = pool.groupBy(of).agg(F.count(order).alias("__size"))
+    want = events.groupBy(*by, of).agg(F.count(F.lit(1)).alias("__want"))
+    per = -(-reps // BLOCKS)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // per)))
+    key, width = ["__of", "__piece", "__block"], max(64, shuffle_width(pool.sparkSession))  # few bytes, many draws: a fixed number, as in _dealt
+    rows = ranked.select("__of", F.floor((F.col("__pos") - 1) / PLACES).alias("__piece"), "__pos", F.coalesce("__x", F.lit(float("nan"))).alias("__x"))
+    rows = rows.withColumn("__block", blocks).repartition(width, *key)
+    counts = want.select("__of", "__want").distinct().join(sizes, "__of")
+    counts = counts.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__size") - 1) / PLACES))))
+    counts = counts.withColumn("__block", blocks).repartition(width, *key)
+    longs, doubles = ([T.StructField(c, t()) for c in names] for names, t in ((("__want", "rep"), T.LongType), (("__sum", "__known"), T.DoubleType)))
+    schema = T.StructType([T.StructField("__of", ranked.schema["__of"].dataType), *longs, *doubles])
+    sums = rows.groupBy(*key).cogroup(counts.groupBy(*key)).applyInArrow(_looked_up(reps, per, seed), schema)
+    return want.join(sums, ["__of", "__want"]).groupBy(*by, "rep").agg(F.try_divide(F.sum("__sum"), F.sum("__known")).alias("ctrl_mean"))
 
 
 def control_p_value(draws: DataFrame, observed: DataFrame, by: list[str], obs: str, upper: bool = True) -> DataFrame:
