@@ -1,11 +1,16 @@
 """Cases that earlier forms got wrong: many slots, tied prints, missing keys, pruned guards, equal benchmarks, folders as streams."""
 
+import os
 import tempfile
 
+import duckdb
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tests.check import diff, oracle
+from tidegauge.catalog import load
 from tidegauge.functions.scalar import collapse_regime
 from tidegauge.operators import bars, gates, quality
 from tidegauge.plans.series import Series, framed, number_rows, running
@@ -138,3 +143,25 @@ def test_window_metrics_read_the_trades_once(spark):
         x, row = g.profit_abs, got.loc[k]
         assert (row.n, row.largest_win, row.largest_loss) == (20, x.max(), x.min())
         assert [row.net, row.win_rate, row.mean_ratio, row.volume] == pytest.approx([x.sum(), (x > 0).mean(), g.profit_ratio.mean(), 200.0])
+
+
+@pytest.mark.parametrize("name", ["daily_sharpe_sortino", "strict_sharpe_sortino_by_year"])
+def test_losing_days_do_not_depend_on_the_plan(spark, tmp_path, name):
+    """Days that cancel out are noise of the order of adding: that of the table, in several files and after a join by key."""
+    sf = "/root/testdata/sf0.01"
+    (tmp_path / "lineitem.parquet").mkdir()
+    os.symlink(f"{sf}/orders.parquet", tmp_path / "orders.parquet")
+    rows = pq.read_table(f"{sf}/lineitem.parquet")
+    for i, at in enumerate((40_000, 20_000, 0)):
+        pq.write_table(rows.slice(at, 20_000), tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = load()[name].run(spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.set(key, before)
+    assert rows.num_rows == 60_000 and diff(got, oracle(con, load()[name].sql)) is None

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import TRADES, ms, query, r, rounded
 from tidegauge.functions.scalar import bands
+from tidegauge.operators import bars
 from tidegauge.operators import ledger as L
 from tidegauge.plans.ranking import exact_quantiles
 
@@ -48,7 +49,8 @@ def _(v):
       round(avg(pr) / (stddev_samp(pr) FILTER (pr < 0)) * sqrt(365), 6) + 0.0 AS sortino FROM days GROUP BY 1""",
 )
 def _(v):
-    d = L.daily(v.trades, ["pair"])
+    d = L.day_sums(v.trades, v.trades_on, ["pair"], "profit_ratio", ["file", "row"])
+    d = bars.daily_zero_filled(d, "day", ["profit_ratio"], ("pair",))
     return rounded(d.groupBy("pair").agg(*L.returns_stats("profit_ratio", 365)), "sharpe", "sortino")
 
 
@@ -61,8 +63,8 @@ def _(v):
          THEN round(avg(pr) / (stddev_samp(pr) FILTER (pr < 0)) * sqrt(365), 6) + 0.0 END AS sortino FROM d GROUP BY 1, 2""",
 )
 def _(v):
-    d = v.trades.groupBy("pair", F.to_date("close_date").alias("day")).agg(F.sum("profit_ratio").alias("pr"))
-    out = d.groupBy("pair", F.year("day").cast("long").alias("year")).agg(*L.returns_stats("pr", 365, strict=True))
+    d = L.day_sums(v.trades, v.trades_on, ["pair"], "profit_ratio", ["file", "row"])
+    out = d.groupBy("pair", F.year("day").cast("long").alias("year")).agg(*L.returns_stats("profit_ratio", 365, strict=True))
     return rounded(out, "sharpe", "sortino")
 
 

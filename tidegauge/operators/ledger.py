@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import loss_ratio
 from tidegauge.operators import bars
-from tidegauge.plans.ranking import exact_quantiles
+from tidegauge.plans.ranking import exact_quantiles, sent
 from tidegauge.plans.stage import materialise
 from tidegauge.plans.series import Series, running, running_equity
 
@@ -92,6 +92,26 @@ def daily(trades: DataFrame, by: Sequence[str], values: Sequence[str] = ("profit
     return bars.daily_zero_filled(d, "day", list(values), tuple(by))
 
 
+NOISE = 1e-9  # of the sum of absolute values: no sum of doubles is off by as much
+
+
+def day_sums(trades: DataFrame, on: Callable[[DataFrame], DataFrame], by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """Sums by close day with the signs that adding row by row in ``order`` gives, whatever the tasks.
+
+    Values of a day that cancel out come out as noise above or below zero, by the order of adding them, and count as
+    a loss or not.  Only such days are added up in order, a day of a group in one task; noise does not show in others.
+    ``on`` gives the trades of a table of groups and days, with the columns of ``order``.
+    """
+    x, key = F.col(value), [*by, "day"]
+    day = F.to_date("close_date").alias("day")
+    sums = materialise(trades.groupBy(*by, day).agg(F.sum(x).alias(value), F.sum(F.abs(x)).alias("__size")), "day-sums")
+    unsure = materialise(sums.filter((F.abs(x) <= F.col("__size") * NOISE) & (F.col("__size") > 0)).select(*key), "unsure")
+    held = F.array_sort(F.collect_list(F.struct(*order, x.cast("double").alias("__x"))))
+    added = F.aggregate(held, F.lit(0.0), lambda total, row: total + row["__x"])
+    signed = on(sent(unsure, len(key))).filter(x.isNotNull()).groupBy(*by, day).agg(added.alias("__added"))
+    return sums.join(signed, key, "left").select(*key, F.coalesce("__added", value).alias(value))
+
+
 def wallet_drawdown(days: DataFrame, by: Sequence[str], start: float, span: int = 3650 * 86_400) -> DataFrame:
     """Largest relative fall of ``start`` + summed absolute P&L, per group.
 

@@ -68,11 +68,23 @@ class Views:
 
     @cached_property
     def trades(self) -> DataFrame:
+        return self._trades(self.table("lineitem"))
+
+    def trades_on(self, days: DataFrame) -> DataFrame:
+        """Trades of some pairs on some close days, with file and row of their line items: the order of the table.
+
+        Line items of other days never meet the orders.
+        """
+        li = self.table("lineitem").withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+        of = (li["l_returnflag"] == days["pair"]) & (F.to_date(li["l_shipdate"].cast("timestamp")) == days["day"])
+        return self._trades(li.join(days, of, "left_semi"), "file", "row")
+
+    def _trades(self, li: DataFrame, *place: str) -> DataFrame:
         # ratio and result are worked out before the join, so that it moves no column that only they need
         ratio = F.round(F.col("l_discount") - F.col("l_tax"), 4)
-        li = self.table("lineitem").select(
+        li = li.select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
-            ratio.alias("profit_ratio"), F.round(F.col("l_extendedprice") * ratio, 4).alias("profit_abs"),
+            ratio.alias("profit_ratio"), F.round(F.col("l_extendedprice") * ratio, 4).alias("profit_abs"), *place,
         )
         orders = self.table("orders").select("o_orderkey", "o_orderdate")
         return (
@@ -90,6 +102,7 @@ class Views:
                 F.col("l_linenumber").alias("line"),
                 F.col("l_partkey").alias("part_id"),
                 F.col("l_suppkey").alias("supp_id"),
+                *place,
             )
         )
 
